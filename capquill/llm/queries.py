@@ -1,8 +1,10 @@
 """Registry of the training-data queries and of their SQL."""
 
-from capquill.llm import quality_rules
+from capquill.llm import language_id, quality_rules, sharding
 
 QUERIES = {
+    "op8_sharding": sharding.op8_sharding,
+    "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
