@@ -13,19 +13,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capquill.llm import kernels as K
 from capquill.llm.common import KEEP, columns_or_null, same
 
-SURVEY_SCHEMA = "doc_id bigint, rid bigint, n bigint, sha string, seeds array<bigint>"
+SURVEY_SCHEMA = "doc_id bigint, rid int, n bigint, sha string, seeds array<bigint>"
 KEPT = "array<struct<low:bigint,high:bigint>>"
 
 
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, rid (a hash of the text, to tell rows apart that repeat a doc_id) and text."""
-    return columns_or_null(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("rid"), "text")
+    return columns_or_null(docs, doc_id="bigint", text="string").select("doc_id", F.hash("text").alias("rid"), "text")
 
 
 def survey(docs: DataFrame, scan: Callable) -> DataFrame:
@@ -47,13 +48,36 @@ def survey(docs: DataFrame, scan: Callable) -> DataFrame:
 
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array([pack(t.as_py() or b"") for t in texts], pa.binary())], names=["doc_id", "rid", "packed"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], target: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """(rows, their texts) in pieces of about `target` packed bytes."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("packed")).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + target, "right")))
+            rows = batch.slice(a, b - a)
+            yield rows, pa.array([unpack(t.as_py()) for t in rows.column("packed")], pa.large_binary())
+            a = b
+
+
 def candidates(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """Prepared documents with a repeated anchor, with `hits`: those anchors and how often each occurs at all."""
+    """Prepared documents with a repeated anchor, texts packed, with `hits`: those anchors and how often each occurs at all."""
     occurs = surveyed.select("doc_id", F.explode("seeds").alias("seed"))
     repeated = occurs.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1")
-    hits = occurs.join(repeated, "seed").groupBy("doc_id").agg(F.collect_set(F.struct("seed", "times")).alias("hits"))
+    # joined by another form of the key, so that both sides are dealt for the join and a hot anchor can be split
+    repeated = repeated.select(F.bitwise_not("seed").alias("key"), "times")
+    hits = occurs.join(repeated, F.bitwise_not("seed") == F.col("key")).groupBy("doc_id").agg(F.collect_set(F.struct("seed", "times")).alias("hits"))
     hits = hits.withColumnRenamed("doc_id", "of")
-    return docs.join(hits, same(F.col("doc_id"), F.col("of"))).drop("of").persist(KEEP)
+    packed = docs.mapInArrow(_pack, "doc_id bigint, rid int, packed binary")
+    return packed.join(hits, same(F.col("doc_id"), F.col("of"))).drop("of").persist(KEEP)
 
 
 def hit_counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +101,12 @@ def finish(surveyed: DataFrame, found: DataFrame, kept: DataFrame, reduce: Calla
     """
     lists = kept.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("low", "high")).alias("kept"))
     lists = lists.select(F.col("doc_id").alias("of"), F.col("rid").alias("of_rid"), "kept")
-    both = found.join(lists, same(F.col("doc_id"), F.col("of")) & (F.col("rid") == F.col("of_rid")), "left").select("doc_id", "rid", "text", "hits", "kept")
+    both = found.join(lists, same(F.col("doc_id"), F.col("of")) & (F.col("rid") == F.col("of_rid")), "left").select("doc_id", "rid", "packed", "hits", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in unpacked(batches):
             seeds, _ = hit_counts(batch)
-            for a, data, off in K.chunks(batch.column("text")):
+            for a, data, off in K.chunks(texts):
                 rows = batch.slice(a, len(off) - 1)
                 lists = rows.column("kept")
                 sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -91,7 +115,7 @@ def finish(surveyed: DataFrame, found: DataFrame, kept: DataFrame, reduce: Calla
                 removed, spans, sha = reduce(data, off, seeds, kept)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("rid"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["of", "of_rid", "removed", "spans", "left"])
 
-    reduced = both.mapInArrow(run, "of bigint, of_rid bigint, removed bigint, spans bigint, left string").dropDuplicates(["of", "of_rid"])
+    reduced = both.mapInArrow(run, "of bigint, of_rid int, removed bigint, spans bigint, left string").dropDuplicates(["of", "of_rid"])
     out = surveyed.drop("seeds").join(reduced, same(F.col("doc_id"), F.col("of")) & (F.col("rid") == F.col("of_rid")), "left")
     zero = F.lit(0).cast("bigint")
     return out.select("doc_id", "n", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.coalesce("left", "sha").alias("sha"))

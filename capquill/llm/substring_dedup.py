@@ -3,7 +3,7 @@
 Each window's rolling hash comes from prefix sums over word hashes. Windows whose anchor occurs once in the
 corpus cannot repeat and are not shipped; of the others each anchor run travels as one row, equal runs are
 merged by a pre-aggregated count, and what is left is exploded to single windows that Spark counts by
-(anchor, window hash), 128 bits together. Windows that occur once are kept; all other windows under repeated
+(half of the anchor, window hash), 96 bits together. Windows that occur once are kept; all other windows under repeated
 anchors are removed, merged to maximal intervals of words.
 
 Nulls and ties: a null or blank text has no words and the digest of the empty string; texts below 35 words
@@ -50,9 +50,9 @@ def _scan(data: np.ndarray, off: np.ndarray, width: int):
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, texts in A.unpacked(batches):
         seeds, _ = A.hit_counts(batch)
-        for a, data, off in K.chunks(batch.column("text")):
+        for a, data, off in K.chunks(texts):
             w = K.words(data, off)
             found = K.anchors(w.hash, w.first, width, min(GRAM, width))
             keep = np.flatnonzero(A.member(found.seed, seeds) >= 0)
@@ -88,9 +88,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = A.prepared(docs)
     surveyed = A.survey(docs, lambda data, off: _scan(data, off, width))
     found = A.candidates(docs, surveyed)
-    rows = found.mapInArrow(lambda it: _runs(it, width), "seed bigint, run bigint, doc_id bigint, rid bigint, low bigint, windows array<bigint>")
+    rows = found.mapInArrow(lambda it: _runs(it, width), "seed bigint, run bigint, doc_id bigint, rid int, low bigint, windows array<bigint>")
     distinct = rows.groupBy("seed", "run").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rid", "low", "windows")).alias("one"))
-    single = distinct.select("seed", "times", "one.doc_id", "one.rid", "one.low", F.posexplode("one.windows").alias("at", "window"))
+    single = distinct.select(F.shiftright("seed", 32).cast("int").alias("seed"), "times", "one.doc_id", "one.rid", "one.low", F.posexplode("one.windows").alias("at", "window"))
     counted = single.groupBy("seed", "window").agg(F.sum("times").alias("times"), F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.min(F.col("low") + F.col("at")).alias("low"))
     kept = counted.where("times = 1").select("doc_id", "rid", "low", (F.col("low") + 1).alias("high"))
     return A.finish(surveyed, found, kept, _reduce(width))

@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capquill.llm import anchored as A
 from capquill.llm import kernels as K
-from capquill.llm.common import KEEP, table
+from capquill.llm.common import KEEP, same, table
 from capquill.llm.suffix_array import permuted_common_prefix, suffix_array
 
 WIDTH, GRAM = 100, 28
@@ -48,29 +49,52 @@ def _scan(data: np.ndarray, off: np.ndarray, width: int):
     return np.diff(off), _digests(data, off), found.seed, found.first
 
 
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Each run of windows under a repeated anchor, with a hash of the text that its windows cover."""
+    for batch, texts in A.unpacked(batches):
+        seeds, _ = A.hit_counts(batch)
+        for a, data, off in K.chunks(texts):
+            found = _anchors(data, off, width)
+            keep = np.flatnonzero(A.member(found.seed, seeds) >= 0)
+            low, high = found.low[keep], found.high[keep] + width
+            content = K.span_hashes(K.prefix_sums(K.BYTE_VALUES[data]), low, high)
+            row = np.searchsorted(off, low, "right") - 1
+            of = pa.array(row + a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.seed[keep].view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(of), pa.array(low - off[row]), batch.column("rid").take(of)],
+                names=["seed", "content", "doc_id", "low", "rid"],
+            )
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], width: int, hot: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """The text of the runs whose window starts are listed in `lows`; a hot anchor's runs are salted by content."""
+    for batch, texts in A.unpacked(batches):
         seeds, times = A.hit_counts(batch)
-        for a, data, off in K.chunks(batch.column("text")):
+        lists = batch.column("lows")
+        listed = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+        for a, data, off in K.chunks(texts):
             found = _anchors(data, off, width)
-            hit = A.member(found.seed, seeds)
-            keep = np.flatnonzero(hit >= 0)
+            here = (listed[0] >= a) & (listed[0] < a + len(off) - 1)
+            row = listed[0][here] - a
+            start = np.sort(listed[1][here] + off[row])
+            keep = np.flatnonzero(A.member(found.low, start) >= 0)
             low, high = found.low[keep], found.high[keep] + width
             content = K.span_hashes(K.prefix_sums(K.BYTE_VALUES[data]), low, high)
-            salts = (1 + times[hit[keep]] // hot).astype(np.uint64)
-            salt = np.where(salts == 1, -1, (K.mix(content.copy()) % salts).astype(np.int64))
+            salts = (1 + times[A.member(found.seed[keep], seeds)] // hot).astype(np.uint64)
+            salt = np.where(salts == 1, -1, (K.mix(content) % salts).astype(np.int64))
             row = np.searchsorted(off, low, "right") - 1
             of = pa.array(row + a)
             first = np.concatenate(([0], np.cumsum(high - low))).astype(np.int32)
-            texts = pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(first), pa.py_buffer(data[A.spread(low, high)])])
+            pieces = pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(first), pa.py_buffer(data[A.spread(low, high)])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.seed[keep].view(np.int64)), pa.array(salt), pa.array(content.view(np.int64)), batch.column("doc_id").take(of), pa.array(low - off[row]), batch.column("rid").take(of), texts],
-                names=["seed", "salt", "content", "doc_id", "low", "rid", "bytes"],
+                [pa.array(found.seed[keep].view(np.int64)), pa.array(salt), batch.column("doc_id").take(of), pa.array(low - off[row]), batch.column("rid").take(of), pieces],
+                names=["seed", "salt", "doc_id", "low", "rid", "bytes"],
             )
 
 
-_CONTEXT = "seed bigint, salt bigint, content bigint, doc_id bigint, low bigint, rid bigint, bytes binary"
-_FIRST = "seed bigint, window bigint, doc_id bigint, low bigint, high bigint, rid bigint"
+_RUN = "seed bigint, content bigint, doc_id bigint, low bigint, rid int"
+_CONTEXT = "seed bigint, salt bigint, doc_id bigint, low bigint, rid int, bytes binary"
+_FIRST = "seed bigint, window bigint, doc_id bigint, low bigint, high bigint, rid int"
 
 
 def _firsts(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
@@ -138,9 +162,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, *, shard: int = SHARD, h
     docs = A.prepared(docs)
     surveyed = A.survey(docs, lambda data, off: _scan(data, off, width))
     found = A.candidates(docs, surveyed)
-    rows = found.mapInArrow(lambda it: _contexts(it, width, hot), _CONTEXT)
-    distinct = rows.groupBy("seed", "salt", "content").agg(F.min(F.struct("doc_id", "low", "rid", "bytes")).alias("one")).select("seed", "salt", "one.*")
-    dealt = distinct.repartition("seed", "salt").sortWithinPartitions("seed", "salt")
+    runs = found.mapInArrow(lambda it: _runs(it, width), _RUN)
+    distinct = runs.groupBy("seed", "content").agg(F.min(F.struct("doc_id", "low", "rid")).alias("one"))
+    lows = distinct.groupBy("one.doc_id", "one.rid").agg(F.collect_set("one.low").alias("lows")).select(F.col("doc_id").alias("of"), F.col("rid").alias("of_rid"), "lows")
+    holders = found.join(lows, same(F.col("doc_id"), F.col("of")) & (F.col("rid") == F.col("of_rid"))).drop("of", "of_rid")
+    dealt = holders.mapInArrow(lambda it: _contexts(it, width, hot), _CONTEXT).repartition("seed", "salt").sortWithinPartitions("seed", "salt")
     firsts = dealt.mapInArrow(lambda it: _sort_shards(it, width, shard), _FIRST).persist(KEEP)
     salted = firsts.where("window is not null").groupBy("seed", "window").agg(F.min(F.struct("doc_id", "low", "rid", "high")).alias("one"))
     columns = ["doc_id", "rid", "low", "high"]
