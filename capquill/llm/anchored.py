@@ -48,11 +48,12 @@ def survey(docs: DataFrame, scan: Callable) -> DataFrame:
 
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1).compress
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prepared documents with their texts compressed one by one, to travel lighter."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array([pack(t.as_py() or b"") for t in texts], pa.binary())], names=["doc_id", "rid", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array([squeeze(t.as_py() or b"") for t in texts], pa.binary())], names=["doc_id", "rid", "packed"])
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], target: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -76,7 +77,7 @@ def candidates(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
     repeated = repeated.select(F.bitwise_not("seed").alias("key"), "times")
     hits = occurs.join(repeated, F.bitwise_not("seed") == F.col("key")).groupBy("doc_id").agg(F.collect_set(F.struct("seed", "times")).alias("hits"))
     hits = hits.withColumnRenamed("doc_id", "of")
-    packed = docs.mapInArrow(_pack, "doc_id bigint, rid int, packed binary")
+    packed = docs.mapInArrow(pack, "doc_id bigint, rid int, packed binary")
     return packed.join(hits, same(F.col("doc_id"), F.col("of"))).drop("of").persist(KEEP)
 
 

@@ -8,13 +8,16 @@ its members and their token union: the query's overlap with the union bounds its
 and only if that bound allows the similarity the group is opened and each member is compared exactly. Every
 pair of linked classes is found once; components follow from the links.
 
-Prefixes: of n tokens the first n - ceil(t * n) + 1 in a fixed order, which two sets of similarity t must
-share a token of. The order is by hash, with tokens that are frequent in prefixes moved to the end; that
-set of tokens is at most `MOST_HOT` by the choice of its threshold. Shingles are 64-bit hashes.
+Prefixes: of n tokens the first n - ceil(t * n) + m in a fixed order, with m = 1 + n // 30. Two sets of
+similarity t share at least the lesser m of their prefix tokens, so that is what a query must share with the
+prefix tokens of a group; passages that many documents hold do not reach it. The order is by hash, with
+tokens that are frequent in prefixes moved to the end; that set of tokens is at most `MOST_HOT` by the choice
+of its threshold. Shingles are 64-bit hashes. Any such order gives the same, whole result.
 
 Nulls and ties: a null or blank text has no shingles and is linked with nothing; a null doc_id is linked
 like any other, but never names a component that has another member; rows that repeat a text are one class. Empty
-tables give no rows. Other columns are dropped by the join and passed on by `keep_one`.
+tables give no rows; a doc_id names one text, and rows that repeat it with another one count as linked to each
+other. Other columns are dropped by the join and passed on by `keep_one`.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ from pyspark.sql import functions as F
 
 from capquill.llm import anchored as A
 from capquill.llm import kernels as K
-from capquill.llm.common import KEEP, columns_or_null, same, table
+from capquill.llm.common import KEEP, same, table
 from capquill.llm.components import components
 
 #: Members of a group and queries that open it in one task, on average at most.
 GROUP, QUERIES = 128, 2_000
 #: A token is moved to the end of the order if more prefixes than this hold it, and more than so many of all.
-HOT, MOST_HOT = 1_000, 5_000_000
+HOT, MOST_HOT = 100, 5_000_000
+#: A prefix has one more token for so many of the set.
+MORE = 30
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -57,7 +62,7 @@ def set_key(tokens: np.ndarray) -> bytes:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    return min(n, n - -(-percent * n // 100) + 1 + n // MORE) if n else 0
 
 
 def _prefix(tokens: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
@@ -83,26 +88,27 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot: np
 def _classes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
     surveyed = docs.mapInArrow(lambda it: _survey(it, width, percent, hot), "doc_id bigint, n bigint, class binary, prefix array<bigint>").persist(KEEP)
     some = surveyed.where("n > 0").groupBy("class")
-    return surveyed, some.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).persist(KEEP)
+    classes = some.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return surveyed, classes.withColumn("id", F.coalesce("rep", F.xxhash64("class"))).persist(KEEP)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Members with their tokens; rows whose text isn't of the class are left out."""
-    for batch in batches:
+    for batch, texts in A.unpacked(batches):
         want = batch.column("class").to_pylist()
-        for a, data, off in K.chunks(batch.column("text")):
+        for a, data, off in K.chunks(texts):
             sets = shingle_sets(data, off, width)
             here = [i for i, s in enumerate(sets) if set_key(s) == want[a + i]]
             rows = batch.take(pa.array([a + i for i in here], pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("class"), rows.column("group"), rows.column("copies"), pa.array([sets[i].tobytes() for i in here], pa.binary())], names=["class", "group", "copies", "tokens"])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("group"), rows.column("copies"), pa.array([sets[i].tobytes() for i in here], pa.binary())], names=["id", "group", "copies", "tokens"])
 
 
 def _open(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
-    """(class, root, links) of each linked class of a group and its queries: a class of the same component here, and linked documents."""
+    """(id, root, links) of each linked class of a group and its queries: a class of the same component here, and linked documents."""
     ids, sets, copies = [], [], []
-    seen: dict[bytes, int] = {}
+    seen: dict[int, int] = {}
     for part in (members, queries):
-        for c, t, n in zip(part["class"].to_pylist(), part["tokens"].to_pylist(), part["copies"].to_pylist(), strict=True):
+        for c, t, n in zip(part["id"].to_pylist(), part["tokens"].to_pylist(), part["copies"].to_pylist(), strict=True):
             if c not in seen:
                 seen[c] = len(ids)
                 ids.append(c)
@@ -143,12 +149,12 @@ def _open(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
                     root[i] = find(q)
         root = [find(i) for i in range(len(ids))]
     at = np.flatnonzero(links)
-    return pa.table({"class": pa.array([ids[i] for i in at], pa.binary()), "root": pa.array([ids[root[i]] for i in at], pa.binary()), "links": pa.array(links[at], pa.int64())})
+    return pa.table({"id": pa.array([ids[i] for i in at], pa.int64()), "root": pa.array([ids[root[i]] for i in at], pa.int64()), "links": pa.array(links[at], pa.int64())})
 
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90, *, group: int = GROUP, queries: int = QUERIES, hot_over: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (linked documents, copies included) of each document."""
-    docs = columns_or_null(docs, doc_id="bigint", text="string")
+    docs = A.prepared(docs)
     surveyed, classes = _classes(docs, width, percent, np.empty(0, np.uint64))
     counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").count()
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
@@ -156,32 +162,35 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, *, group: int = GRO
     if len(hot):
         surveyed, classes = _classes(docs, width, percent, np.sort(hot.view(np.uint64)))
 
-    postings = classes.select(F.explode("prefix").alias("token"), "class", "n")
-    shared = postings.groupBy("token").agg(F.count("*").alias("times"), F.min("class").alias("leader")).where("times > 1")
-    postings = postings.join(shared.drop("times"), "token").persist(KEEP)
-    led = postings.groupBy("class").agg(F.min("leader").alias("leader"))
+    postings = classes.select(F.explode("prefix").alias("token"), "id", "n")
+    shared = postings.groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("leader")).where("times > 1")
+    # joined by another form of the key, so that both sides are dealt for the join and a hot token can be split
+    shared = shared.select(F.bitwise_not("token").alias("key"), "leader")
+    postings = postings.join(shared, F.bitwise_not("token") == F.col("key")).drop("key").persist(KEEP)
+    led = postings.groupBy("id").agg(F.min("leader").alias("leader"))
     blocks = led.groupBy("leader").agg(F.ceil(F.count("*") / group).alias("blocks"))
-    grouped = led.join(blocks, "leader").select("class", F.xxhash64("leader", F.pmod(F.xxhash64("class"), "blocks")).alias("group")).persist(KEEP)
+    grouped = led.join(blocks, "leader").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), "blocks")).alias("group")).persist(KEEP)
 
-    matrix_rows = postings.join(grouped, "class").select("token", "class", "n", "group").persist(KEEP)
-    matrix = matrix_rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("group", "to")
+    rows = postings.join(grouped, "id").select("token", "id", "n", "group").persist(KEEP)
+    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("group", "to")
     fits = (F.col("n") * percent <= 100 * F.col("most")) & (F.col("least") * percent <= 100 * F.col("n"))
-    pairs = matrix_rows.join(matrix, "token").where((F.col("group") < F.col("to")) & fits).select("class", F.col("to").alias("group")).distinct().persist(KEEP)
+    overlap = rows.join(matrix, "token").where((F.col("group") < F.col("to")) & fits).groupBy("id", "n", F.col("to").alias("group")).agg(F.count("*").alias("shared"), F.min("least").alias("least"))
+    pairs = overlap.where(F.col("shared") > F.floor(F.least("n", "least") / MORE)).select("id", "group").persist(KEEP)
 
-    wanted = grouped.join(classes.select("class", "rep", "copies"), "class").withColumnRenamed("rep", "of")
-    texts = docs.join(wanted, same(F.col("doc_id"), F.col("of"))).select("class", "group", "copies", "text")
-    sets = texts.mapInArrow(lambda it: _sets(it, width), "class binary, group bigint, copies bigint, tokens binary").persist(KEEP)
+    wanted = grouped.join(classes.select("id", "class", "rep", "copies"), "id").withColumnRenamed("rep", "of")
+    texts = docs.mapInArrow(A.pack, "doc_id bigint, rid int, packed binary").join(wanted, same(F.col("doc_id"), F.col("of"))).select("id", "class", "group", "copies", "packed")
+    sets = texts.mapInArrow(lambda it: _sets(it, width), "id bigint, group bigint, copies bigint, tokens binary").persist(KEEP)
     parts = pairs.groupBy("group").agg(F.ceil(F.count("*") / queries).alias("parts"))
     members = sets.join(parts, "group", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1))).drop("parts")
-    asked = pairs.join(sets.drop("group"), "class").join(parts, "group").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    asked = pairs.join(sets.drop("group"), "id").join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     asked = asked.select(*[F.col(c).alias(c) for c in members.columns])  # columns of their own, apart from those of members
-    opened = members.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInArrow(lambda m, q: _open(m, q, percent), "class binary, root binary, links bigint").persist(KEEP)
+    opened = members.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInArrow(lambda m, q: _open(m, q, percent), "id bigint, root bigint, links bigint").persist(KEEP)
 
-    stars = components(opened.select(F.col("class").alias("u"), F.col("root").alias("v")))
-    links = opened.groupBy("class").agg(F.sum("links").alias("links"))
-    named = classes.select("class", "rep", "copies").join(stars.select(F.col("u").alias("class"), "v"), "class", "left").withColumn("v", F.coalesce("v", "class"))
+    stars = components(opened.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    links = opened.groupBy("id").agg(F.sum("links").alias("links"))
+    named = classes.select("class", "id", "rep", "copies").join(stars.select(F.col("u").alias("id"), "v"), "id", "left").withColumn("v", F.coalesce("v", "id"))
     least = named.groupBy("v").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "v").join(links, "class", "left").select("class", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = named.join(least, "v").join(links, "id", "left").select("class", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = surveyed.join(named, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
