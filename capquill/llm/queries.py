@@ -1,11 +1,12 @@
 """Registry of the training-data queries and of their SQL."""
 
-from capquill.llm import chat_format, decontamination, jaccard_join, language_id, line_dedup, quality_rules, sharding, substring_dedup, suffix_dedup
+from capquill.llm import chat_format, decontamination, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_source_mixing": mixing.op4_source_mixing,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_decontamination": decontamination.op7_decontamination,
