@@ -4,8 +4,8 @@ A naive Bayes classifier over hashed words is counted from a bounded sample of l
 posterior over domains for each document (the log likelihood is divided by the root of the word count, which
 keeps memberships soft). Then nonnegative rates are fitted by projected-gradient least squares such that the
 expected words of each domain, sum of rate * words * posterior, match the targets. The gradient of a rate is a
-function of the document's posterior and of one residual per domain, so an iteration is one pre-aggregated
-sum over the documents; no rate is ever stored: it is folded from the few steps so far (with momentum).
+function of the document's posterior and of one residual per domain, so an iteration is one update of each
+document's state (rate and momentum point) and one pre-aggregated sum; only that sum meets the driver.
 
 Nulls and ties: a null or blank text has no words, the prior as posterior and a rate like any other; a null
 doc_id is kept; repeated rows are rated each. Labels without a document, with a null or of a domain that has
@@ -22,11 +22,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capquill.llm.common import KEEP, columns_or_null, table
+from capquill.llm.common import KEEP, columns_or_null, cut, table
 
 #: Word buckets, and labelled rows that are learned from at most (picked by a hash of doc_id).
 BUCKETS, SAMPLE = 2048, 20_000
 STEPS = 40
+#: Steps after which the state is cut from its lineage.
+CUT = 10
 TARGETS = {"good": 0.7, "poor": 0.1, "toxic": 0.2}
 _NOT_WORD = r"[\x09-\x0D\x20]+"
 
@@ -78,33 +80,28 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     return Classifier(tuple(domains), tuple(prior), tuple(tuple(round(x - m, 4) for x, m in zip(log, mean, strict=True)) for log in logs))
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """The documents with n_tokens and posterior."""
-    out = docs.withColumn("_b", buckets(F.col("text").cast("string"))).withColumn("n_tokens", F.size("_b").cast("bigint"))
-    out = out.withColumn("_z", model.logits("_b", "n_tokens")).withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.array_max("_z"))))
-    share = F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
-    return out.withColumn("posterior", share).drop("_b", "_z", "_e")
-
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once a row: what comes later isn't merged into their expressions."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
 
-def _state(steps: list[list[float]], low: float, high: float, size: int) -> Column:
-    """struct(x, y): the rate after the steps, and the point where the next gradient is taken.
 
-    A step is [momentum, step size, one residual per domain].
-    """
-    start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
-    if not steps:
-        return start
-    dot = lambda s: sum((F.col("posterior")[k] * s[k + 2] for k in range(size)), F.lit(0.0))
+def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
+    """The documents with n_tokens and posterior."""
+    out = _once(docs, _b=buckets(F.col("text").cast("string"))).withColumn("n_tokens", F.size("_b").cast("bigint"))
+    out = _once(out, _z=model.logits("_b", "n_tokens")).drop("_b")
+    out = _once(out, _e=F.transform("_z", lambda x: F.exp(x - F.array_max("_z")))).drop("_z")
+    return _once(out, posterior=F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))).drop("_e")
 
-    def step(at: Column, s: Column) -> Column:
-        x = F.greatest(F.lit(low), F.least(F.lit(high), at["y"] - s[1] * dot(s)))
-        return F.struct(x.alias("x"), (x + s[0] * (x - at["x"])).alias("y"))
 
-    return F.aggregate(F.from_json(F.lit(json.dumps(steps)), "array<array<double>>"), start, step)
+def _dot(residual: list, size: int) -> Column:
+    return sum((F.col("posterior")[k] * residual[k] for k in range(size)), F.lit(0.0))
 
 
 @dataclass(frozen=True)
 class Fit:
+    #: Of each step [momentum, step size, one residual per domain].
     steps: list[list[float]]
     low: float
     high: float
@@ -114,53 +111,85 @@ class Fit:
     target: tuple[float, ...] = ()
 
     def rate(self) -> Column:
-        return _state(self.steps, self.low, self.high, self.size)["x"]
+        """The rate of a document by its posterior: the steps, taken one after the other."""
+        start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+        if not self.steps:
+            return F.lit(1.0)
+
+        def step(at: Column, s: Column) -> Column:
+            x = F.greatest(F.lit(self.low), F.least(F.lit(self.high), at["y"] - s[1] * _dot([s[k + 2] for k in range(self.size)], self.size)))
+            return F.struct(x.alias("x"), (x + s[0] * (x - at["x"])).alias("y"))
+
+        return F.aggregate(F.from_json(F.lit(json.dumps(self.steps)), "array<array<double>>"), start, step)["x"]
 
 
 def fit(members: DataFrame, weights: list[float], *, words: float | None = None, low: float = 0.0, high: float = 16.0, steps: int = STEPS, close: float = 1e-3) -> Fit:
     """Rates within [low, high] for members (n_tokens, posterior): the words of domain k shall be words * weights[k]."""
     k = len(weights)
-    n, p = F.col("n_tokens").cast("double"), [F.col("posterior")[i] for i in range(k)]
-    total = members.agg(F.sum(n)).first()[0] or 0.0
+    one = F.lit(1.0)
+    state = cut(members.select(F.col("n_tokens").cast("double").alias("n"), "posterior", one.alias("x"), one.alias("y")))
+
+    def expected(of: DataFrame, rate: str) -> list[float]:
+        sums = of.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(rate) * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]).first()
+        return [float(v or 0.0) for v in sums]
+
+    total, *sums = expected(state, "y")
     scale = max(total, 1.0)
     aim = [(words if words is not None else total) * w / sum(weights) for w in weights]
-    size = 1 / max(1e-9, max((members.agg(*[F.sum(n * p[i]).alias(f"m{i}") for i in range(k)]).first()[i] or 0.0) for i in range(k)) / scale) if total else 1.0
+    size = 1 / max(1e-9, max(sums) / scale) if total else 1.0
     done: list[list[float]] = []
     t = 1.0
-    for _ in range(steps):
-        y = _state(done, low, high, k)["y"]
-        sums = members.select(n.alias("n"), "posterior", y.alias("y")).agg(*[F.sum(F.col("n") * F.col("y") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]).first()
-        residual = [((sums[i] or 0.0) - aim[i]) / scale for i in range(k)]
+    while len(done) < steps and total:
+        residual = [(s - a) / scale for s, a in zip(sums, aim, strict=True)]
         if max(map(abs, residual)) < close * max(1e-12, sum(aim) / scale):
             break
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        done = [*done, [(t - 1) / after, size, *residual]]
-        t = after
-    x = _state(done, low, high, k)["x"]
-    sums = members.select(n.alias("n"), "posterior", x.alias("x")).agg(*[F.sum(F.col("n") * F.col("x") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]).first()
-    return Fit(done, low, high, k, tuple(float(s or 0.0) for s in sums), tuple(aim))
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float = 1.0, low: float = 0.0, high: float = 16.0) -> DataFrame:
-    """The documents with n_tokens, posterior and rate; words_factor times the words of the input are aimed at."""
+        momentum, t = (t - 1) / after, after
+        done.append([momentum, size, *residual])
+        moved = state.withColumn("new", F.greatest(F.lit(low), F.least(F.lit(high), F.col("y") - size * _dot(residual, k))))
+        moved = moved.select("n", "posterior", F.col("new").alias("x"), (F.col("new") + momentum * (F.col("new") - F.col("x"))).alias("y"))
+        moved = cut(moved) if len(done) % CUT == 0 else moved.persist(KEEP)
+        _, *sums = expected(moved, "y")
+        state.unpersist()
+        state = moved
+    return Fit(done, low, high, k, tuple(expected(state, "x")[1:]), tuple(aim))
+
+
+def _model_and_fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], words_factor: float, low: float, high: float) -> tuple[Classifier, DataFrame, Fit]:
     domains = sorted(targets)
     if not domains or min(targets.values()) < 0 or sum(targets.values()) <= 0:
         raise ValueError("targets need nonnegative weights with a positive sum")
     model = learn(docs, labelled, domains)
-    plain = memberships(columns_or_null(docs, doc_id="bigint", text="string"), model).select("n_tokens", "posterior").persist(KEEP)
+    plain = memberships(columns_or_null(docs, doc_id="bigint", text="string"), model).select("doc_id", "n_tokens", "posterior").persist(KEEP)
     total = plain.agg(F.sum("n_tokens")).first()[0] or 0
-    found = fit(plain, [targets[d] for d in domains], words=words_factor * total, low=low, high=high)
-    return memberships(docs.drop("n_tokens", "posterior", "rate"), model).withColumn("rate", found.rate())
+    return model, plain, fit(plain, [targets[d] for d in domains], words=words_factor * total, low=low, high=high)
+
+
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float = 1.0, low: float = 0.0, high: float = 16.0) -> DataFrame:
+    """doc_id, n_tokens, posterior and rate of each document; words_factor times the words of the input are aimed at."""
+    _, plain, found = _model_and_fit(docs, labelled, targets, words_factor, low, high)
+    return _once(plain, rate=found.rate())
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float = 1.0, low: float = 0.0, high: float = 16.0) -> DataFrame:
+    """The documents, with all their columns, with n_tokens, posterior and rate."""
+    model, _, found = _model_and_fit(docs, labelled, targets, words_factor, low, high)
+    return _once(memberships(docs.drop("n_tokens", "posterior", "rate"), model), rate=found.rate())
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float = 2.0, low: float = 1.0, high: float = 16.0) -> DataFrame:
     """Each document floor(rate) times, and once more with the probability of the rest, by a hash of doc_id and text; just its own columns."""
-    mixed = mix(docs, labelled, targets, words_factor=words_factor, low=low, high=high)
+    model, _, found = _model_and_fit(docs, labelled, targets, words_factor, low, high)
+    names = ("n_tokens", "posterior", "rate")
+    held = docs.withColumnsRenamed({c: f"_of_{c}" for c in names if c in docs.columns})
+    mixed = _once(memberships(held, model), rate=found.rate())
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     times = F.floor(F.col("rate") + chance).cast("int")
-    return mixed.withColumn("_times", times).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    own = [F.col(f"`_of_{c}`").alias(c) if c in names else F.col(f"`{c}`") for c in docs.columns]
+    return mixed.select(*own, F.explode(copies).alias("_k")).drop("_k")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
+    mixed = rates(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
     return mixed.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], "rate")
