@@ -1,4 +1,341 @@
-"""Queries of the packet operators over the given tables, each with its SQL where SQL can express it."""
+"""The registered queries over synthetic captures, and the SQL that gives the same rows from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from capquill.functions import octets as O
+from capquill.operators import dissect as D
+from capquill.operators import flows, layers, pairing, reassembly, templates
+from capquill.plans import fixtures as X
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+P = X.PACKETS_SQL
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _columns(specs, where=(), layer=None):
+    return lambda spark, sf: D.columns(X.packets(spark, sf), [("Frame", "num", "num"), *specs], where, layer)
+
+
+def _register(name, f, sql):
+    QUERIES[name], ORACLE[name] = f, sql
+
+
+# Projection
+_register("frame_meta", _columns([("Frame", "time", "time"), ("Frame", "len", "len")]), P + "SELECT num, time, CAST(len AS BIGINT) AS len FROM p")
+_register(
+    "columns_default",
+    _columns([("IP", "src", "src"), ("IP", "dst", "dst"), ("IP", "proto", "proto"), ("TCP", "sport", "tcp_sport"), ("TCP", "dport", "tcp_dport"), ("UDP", "sport", "udp_sport"), ("UDP", "dport", "udp_dport")]),
+    P + """SELECT num, ip_src AS src, ip_dst AS dst, CAST(proto AS BIGINT) AS proto, CASE WHEN kind = 'TCP' THEN sport END AS tcp_sport, CAST(CASE WHEN kind = 'TCP' THEN dport END AS BIGINT) AS tcp_dport,
+           CASE WHEN kind IN ('UDP', 'UDP6') THEN sport END AS udp_sport, CAST(CASE WHEN kind IN ('UDP', 'UDP6') THEN dport END AS BIGINT) AS udp_dport FROM p""",
+)
+_register("columns_ipv6", _columns([("IPv6", "src", "src"), ("IPv6", "dst", "dst"), ("IPv6", "plen", "plen")], layer="IPv6"), P + "SELECT num, ip6_src AS src, ip6_dst AS dst, CAST(10 AS BIGINT) AS plen FROM p WHERE kind = 'UDP6'")
+_register("conditional_fields", _columns([("ICMP", "type", "type"), ("ICMP", "id", "id"), ("ICMP", "seq", "seq")]), P + "SELECT num, CAST(CASE WHEN kind = 'ICMP' THEN CASE WHEN l_returnflag = 'R' THEN 0 ELSE 8 END END AS BIGINT) AS type, CASE WHEN kind = 'ICMP' THEN l_orderkey & 65535 END AS id, CAST(CASE WHEN kind = 'ICMP' THEN l_linenumber END AS BIGINT) AS seq FROM p")
+_register("mac_render", _columns([("Ether", "src", "src"), ("ARP", "hwsrc", "hwsrc")], layer="ARP"), P + "SELECT num, '02:00:00:00:00:01' AS src, regexp_replace('0200' || printf('%08x', l_suppkey), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') AS hwsrc FROM p WHERE kind = 'ARP'")
+_register("vlan_inner_ip", _columns([("Dot1Q", "vlan", "vlan"), ("IP", "src", "src")], layer="Dot1Q"), P + "SELECT num, vlan, ip_src AS src FROM p WHERE vlan IS NOT NULL")
+
+
+@query(P + "SELECT num, tcp_flags AS flags, CAST(CASE tcp_flags WHEN 'S' THEN 2 WHEN 'SA' THEN 18 END AS BIGINT) AS value FROM p")
+def flags_letters(spark, sf):
+    return D.dissect(X.packets(spark, sf)).select("num", D.layer_column("TCP.flags").alias("flags"), layers.LAYERS["TCP"].raw("flags").alias("value"))
+
+
+@query(P + """SELECT num, CASE proto WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 1 THEN 'icmp' END AS proto, CASE WHEN kind = 'ICMP' THEN CASE WHEN l_returnflag = 'R' THEN 'echo-reply' ELSE 'echo-request' END END AS icmp,
+       CASE WHEN vlan IS NOT NULL THEN 'VLAN' WHEN kind = 'ARP' THEN 'ARP' WHEN kind = 'UDP6' THEN 'IPv6' ELSE 'IPv4' END AS ether FROM p""")
+def enum_render(spark, sf):
+    return D.dissect(X.packets(spark, sf)).select("num", D.layer_column("IP.proto", True).alias("proto"), D.layer_column("ICMP.type", True).alias("icmp"), D.layer_column("Ether.type", True).alias("ether"))
+
+
+_CHAIN = """CASE WHEN vlan IS NOT NULL THEN 'Ether / Dot1Q' ELSE 'Ether' END || CASE kind WHEN 'ARP' THEN ' / ARP' WHEN 'ICMP' THEN ' / IP / ICMP / Raw' WHEN 'UDP6' THEN ' / IPv6 / UDP / Raw' WHEN 'UDP' THEN ' / IP / UDP / Raw' ELSE ' / IP / TCP' END"""
+
+
+@query(P + f"SELECT num, {_CHAIN} || CASE WHEN kind = 'ARP' THEN ' / Padding' ELSE '' END AS chain FROM p")
+def layer_chain(spark, sf):
+    return D.dissect(X.packets(spark, sf)).select("num", F.array_join("chain", " / ").alias("chain"))
+
+
+@query(P + f"""SELECT num, {_CHAIN} || ' ' || CASE kind WHEN 'TCP' THEN ip_src || ':' || sport || ' > ' || ip_dst || ':80 ' || tcp_flags WHEN 'UDP' THEN ip_src || ':' || sport || ' > ' || ip_dst || ':80'
+       WHEN 'UDP6' THEN ip6_src || ':' || sport || ' > ' || ip6_dst || ':80' WHEN 'ICMP' THEN ip_src || ' > ' || ip_dst || CASE WHEN l_returnflag = 'R' THEN ' echo-reply' ELSE ' echo-request' END
+       ELSE CASE WHEN l_returnflag = 'R' THEN 'is-at ' ELSE 'who-has ' END || arp_src || ' > ' || arp_dst END AS line FROM p""")
+def summary_line(spark, sf):
+    return D.dissect(X.packets(spark, sf)).select("num", D.summary().alias("line"))
+
+
+@query(P + """SELECT num, coalesce(ip_src, '??') || ' -> ' || coalesce(ip_dst, '??') || ' 100% ' || coalesce(CASE proto WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 1 THEN 'icmp' END, '??') || '/' || coalesce(CAST(proto AS VARCHAR), '??') AS text FROM p""")
+def sprintf_fields(spark, sf):
+    return D.dissect(X.packets(spark, sf)).select("num", D.sprintf("%IP.src% -> %IP.dst% 100%% %IP.proto%/%r,IP.proto%").alias("text"))
+
+
+@query(P + """SELECT num, strftime(l_shipdate, '%H:%M:%S') || '.000000' || CASE WHEN kind = 'TCP' THEN ' tcp ' || sport || '>' || dport WHEN kind IN ('UDP', 'UDP6') THEN ' udp' ELSE '' END || CASE WHEN kind <> 'ARP' THEN ' not arp' ELSE '' END AS text FROM p""")
+def sprintf_conditional_block(spark, sf):
+    return D.dissect(X.packets(spark, sf)).select("num", D.sprintf("%.time%{TCP: tcp %TCP.sport%>%TCP.dport%}{UDP: udp}{!ARP: not arp}").alias("text"))
+
+
+@query(P + """SELECT num, CASE kind WHEN 'TCP' THEN '{"TCP":{"sport":' || sport || ',"dport":80,"seq":' || l_partkey || ',"ack":0,"dataofs":5,"reserved":0,"flags":"' || tcp_flags || '","window":8192,"chksum":0,"urgptr":0}}' WHEN 'UDP' THEN '{"UDP":{"sport":' || sport || ',"dport":80,"len":10,"chksum":0}}' WHEN 'UDP6' THEN '{"UDP":{"sport":' || sport || ',"dport":80,"len":10,"chksum":0}}' ELSE '{}' END AS json FROM p""")
+def json_layers(spark, sf):
+    return D.dissect(X.packets(spark, sf)).select("num", D.as_json(["TCP", "UDP"]).alias("json"))
+
+
+@query(P + "SELECT num, CASE WHEN kind IN ('UDP', 'UDP6', 'ICMP') THEN lower(hex(encode(l_returnflag || l_linestatus))) ELSE '' END AS payload FROM p")
+def payload_octets(spark, sf):
+    return D.dissect(X.packets(spark, sf)).select("num", F.lower(F.hex(D.payload())).alias("payload"))
+
+
+@query(P + "SELECT num, CAST(18 AS BIGINT) AS n, true AS plain FROM p WHERE kind = 'ARP'")
+def padding_rows(spark, sf):
+    d = D.dissect(X.packets(spark, sf)).withColumn("padding", D.padding()).where("padding is not null")
+    return d.select("num", F.length("padding").cast("bigint").alias("n"), D.is_plain_padding().alias("plain"))
+
+
+_WORDS = "0x".replace("0x", "") + "17664 + (len - 14 - CASE WHEN vlan IS NULL THEN 0 ELSE 4 END) + (l_orderkey & 65535) + (l_linenumber + 60) * 256 + proto + 2560 + (l_suppkey & 65535) + 2561 + (l_partkey & 65535)"
+
+
+@query(P + f"SELECT num, CAST(65535 - ((s & 65535) + (s >> 16)) AS BIGINT) AS chksum FROM (SELECT num, CAST({_WORDS} AS BIGINT) AS s FROM p WHERE proto IS NOT NULL)")
+def checksum_ipv4(spark, sf):
+    return D.dissect(X.packets(spark, sf)).where(D.layer_column("IP")).select("num", D.ip_checksum().alias("chksum"))
+
+
+@query(P + "SELECT num, true AS sound FROM p WHERE proto IS NOT NULL")
+def recomputed_frames(spark, sf):
+    d = D.recompute(X.packets(spark, sf)).where(D.layer_column("IP"))
+    head = O.part(F.col("data"), F.col("off_IP"), 20)
+    body = O.part(F.col("data"), F.col("off_IP") + 20, F.col("end"))
+    ok = (O.internet_checksum(head) == 0) & F.when(D.layer_column("UDP"), O.fold(O.word_sum(O.part(F.col("data"), F.col("off_IP") + 12, 8)) + 17 + F.length(body) + O.word_sum(body)) == 0).when(D.layer_column("TCP"), O.fold(O.word_sum(O.part(F.col("data"), F.col("off_IP") + 12, 8)) + 6 + F.length(body) + O.word_sum(body)) == 0).otherwise(True)
+    return d.select("num", ok.alias("sound"))
+
+
+# Predicates
+_register("where_eq", _columns([("TCP", "sport", "sport")], [("TCP", "dport", "==", 80), ("TCP", "flags", "SA")]), P + "SELECT num, sport FROM p WHERE tcp_flags = 'SA'")
+_register("where_ne_absent_layer", _columns([], [("TCP", "dport", "!=", 0)]), P + "SELECT num FROM p WHERE kind = 'TCP'")
+_register("where_range", _columns([("IP", "ttl", "ttl")], [("IP", "ttl", ">", 61), ("IP", "ttl", "le", 65)]), P + "SELECT num, CAST(ttl AS BIGINT) AS ttl FROM p WHERE ttl > 61 AND ttl <= 65")
+_register("where_addr_string", _columns([], [("IP", "src", "==", "10.0.0.7")]), P + "SELECT num FROM p WHERE ip_src = '10.0.0.7'")
+_register("where_addr_v6", _columns([], [("IPv6", "src", "==", "2001:db8::7")]), P + "SELECT num FROM p WHERE ip6_src = '2001:db8::7'")
+_register("where_enum_name", _columns([], [("ICMP", "type", "==", "echo-request")]), P + "SELECT num FROM p WHERE kind = 'ICMP' AND l_returnflag <> 'R'")
+_register("where_conjunction", _columns([("IP", "src", "src")], [("IP", "proto", "==", 17), ("UDP", "sport", "<", 2000), ("Frame", "len", ">=", 44)], layer="UDP"), P + "SELECT num, ip_src AS src FROM p WHERE kind = 'UDP' AND sport < 2000")
+
+
+@query(P + "SELECT num, kind = 'TCP' AS tcp, kind IN ('UDP', 'UDP6') AS udp, vlan IS NOT NULL AS dot1q, kind = 'ARP' AS arp FROM p")
+def layer_presence(spark, sf):
+    return D.columns(X.packets(spark, sf), [("Frame", "num", "num")]) if False else D.dissect(X.packets(spark, sf)).select("num", *[D.layer_column(n).alias(n.lower()) for n in ("TCP", "UDP", "Dot1Q", "ARP")])
+
+
+@query(P + "SELECT num FROM (SELECT DISTINCT num FROM p WHERE kind = 'ICMP') ORDER BY num LIMIT 100")
+def head_keeps_num(spark, sf):
+    return D.keep(X.packets(spark, sf), layer="ICMP").select("num").distinct().orderBy("num").limit(100)
+
+
+@query(P + "SELECT num, kind = 'ICMP' AS icmp FROM p WHERE num BETWEEN 8000 AND 16000")
+def slice_num(spark, sf):
+    return D.dissect(X.packets(spark, sf).where("num between 8000 and 16000")).select("num", D.layer_column("ICMP").alias("icmp"))
+
+
+@query(P + "SELECT part, count(*) AS packets FROM (SELECT 0 AS part FROM p UNION ALL SELECT 1 FROM p WHERE kind = 'TCP') GROUP BY part")
+def concat_lists(spark, sf):
+    all_ = X.packets(spark, sf)
+    return templates.concat_captures([all_, D.keep(all_, layer="TCP").select(all_.columns)]).groupBy("part").agg(F.count("*").alias("packets"))
+
+
+# Aggregation
+@query(P + """SELECT 'TCP' AS layer, count(*) FILTER (kind = 'TCP') AS packets FROM p UNION ALL SELECT 'UDP', count(*) FILTER (kind IN ('UDP', 'UDP6')) FROM p UNION ALL SELECT 'Dot1Q', count(vlan) FROM p UNION ALL SELECT 'IPv6', count(*) FILTER (kind = 'UDP6') FROM p""")
+def count_layer(spark, sf):
+    return flows.count_layers(X.packets(spark, sf), ["TCP", "UDP", "Dot1Q", "IPv6"])
+
+
+@query(P + "SELECT CASE WHEN kind = 'TCP' THEN 'TCP' WHEN kind IN ('UDP', 'UDP6') THEN 'UDP' WHEN kind = 'ICMP' THEN 'ICMP' ELSE 'Other' END AS bucket, count(*) AS packets FROM p GROUP BY 1")
+def stats_priority(spark, sf):
+    return flows.protocol_stats(X.packets(spark, sf))
+
+
+_SESSION = """CASE kind WHEN 'TCP' THEN 'TCP ' || ip_src || ':' || sport || ' > ' || ip_dst || ':80' WHEN 'UDP' THEN 'UDP ' || ip_src || ':' || sport || ' > ' || ip_dst || ':80'
+  WHEN 'UDP6' THEN 'UDP ' || ip6_src || ':' || sport || ' > ' || ip6_dst || ':80' WHEN 'ICMP' THEN 'ICMP ' || ip_src || ' > ' || ip_dst || ' type=' || CASE WHEN l_returnflag = 'R' THEN 0 ELSE 8 END || ' code=0 id=0x' || lower(printf('%x', l_orderkey & 65535))
+  ELSE 'ARP ' || arp_src || ' > ' || arp_dst END"""
+
+
+@query(P + f"SELECT {_SESSION} AS session, count(*) AS packets, CAST(sum(len) AS BIGINT) AS octets, min(num) AS first_num, max(num) AS last_num FROM p GROUP BY 1")
+def agg_sessions(spark, sf):
+    return flows.sessions(X.packets(spark, sf))
+
+
+@query(P + "SELECT coalesce(ip_src, ip6_src, arp_src) AS session, count(*) AS packets, CAST(sum(len) AS BIGINT) AS octets, min(num) AS first_num, max(num) AS last_num FROM p GROUP BY 1")
+def agg_sessions_user_key(spark, sf):
+    return flows.sessions(X.packets(spark, sf), F.coalesce(*[D.layer_column(s) for s in ("IP.src", "IPv6.src", "ARP.psrc")]))
+
+
+@query(P + "SELECT coalesce(ip_src, ip6_src, arp_src) AS src, coalesce(ip_dst, ip6_dst, arp_dst) AS dst, count(*) AS packets FROM p GROUP BY 1, 2")
+def conversations(spark, sf):
+    return flows.conversations(X.packets(spark, sf))
+
+
+@query(P + "SELECT ip_src AS src, '80' AS event, ip_dst AS dst, count(*) AS packets FROM p WHERE kind = 'TCP' GROUP BY 1, 3")
+def afterglow_edges(spark, sf):
+    return flows.afterglow(X.packets(spark, sf))
+
+
+@query(P + "SELECT CASE WHEN ttl % 2 = 0 THEN 'even' ELSE 'odd' END AS col, ip_src AS row, max(struct_pack(a := num, b := l_partkey & 255)).b AS cell FROM p WHERE ip_src IS NOT NULL GROUP BY 1, 2")
+def make_table_long(spark, sf):
+    parity = F.when(D.layer_column("IP.ttl") % 2 == 0, "even").when(D.layer_column("IP.ttl") % 2 == 1, "odd")
+    return flows.table(X.packets(spark, sf), parity, D.layer_column("IP.src"), layers.LAYERS["IP"].raw("dst").bitwiseAND(255))
+
+
+@query(P + """SELECT row, coalesce(max(cell) FILTER (col = 'S'), '-') AS S, coalesce(max(cell) FILTER (col = 'SA'), '-') AS SA FROM (
+       SELECT ip_src AS row, tcp_flags AS col, CAST(max(struct_pack(a := num, b := l_partkey)).b AS VARCHAR) AS cell FROM p WHERE kind = 'TCP' GROUP BY 1, 2) GROUP BY row""")
+def make_table_pivot(spark, sf):
+    return flows.pivot(X.packets(spark, sf), D.layer_column("TCP.flags"), D.layer_column("IP.src"), D.layer_column("TCP.seq"), ["S", "SA"])
+
+
+@query("SELECT num, diff FROM (SELECT o_orderkey * 16 AS num, (lead(o_orderkey % 60000 + 1024) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) - (o_orderkey % 60000 + 1024) AS diff FROM orders) WHERE diff IS NOT NULL")
+def diffplot_lead(spark, sf):
+    o = X.table(spark, sf, "orders")
+    d = D.dissect(D.capture(o.select(F.col("o_custkey").alias("capture"), (F.col("o_orderkey") * 16).alias("num"), templates.ether(0x0800, templates.ipv4(X.address(2, "o_orderkey"), X.address(3, "o_custkey"), 17, templates.udp((F.col("o_orderkey") % 60000 + 1024).cast("bigint"), 53, F.lit(b"")))).alias("data"))))
+    return flows.lagged(d, D.layer_column("UDP.sport"))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT 'UDP 10.8.' || ((user_id & 65535) >> 8) || '.' || (user_id & 255) || ':5000 > 10.0.0.1:5001' AS session, min(t) AS start_us, count(*) AS packets FROM s GROUP BY user_id, k""")
+def session_window_flows(spark, sf):
+    e = X.table(spark, sf, "events")
+    frame = templates.ether(0x0800, templates.ipv4(X.address(8, "user_id"), F.lit(167772161).cast("bigint"), 17, templates.udp(5000, 5001, F.encode("props", "UTF-8"))))
+    c = D.capture(e.select(F.col("event_id").alias("num"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).alias("time"), frame.alias("data")))
+    return flows.session_windows(c)
+
+
+# Pairing
+_REQ = "SELECT o_orderkey * 16 AS num, o_orderkey FROM orders"
+_REP = "SELECT l_orderkey, l_orderkey * 16 + l_linenumber AS answer FROM lineitem WHERE l_returnflag = 'R'"
+_ASKS = D.layer_column
+
+
+@query(f"SELECT num, answer FROM ({_REQ}) q JOIN ({_REP}) a ON q.o_orderkey = a.l_orderkey")
+def sr_multi_join(spark, sf):
+    d = D.dissect(X.requests(spark, sf))
+    return pairing.answers(d).join(d.where(D.layer_column("UDP.dport") == 53).select("num"), "num", "left_semi")
+
+
+@query(f"SELECT num, min(answer) AS answer FROM ({_REQ}) q JOIN ({_REP}) a ON q.o_orderkey = a.l_orderkey GROUP BY num")
+def sr_greedy(spark, sf):
+    return pairing.pairs(X.requests(spark, sf), D.layer_column("UDP.dport") == 53)
+
+
+@query(f"SELECT num FROM ({_REQ}) q WHERE o_orderkey NOT IN (SELECT l_orderkey FROM ({_REP}))")
+def sr_unanswered_anti(spark, sf):
+    return pairing.unanswered(X.requests(spark, sf), D.layer_column("UDP.dport") == 53)
+
+
+@query("""SELECT DISTINCT '10.9.' || ((o_custkey & 65535) >> 8) || '.' || (o_custkey & 255) AS target, o_orderkey % 30 + 1 AS ttl, '10.10.' || (((o_orderkey % 30 + 1) & 65535) >> 8) || '.' || ((o_orderkey % 30 + 1) & 255) AS hop, o_orderkey % 30 = 29 AS final FROM orders""")
+def traceroute_hops(spark, sf):
+    o = X.table(spark, sf, "orders").withColumn("ttl", F.col("o_orderkey") % 30 + 1)
+    me = F.lit(167772161).cast("bigint")
+    probe = templates.ipv4(me, X.address(9, "o_custkey"), 17, templates.udp(40000, 33434, F.lit(b"")), ident=F.col("o_orderkey").bitwiseAND(65535), ttl=F.col("ttl"))
+    kind = F.when(F.col("ttl") == 30, 3).otherwise(11)
+    error = templates.ipv4(X.address(10, "ttl"), me, 1, templates.icmp(kind, 0, 0, 0, O.part(probe, 0, 28)))
+    both = o.select((F.col("o_orderkey") * 2).alias("num"), templates.ether(0x0800, probe).alias("data")).unionByName(o.select((F.col("o_orderkey") * 2 + 1).alias("num"), templates.ether(0x0800, error).alias("data")))
+    return pairing.traceroute(D.capture(both))
+
+
+@query(P + "SELECT arp_src AS ip, regexp_replace('0200' || printf('%08x', max(l_suppkey)), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') AS mac FROM p WHERE kind = 'ARP' AND l_returnflag = 'R' GROUP BY 1")
+def arping_table(spark, sf):
+    return pairing.arping(X.packets(spark, sf))
+
+
+@query("""SELECT s_suppkey, '10.' || CASE WHEN s_suppkey % 40 < 25 THEN 'net' || (s_suppkey % 40) ELSE 'default' END AS gateway FROM supplier""")
+def route_lpm(spark, sf):
+    s = X.table(spark, sf, "supplier").select("s_suppkey", (F.lit(10 << 24) + (F.col("s_suppkey") % 40) * 65536 + F.col("s_suppkey") % 256).cast("bigint").alias("address"))
+    n = X.table(spark, sf, "nation").select((F.lit(10 << 24) + F.col("n_nationkey") * 65536).cast("bigint").alias("network"), F.lit(16).alias("length"), F.lit(1).alias("metric"), F.concat(F.lit("10.net"), F.col("n_nationkey").cast("string")).alias("gateway"))
+    more = spark.createDataFrame([(0, 0, 0, "none"), (10 << 24, 8, 1, "10.default"), (10 << 24, 8, 5, "10.costly")], "network bigint, length int, metric int, gateway string")
+    return pairing.route(s, n.unionByName(more)).select("s_suppkey", "gateway")
+
+
+# Reassembly
+_LONG = "SELECT doc_id, octet_length(encode(text)) + 8 AS n FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) <= 60000"
+
+
+@query(f"SELECT doc_id AS num, CAST(k AS BIGINT) AS piece, CASE WHEN n <= 1000 THEN n + 34 ELSE least(1000, n - k * 1000) + 34 END AS len FROM (SELECT *, unnest(range(0, CAST(ceil(n / 1000.0) AS BIGINT))) AS k FROM ({_LONG}))")
+def fragment_v4(spark, sf):
+    return reassembly.fragment(X.datagrams(spark, sf), 1000).select("num", F.col("piece").cast("bigint").alias("piece"), F.length("data").cast("bigint").alias("len"))
+
+
+@query(f"SELECT doc_id AS num, md5(text) AS md5, CAST(ceil(octet_length(encode(text)) + 8) AS BIGINT) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_LONG}))")
+def defrag_roundtrip(spark, sf):
+    pieces = reassembly.fragment(X.datagrams(spark, sf), 1000)
+    num = F.col("num") * 100 + F.when(F.col("piece") % 2 == 0, F.col("piece")).otherwise(99 - F.col("piece"))
+    whole = D.dissect(D.capture(reassembly.defragment(D.capture(pieces.select(num.alias("num"), "data")))))
+    return whole.select(F.floor(F.col("num") / 100).alias("num"), F.md5(D.payload()).alias("md5"), D.layer_column("UDP.len").alias("n"))
+
+
+_CONV = "SELECT conv_id, role, string_agg(coalesce(text, ''), '' ORDER BY turn) AS said FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1, 2"
+
+
+@query(f"SELECT '10.5.' || ((conv_id & 65535) >> 8) || '.' || (conv_id & 255) || ':' || (conv_id % 60000 + 1024) AS client, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS direction, md5(said) AS md5, CAST(strlen(said) AS BIGINT) AS n FROM ({_CONV})")
+def stream_bytes(spark, sf):
+    p = reassembly.stream_pieces(X.chat(spark, sf), block=700)
+    whole = p.groupBy("stream", "direction").agg(F.sort_array(F.collect_list(F.struct("at", "octets"))).alias("pieces"))
+    data = F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["octets"]))
+    client = F.array_join(F.filter(F.split("stream", " - "), lambda e: e.startswith("10.5.")), "")
+    return whole.select(client.alias("client"), F.col("direction"), F.md5(data).alias("md5"), F.length(data).cast("bigint").alias("n"))
+
+
+@query(f"SELECT CASE WHEN role = 'user' THEN 0 ELSE 1 END AS direction, count(*) AS streams, CAST(sum(strlen(said)) AS BIGINT) AS octets, CAST(0 AS BIGINT) AS missing FROM ({_CONV}) GROUP BY 1")
+def stream_totals(spark, sf):
+    s = reassembly.streams(X.chat(spark, sf))
+    return s.groupBy("direction").agg(F.count("*").alias("streams"), F.sum("octets").alias("octets"), F.sum("missing").alias("missing"))
+
+
+@query("SELECT page_id, 'HTTP/1.1 200 OK' AS start_line, md5(coalesce(html, '')) AS md5 FROM pages WHERE strlen(html) < 60000")
+def http_messages(spark, sf):
+    m = reassembly.http_messages(X.web(spark, sf)).where(F.length("body") < 60000)
+    sender = F.array_join(F.filter(F.split("stream", " - "), lambda e: e.startswith("10.7.")), "")
+    low = F.split(F.split(sender, ":")[0], r"\.")
+    return m.select((low[2].cast("bigint") * 256 + low[3].cast("bigint")).alias("page_id"), "start_line", F.md5("body").alias("md5"))
+
+
+# Generators and scalar functions
+@query("SELECT CAST(a + 4 * b + 8 * c AS BIGINT) AS index, CAST(80 + a AS BIGINT) AS dport, CASE b WHEN 0 THEN 'S' ELSE 'A' END AS flags, CAST(10 * c AS BIGINT) AS ttl FROM range(4) x(a), range(2) y(b), (SELECT unnest([1, 2, 3]) - 0 AS c0, unnest([0, 1, 2]) AS c) z".replace("CAST(10 * c AS BIGINT)", "CAST(10 * c0 AS BIGINT)"))
+def template_product(spark, sf):
+    p = templates.product(spark, {"dport": (80, 83), "flags": ["S", "A"], "ttl": [10, 20, 30]})
+    return p.select("index", "dport", "flags", F.col("ttl").cast("bigint").alias("ttl"))
+
+
+@query("SELECT '192.168.' || (4 + i // 256) || '.' || (i % 256) AS address FROM range(1024) t(i)")
+def net_cidr_expand(spark, sf):
+    return templates.network(spark, "192.168.4.0/22")
+
+
+@query("SELECT s_suppkey, '10.' || (s_suppkey % 256) || '.0.1' AS text, 167772161 + (s_suppkey % 256) * 65536 AS number, s_suppkey % 256 = 3 AS inside FROM supplier")
+def ipv4_functions(spark, sf):
+    s = X.table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("10."), (F.col("s_suppkey") % 256).cast("string"), F.lit(".0.1")).alias("t"))
+    n = O.ipv4_number(F.col("t"))
+    return s.select("s_suppkey", O.ipv4_text(n).alias("text"), n.alias("number"), O.in_network(n, (10 << 24) + (3 << 16), 16).alias("inside"))
+
+
+@query("SELECT CAST(n AS BIGINT) AS length, CAST(4294967296 - pow(2, 32 - n) AS BIGINT) AS mask FROM range(33) t(n)")
+def prefix_masks(spark, sf):
+    return spark.range(33).select(F.col("id").alias("length"), O.prefix_mask(F.col("id")).alias("mask"))
+
+
+@query("SELECT n_nationkey, lower(regexp_replace(hex(encode(n_name)), '(..)', '\\1 ', 'g')) || '' AS dump, n_name AS back FROM nation".replace("lower(", "rtrim(lower(", 1).replace("|| ''", ")", 1))
+def hexdump_roundtrip(spark, sf):
+    n = X.table(spark, sf, "nation").select("n_nationkey", O.hexdump_line(F.encode("n_name", "UTF-8")).alias("dump"))
+    return n.withColumn("back", F.decode(O.from_hexdump(F.col("dump")), "UTF-8"))
+
+
+@query("""WITH v AS (SELECT n_nationkey, n_name, unnest(range(1, strlen(n_name) + 1)) AS i FROM nation), a AS (SELECT n_nationkey, sum(ascii(n_name[i:i])) AS a, sum((strlen(n_name) - i + 1) * ascii(n_name[i:i])) AS b FROM v GROUP BY 1)
+SELECT n_nationkey, CAST((b % 255) * 256 + a % 255 AS BIGINT) AS fletcher FROM a""")
+def fletcher16(spark, sf):
+    return X.table(spark, sf, "nation").select("n_nationkey", O.fletcher16(F.encode("n_name", "UTF-8")).alias("fletcher"))
+
+
+@query()
+def known_fields(spark, sf):
+    return layers.catalog(spark)
