@@ -92,27 +92,27 @@ def _classes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> tupl
     return surveyed, classes.withColumn("id", F.coalesce("rep", F.xxhash64("class"))).persist(KEEP)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Members with their tokens; rows whose text isn't of the class are left out."""
-    for batch, texts in A.unpacked(batches):
-        want = batch.column("class").to_pylist()
-        for a, data, off in K.chunks(texts):
-            sets = shingle_sets(data, off, width)
-            here = [i for i, s in enumerate(sets) if set_key(s) == want[a + i]]
-            rows = batch.take(pa.array([a + i for i in here], pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("group"), rows.column("copies"), pa.array([sets[i].tobytes() for i in here], pa.binary())], names=["id", "group", "copies", "tokens"])
-
-
-def _open(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
+def _sets(rows: pa.Table, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(id, copies, tokens) of each row with a packed text; rows whose text isn't of the class are left out."""
+    for batch in rows.combine_chunks().to_batches():
+        for part, texts in A.unpacked([batch]):
+            ids, copies, classes = (part.column(c).to_pylist() for c in ("id", "copies", "class"))
+            for a, data, off in K.chunks(texts):
+                for i, tokens in enumerate(shingle_sets(data, off, width), a):
+                    if set_key(tokens) == classes[i]:
+                        yield ids[i], copies[i], tokens
+
+
+def _open(members: pa.Table, queries: pa.Table, percent: int, width: int) -> pa.Table:
     """(id, root, links) of each linked class of a group and its queries: a class of the same component here, and linked documents."""
     ids, sets, copies = [], [], []
     seen: dict[int, int] = {}
     for part in (members, queries):
-        for c, t, n in zip(part["id"].to_pylist(), part["tokens"].to_pylist(), part["copies"].to_pylist(), strict=True):
+        for c, n, tokens in _sets(part, width):
             if c not in seen:
                 seen[c] = len(ids)
                 ids.append(c)
-                sets.append(np.frombuffer(t, np.uint64))
+                sets.append(tokens)
                 copies.append(n)
         if part is members:
             m = len(ids)
@@ -177,14 +177,16 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, *, group: int = GRO
     overlap = rows.join(matrix, "token").where((F.col("group") < F.col("to")) & fits).groupBy("id", "n", F.col("to").alias("group")).agg(F.count("*").alias("shared"), F.min("least").alias("least"))
     pairs = overlap.where(F.col("shared") > F.floor(F.least("n", "least") / MORE)).select("id", "group").persist(KEEP)
 
-    wanted = grouped.join(classes.select("id", "class", "rep", "copies"), "id").withColumnRenamed("rep", "of")
-    texts = docs.mapInArrow(A.pack, "doc_id bigint, rid int, packed binary").join(wanted, same(F.col("doc_id"), F.col("of"))).select("id", "class", "group", "copies", "packed")
-    sets = texts.mapInArrow(lambda it: _sets(it, width), "id bigint, group bigint, copies bigint, tokens binary").persist(KEEP)
+    # groups of one that nobody asks for have no link to find; texts travel packed, tokens are made where a group is opened
+    opens = grouped.groupBy("group").count().where("count > 1").select("group").unionByName(pairs.select("group")).distinct()
+    needed = grouped.join(opens, "group", "left_semi").select("id").unionByName(pairs.select("id")).distinct()
+    wanted = grouped.join(needed, "id", "left_semi").join(classes.select("id", "class", "rep", "copies"), "id").withColumnRenamed("rep", "of")
+    sets = docs.mapInArrow(A.pack, "doc_id bigint, rid int, packed binary").join(wanted, same(F.col("doc_id"), F.col("of"))).select("id", "class", "group", "copies", "packed").persist(KEEP)
     parts = pairs.groupBy("group").agg(F.ceil(F.count("*") / queries).alias("parts"))
-    members = sets.join(parts, "group", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1))).drop("parts")
+    members = sets.join(opens, "group", "left_semi").join(parts, "group", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1))).drop("parts")
     asked = pairs.join(sets.drop("group"), "id").join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     asked = asked.select(*[F.col(c).alias(c) for c in members.columns])  # columns of their own, apart from those of members
-    opened = members.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInArrow(lambda m, q: _open(m, q, percent), "id bigint, root bigint, links bigint").persist(KEEP)
+    opened = members.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInArrow(lambda m, q: _open(m, q, percent, width), "id bigint, root bigint, links bigint").persist(KEEP)
 
     stars = components(opened.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = opened.groupBy("id").agg(F.sum("links").alias("links"))
