@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from capquill.llm import anchored as A
 from capquill.llm import kernels as K
-from capquill.llm.common import KEEP, same, table
+from capquill.llm.common import KEEP, cut, same, table
 from capquill.llm.components import components
 
 #: Members of a group and queries that open it in one task, on average at most.
@@ -89,7 +89,7 @@ def _classes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> tupl
     surveyed = docs.mapInArrow(lambda it: _survey(it, width, percent, hot), "doc_id bigint, n bigint, class binary, prefix array<bigint>").persist(KEEP)
     some = surveyed.where("n > 0").groupBy("class")
     classes = some.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return surveyed, classes.withColumn("id", F.coalesce("rep", F.xxhash64("class"))).persist(KEEP)
+    return surveyed, cut(classes.withColumn("id", F.coalesce("rep", F.xxhash64("class"))))
 
 
 def _sets(rows: pa.Table, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -160,6 +160,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, *, group: int = GRO
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     hot = counts.where(F.col("count") > max(hot_over, total // MOST_HOT)).select("token").toPandas()["token"].to_numpy(np.int64)
     if len(hot):
+        surveyed.unpersist()
         surveyed, classes = _classes(docs, width, percent, np.sort(hot.view(np.uint64)))
 
     postings = classes.select(F.explode("prefix").alias("token"), "id", "n")
@@ -169,13 +170,16 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, *, group: int = GRO
     postings = postings.join(shared, F.bitwise_not("token") == F.col("key")).drop("key").persist(KEEP)
     led = postings.groupBy("id").agg(F.min("leader").alias("leader"))
     blocks = led.groupBy("leader").agg(F.ceil(F.count("*") / group).alias("blocks"))
-    grouped = led.join(blocks, "leader").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), "blocks")).alias("group")).persist(KEEP)
+    # small tables are cut from their lineage, so that the plans of what follows stay short
+    grouped = cut(led.join(blocks, "leader").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), "blocks")).alias("group")))
 
     rows = postings.join(grouped, "id").select("token", "id", "n", "group").persist(KEEP)
     matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("group", "to")
     fits = (F.col("n") * percent <= 100 * F.col("most")) & (F.col("least") * percent <= 100 * F.col("n"))
     overlap = rows.join(matrix, "token").where((F.col("group") < F.col("to")) & fits).groupBy("id", "n", F.col("to").alias("group")).agg(F.count("*").alias("shared"), F.min("least").alias("least"))
-    pairs = overlap.where(F.col("shared") > F.floor(F.least("n", "least") / MORE)).select("id", "group").persist(KEEP)
+    pairs = cut(overlap.where(F.col("shared") > F.floor(F.least("n", "least") / MORE)).select("id", "group"))
+    rows.unpersist()
+    postings.unpersist()
 
     # groups of one that nobody asks for have no link to find; texts travel packed, tokens are made where a group is opened
     opens = grouped.groupBy("group").count().where("count > 1").select("group").unionByName(pairs.select("group")).distinct()
@@ -186,7 +190,8 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, *, group: int = GRO
     members = sets.join(opens, "group", "left_semi").join(parts, "group", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1))).drop("parts")
     asked = pairs.join(sets.drop("group"), "id").join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     asked = asked.select(*[F.col(c).alias(c) for c in members.columns])  # columns of their own, apart from those of members
-    opened = members.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInArrow(lambda m, q: _open(m, q, percent, width), "id bigint, root bigint, links bigint").persist(KEEP)
+    opened = cut(members.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInArrow(lambda m, q: _open(m, q, percent, width), "id bigint, root bigint, links bigint"))
+    sets.unpersist()
 
     stars = components(opened.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = opened.groupBy("id").agg(F.sum("links").alias("links"))
