@@ -98,7 +98,7 @@ def padding_rows(spark, sf):
     return d.select("num", F.length("padding").cast("bigint").alias("n"), D.is_plain_padding().alias("plain"))
 
 
-_WORDS = "0x".replace("0x", "") + "17664 + (len - 14 - CASE WHEN vlan IS NULL THEN 0 ELSE 4 END) + (l_orderkey & 65535) + (l_linenumber + 60) * 256 + proto + 2560 + (l_suppkey & 65535) + 2561 + (l_partkey & 65535)"
+_WORDS = "17664 + (len - 14 - CASE WHEN vlan IS NULL THEN 0 ELSE 4 END) + (l_orderkey & 65535) + (l_linenumber + 60) * 256 + proto + 2560 + (l_suppkey & 65535) + 2561 + (l_partkey & 65535)"
 
 
 @query(P + f"SELECT num, CAST(65535 - ((s & 65535) + (s >> 16)) AS BIGINT) AS chksum FROM (SELECT num, CAST({_WORDS} AS BIGINT) AS s FROM p WHERE proto IS NOT NULL)")
@@ -127,7 +127,7 @@ _register("where_conjunction", _columns([("IP", "src", "src")], [("IP", "proto",
 
 @query(P + "SELECT num, kind = 'TCP' AS tcp, kind IN ('UDP', 'UDP6') AS udp, vlan IS NOT NULL AS dot1q, kind = 'ARP' AS arp FROM p")
 def layer_presence(spark, sf):
-    return D.columns(X.packets(spark, sf), [("Frame", "num", "num")]) if False else D.dissect(X.packets(spark, sf)).select("num", *[D.layer_column(n).alias(n.lower()) for n in ("TCP", "UDP", "Dot1Q", "ARP")])
+    return D.dissect(X.packets(spark, sf)).select("num", *[D.layer_column(n).alias(n.lower()) for n in ("TCP", "UDP", "Dot1Q", "ARP")])
 
 
 @query(P + "SELECT num FROM (SELECT DISTINCT num FROM p WHERE kind = 'ICMP') ORDER BY num LIMIT 100")
@@ -214,7 +214,6 @@ def session_window_flows(spark, sf):
 # Pairing
 _REQ = "SELECT o_orderkey * 16 AS num, o_orderkey FROM orders"
 _REP = "SELECT l_orderkey, l_orderkey * 16 + l_linenumber AS answer FROM lineitem WHERE l_returnflag = 'R'"
-_ASKS = D.layer_column
 
 
 @query(f"SELECT num, answer FROM ({_REQ}) q JOIN ({_REP}) a ON q.o_orderkey = a.l_orderkey")
@@ -301,7 +300,7 @@ def http_messages(spark, sf):
 
 
 # Generators and scalar functions
-@query("SELECT CAST(a + 4 * b + 8 * c AS BIGINT) AS index, CAST(80 + a AS BIGINT) AS dport, CASE b WHEN 0 THEN 'S' ELSE 'A' END AS flags, CAST(10 * c AS BIGINT) AS ttl FROM range(4) x(a), range(2) y(b), (SELECT unnest([1, 2, 3]) - 0 AS c0, unnest([0, 1, 2]) AS c) z".replace("CAST(10 * c AS BIGINT)", "CAST(10 * c0 AS BIGINT)"))
+@query("SELECT CAST(a + 4 * b + 8 * c AS BIGINT) AS index, CAST(80 + a AS BIGINT) AS dport, CASE b WHEN 0 THEN 'S' ELSE 'A' END AS flags, CAST(10 * (c + 1) AS BIGINT) AS ttl FROM range(4) x(a), range(2) y(b), range(3) z(c)")
 def template_product(spark, sf):
     p = templates.product(spark, {"dport": (80, 83), "flags": ["S", "A"], "ttl": [10, 20, 30]})
     return p.select("index", "dport", "flags", F.col("ttl").cast("bigint").alias("ttl"))
@@ -324,7 +323,7 @@ def prefix_masks(spark, sf):
     return spark.range(33).select(F.col("id").alias("length"), O.prefix_mask(F.col("id")).alias("mask"))
 
 
-@query("SELECT n_nationkey, lower(regexp_replace(hex(encode(n_name)), '(..)', '\\1 ', 'g')) || '' AS dump, n_name AS back FROM nation".replace("lower(", "rtrim(lower(", 1).replace("|| ''", ")", 1))
+@query("SELECT n_nationkey, rtrim(lower(regexp_replace(hex(encode(n_name)), '(..)', '\\1 ', 'g'))) AS dump, n_name AS back FROM nation")
 def hexdump_roundtrip(spark, sf):
     n = X.table(spark, sf, "nation").select("n_nationkey", O.hexdump_line(F.encode("n_name", "UTF-8")).alias("dump"))
     return n.withColumn("back", F.decode(O.from_hexdump(F.col("dump")), "UTF-8"))
