@@ -63,10 +63,23 @@ WITH p0 AS (
 """
 
 
-def datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One UDP datagram of each text of documents that IPv4 can hold."""
-    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("body", F.encode("text", "UTF-8")).where("length(body) <= 60000")
-    return capture(d.select(F.col("doc_id").alias("num"), T.ether(0x0800, T.ipv4(address(4, "doc_id"), F.lit(167772161).cast("bigint"), 17, T.udp(F.lit(9), F.lit(9), F.col("body")), ident=F.col("doc_id").bitwiseAND(65535))).alias("data")))
+#: Octets of a text in one datagram, and the factor from doc_id to the numbers of a document's datagrams.
+DATAGRAM, DATAGRAMS = 60000, 1 << 16
+
+
+def datagrams(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """UDP datagrams of each text of documents, as many as it needs: of num, the high bits are doc_id and the low 16 the place in the text.
+
+    The IP ident is the low 16 bits, the addresses hold 48 bits of doc_id, so no two datagrams share a fragment key. With
+    `most`, just of the texts of at most so many octets.
+    """
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("body"))
+    d = d if most is None else d.where(F.length("body") <= most)
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("body") - 1, F.lit(0)) / DATAGRAM).cast("int"))))
+    low, high = F.col("doc_id").bitwiseAND((1 << 24) - 1), F.shiftright("doc_id", 24).bitwiseAND((1 << 24) - 1)
+    piece = F.substring("body", F.col("k") * DATAGRAM + 1, F.lit(DATAGRAM))
+    frame = T.ether(0x0800, T.ipv4(low + (10 << 24), high + (11 << 24), 17, T.udp(F.lit(9), F.lit(9), piece), ident=F.col("k")))
+    return capture(d.select((F.col("doc_id") * DATAGRAMS + F.col("k")).alias("num"), frame.alias("data")))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
