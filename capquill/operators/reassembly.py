@@ -16,6 +16,8 @@ from capquill.functions import octets as O
 from capquill.operators.dissect import dissect, layer_column, payload
 
 BLOCK = 1 << 20
+#: Octets of an IPv4 datagram at most, and fragments of one that are held.
+OCTETS, FRAGMENTS = 65535, 8192
 
 
 def fragment(df: DataFrame, size: int = 1480) -> DataFrame:
@@ -61,43 +63,95 @@ def first_writer(pieces: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return held
 
 
-def _datagram(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("num")
-    held = first_writer(list(zip(pdf["offset"].tolist(), pdf["body"].tolist(), strict=True)))
-    last = pdf[pdf["more"] == 0]
-    head = pdf[pdf["offset"] == 0]
-    joined = b"".join(b for _, b in held)
-    ends = [a + len(b) for a, b in held]
-    whole = len(last) and len(head) and held[0][0] == 0 and all(a == e for (a, _), e in zip(held[1:], ends)) and ends[-1] == int((last["offset"] + last["body"].map(len)).iloc[0])
-    if not whole:
-        return pdf.assign(data=None, fragments=len(pdf))[["num", "data", "fragments"]].head(0)
-    return pd.DataFrame({"num": [int(pdf["num"].iloc[0])], "data": [head["head"].iloc[0] + joined], "fragments": [len(pdf)]})
+class _Group:
+    """The datagram that fragments under one key are adding up to; of octets that several hold, the first one's stay."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, bytes]] = []
+        self.head, self.at, self.size = b"", -1, -1
+        self.octets, self.held = bytearray(), []
+
+    def add(self, num: int, data: bytes, at: int, body: int, end: int, offset: int, more: int) -> None:
+        self.rows.append((num, data))
+        if offset == 0 and self.at < 0:
+            self.head, self.at = data[:body], at
+        piece, stop, low = data[body:end], offset + end - body, offset
+        if more == 0 and self.size < 0:
+            self.size = stop
+        self.octets.extend(bytes(max(0, stop - len(self.octets))))
+        apart, first, last = [], offset, stop
+        for a, b in self.held:
+            if b < offset or a > stop:
+                apart.append((a, b))
+                continue
+            if a > low:
+                self.octets[low:a] = piece[low - offset : a - offset]
+            low, first, last = max(low, b), min(first, a), max(last, b)
+        if low < stop:
+            self.octets[low:stop] = piece[low - offset :]
+        self.held = sorted([*apart, (first, last)])
+
+    def whole(self) -> bytes | None:
+        """The frame, its header renewed, once every octet is there."""
+        size = len(self.head) - self.at + self.size
+        if self.at < 0 or self.held != [(0, self.size)] or size > OCTETS:
+            return None
+        h = bytearray(self.head)
+        h[self.at + 2 : self.at + 4] = size.to_bytes(2, "big")
+        h[self.at + 6 : self.at + 8] = bytes((h[self.at + 6] & 0xC0, 0))
+        h[self.at + 10 : self.at + 12] = b"\0\0"
+        total = sum(int.from_bytes(h[i : i + 2], "big") for i in range(self.at, len(h), 2))
+        while total >> 16:
+            total = (total & 0xFFFF) + (total >> 16)
+        h[self.at + 10 : self.at + 12] = (0xFFFF - total).to_bytes(2, "big")
+        return bytes(h) + bytes(self.octets)
+
+
+def _datagrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From the fragments by key and num: a datagram as soon as it is whole, the others' fragments as they are."""
+    key, group = None, _Group()
+    left = lambda g: [(num, data, 1, "incomplete") for num, data in g.rows]
+    names = ["num", "data", "fragments", "kind"]
+    for b in batches:
+        rows = []
+        of = zip(b["ends"], b["id"], b["proto"], strict=True)
+        each = zip(b["num"], b["data"], b["at"], b["body"], b["end"], b["offset"], b["more"], strict=True)
+        for k, (num, data, at, body, end, offset, more) in zip(of, each, strict=True):
+            if k != key:
+                rows += left(group)
+                key, group = k, _Group()
+            if offset + end - body > OCTETS or len(group.rows) >= FRAGMENTS:
+                rows.append((num, data, 1, "incomplete"))
+                continue
+            group.add(num, data, at, body, end, offset, more)
+            if (whole := group.whole()) is not None:
+                rows.append((group.rows[0][0], whole, len(group.rows), "complete"))
+                group = _Group()
+        yield pd.DataFrame(rows, columns=names)
+    yield pd.DataFrame(left(group), columns=names)
 
 
 def defragment(df: DataFrame) -> DataFrame:
-    """num (of the first fragment), data, fragments: complete IPv4 datagrams, those that weren't fragmented as well.
+    """num (of the first fragment), data, fragments, kind of every frame.
 
-    A datagram has at most 64 KiB, so that is what a group of fragments can come to, besides repeats of it.
+    complete is a datagram put together from IPv4 fragments; incomplete is a fragment that no datagram was made of, as it
+    was; whole is any other frame, as it was. Under a key (addresses, id, protocol), which comes back in a long
+    capture, fragments are taken by num, and after each datagram the next one begins. A task walks the
+    sorted fragments and holds those of one unfinished datagram, `FRAGMENTS` at most; what is over is incomplete.
     """
-    d = dissect(df).where(F.col("off_IP").isNotNull())
+    d = dissect(df)
     at, data = F.col("off_IP"), F.col("data")
     flags = O.be(data, at + 6, 2)
-    single = flags.bitwiseAND(0x3FFF) == 0
     body = at + O.bits(data, at, 4, 4) * 4
-    alone = d.where(single).select("num", "data", F.lit(1).cast("bigint").alias("fragments"))
-    pieces = d.where(~single).select(
-        "num", O.part(data, at + 12, 8).alias("ends"), O.be(data, at + 4, 2).alias("id"), O.be(data, at + 9, 1).alias("proto"), (flags.bitwiseAND(0x1FFF) * 8).alias("offset"),
-        F.shiftright(flags, 13).bitwiseAND(1).alias("more"), O.part(data, 0, body).alias("head"), O.part(data, body, F.col("end") - body).alias("body"),
+    piece = F.coalesce((flags.bitwiseAND(0x3FFF) != 0) & (body <= F.col("end")), F.lit(False))
+    alone = d.where(~piece).select("num", "data", F.lit(1).cast("bigint").alias("fragments"), F.lit("whole").alias("kind"))
+    pieces = d.where(piece).select(
+        O.part(data, at + 12, 8).alias("ends"), O.be(data, at + 4, 2).alias("id"), O.be(data, at + 9, 1).alias("proto"), "num", "data", at.alias("at"), body.alias("body"), "end",
+        (flags.bitwiseAND(0x1FFF) * 8).alias("offset"), F.shiftright(flags, 13).bitwiseAND(1).alias("more"),
     )
-    joined = pieces.dropDuplicates(["ends", "id", "proto", "offset", "more", "body", "num"]).groupBy("ends", "id", "proto").applyInPandas(_datagram, "num bigint, data binary, fragments bigint")
-    # the head still says fragment: its length, flags and checksum are written anew
-    joined = joined.withColumn("linktype", F.lit(1))
-    at = F.when(O.be(F.col("data"), 12, 2) == 0x8100, 18).otherwise(14)
-    size = O.octets(F.length("data") - at, 2)
-    fresh = F.concat(O.part(F.col("data"), 0, at + 2), size, O.part(F.col("data"), at + 4, 2), F.lit(b"\0\0"), O.part(F.col("data"), at + 8, 2), F.lit(b"\0\0"), O.part(F.col("data"), at + 12, F.length("data")))
-    head = O.part(fresh, at, O.bits(F.col("data"), at, 4, 4) * 4)
-    fresh = F.concat(O.part(fresh, 0, at + 10), O.octets(O.internet_checksum(head), 2), O.part(fresh, at + 12, F.length("data")))
-    return alone.unionByName(joined.select("num", fresh.alias("data"), "fragments"))
+    keys = ["ends", "id", "proto"]
+    joined = pieces.repartition(*keys).sortWithinPartitions(*keys, "num", "offset").mapInPandas(_datagrams, "num bigint, data binary, fragments bigint, kind string")
+    return alone.unionByName(joined)
 
 
 def tcp_segments(df: DataFrame) -> DataFrame:

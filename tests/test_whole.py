@@ -25,3 +25,31 @@ def test_long_texts_and_distant_documents(spark, tmp_path):
     for r in parts:
         found[r.num // X.DATAGRAMS] = found.get(r.num // X.DATAGRAMS, b"") + bytes(r.body or b"")
     assert found == {k: v.encode() for k, v in texts.items()}
+
+
+def ipv4(body, ident, flags, src="0a000001"):
+    """An IPv4 frame with this word of flags and offset."""
+    return bytes.fromhex("ffffffffffff0200000000010800" + "4500") + (20 + len(body)).to_bytes(2) + ident.to_bytes(2) + flags.to_bytes(2) + bytes.fromhex("40110000" + src + "0a000002") + body
+
+
+def test_defragment_gives_out_every_frame(spark):
+    first, second, third = (bytes([c]) * 40 for c in b"abc")
+    halves = lambda of, ident: [ipv4(of[:24], ident, 0x2000), ipv4(of[24:], ident, 3)]
+    a, b, c = (halves(x, 5) for x in (first, second, third))
+    other = bytes.fromhex("ffffffffffff020000000001" + "0806") + bytes(46)
+    frames = [a[1], a[0], b[0], b[1], c[1], other, ipv4(b"alone", 5, 0), *halves(first, 6)[:1]]
+    df = D.capture(spark.createDataFrame([(i, x) for i, x in enumerate(frames)], "num bigint, data binary"))
+    got = {r.num: r for r in reassembly.defragment(df).collect()}
+    assert {k: (r.kind, r.fragments) for k, r in got.items()} == {0: ("complete", 2), 2: ("complete", 2), 4: ("incomplete", 1), 5: ("whole", 1), 6: ("whole", 1), 7: ("incomplete", 1)}
+    assert [bytes(got[k].data)[34:] for k in (0, 2)] == [first, second]
+    assert all(bytes(got[k].data) == frames[k] for k in (4, 5, 6, 7))
+    summed = D.dissect(D.capture(spark.createDataFrame([(k, got[k].data) for k in (0, 2)], "num bigint, data binary"))).select(F.length("data").alias("n"), D.layer_column("IP.len").alias("len"), D.layer_column("IP.flags").alias("flags"))
+    assert {tuple(r) for r in summed.collect()} == {(74, 60, "")}
+
+
+def test_overlaps_and_repeats_of_fragments(spark):
+    old, new = b"o" * 40, b"n" * 40
+    frames = [ipv4(old[:24], 1, 0x2000), ipv4(new[:24], 1, 0x2000), ipv4(new[:24], 1, 0x2002), ipv4(old[24:], 1, 3)]
+    df = D.capture(spark.createDataFrame([(i, x) for i, x in enumerate(frames)], "num bigint, data binary"))
+    (r,) = reassembly.defragment(df).collect()
+    assert (r.num, r.kind, r.fragments) == (0, "complete", 4) and bytes(r.data)[34:] == b"o" * 24 + b"n" * 16
