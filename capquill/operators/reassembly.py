@@ -6,6 +6,7 @@ stream: a segment goes to each block that it touches, and within a block the fir
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,8 @@ from capquill.operators.dissect import dissect, layer_column, payload
 BLOCK = 1 << 20
 #: Octets of an IPv4 datagram at most, and fragments of one that are held.
 OCTETS, FRAGMENTS = 65535, 8192
+#: Octets in which the head of an HTTP message has to end.
+HEAD = 64 << 10
 
 
 def fragment(df: DataFrame, size: int = 1480) -> DataFrame:
@@ -205,49 +208,83 @@ def streams(df: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("stream", "direction", "segments", n.alias("octets"), (F.coalesce("reach", F.lit(0)) - n).alias("missing"), bit(2).alias("syn"), bit(1).alias("fin"), bit(4).alias("rst"))
 
 
-def _messages(octets: bytes) -> Iterator[tuple[int, int, str, bytes]]:
-    """(offset, length, start line, body) of complete HTTP/1 messages from the start of a stream."""
-    at = 0
-    while (stop := octets.find(b"\r\n\r\n", at)) >= 0:
-        lines = octets[at:stop].split(b"\r\n")
+class _Framer:
+    """Complete HTTP/1 messages of octets that arrive in order; what isn't framed yet is carried on."""
+
+    def __init__(self) -> None:
+        self.data, self.at, self.seen, self.open = bytearray(), 0, 0, True
+        #: Of the message whose head is there: start line, begin of the body, its end or None if chunked, next chunk line, chunks.
+        self.head: tuple | None = None
+
+    def feed(self, octets: bytes) -> Iterator[tuple[int, int, str, bytes]]:
+        """(offset, length, start line, body) of what is complete now."""
+        self.data += octets
+        while self.open and (self.head or self._head()) and (found := self._body()):
+            end, content = found
+            yield self.at, end, self.head[0], content
+            del self.data[:end]
+            self.at, self.seen, self.head = self.at + end, 0, None
+
+    def _head(self) -> bool:
+        stop = self.data.find(b"\r\n\r\n", max(0, self.seen - 3), HEAD)
+        if stop < 0:
+            self.seen, self.open = len(self.data), len(self.data) < HEAD
+            return False
+        lines = bytes(self.data[:stop]).split(b"\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
-        body = stop + 4
-        if headers.get(b"transfer-encoding", b"").lower() == b"chunked":
-            parts, end = [], body
-            while (line := octets.find(b"\r\n", end)) >= 0:
-                size = int(octets[end:line].split(b";")[0] or b"0", 16)
-                parts.append(octets[line + 2 : line + 2 + size])
-                end = line + 4 + size
-                if size == 0:
-                    break
-            else:
-                return
-            if end > len(octets):
-                return
-            content = b"".join(parts)
+        body, end = stop + 4, None
+        if b"chunked" in headers.get(b"transfer-encoding", b"").lower():
+            pass
         elif b"content-length" in headers:
-            end = body + int(headers[b"content-length"])
-            content = octets[body:end]
+            digits = re.match(rb"\d{1,19}", headers[b"content-length"])
+            self.open = digits is not None
+            end = body + int(digits[0]) if digits else 0
         elif lines[0].startswith(b"HTTP/"):
-            return  # ends with the stream, which can't be told from a lost end
+            self.open = False  # ends with the stream, which can't be told from a lost end
         else:
-            end, content = body, b""
-        if end > len(octets):
-            return
-        yield at, end - at, lines[0].decode("latin-1"), content
-        at = end
-
-
-def http_messages(df: DataFrame, most: int = 16 << 20) -> DataFrame:
-    """stream, direction, at, length, start_line, body of each complete message; of directions without gaps of up to `most` octets, the bound of the framing."""
-    p = stream_pieces(df)
-    whole = p.groupBy("stream", "direction").agg(F.sum(F.length("octets")).alias("n"), F.max(F.col("at") + F.length("octets")).alias("reach")).where((F.col("n") == F.col("reach")) & (F.col("n") <= most))
-    pieces = p.join(whole.select("stream", "direction"), ["stream", "direction"]).groupBy("stream", "direction").agg(F.sort_array(F.collect_list(F.struct("at", "octets"))).alias("pieces"))
-    data = pieces.select("stream", "direction", F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["octets"])).alias("data"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(s, d, *m) for s, d, x in zip(b["stream"], b["direction"], b["data"], strict=True) for m in _messages(x)]
-            yield pd.DataFrame(rows, columns=["stream", "direction", "at", "length", "start_line", "body"])
-
-    return data.mapInPandas(run, "stream string, direction int, at bigint, length bigint, start_line string, body binary")
+            end = body
+        self.head = (lines[0].decode("latin-1"), body, end, [body], [])
+        return self.open
+
+    def _body(self) -> tuple[int, bytes] | None:
+        _, body, end, upto, parts = self.head
+        if end is not None:
+            return (end, bytes(self.data[body:end])) if len(self.data) >= end else None
+        while (line := self.data.find(b"\r\n", upto[0])) >= 0:
+            size = re.match(rb"\s*([0-9A-Fa-f]+)\s*(;|$)", bytes(self.data[upto[0] : line]))
+            if size is None:
+                self.open = False
+                return None
+            n = int(size[1], 16)
+            if n == 0:  # trailers up to an empty line
+                stop = line if self.data[line + 2 : line + 4] == b"\r\n" else self.data.find(b"\r\n\r\n", line + 2)
+                return (stop + 4, b"".join(parts)) if stop >= 0 else None
+            if len(self.data) < line + 4 + n:
+                return None
+            parts.append(bytes(self.data[line + 2 : line + 2 + n]))
+            upto[0] = line + 4 + n
+        return None
+
+
+def _framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Messages from the pieces by stream, direction and offset; what follows a direction's first gap isn't framed."""
+    key, upto, framer = None, 0, _Framer()
+    for b in batches:
+        rows = []
+        for stream, direction, at, octets in zip(b["stream"], b["direction"], b["at"], b["octets"], strict=True):
+            if (stream, direction) != key:
+                key, upto, framer = (stream, direction), 0, _Framer()
+            if at == upto and framer.open:
+                rows += [(stream, direction, *m) for m in framer.feed(octets)]
+                upto += len(octets)
+        yield pd.DataFrame(rows, columns=["stream", "direction", "at", "length", "start_line", "body"])
+
+
+def http_messages(df: DataFrame) -> DataFrame:
+    """stream, direction, at, length, start_line, body of each complete message before the first gap of its direction.
+
+    A task walks the sorted pieces of a direction and holds what isn't framed yet, so one message. Framing ends at a head of
+    over `HEAD` octets, at a length that is none, and at a response without a length, as nothing tells where the next begins.
+    """
+    p = stream_pieces(df).repartition("stream", "direction").sortWithinPartitions("stream", "direction", "at")
+    return p.select("stream", "direction", "at", "octets").mapInPandas(_framed, "stream string, direction int, at bigint, length bigint, start_line string, body binary")

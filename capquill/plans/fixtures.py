@@ -110,11 +110,15 @@ def chat(spark: SparkSession, sf_dir: str, size: int = 512) -> DataFrame:
 
 
 def web(spark: SparkSession, sf_dir: str, size: int = 1400) -> DataFrame:
-    """An HTTP response of each page, in segments sent out of order and with one repeated."""
+    """An HTTP response of each page, in segments sent out of order and with one repeated.
+
+    The low 16 bits of page_id are in the sender's address, the next 24 in the other's and the rest in its port.
+    """
     p = table(spark, sf_dir, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     message = F.concat(F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Length: "), F.length("html").cast("string"), F.lit("\r\n\r\n")), "UTF-8"), F.col("html"))
     p = p.select("page_id", message.alias("m"))
     p = p.withColumn("k", F.explode(F.concat(F.sequence(F.lit(0), F.floor((F.length("m") - 1) / size).cast("int")), F.array(F.lit(0)))))
-    order = F.when(F.col("k") == 0, 0).otherwise(1000 - F.col("k"))
-    frame = T.ether(0x0800, T.ipv4(address(7, "page_id"), F.lit((10 << 24) + 9).cast("bigint"), 6, T.tcp(F.lit(80), F.lit(5000), F.col("k") * size + 7, F.lit(24), F.substring("m", F.col("k") * size + 1, F.lit(size)))))
-    return capture(p.select((F.col("page_id") * 10_000 + order).alias("num"), frame.alias("data")))
+    order = F.when(F.col("k") == 0, 0).otherwise((1 << 20) - F.col("k"))
+    other, port = F.shiftright("page_id", 16).bitwiseAND((1 << 24) - 1) + (11 << 24), F.shiftright("page_id", 40) + 5000
+    frame = T.ether(0x0800, T.ipv4(address(7, "page_id"), other, 6, T.tcp(F.lit(80), port, F.col("k") * size + 7, F.lit(24), F.substring("m", F.col("k") * size + 1, F.lit(size)))))
+    return capture(p.select((F.col("page_id") * (1 << 20) + order).alias("num"), frame.alias("data")))

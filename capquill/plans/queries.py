@@ -295,10 +295,11 @@ def stream_totals(spark, sf):
 
 @query("SELECT page_id, 'HTTP/1.1 200 OK' AS start_line, md5(coalesce(html, '')) AS md5 FROM pages WHERE strlen(html) < 60000")
 def http_messages(spark, sf):
-    m = reassembly.http_messages(X.web(spark, sf)).where(F.length("body") < 60000)
-    sender = F.array_join(F.filter(F.split("stream", " - "), lambda e: e.startswith("10.7.")), "")
-    low = F.split(F.split(sender, ":")[0], r"\.")
-    return m.select((low[2].cast("bigint") * 256 + low[3].cast("bigint")).alias("page_id"), "start_line", F.md5("body").alias("md5"))
+    m = reassembly.http_messages(X.web(spark, sf)).where(F.length("body") < 60000)  # as in the SQL
+    end = lambda of: F.split(F.array_join(F.filter(F.split("stream", " - "), lambda e: e.startswith(of)), ""), "[.:]")
+    part = lambda of, k, shift: F.shiftleft(end(of)[k].cast("bigint"), shift)
+    page = part("10.7.", 2, 8) + part("10.7.", 3, 0) + part("11.", 1, 32) + part("11.", 2, 24) + part("11.", 3, 16) + F.shiftleft(end("11.")[4].cast("bigint") - 5000, 40)
+    return m.select(page.alias("page_id"), "start_line", F.md5("body").alias("md5"))
 
 
 # Generators and scalar functions

@@ -53,3 +53,31 @@ def test_overlaps_and_repeats_of_fragments(spark):
     df = D.capture(spark.createDataFrame([(i, x) for i, x in enumerate(frames)], "num bigint, data binary"))
     (r,) = reassembly.defragment(df).collect()
     assert (r.num, r.kind, r.fragments) == (0, "complete", 4) and bytes(r.data)[34:] == b"o" * 24 + b"n" * 16
+
+
+def test_pages_far_apart_and_large(spark, tmp_path):
+    pages = {i + far: f"<p>{i} {far}</p>" * 300 for far in (0, 65536, 1 << 40) for i in (1, 2)} | {7: "<br>" * 400_000}
+    spark.createDataFrame(list(pages.items()), "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id for r in QUERIES["http_messages"](spark, str(tmp_path)).collect()} == set(pages) - {7}
+    bodies = [bytes(r.body) for r in reassembly.http_messages(X.web(spark, str(tmp_path))).collect()]
+    assert sorted(bodies) == sorted(x.encode() for x in pages.values())
+
+
+def segments(octets, client, lost=(), size=1000):
+    """TCP frames of the octets, without those of the given places."""
+    tcp = lambda at: (2000).to_bytes(2) + (80).to_bytes(2) + (at + 1).to_bytes(4) + bytes(4) + bytes.fromhex("501800000000" + "0000") + octets[at : at + size]
+    return [ipv4(tcp(at), 0, 0, src=f"0a0001{client:02x}").replace(b"\x40\x11", b"\x40\x06", 1) for at in range(0, len(octets), size) if at // size not in lost]
+
+
+def test_messages_before_a_gap_and_over_blocks(spark):
+    post = lambda n: b"POST / HTTP/1.1\r\nContent-Length: %d\r\n\r\n" % n + b"x" * n
+    chunked = b"POST /c HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n4;a=b\r\nabcd\r\n1000\r\n" + b"y" * 4096 + b"\r\n0\r\nTrailer: 1\r\n\r\n"
+    long, bad = (chunked + post(300_000)) * 60, post(10) + b"POST / HTTP/1.1\r\nContent-Length: many\r\n\r\n" + post(10)
+    lost, plain = post(900) * 20, post(5) + chunked
+    frames = [*segments(long, 1, size=50_000), *segments(lost, 2, lost={15}), *segments(plain, 3, size=7), *segments(bad, 4)]
+    df = D.capture(spark.createDataFrame(list(enumerate(frames)), "num bigint, data binary"))
+    sizes = {c: [] for c in (1, 2, 3, 4)}
+    for r in reassembly.http_messages(df).select("stream", F.length("body").alias("n")).orderBy("at").collect():
+        sizes[next(c for c in sizes if f"10.0.1.{c}:" in r.stream)].append(r.n)
+    assert len(long) > 16 << 20 and sizes[1] == [4100, 300_000] * 60
+    assert sizes[2] == [900] * (15_000 // len(post(900))) and sizes[3] == [5, 4100] and sizes[4] == [10]
