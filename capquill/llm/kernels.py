@@ -1,11 +1,15 @@
 """Numpy kernels over Arrow text buffers, shared by the operators that run inside tasks.
 
 All of them work on whole texts, a chunk of documents at a time, without a Python loop over words or
-bytes. Hashes are 64-bit polynomials (Rabin-Karp) from prefix sums, finished with a mixer.
+bytes. Hashes of windows are 64-bit polynomials (Rabin-Karp) from prefix sums, finished with a mixer. The
+polynomial is taken modulo 2**64, so long runs of few values can collide by their pattern: it serves for
+short windows of words, whose values are hashes themselves, and for anchors, which only choose what is compared.
+Words get a hash with a state of 128 bits instead, texts a cryptographic one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,6 +117,47 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each position as one integer, the first one lowest; zeros follow the end."""
+    w = np.zeros(len(data) + 8, np.uint64)
+    w[: len(data)] = data
+    for step in (1, 2, 4):
+        w[:-step] |= w[step:] << U64(8 * step)
+    return w
+
+
+#: Words of more bytes get a cryptographic hash.
+LONG_WORD = 64
+_LANES = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+
+
+def text_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes = b"") -> np.ndarray:
+    """A 64-bit BLAKE2 digest of each data[start:end]."""
+    whole = memoryview(np.ascontiguousarray(data))
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(whole[a:b], digest_size=8, key=key).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each data[start:end] by its content and length, eight bytes a step in two lanes."""
+    size = end - start
+    one, two = (size.astype(np.uint64) * k + k for k in _LANES)
+    eights = _eights(data)
+    at = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(at):
+        left = np.minimum(size[at] - done, 8)
+        value = eights[start[at] + done] & (U64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * left).astype(np.uint64))
+        one[at] = mix(one[at] ^ value)
+        two[at] = mix(two[at] + value * _LANES[1])
+        done += 8
+        at = at[size[at] > done]
+    out = mix(one + two * _LANES[0])
+    if len(at := np.flatnonzero(size > LONG_WORD)):
+        out[at] = text_hashes(data, start[at], end[at])
+    return out
+
+
 def words(data: np.ndarray, off: np.ndarray) -> Words:
     n = len(data)
     inside = ~WHITESPACE[data]
@@ -122,8 +167,7 @@ def words(data: np.ndarray, off: np.ndarray) -> Words:
     last = off[1:] - 1
     after[last[last >= 0]] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    h = span_hashes(prefix_sums(BYTE_VALUES[data]), start, end) if n else np.empty(0, np.uint64)
-    return Words(start, end, np.searchsorted(start, off), h)
+    return Words(start, end, np.searchsorted(start, off), word_hashes(data, start, end))
 
 
 def whole_windows(first: np.ndarray, width: int) -> np.ndarray:

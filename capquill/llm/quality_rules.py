@@ -32,6 +32,7 @@ SAMPLE = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_digits", "n_marks", "n_lines")
 _SCHEMA = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
+_SPACES = b" \t\n\v\f\r"
 _SYMBOL, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _MARK[list(b"!?")] = True
@@ -59,27 +60,21 @@ def _repeated_words(w: K.Words, document: np.ndarray) -> np.ndarray:
     return _per_document(np.cumsum(edge[:-1]) > 0, w.first)
 
 
-def _repeated_lines(data: np.ndarray, off: np.ndarray, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+def _repeated_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those of them equal to an earlier line, for each document."""
-    newline = np.flatnonzero(data == 10)
-    low = np.sort(np.concatenate((off[:-1], newline + 1)), kind="stable")
-    high = np.sort(np.concatenate((newline, off[1:])), kind="stable")
-    worded = np.searchsorted(w.start, low) < np.searchsorted(w.start, high)
-    low, high = low[worded], high[worded]
-    document = np.searchsorted(off, low, "right") - 1
-    h = K.span_hashes(K.prefix_sums(K.BYTE_VALUES[data]), low, high)
-    order = np.lexsort((h, document))
-    h, d = h[order], document[order]
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
     n = len(off) - 1
-    return np.bincount(document, minlength=n), np.bincount(d[again], minlength=n)
+    worded, again = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    whole = data.tobytes()
+    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        lines = [x for x in whole[a:b].split(b"\n") if x.strip(_SPACES)]
+        worded[i], again[i] = len(lines), len(lines) - len(set(lines))
+    return worded, again
 
 
 def _counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     w = K.words(data, off)
     points = (data & 0xC0) != 0x80
-    lines, again = _repeated_lines(data, off, w)
+    lines, again = _repeated_lines(data, off)
     return [
         np.diff(w.first),
         _per_document(points & ~K.WHITESPACE[data], off),

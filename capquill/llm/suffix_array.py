@@ -1,17 +1,20 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, a bucket at a time in numpy.
 
 `suffix_array` classifies suffixes as S or L, sorts the leftmost-smaller (LMS) substrings by an induced
-pass, names them, orders the reduced text recursively and induces the whole array from it, linearly. The
-induced passes go through the 256 byte buckets in order; within a bucket all entries of a round are handled
-at once, which keeps the sequential order because a bucket only ever grows at its end. A reduced text whose
-names still fit a byte is sorted by the same function; a larger alphabet is finished by rank doubling, as
-buckets would then be too many and too small, and only as deep as the caller needs (`depth` values).
+pass, names them, orders the text of the names by calling itself and induces the whole array from it. On
+bytes the induced passes go through the 256 buckets in order; within a bucket all entries of a round are
+handled at once, which keeps the sequential order because a bucket only ever grows at its end. Texts of names have
+too many buckets for that: there neighbouring buckets make a part, and what a part induces in itself is put in
+its place, given by its bucket and by the place of the suffix right of it, round by round.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Suffixes in a part of neighbouring buckets, about.
+PART = 12_000
+
 
 def _words8(t: np.ndarray) -> np.ndarray:
     """Eight values from each position as one big-endian integer; zeros follow the end."""
@@ -99,49 +102,104 @@ def _equal_neighbours(t: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.n
     return same
 
 
-def _double(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of `names` by their first `depth` names at least; ties keep their positions."""
-    n, h = len(names), 1
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if h >= depth or rank[order[-1]] == n:
-            return order
-        key = rank * (n + 2)
-        key[: n - h] += rank[h:]
-        order = np.argsort(key)
-        new = np.ones(n, np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        h *= 2
-
-
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of the bytes in lexicographic order of their first `depth` values at least; a suffix that ends is least."""
+def _induced(t: np.ndarray, part: np.ndarray, fixed: list[np.ndarray], begin: list[np.ndarray], wanted: np.ndarray) -> list[np.ndarray]:
+    """For each part the wanted suffixes in order, induced from right to left by the `fixed` ones and by each other.
+
+    A part is a range of buckets. A suffix stands in the bucket of its first value, the wanted ones first, and there
+    in the order of the suffix right of it; so what comes from earlier parts is in place, and what a part
+    induces in itself is put in round by round.
+    """
+    arrived: list[list[np.ndarray]] = [[] for _ in fixed]
+    for i in begin:
+        arrived[part[i[0]]].append(i)
+    place = np.zeros(len(t) + 1, np.int64)
+    out = []
+    for p, own in enumerate(fixed):
+        came = _join(arrived[p])
+        items = np.concatenate((came, own))
+        bucket = 2 * t[items]
+        bucket[len(came) :] += 1
+        by = np.argsort(bucket, kind="stable")
+        items, bucket, inside = items[by], bucket[by], np.zeros(len(items), bool)
+        now = items
+        while True:
+            now = now[now > 0] - 1
+            now = now[wanted[now] & (part[now] == p)]
+            if not len(now):
+                break
+            place[items] = np.arange(1, len(items) + 1)
+            most = len(items) + 1
+            rank = 2 * t[now] * most + place[now + 1]
+            by = np.argsort(rank)
+            at = np.searchsorted(bucket * most + np.where(inside, place[items + 1], 0), rank[by], "right")
+            items, bucket, inside = np.insert(items, at, now[by]), np.insert(bucket, at, 2 * t[now[by]]), np.insert(inside, at, True)
+        out.append(items[(bucket & 1) == 0])
+        before = items[items > 0] - 1
+        before = before[wanted[before]]
+        to = part[before]
+        before, to = before[to > p], to[to > p]
+        by = np.argsort(to, kind="stable")
+        before, to = before[by], to[by]
+        edges = np.flatnonzero(to[1:] != to[:-1]) + 1
+        for piece in np.split(before, edges) if len(before) else ():
+            arrived[part[piece[0]]].append(piece)
+    return out
+
+
+def _induce_values(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """_induce for values of any size, by parts of neighbouring buckets."""
+    n = len(t)
+    count = np.bincount(t)
+    parts = int(np.clip(n // PART, 1, 128))
+    part = ((np.cumsum(count) - count) * parts // n).astype(np.int16)[t]
+    lms = lms[np.argsort(part[lms], kind="stable")]
+    edges = np.searchsorted(part[lms], np.arange(1, parts))
+    large = _induced(t, part, np.split(lms, edges), [np.array([n - 1])], ~s_type)
+    small = _induced(t.max() - t, parts - 1 - part, [x[::-1] for x in large[::-1]], [], s_type)
+    items = np.concatenate((*large, *[x[::-1] for x in small[::-1]]))
+    return items[np.argsort(2 * t[items] + s_type[items], kind="stable")]
+
+
+def _equal_values(t: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """_equal_neighbours for values of any size."""
+    pairs = np.flatnonzero(length[1:] == length[:-1])
+    same = np.zeros(len(at) - 1, bool)
+    done = 0
+    while len(pairs):
+        pairs = pairs[t[np.minimum(at[pairs] + done, len(t) - 1)] == t[np.minimum(at[pairs + 1] + done, len(t) - 1)]]
+        done += 1
+        ends = length[pairs + 1] == done
+        same[pairs[ends]] = True
+        pairs = pairs[~ends]
+    return same
+
+
+def suffix_array(t: np.ndarray, levels: list[int] | None = None) -> np.ndarray:
+    """All suffixes in lexicographic order; one that ends is less than one that goes on. `levels` gets the length of each text of the recursion."""
     n = len(t)
+    if levels is not None:
+        levels.append(n)
     if n < 2:
         return np.arange(n)
+    induce, equal = (_induce, _equal_neighbours) if t.dtype == np.uint8 else (_induce_values, _equal_values)
     s_type = _s_type(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = s_type[1:] & ~s_type[:-1]
     lms = np.flatnonzero(is_lms)
     if not len(lms):
-        return _induce(t, s_type, lms)
-    by_substring = _induce(t, s_type, lms)
+        return induce(t, s_type, lms)
+    by_substring = induce(t, s_type, lms)
     by_substring = by_substring[is_lms[by_substring]]
     length = np.zeros(n, np.int64)
     length[lms] = np.append(np.diff(lms) + 1, n - lms[-1] + 1)
-    same = _equal_neighbours(t, by_substring, length[by_substring])
+    same = equal(t, by_substring, length[by_substring])
     ends = by_substring == lms[-1]
     same &= ~(ends[1:] | ends[:-1])
     name = np.zeros(n, np.int64)
     name[by_substring] = np.concatenate(([0], np.cumsum(~same)))
-    names = name[lms]
     if same.any():
-        order = suffix_array(names.astype(np.uint8), depth) if names.max() < 256 else _double(names, depth // 2 + 2)
-        by_substring = lms[order]
-    return _induce(t, s_type, by_substring)
+        by_substring = lms[suffix_array(name[lms], levels)]
+    return induce(t, s_type, by_substring)
 
 
 def permuted_common_prefix(t: np.ndarray, sa: np.ndarray, most: int, fences: np.ndarray) -> np.ndarray:

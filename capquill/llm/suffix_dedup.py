@@ -109,7 +109,7 @@ def _firsts(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
     begin = off[:-1] + np.arange(len(size))  # one fence after each context
     t = np.full(len(data) + len(size), FENCE, np.uint8)
     t[A.spread(begin, begin + size)] = data
-    sa = suffix_array(t, width)
+    sa = suffix_array(t)
     plcp = permuted_common_prefix(t, sa, int(size.max()) + 8, begin)
     whole = np.zeros(len(t), bool)
     whole[A.spread(begin, begin + size - width + 1)] = True
