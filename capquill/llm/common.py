@@ -21,6 +21,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions: given to repartition(), it keeps a table dealt by its key as it is."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a pre-aggregated minimum per node and a join back, so a node with very many neighbours is never
-gathered; edges are cut from their lineage after each round and only their number and a checksum reach the
+Each step is a pre-aggregated minimum per node and a join back by another form of the key, so that both sides are
+dealt for the join and a node with very many neighbours can be split; edges are cut from their lineage after each round and only their number and a checksum reach the
 driver. Ends when a round changes nothing, after a number of rounds that grows with the logarithm of the size.
 """
 
@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _print(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("key"), F.least("u", "m").alias("m"))
+        edges = both.join(least, F.bitwise_not("u") == F.col("key")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        up = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = edges.join(least.select(F.bitwise_not("u").alias("key"), "m"), F.bitwise_not("u") == F.col("key")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         up = up.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         edges = cut(up.unionByName(least.withColumnRenamed("m", "v")).distinct())
         now = _print(edges)
