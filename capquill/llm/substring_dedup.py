@@ -1,10 +1,11 @@
 """Substring dedup (operator 2): Rabin-Karp hashes of 35-word windows, counted in Spark.
 
 Each window's rolling hash comes from prefix sums over word hashes. Windows whose anchor occurs once in the
-corpus cannot repeat and are not shipped; of the others each anchor run travels as one row, equal runs are
-merged by a pre-aggregated count, and what is left is exploded to single windows that Spark counts by
-(half of the anchor, window hash), 96 bits together. Windows that occur once are kept; all other windows under repeated
-anchors are removed, merged to maximal intervals of words.
+corpus cannot repeat and are not shipped; of the others each run of windows under an anchor travels as one row, and
+equal runs are counted as one, by a cryptographic digest of their words. Runs of an anchor that has several of them
+are exploded to single windows, which Spark counts by (half of the anchor, window hash), 96 bits together.
+Windows that occur once are kept; all other windows under repeated anchors are removed, merged to maximal
+intervals of words.
 
 Nulls and ties: a null or blank text has no words and the digest of the empty string; texts below 35 words
 lose nothing; a null doc_id is a document like any other. Windows are judged on the input, so all copies of
@@ -15,7 +16,6 @@ columns of the input are dropped.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,14 @@ from capquill.llm.common import table
 WIDTH, GRAM = 35, 8
 
 
-def _digests(data: np.ndarray, off: np.ndarray, w: K.Words, keep: np.ndarray) -> list[str]:
+def _units(data: np.ndarray, off: np.ndarray):
+    w = K.words(data, off)
+    return w.hash, w.first, w.hash, w
+
+
+def _digests(runs: A.Runs, removed: np.ndarray) -> list[str]:
     """SHA-256 of each document's kept words, joined by a space."""
+    data, off, w, keep = runs.data, runs.off, runs.more, ~removed
     start, end, document = w.start[keep], w.end[keep], w.document()[keep]
     mask = A.covered(len(data), start, end)
     blank = start[1:][document[1:] == document[:-1]] - 1  # a separator always stands there
@@ -43,57 +49,27 @@ def _digests(data: np.ndarray, off: np.ndarray, w: K.Words, keep: np.ndarray) ->
     return [hashlib.sha256(packed[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _scan(data: np.ndarray, off: np.ndarray, width: int):
-    w = K.words(data, off)
-    found = K.anchors(w.hash, w.first, width, min(GRAM, width))
-    return np.diff(w.first), _digests(data, off, w, np.ones(len(w.start), bool)), found.seed, found.first
-
-
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch, texts in A.unpacked(batches):
-        seeds, _ = A.hit_counts(batch)
-        for a, data, off in K.chunks(texts):
-            w = K.words(data, off)
-            found = K.anchors(w.hash, w.first, width, min(GRAM, width))
-            keep = np.flatnonzero(A.member(found.seed, seeds) >= 0)
-            low, high = found.low[keep], found.high[keep] + 1
-            row = np.searchsorted(w.first, low, "right") - 1
-            run = K.span_hashes(K.prefix_sums(w.hash), low, high + width - 1)
-            windows = K.window_hashes(w.hash, width)[A.spread(low, high)]
-            first = np.concatenate(([0], np.cumsum(high - low)))
-            of = pa.array(row + a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.seed[keep].view(np.int64)), pa.array(run.view(np.int64)), batch.column("doc_id").take(of), batch.column("rid").take(of), pa.array(low - w.first[row]), K.list_array(windows.view(np.int64), first, pa.int64())],
-                names=["seed", "run", "doc_id", "rid", "low", "windows"],
-            )
-
-
-def _reduce(width: int):
-    def reduce(data, off, seeds, kept):
-        w = K.words(data, off)
-        found = K.anchors(w.hash, w.first, width, min(GRAM, width))
-        hit = A.member(found.seed, seeds) >= 0
-        goes = A.covered(len(w.start), found.low[hit], found.high[hit] + 1)
-        row, low, high = kept
-        goes[A.spread(low + w.first[row], high + w.first[row])] = False
-        at = np.flatnonzero(goes)
-        removed = A.covered(len(w.start), at, at + width)
-        return A.sums(removed, w.first), A.runs(removed, w.first), _digests(data, off, w, ~removed)
-
-    return reduce
+def _windows(chunk: A.Chunk, documents: np.ndarray, runs: A.Runs, at: np.ndarray, wanted: pa.Table, width: int) -> pa.Table:
+    """The hash of each window of the runs that were asked for; its place only if its run occurs once."""
+    low, high = runs.low[at], runs.high[at] + 1
+    starts, size = A.spread(low, high), high - low
+    times = wanted["times"].to_numpy()
+    alone = times == 1
+    own = starts - np.repeat(runs.first[runs.document[at]], size)
+    return pa.table({
+        "seed": np.repeat((runs.seed[at] >> np.uint64(16)).astype(np.int64).astype(np.int32), size), "window": K.window_hashes(runs.raw, width)[starts].view(np.int64),
+        "times": np.repeat(np.minimum(times, 2), size), "at": np.repeat(np.where(alone, wanted["at"].to_numpy(), -1), size), "low": np.where(np.repeat(alone, size), own, -1),
+    })
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n (words), n_removed, n_spans, sha (of the kept words) of each document."""
-    docs = A.prepared(docs)
-    surveyed = A.survey(docs, lambda data, off: _scan(data, off, width))
-    found = A.candidates(docs, surveyed)
-    rows = found.mapInArrow(lambda it: _runs(it, width), "seed bigint, run bigint, doc_id bigint, rid int, low bigint, windows array<bigint>")
-    distinct = rows.groupBy("seed", "run").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rid", "low", "windows")).alias("one"))
-    single = distinct.select(F.shiftright("seed", 32).cast("int").alias("seed"), "times", "one.doc_id", "one.rid", "one.low", F.posexplode("one.windows").alias("at", "window"))
-    counted = single.groupBy("seed", "window").agg(F.sum("times").alias("times"), F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.min(F.col("low") + F.col("at")).alias("low"))
-    kept = counted.where("times = 1").select("doc_id", "rid", "low", (F.col("low") + 1).alias("high"))
-    return A.finish(surveyed, found, kept, _reduce(width))
+    of, texts = A.Windows(_units, width, GRAM, merged=False), A.dealt(docs)
+    marked = A.marks(texts, of, all_firsts=False)
+    windows = A.asked(texts, marked, of, lambda *x: _windows(*x, width), "seed int, window bigint, times bigint, at bigint, low bigint")
+    counted = windows.groupBy("seed", "window").agg(F.sum("times").alias("times"), F.max("at").alias("at"), F.max("low").alias("low"))
+    kept = counted.where("times = 1").select("at", "low", (F.col("low") + 1).alias("high"))
+    return A.finish(texts, marked, kept, of, _digests)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 Candidate windows are those under repeated anchors (anchored.py). The text around each anchor run travels
 once per distinct content, with its least position; shards of whole anchors are concatenated in the order of
-position and sorted by induced sorting (suffix_array.py), and the permuted common prefixes split the suffixes
+position and sorted by recursive induced sorting (suffix_array.py), and the permuted common prefixes split the suffixes
 into classes that share 100 bytes. The first member of each class stays, everything else under repeated
-anchors is removed. An anchor with more than `HOT` occurrences is salted by content over several shards;
-its classes then meet once more in a pre-aggregated minimum by (anchor, window hash).
+anchors is removed. An anchor with more than `HOT` contents is dealt over several shards; the first members of
+its classes then meet once more, in a pre-aggregated minimum by anchor and cryptographic digest of the window.
 
 Nulls and ties: a null text is empty; texts below 100 bytes lose nothing; a null doc_id comes before all
 others; rows that repeat both doc_id and text are one document, each with the same result (neither is
-earlier). Empty tables give no rows. Other columns of the input are dropped.
+earlier); documents that share a doc_id, or have none, are ordered by a hash of their text. Empty tables give no
+rows. Other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -19,91 +20,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capquill.llm import anchored as A
 from capquill.llm import kernels as K
-from capquill.llm.common import KEEP, same, table
+from capquill.llm.common import KEEP, table
 from capquill.llm.suffix_array import permuted_common_prefix, suffix_array
 
 WIDTH, GRAM = 100, 28
-#: Bytes that are sorted together at least, if there are as many, and occurrences beyond which an anchor is salted.
+#: Bytes that are sorted together at least, if there are as many, and contents beyond which an anchor is dealt over shards.
 SHARD, HOT = 1 << 20, 20_000
 #: Never a byte of UTF-8 text.
 FENCE = 0xFF
 
 
-def _anchors(data: np.ndarray, off: np.ndarray, width: int) -> K.Anchors:
-    return K.anchors(K.BYTE_VALUES[data], off, width, min(GRAM, width))
-
-
-def _digests(data: np.ndarray, off: np.ndarray) -> list[str]:
-    whole = memoryview(np.ascontiguousarray(data))
-    return [hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-
-
-def _scan(data: np.ndarray, off: np.ndarray, width: int):
-    found = _anchors(data, off, width)
-    return np.diff(off), _digests(data, off), found.seed, found.first
-
-
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Each run of windows under a repeated anchor, with a hash of the text that its windows cover."""
-    for batch, texts in A.unpacked(batches):
-        seeds, _ = A.hit_counts(batch)
-        for a, data, off in K.chunks(texts):
-            found = _anchors(data, off, width)
-            keep = np.flatnonzero(A.member(found.seed, seeds) >= 0)
-            low, high = found.low[keep], found.high[keep] + width
-            content = K.span_hashes(K.prefix_sums(K.BYTE_VALUES[data]), low, high)
-            row = np.searchsorted(off, low, "right") - 1
-            of = pa.array(row + a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.seed[keep].view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(of), pa.array(low - off[row]), batch.column("rid").take(of)],
-                names=["seed", "content", "doc_id", "low", "rid"],
-            )
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], width: int, hot: int) -> Iterator[pa.RecordBatch]:
-    """The text of the runs whose window starts are listed in `lows`; a hot anchor's runs are salted by content."""
-    for batch, texts in A.unpacked(batches):
-        seeds, times = A.hit_counts(batch)
-        lists = batch.column("lows")
-        listed = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
-        for a, data, off in K.chunks(texts):
-            found = _anchors(data, off, width)
-            here = (listed[0] >= a) & (listed[0] < a + len(off) - 1)
-            row = listed[0][here] - a
-            start = np.sort(listed[1][here] + off[row])
-            keep = np.flatnonzero(A.member(found.low, start) >= 0)
-            low, high = found.low[keep], found.high[keep] + width
-            content = K.span_hashes(K.prefix_sums(K.BYTE_VALUES[data]), low, high)
-            salts = (1 + times[A.member(found.seed[keep], seeds)] // hot).astype(np.uint64)
-            salt = np.where(salts == 1, -1, (K.mix(content) % salts).astype(np.int64))
-            row = np.searchsorted(off, low, "right") - 1
-            of = pa.array(row + a)
-            first = np.concatenate(([0], np.cumsum(high - low))).astype(np.int32)
-            pieces = pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(first), pa.py_buffer(data[A.spread(low, high)])])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.seed[keep].view(np.int64)), pa.array(salt), batch.column("doc_id").take(of), pa.array(low - off[row]), batch.column("rid").take(of), pieces],
-                names=["seed", "salt", "doc_id", "low", "rid", "bytes"],
-            )
-
-
-_RUN = "seed bigint, content bigint, doc_id bigint, low bigint, rid int"
-_CONTEXT = "seed bigint, salt bigint, doc_id bigint, low bigint, rid int, bytes binary"
-_FIRST = "seed bigint, window bigint, doc_id bigint, low bigint, high bigint, rid int"
-
-
-def _firsts(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
+def _units(data: np.ndarray, off: np.ndarray):
+    return K.BYTE_VALUES[data], off, data, None
+
+
+def _contexts(chunk: A.Chunk, documents: np.ndarray, runs: A.Runs, at: np.ndarray, wanted: pa.Table, width: int) -> pa.Table:
+    """The text of the runs that were asked for."""
+    low, high = runs.low[at], runs.high[at] + width
+    first = np.concatenate(([0], np.cumsum(high - low))).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(first), pa.py_buffer(runs.data[A.spread(low, high)])])
+    of = documents[runs.document[at]]
+    return pa.table({
+        "seed": runs.seed[at].view(np.int64), "salt": wanted["salt"], "doc_id": chunk.doc_id(of), "twin": chunk.twin[of], "at": wanted["at"], "low": wanted["low"], "bytes": pieces,
+    })
+
+
+_CONTEXT = "seed bigint, salt bigint, doc_id bigint, twin bigint, at bigint, low bigint, bytes binary"
+_FIRST = "seed bigint, window binary, doc_id bigint, twin bigint, at bigint, low bigint, high bigint"
+
+
+def _firsts(rows: pa.RecordBatch, width: int, hot: int) -> pa.RecordBatch:
     """The first member of each class of equal windows among the contexts of some anchors."""
+    seed, salt = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "salt"))
+    new = np.append(True, (seed[1:] != seed[:-1]) | (salt[1:] != salt[:-1]))
+    members = np.diff(np.append(np.flatnonzero(new), len(seed)))[np.cumsum(new) - 1]
+    whole_anchor = (salt == 0) & (members < hot)  # the first salt is full before there is a second one
     doc = rows.column("doc_id")
     number, known = doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False)
     low = rows.column("low").to_numpy(zero_copy_only=False)
-    order = np.lexsort((rows.column("rid").to_numpy(zero_copy_only=False), low, number, known))
-    rows, low = rows.take(pa.array(order)), low[order]
+    order = np.lexsort((low, rows.column("twin").to_numpy(zero_copy_only=False), number, known))
+    rows, low, whole_anchor = rows.take(pa.array(order)), low[order], whole_anchor[order]
     data, off = K.text_buffers(rows.column("bytes"))
     size = np.diff(off)
     begin = off[:-1] + np.arange(len(size))  # one fence after each context
@@ -119,24 +80,23 @@ def _firsts(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
         new[0] = True
     first = np.sort(np.minimum.reduceat(sa, np.flatnonzero(new))) if len(sa) else sa
     context = np.searchsorted(begin, first, "right") - 1
-    salt = rows.column("salt").to_numpy(zero_copy_only=False)
-    alone = salt[context] < 0
-    # anchors in one shard: ranges of window starts; salted ones: single windows
+    alone = whole_anchor[context]
+    # anchors in one shard: ranges of window starts; others: single windows
     joins = np.zeros(len(first), bool)
     joins[1:] = (first[1:] == first[:-1] + 1) & (context[1:] == context[:-1]) & alone[1:]
     at = np.flatnonzero(~joins)
     last = np.append(at[1:], len(first)) - 1
     context, alone, start, stop = context[at], alone[at], first[at], first[last] + 1
-    hashes = K.span_hashes(K.prefix_sums(K.BYTE_VALUES[t]), start, start + width).view(np.int64)
+    digests = [None if a else hashlib.blake2b(t[s : s + width], digest_size=16).digest() for a, s in zip(alone.tolist(), start.tolist(), strict=True)]
     of = pa.array(context)
     shift = low[context] - begin[context]
     return pa.RecordBatch.from_arrays(
-        [rows.column("seed").take(of), pa.array(hashes, mask=alone), rows.column("doc_id").take(of), pa.array(start + shift), pa.array(stop + shift), rows.column("rid").take(of)],
-        names=["seed", "window", "doc_id", "low", "high", "rid"],
+        [rows.column("seed").take(of), pa.array(digests, pa.binary()), *(rows.column(c).take(of) for c in ("doc_id", "twin", "at")), pa.array(start + shift), pa.array(stop + shift)],
+        names=["seed", "window", "doc_id", "twin", "at", "low", "high"],
     )
 
 
-def _sort_shards(batches: Iterator[pa.RecordBatch], width: int, shard: int) -> Iterator[pa.RecordBatch]:
+def _sort_shards(batches: Iterator[pa.RecordBatch], width: int, shard: int, hot: int) -> Iterator[pa.RecordBatch]:
     """Contexts come ordered by (seed, salt); each shard takes whole (seed, salt) groups."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -150,44 +110,30 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], width: int, shard: int) -> I
         per_row = max(1, rows.nbytes // len(rows))
         for cut in changes:
             if (cut - begin) * per_row >= shard or cut == changes[-1]:
-                yield _firsts(rows.slice(begin, cut - begin), width)
+                yield _firsts(rows.slice(begin, cut - begin), width, hot)
                 begin = int(cut)
         held = [rows.slice(begin)]
     if held and (rows := pa.concat_batches(held)).num_rows:
-        yield _firsts(rows, width)
+        yield _firsts(rows, width, hot)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, *, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, n (bytes), n_removed, n_spans, sha (of the remaining bytes) of each document."""
-    docs = A.prepared(docs)
-    surveyed = A.survey(docs, lambda data, off: _scan(data, off, width))
-    found = A.candidates(docs, surveyed)
-    runs = found.mapInArrow(lambda it: _runs(it, width), _RUN)
-    distinct = runs.groupBy("seed", "content").agg(F.min(F.struct("doc_id", "low", "rid")).alias("one"))
-    lows = distinct.groupBy("one.doc_id", "one.rid").agg(F.collect_set("one.low").alias("lows")).select(F.col("doc_id").alias("of"), F.col("rid").alias("of_rid"), "lows")
-    holders = found.join(lows, same(F.col("doc_id"), F.col("of")) & (F.col("rid") == F.col("of_rid"))).drop("of", "of_rid")
-    dealt = holders.mapInArrow(lambda it: _contexts(it, width, hot), _CONTEXT).repartition("seed", "salt").sortWithinPartitions("seed", "salt")
-    firsts = dealt.mapInArrow(lambda it: _sort_shards(it, width, shard), _FIRST).persist(KEEP)
-    salted = firsts.where("window is not null").groupBy("seed", "window").agg(F.min(F.struct("doc_id", "low", "rid", "high")).alias("one"))
-    columns = ["doc_id", "rid", "low", "high"]
-    kept = firsts.where("window is null").select(columns).unionByName(salted.select("one.*").select(columns))
-    return A.finish(surveyed, found, kept, _reduce(width))
-
-
-def _reduce(width: int):
-    def reduce(data, off, seeds, kept):
-        found = _anchors(data, off, width)
-        hit = A.member(found.seed, seeds) >= 0
-        goes = A.covered(len(data), found.low[hit], found.high[hit] + 1)
-        row, low, high = kept
-        goes[A.spread(low + off[row], high + off[row])] = False
-        at = np.flatnonzero(goes)
-        removed = A.covered(len(data), at, at + width)
-        left = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(~removed, out=left[1:])
-        return A.sums(removed, off), A.runs(removed, off), _digests(data[~removed], left[off])
-
-    return reduce
+    of, texts = A.Windows(_units, width, GRAM, merged=True), A.dealt(docs)
+    marked = A.marks(texts, of, hot=hot, all_firsts=True)
+    contexts = A.asked(texts, marked, of, lambda *x: _contexts(*x, width), _CONTEXT)
+    dealt = contexts.repartition("seed", "salt").sortWithinPartitions("seed", "salt")
+    firsts = dealt.mapInArrow(lambda it: _sort_shards(it, width, shard, hot), _FIRST).persist(KEEP)
+    among = firsts.where("window is not null").groupBy("seed", "window").agg(F.min(F.struct("doc_id", "twin", "low", "at", "high")).alias("one"))
+    kept = firsts.where("window is null").select("at", "low", "high").unionByName(among.select("one.at", "one.low", "one.high"))
+    return A.finish(texts, marked, kept, of, _digests)
+
+
+def _digests(runs: A.Runs, removed: np.ndarray) -> list[str]:
+    left = np.zeros(len(removed) + 1, np.int64)
+    np.cumsum(~removed, out=left[1:])
+    whole, at = memoryview(runs.data[~removed]), left[runs.off].tolist()
+    return [hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
