@@ -132,7 +132,15 @@ def _induced(t: np.ndarray, part: np.ndarray, fixed: list[np.ndarray], begin: li
             rank = 2 * t[now] * most + place[now + 1]
             by = np.argsort(rank)
             at = np.searchsorted(bucket * most + np.where(inside, place[items + 1], 0), rank[by], "right")
-            items, bucket, inside = np.insert(items, at, now[by]), np.insert(bucket, at, 2 * t[now[by]]), np.insert(inside, at, True)
+            at += np.arange(len(at))
+            held = np.ones(len(items) + len(at), bool)
+            held[at] = False
+            before, items = items, np.empty(len(held), np.int64)
+            items[held], items[at] = before, now[by]
+            before, bucket = bucket, np.empty(len(held), np.int64)
+            bucket[held], bucket[at] = before, 2 * t[now[by]]
+            before, inside = inside, np.ones(len(held), bool)
+            inside[held] = before
         out.append(items[(bucket & 1) == 0])
         before = items[items > 0] - 1
         before = before[wanted[before]]

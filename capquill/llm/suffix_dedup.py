@@ -30,7 +30,7 @@ from capquill.llm.suffix_array import permuted_common_prefix, suffix_array
 
 WIDTH, GRAM = 100, 28
 #: Bytes that are sorted together at least, if there are as many, and contents beyond which an anchor is dealt over shards.
-SHARD, HOT = 1 << 20, 20_000
+SHARD, HOT = 1 << 20, 2_000
 #: Never a byte of UTF-8 text.
 FENCE = 0xFF
 
