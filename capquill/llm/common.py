@@ -16,8 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, written under spark.checkpoint.dir (shared by the cluster), without their lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        context.setCheckpointDir(folder)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"/tmp/checkpoints/{uuid.uuid4().hex}")  # one machine: every folder is shared
     return df.checkpoint()
 
 
@@ -30,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` of the rows, the first ones by a hash of the key; few more than that are sorted."""
+    share = 1.2 * most / max(1, rows.count())
+    return rows.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64(key), *rows.columns).limit(most)
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality that holds for two nulls as well."""
     return left.eqNullSafe(right)

@@ -5,7 +5,7 @@ else a blank); a linear softmax over that mean gives the posteriors. Both layers
 stochastic gradient descent in numpy on a bounded sample of labelled rows. Since the classifier is linear
 in the mean, embeddings and weights fold into one table of a score per bucket and language, which tasks
 look up over whole texts. A temperature is fitted on rows kept out of the training, and with it the
-rejection threshold: the confidence that all but `REJECT` of those rows reach, at most one half.
+rejection threshold: the confidence that all but `REJECT` of those rows that are predicted rightly reach, at most one half.
 
 Nulls and ties: a null or letterless text is `und` with score 0 and is rejected; a null doc_id counts as
 not held out and is never learned from; rows with a null lang are predicted, not learned; repeated rows
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from capquill.llm import kernels as K
 from capquill.llm.common import columns_or_null, table
 
-#: Bounds of the training sample: documents of each language, languages, and bytes of a document.
-PER_LANGUAGE, LANGUAGES, MOST_BYTES = 500, 64, 20_000
+#: Bounds of the training sample: documents of each language, and bytes of a document if the language has shorter ones.
+PER_LANGUAGE, MOST_BYTES = 500, 20_000
 BUCKETS, DIMENSIONS, ORDERS = 1 << 16, 16, (2, 3, 4)
 #: Share of calibration rows that the rejection threshold may turn away.
 REJECT = 0.001
@@ -69,9 +69,9 @@ class Model:
         """Of each document, and its number of n-grams."""
         total, count = np.zeros((len(off) - 1, len(self.languages))), np.zeros(len(off) - 1, np.int64)
         for buckets, first in subwords(data, off):
-            sums = np.zeros((len(buckets) + 1, len(self.languages)))
-            np.cumsum(self.scores[buckets], axis=0, out=sums[1:])
-            total += sums[first[1:]] - sums[first[:-1]]
+            some = np.flatnonzero(first[1:] > first[:-1])
+            if len(some):  # each document for itself, so that its neighbours don't change the last digits
+                total[some] += np.add.reduceat(self.scores[buckets], first[some], axis=0, dtype=np.float64)
             count += np.diff(first)
         return total / np.maximum(count, 1)[:, None] + self.bias, count
 
@@ -125,8 +125,9 @@ def learn(rows: list[tuple[str, str]], *, epochs: int = 6, rate: float = 0.5, cr
     true = target[kept_out]
     loss = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), true], 1e-12)).mean() for t in np.geomspace(0.1, 10, 41)}
     temperature = float(min(loss, key=loss.get))
-    best = softmax(z / temperature).max(axis=1)
-    return Model(languages, model.scores, bias, temperature, min(0.5, float(np.quantile(best, REJECT))))
+    p = softmax(z / temperature)
+    right = p.max(axis=1)[p.argmax(axis=1) == true]
+    return Model(languages, model.scores, bias, temperature, min(0.5, float(np.quantile(right, REJECT))) if len(right) else 0.5)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -134,17 +135,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most PER_LANGUAGE labelled texts for each of the LANGUAGES most frequent languages, picked by a hash of doc_id."""
+    """At most PER_LANGUAGE labelled texts of every language, picked by a hash of doc_id; a language without a text of up to MOST_BYTES gives longer ones."""
     d = columns_or_null(docs, doc_id="bigint", text="string", lang="string")
-    d = d.where("doc_id is not null and lang is not null and lang <> 'und' and text is not null").where(~held_out())
-    frequent = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    d = d.where(F.octet_length("text").between(1, MOST_BYTES)).withColumn("at", F.xxhash64("doc_id"))
-    share = F.lit(0.0)
-    for r in frequent:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 2 * PER_LANGUAGE / r["count"])).otherwise(share)
-    picked = d.where(F.pmod("at", F.lit(1_000_000)) < share * 1_000_000).orderBy("at", "doc_id").limit(2 * PER_LANGUAGE * max(1, len(frequent)))
+    d = d.where("doc_id is not null and lang is not null and lang <> 'und' and text <> ''").where(~held_out())
+    d = d.withColumn("short", F.octet_length("text") <= MOST_BYTES).withColumn("at", F.xxhash64("doc_id"))
+    counts = d.groupBy("lang").agg(F.count("*").alias("all"), F.count_if("short").alias("shorts"))  # a row for each language
+    share = F.least(F.lit(1.0), 2 * PER_LANGUAGE / F.when(F.col("shorts") > 0, F.col("shorts")).otherwise(F.col("all")))
+    wanted = counts.select("lang", share.alias("share"), (F.col("shorts") > 0).alias("has_short"))
+    d = d.join(F.broadcast(wanted), "lang").where((F.col("short") == F.col("has_short")) & (F.pmod("at", F.lit(1_000_000)) < F.col("share") * 1_000_000))
     by = defaultdict(list)
-    for r in picked.select("lang", "text").toLocalIterator():
+    for r in d.select("lang", "text", "at", "doc_id").sort("at", "doc_id", "text").select("lang", "text").toLocalIterator():
         if len(by[r["lang"]]) < PER_LANGUAGE:
             by[r["lang"]].append((r["lang"], r["text"]))
     rows = [x for lang in sorted(by) for x in by[lang]]
@@ -186,6 +186,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(lambda it: _predict(it, model, names), schema)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not rejected, with all their columns as they are."""
+    added = ("lang_pred", "score", "accepted")
+    held = docs.withColumnsRenamed({c: f"_of_{c}" for c in added if c in docs.columns})
+    own = [F.col(f"`_of_{c}`").alias(c) if c in added else F.col(f"`{c}`") for c in docs.columns]
+    return identify(held, model).where(F.col("accepted")).select(*own)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(training_rows(docs))

@@ -5,7 +5,8 @@ posterior over domains for each document (the log likelihood is divided by the r
 keeps memberships soft). Then nonnegative rates are fitted by projected-gradient least squares such that the
 expected words of each domain, sum of rate * words * posterior, match the targets. The gradient of a rate is a
 function of the document's posterior and of one residual per domain, so an iteration is one update of each
-document's state (rate and momentum point) and one pre-aggregated sum; only that sum meets the driver.
+document's state (rate and momentum point) and one pre-aggregated sum; only that sum meets the driver. Residuals are
+taken relative to the words that a domain has, so that a rare domain is fitted as fast as a frequent one, at step size 1.
 
 Nulls and ties: a null or blank text has no words, the prior as posterior and a rate like any other; a null
 doc_id is kept; repeated rows are rated each. Labels without a document, with a null or of a domain that has
@@ -19,14 +20,16 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capquill.llm.common import KEEP, columns_or_null, cut, table
+from capquill.llm.common import KEEP, columns_or_null, cut, sampled, table
 
 #: Word buckets, and labelled rows that are learned from at most (picked by a hash of doc_id).
 BUCKETS, SAMPLE = 2048, 20_000
-STEPS = 40
+#: Steps after which fitting ends though the targets are not reached; the result tells what was.
+STEPS = 300
 #: Steps after which the state is cut from its lineage.
 CUT = 10
 TARGETS = {"good": 0.7, "poor": 0.1, "toxic": 0.2}
@@ -68,7 +71,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     import math
 
     docs = columns_or_null(docs, doc_id="bigint", text="string")
-    some = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
+    some = sampled(labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)), "doc_id", sample)
     b = docs.join(F.broadcast(some), "doc_id").select("domain", F.explode(buckets(F.col("text"))).alias("bucket"))
     counts = {d: [0.0] * BUCKETS for d in domains}
     for r in b.groupBy("domain", "bucket").count().collect():
@@ -101,10 +104,9 @@ def _dot(residual: list, size: int) -> Column:
 
 @dataclass(frozen=True)
 class Fit:
-    #: Of each step [momentum, step size, one residual per domain].
+    #: Of each step [momentum, one residual per domain].
     steps: list[list[float]]
     low: float
-    high: float
     size: int
     #: Expected words of each domain under the rates, and what was aimed at.
     reached: tuple[float, ...] = ()
@@ -117,14 +119,18 @@ class Fit:
             return F.lit(1.0)
 
         def step(at: Column, s: Column) -> Column:
-            x = F.greatest(F.lit(self.low), F.least(F.lit(self.high), at["y"] - s[1] * _dot([s[k + 2] for k in range(self.size)], self.size)))
+            x = F.greatest(F.lit(self.low), at["y"] - _dot([s[k + 1] for k in range(self.size)], self.size))
             return F.struct(x.alias("x"), (x + s[0] * (x - at["x"])).alias("y"))
 
         return F.aggregate(F.from_json(F.lit(json.dumps(self.steps)), "array<array<double>>"), start, step)["x"]
 
 
-def fit(members: DataFrame, weights: list[float], *, words: float | None = None, low: float = 0.0, high: float = 16.0, steps: int = STEPS, close: float = 1e-3) -> Fit:
-    """Rates within [low, high] for members (n_tokens, posterior): the words of domain k shall be words * weights[k]."""
+def fit(members: DataFrame, weights: list[float], *, words: float | None = None, low: float = 0.0, steps: int = STEPS, close: float = 1e-3) -> Fit:
+    """Rates of at least `low` for members (n_tokens, posterior): the words of domain k shall be words * weights[k].
+
+    Without `words`: as many as there are, or, if rates can't be less than `low` and this asks for more, a tenth more than
+    rates of the form low + sum of c[k] * posterior[k] need to meet the targets with c >= 0.
+    """
     k = len(weights)
     one = F.lit(1.0)
     state = cut(members.select(F.col("n_tokens").cast("double").alias("n"), "posterior", one.alias("x"), one.alias("y")))
@@ -134,52 +140,64 @@ def fit(members: DataFrame, weights: list[float], *, words: float | None = None,
         return [float(v or 0.0) for v in sums]
 
     total, *sums = expected(state, "y")
-    scale = max(total, 1.0)
-    aim = [(words if words is not None else total) * w / sum(weights) for w in weights]
-    size = 1 / max(1e-9, max(sums) / scale) if total else 1.0
+    share = [w / sum(weights) for w in weights]
+    if words is None:
+        words = total
+        if low and total:
+            pairs = [F.sum(F.col("n") * F.col("posterior")[i] * F.col("posterior")[j]) for i in range(k) for j in range(k)]
+            needs = np.linalg.lstsq(np.array(state.agg(*pairs).first(), float).reshape(k, k), np.array(share), rcond=None)[0]
+            least = needs.min() if needs.min() > 0 else min(w / (2 * s) for w, s in zip(share, sums, strict=True) if s)
+            words = max(total, 1.1 * low / least) if least > 0 else total
+    aim = [words * w for w in share]
+    scale = [max(s, 1e-9 * max(total, 1.0)) for s in sums]
     done: list[list[float]] = []
     t = 1.0
     while len(done) < steps and total:
-        residual = [(s - a) / scale for s, a in zip(sums, aim, strict=True)]
-        if max(map(abs, residual)) < close * max(1e-12, sum(aim) / scale):
+        if max(abs(s - a) for s, a in zip(sums, aim, strict=True)) < close * sum(aim):
             break
+        residual = [(s - a) / c for s, a, c in zip(sums, aim, scale, strict=True)]
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
         momentum, t = (t - 1) / after, after
-        done.append([momentum, size, *residual])
-        moved = state.withColumn("new", F.greatest(F.lit(low), F.least(F.lit(high), F.col("y") - size * _dot(residual, k))))
+        done.append([momentum, *residual])
+        moved = state.withColumn("new", F.greatest(F.lit(low), F.col("y") - _dot(residual, k)))
         moved = moved.select("n", "posterior", F.col("new").alias("x"), (F.col("new") + momentum * (F.col("new") - F.col("x"))).alias("y"))
         moved = cut(moved) if len(done) % CUT == 0 else moved.persist(KEEP)
         _, *sums = expected(moved, "y")
         state.unpersist()
         state = moved
-    return Fit(done, low, high, k, tuple(expected(state, "x")[1:]), tuple(aim))
+    reached = tuple(expected(state, "x")[1:])
+    state.unpersist()
+    return Fit(done, low, k, reached, tuple(aim))
 
 
-def _model_and_fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], words_factor: float, low: float, high: float) -> tuple[Classifier, DataFrame, Fit]:
+def _model_and_fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], words_factor: float | None, low: float) -> tuple[Classifier, DataFrame, Fit]:
     domains = sorted(targets)
     if not domains or min(targets.values()) < 0 or sum(targets.values()) <= 0:
         raise ValueError("targets need nonnegative weights with a positive sum")
     model = learn(docs, labelled, domains)
     plain = memberships(columns_or_null(docs, doc_id="bigint", text="string"), model).select("doc_id", "n_tokens", "posterior").persist(KEEP)
-    total = plain.agg(F.sum("n_tokens")).first()[0] or 0
-    return model, plain, fit(plain, [targets[d] for d in domains], words=words_factor * total, low=low, high=high)
+    words = None if words_factor is None else words_factor * (plain.agg(F.sum("n_tokens")).first()[0] or 0)
+    return model, plain, fit(plain, [targets[d] for d in domains], words=words, low=low)
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float = 1.0, low: float = 0.0, high: float = 16.0) -> DataFrame:
-    """doc_id, n_tokens, posterior and rate of each document; words_factor times the words of the input are aimed at."""
-    _, plain, found = _model_and_fit(docs, labelled, targets, words_factor, low, high)
-    return _once(plain, rate=found.rate())
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float | None = None, low: float = 0.0) -> DataFrame:
+    """doc_id, n_tokens, posterior and rate of each document; `reached` and `target` are the expected words of each domain in all, in the order of the names."""
+    _, plain, found = _model_and_fit(docs, labelled, targets, words_factor, low)
+    both = (F.array(*map(F.lit, x)).alias(n) for n, x in (("reached", found.reached), ("target", found.target)))
+    return _once(plain, rate=found.rate()).select("*", *both)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float = 1.0, low: float = 0.0, high: float = 16.0) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float | None = None, low: float = 0.0) -> DataFrame:
     """The documents, with all their columns, with n_tokens, posterior and rate."""
-    model, _, found = _model_and_fit(docs, labelled, targets, words_factor, low, high)
+    model, plain, found = _model_and_fit(docs, labelled, targets, words_factor, low)
+    plain.unpersist()
     return _once(memberships(docs.drop("n_tokens", "posterior", "rate"), model), rate=found.rate())
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float = 2.0, low: float = 1.0, high: float = 16.0) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, words_factor: float | None = None, low: float = 1.0) -> DataFrame:
     """Each document floor(rate) times, and once more with the probability of the rest, by a hash of doc_id and text; just its own columns."""
-    model, _, found = _model_and_fit(docs, labelled, targets, words_factor, low, high)
+    model, plain, found = _model_and_fit(docs, labelled, targets, words_factor, low)
+    plain.unpersist()
     names = ("n_tokens", "posterior", "rate")
     held = docs.withColumnsRenamed({c: f"_of_{c}" for c in names if c in docs.columns})
     mixed = _once(memberships(held, model), rate=found.rate())
@@ -192,4 +210,4 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *,
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = rates(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
-    return mixed.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], "rate")
+    return mixed.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))], "rate", *[F.col(c)[i].alias(f"{c}_{d}") for c in ("reached", "target") for i, d in enumerate(sorted(TARGETS))])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capquill.llm import kernels as K
-from capquill.llm.common import KEEP, columns_or_null, table
+from capquill.llm.common import KEEP, columns_or_null, sampled, table
 
 WINDOW = 8
 #: Labelled rows that are used for learning at most (the first in the order of a hash of doc_id).
@@ -203,7 +203,8 @@ def learn(counts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Decisio
     """Rules for quality 0 against 1, from the statistics of at most `sample` labelled documents."""
     known = columns_or_null(labels, doc_id="bigint", quality="int").where("quality in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = known.join(counts, "doc_id").select("quality", *[ratio(r).alias(r) for r in RATIOS], F.xxhash64("doc_id").alias("at")).orderBy("at").limit(sample).toPandas()
+    rows = sampled(known, "doc_id", sample).join(counts, "doc_id").select("doc_id", "quality", *[ratio(r).alias(r) for r in RATIOS], F.xxhash64("doc_id").alias("at")).toPandas()
+    rows = rows.sort_values(["at", "doc_id", *RATIOS])
     return learn_list(rows[list(RATIOS)].to_numpy(float), rows["quality"].to_numpy() == 0)
 
 

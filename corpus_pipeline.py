@@ -3,6 +3,13 @@
 Each stage is (name, function of (spark, docs, sf_dir)); it works on all that the one before it kept, and all
 but the last return the columns of `documents`. There is no SQL for it: language ID and the memberships of
 the mixing are learned, and differencing is iterative.
+
+Nulls and ties, stage by stage: a null or letterless text is in no language and goes first; a null doc_id is a
+document like any other, is never dropped as a near copy and sorts first in its shard; of rows that repeat doc_id and
+text one stays; of near copies the one with the least doc_id stays, and rows of one doc_id with different texts are judged
+each for itself; null lang, source or other columns are passed on. Empty tables give no rows, and an empty `labels` or
+`benchmark` leaves the mixture as it is or nothing contaminated. Columns that are named like those that an operator adds keep
+their own values.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from capquill.llm.common import cut, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted with the calibrated confidence; rejected ones go."""
     model = language_id.learn(language_id.training_rows(docs))
-    return language_id.identify(docs, model).where("accepted").select(docs.columns)
+    return language_id.accepted(docs, model)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says, once at least; twice the words in all, by the target weights."""
+    """Documents as often as their fitted rate says, once at least, by the target weights; as many words in all as that takes."""
     return mixing.resample(docs, mixing.domains_of(table(spark, sf_dir, "labels")), mixing.TARGETS)
 
 
