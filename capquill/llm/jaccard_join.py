@@ -40,7 +40,7 @@ from capquill.llm.common import KEEP, columns_or_null, cut, partitions, table
 from capquill.llm.components import components
 
 #: Members of a group, their tokens, and queries that open it in one task, on average at most.
-GROUP, TOKENS, QUERIES = 2_048, 1 << 20, 4_096
+GROUP, TOKENS, QUERIES = 512, 1 << 20, 1_024
 #: Token buckets that are counted. Tokens of a bucket are moved to the end of the order if more prefixes than HOT, and more than 4 times the mean, have one of them.
 BUCKETS, HOT = 1 << 22, 100
 #: A prefix has one more token for so many of the set.
