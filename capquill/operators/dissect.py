@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from capquill.functions import octets as O
-from capquill.operators.layers import LAYERS, Layer, field
+from capquill.operators.layers import LAYERS, Layer, decoded_name, field
 
 CAPTURE = "num bigint, time double, wirelen bigint, linktype int, data binary"
 _EXTENSIONS = (0, 43, 60)
@@ -33,8 +34,10 @@ def capture(frames: DataFrame) -> DataFrame:
 
 
 _NETWORK = {"ARP": 0x0806, "IP": 0x0800, "IPv6": 0x86DD}
-_TRANSPORT = {"TCP": 6, "UDP": 17, "ICMP": 1, "ICMPv6": 58, "GRE": 47, "SCTP": 132}
-_PORTS = {"DNS": 53, "NTP": 123, "VXLAN": 4789, "RIP": 520}
+_TRANSPORT = {"TCP": 6, "UDP": 17, "ICMP": 1, "ICMPv6": 58, "GRE": 47, "SCTP": 132, "IGMP": 2, "OSPF": 89}
+_PORTS = {"DNS": (53,), "NTP": (123,), "VXLAN": (4789,), "RIP": (520,), "BOOTP": (67, 68), "NetFlowV5": (2055,), "Geneve": (6081,), "GTP_U": (2152,)}
+#: Layers over the link layer by EtherType, before the network layer or instead of it.
+_TAGGED = {"MPLS": 0x8847, "PPPoE": 0x8864}
 
 
 class _Batch:
@@ -90,6 +93,15 @@ def _offsets(b: _Batch, bind: Sequence[tuple[Layer, str, dict[str, int]]]) -> di
         here = only(more, top)
         proto, top = np.where(more, b.be(here, 1), proto), np.where(more, top + (b.be(after(here, 1), 1) + 1) * 8, top)
     rest = np.where(arp >= 0, end, np.where(top >= 0, top, np.where(ether >= 0, l3, 0)))
+    for name, number in _TAGGED.items():
+        at[name] = only((ether >= 0) & (kind == number) & (size - l3 >= LAYERS[name].least), l3)
+        rest = np.where(at[name] >= 0, at[name] + LAYERS[name].least, rest)
+    # a length instead of an EtherType: 802.3 with LLC, and SNAP in it
+    llc = at["LLC"] = only((ether >= 0) & (kind <= 1500) & (size - l3 >= 3), l3)
+    end = np.where(llc >= 0, np.minimum(end, l3 + kind), end)
+    rest = np.where(llc >= 0, llc + 3, rest)
+    snap = at["SNAP"] = only((llc >= 0) & (b.be(llc, 3) == 0xAAAA03) & (end - rest >= 5), rest)
+    rest = np.where(snap >= 0, snap + 5, rest)
     for name, number in _TRANSPORT.items():
         at[name] = only((proto == number) & (end - top >= LAYERS[name].least), top)
         rest = np.where(at[name] >= 0, at[name] + LAYERS[name].least, rest)
@@ -99,7 +111,10 @@ def _offsets(b: _Batch, bind: Sequence[tuple[Layer, str, dict[str, int]]]) -> di
     end = np.where((udp >= 0) & (told >= 8), np.minimum(end, udp + told), end)
     rest = np.minimum(rest, end)
 
-    claims = {n: (udp >= 0) & ((b.be(udp, 2) == k) | (b.be(after(udp, 2), 2) == k)) & (end - rest >= LAYERS[n].least) for n, k in _PORTS.items()}
+    claims = {n: (udp >= 0) & (np.isin(b.be(udp, 2), k) | np.isin(b.be(after(udp, 2), 2), k)) & (end - rest >= LAYERS[n].least) for n, k in _PORTS.items()}
+    claims["NetFlowV5"] &= b.be(rest, 2) == 5
+    # no port but the content says that it is TLS: a record type, version 3.x and a length that may be
+    claims["TLS"] = (tcp >= 0) & (end - rest >= 5) & np.isin(b.be(rest, 1), (20, 21, 22, 23)) & (b.be(after(rest, 1), 1) == 3) & (b.be(after(rest, 2), 1) <= 4) & (b.be(after(rest, 3), 2) <= 16384 + 2048)
     for layer, parent, condition in bind:
         holds = (at[parent] >= 0) & (end - rest >= layer.least)
         for field_name, value in condition.items():
@@ -114,31 +129,48 @@ def _offsets(b: _Batch, bind: Sequence[tuple[Layer, str, dict[str, int]]]) -> di
     return {**at, "_after": rest, "end": end, "Padding": only(end < size, end)}
 
 
-def dissect(df: DataFrame, bind: Sequence[tuple[Layer, str, dict[str, int]]] = ()) -> DataFrame:
-    """df with offsets. bind: (layer, parent layer, {field of the parent: value}) places layers over payloads, before any port's claim."""
+def dissect(df: DataFrame, bind: Sequence[tuple[Layer, str, dict[str, int]]] = (), fields: Sequence[str] = ()) -> DataFrame:
+    """df with offsets. bind: (layer, parent layer, {field of the parent: value}) places layers over payloads, before any port's claim.
+
+    fields: "Layer.field" names whose numbers are decoded in the same pass, into columns for `Layer.raw(decoded=True)`.
+    """
+    wanted = [(layer, name) for layer, name in dict.fromkeys(map(field, fields)) if layer.fields[name].numeric]
     if "off_Ether" in df.columns:
+        if not all(decoded_name(*w) in df.columns for w in wanted):
+            raise ValueError("the capture is dissected already, without these fields")
         return df
-    names = ["Ether", "Dot1Q", *_NETWORK, *_TRANSPORT, *(layer.name for layer, _, _ in reversed(bind)), *_PORTS, "Raw"]
-    chain_of = [n for k in names for n in ([k, "_inner"] if k == "IPv6" else [k])] + ["Padding"]
-    shown = pa.array(["IP" if n == "_inner" else n for n in chain_of])
-    kind = ", ".join([*(f"off_{n}: int" for n in names), "_after: int", "end: int", "chain: array<string>"])
+    names = ["Ether", "Dot1Q", *_TAGGED, "LLC", "SNAP", *_NETWORK, "IP_2", *_TRANSPORT, *(layer.name for layer, _, _ in reversed(bind)), *_PORTS, "TLS", "Raw"]
+    chain_of = [*names, "Padding"]
+    shown = pa.array(["IP" if n == "IP_2" else n for n in chain_of])
+    kind = ", ".join([*(f"off_{n}: int" for n in names), "_after: int", "end: int", "chain: array<string>", *(f"{decoded_name(*w)}: bigint" for w in wanted)])
 
     @F.arrow_udf(f"struct<{kind}>")
     def offsets(data: pa.Array, linktype: pa.Array) -> pa.Array:
-        at = _offsets(_Batch(data, linktype.fill_null(-1).to_numpy(zero_copy_only=False)), bind)
+        batch = _Batch(data, linktype.fill_null(-1).to_numpy(zero_copy_only=False))
+        at = _offsets(batch, bind)
+        at["IP_2"] = at["_inner"]
         integer = lambda v: pa.array(v.astype(np.int32), pa.int32(), mask=v < 0)
         here = np.stack([at[n] >= 0 for n in chain_of], axis=1)
         first = np.concatenate(([0], np.cumsum(here.sum(axis=1)))).astype(np.int32)
         chain = pa.ListArray.from_arrays(pa.array(first), shown.take(pa.array(np.nonzero(here)[1])))
-        parts = [*(integer(at[n]) for n in names), integer(at["_after"]), integer(at["end"]), chain]
-        return pa.StructArray.from_arrays(parts, names=[*(f"off_{n}" for n in names), "_after", "end", "chain"])
+
+        def decoded(layer: Layer, name: str) -> pa.Array:
+            f, where = layer.fields[name], at[layer.anchor.removeprefix("off_")]
+            gone = where < 0
+            if f.when:
+                other = layer.fields[f.when[0]]
+                gone = gone | ~np.isin(batch.bits(where, other.bit, other.width), f.when[1])
+            return pa.array(batch.bits(where, f.bit, f.width), pa.int64(), mask=gone)
+
+        parts = [*(integer(at[n]) for n in names), integer(at["_after"]), integer(at["end"]), chain, *(decoded(*w) for w in wanted)]
+        return pa.StructArray.from_arrays(parts, names=[*(f"off_{n}" for n in names), "_after", "end", "chain", *(decoded_name(*w) for w in wanted)])
 
     # as a nondeterministic function it is called once a row, and filters on offsets aren't merged into it
     out = df.withColumn("_at", offsets.asNondeterministic()("data", "linktype"))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "_at.*")
 
 
-def layer_column(spec: str | tuple, rendered: bool = False) -> Column:
+def layer_column(spec: str | tuple, rendered: bool = False, decoded: bool = False) -> Column:
     """The column of "Layer.field", of a field of Frame (num, time, len), or of "Layer" alone (its presence)."""
     text = spec if isinstance(spec, str) else ".".join(spec[:2])
     if "." not in text:
@@ -146,7 +178,13 @@ def layer_column(spec: str | tuple, rendered: bool = False) -> Column:
     if text.startswith("Frame."):
         return {"num": F.col("num"), "time": F.col("time"), "len": F.length("data").cast("bigint")}[text[6:]]
     layer, name = field(text)
-    return layer.rendered(name) if rendered else layer.value(name)
+    return layer.rendered(name, decoded) if rendered else layer.value(name, decoded)
+
+
+def _needed(specs: Sequence[str | tuple], where: Sequence[tuple]) -> list[str]:
+    """Those of the fields that frames don't have by themselves."""
+    named = [s if isinstance(s, str) else ".".join(s[:2]) for s in specs] + [".".join(c[:2]) for c in where]
+    return [n for n in named if "." in n and not n.startswith("Frame.")]
 
 
 def columns(df: DataFrame, specs: Sequence[str | tuple], where: Sequence[tuple] = (), layer: str | None = None) -> DataFrame:
@@ -154,8 +192,9 @@ def columns(df: DataFrame, specs: Sequence[str | tuple], where: Sequence[tuple]
     names = [s if isinstance(s, str) else s[2] if len(s) > 2 else ".".join(s) for s in specs]
     if len(set(names)) < len(names):
         raise ValueError("duplicate output names")
-    kept = keep(dissect(df), where, layer)
-    return kept.select(*[layer_column(s).alias(n) for s, n in zip(specs, names, strict=True)])
+    ready = "off_Ether" in df.columns
+    kept = keep(df if ready else dissect(df, fields=_needed(specs, where)), where, layer, decoded=not ready)
+    return kept.select(*[layer_column(s, decoded=not ready).alias(n) for s, n in zip(specs, names, strict=True)])
 
 
 _OPERATORS = {"==": "==", "=": "==", "eq": "==", "!=": "!=", "ne": "!=", "<": "<", "lt": "<", "<=": "<=", "le": "<=", ">": ">", "gt": ">", ">=": ">=", "ge": ">="}
@@ -177,8 +216,9 @@ def _literal(layer: Layer, name: str, value) -> object:
         import ipaddress
 
         return ipaddress.IPv6Address(value).packed
-    if f.kind == "flags" and set(value) <= set(f.letters):
-        return sum(1 << f.letters.index(c) for c in set(value))
+    flags = value.split(f.between) if f.between else list(value)
+    if f.kind == "flags" and set(flags) <= set(f.letters):
+        return sum(1 << f.letters.index(c) for c in set(flags))
     if value.isdigit():
         return int(value)
     named = {label: number for number, label in f.names.items()}
@@ -187,7 +227,7 @@ def _literal(layer: Layer, name: str, value) -> object:
     raise ValueError(f"no value of {layer.name}.{name}: {value}")
 
 
-def predicate(conditions: Sequence[tuple]) -> Column:
+def predicate(conditions: Sequence[tuple], decoded: bool = False) -> Column:
     """AND of (layer, field, op, value); a condition on an absent layer or inactive field is false, != as well."""
     out = F.lit(True)
     for c in conditions:
@@ -197,17 +237,18 @@ def predicate(conditions: Sequence[tuple]) -> Column:
             left, right = layer_column(f"Frame.{name}"), F.lit(value)
         else:
             spec, name = field((layer, name))
-            left, right = spec.raw(name), F.lit(_literal(spec, name, value))
+            left, right = spec.raw(name, decoded), F.lit(_literal(spec, name, value))
         test = {"==": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
         out = out & F.coalesce(test, F.lit(False))
     return out
 
 
-def keep(df: DataFrame, where: Sequence[tuple] = (), layer: str | None = None) -> DataFrame:
+def keep(df: DataFrame, where: Sequence[tuple] = (), layer: str | None = None, decoded: bool = False) -> DataFrame:
+    """The packets that have the layer and meet the conditions; decoded: as `dissect` was given their fields."""
     df = dissect(df)
     if layer:
         df = df.where(F.col(f"off_{layer}").isNotNull())
-    return df.where(predicate(where)) if where else df
+    return df.where(predicate(where, decoded)) if where else df
 
 
 def payload() -> Column:
@@ -226,37 +267,83 @@ def is_plain_padding() -> Column:
     return h == F.repeat(F.substring(h, 1, 2), (F.length(h) / 2).cast("int"))
 
 
+def _word_sums(b: _Batch, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Sum of the 16-bit words of start:stop of each frame, an odd last octet padded with zero; running sums over all octets, no loop over frames."""
+    sums = np.zeros((2, len(b.raw) + 1), np.int64)
+    even = np.arange(len(b.raw)) % 2 == 0
+    np.cumsum(np.where(even, b.raw, 0), out=sums[0, 1:])
+    np.cumsum(np.where(even, 0, b.raw), out=sums[1, 1:])
+    good = (start >= 0) & (stop > start)
+    low = np.where(good, b.base + start, 0)
+    high = np.where(good, b.base + np.minimum(stop, b.size), 0)
+    both = sums[:, high] - sums[:, low]
+    odd = low % 2 == 1
+    return np.where(odd, 256 * both[1] + both[0], 256 * both[0] + both[1])
+
+
+def _complement(total: np.ndarray) -> np.ndarray:
+    for _ in range(3):
+        total = (total >> 16) + (total & 0xFFFF)
+    return 0xFFFF - total
+
+
+@F.arrow_udf(LongType())
+def _ip_sum(data: pa.Array, ip: pa.Array) -> pa.Array:
+    b, at = _Batch(data, np.zeros(len(data))), ip.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    head = np.maximum(b.bits(at, 4, 4) * 4, 20)
+    return pa.array(_complement(_word_sums(b, at, at + head) - b.be(np.where(at < 0, -1, at + 10), 2)), mask=at < 0)
+
+
+@F.arrow_udf(LongType())
+def _transport_sum(data: pa.Array, ip: pa.Array, ip6: pa.Array, at: pa.Array, end: pa.Array, proto: pa.Array, field_at: pa.Array) -> pa.Array:
+    b = _Batch(data, np.zeros(len(data)))
+    ip, ip6, at, end, proto, field_at = (x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ip, ip6, at, end, proto, field_at))
+    ends = np.where(ip >= 0, _word_sums(b, np.where(ip < 0, -1, ip + 12), ip + 20), _word_sums(b, np.where(ip6 < 0, -1, ip6 + 8), ip6 + 40))
+    total = ends + proto + (end - at) + _word_sums(b, at, end) - b.be(np.where(at < 0, -1, at + field_at), 2)
+    value = _complement(total)
+    value = np.where((proto == 17) & (value == 0), 0xFFFF, value)
+    return pa.array(value, mask=(at < 0) | ((ip < 0) & (ip6 < 0)))
+
+
 def ip_checksum() -> Column:
-    """Header checksum that the IPv4 header should carry."""
-    at = F.col("off_IP")
-    total = sum((O.be(F.col("data"), at + 2 * i, 2) for i in range(10) if i != 5), F.lit(0).cast("bigint"))
-    rest = O.part(F.col("data"), at + 20, O.bits(F.col("data"), at, 4, 4) * 4 - 20)
-    return F.when(at.isNotNull(), O.fold(total + F.when(F.length(rest) > 0, O.word_sum(rest)).otherwise(0)))
+    """Header checksum that the IPv4 header should carry; null without one."""
+    return _ip_sum("data", "off_IP")
+
+
+#: Transport layers with a checksum over a pseudo header: protocol, and where it stands.
+_SUMMED = {"TCP": (6, 16), "UDP": (17, 6), "ICMPv6": (58, 2)}
 
 
 def transport_checksum(layer: str) -> Column:
-    """Checksum that TCP or UDP over IPv4 should carry; UDP's zero is sent as 0xFFFF."""
-    data, ip, at = F.col("data"), F.col("off_IP"), F.col(f"off_{layer}")
-    field_at = {"TCP": 16, "UDP": 6}[layer]
-    size = F.col("end") - at
-    pseudo = sum((O.be(data, ip + o, 2) for o in (12, 14, 16, 18)), F.lit(0).cast("bigint")) + {"TCP": 6, "UDP": 17}[layer] + size
-    total = O.fold(pseudo + O.word_sum(O.part(data, at, size)) - O.be(data, at + field_at, 2))
-    if layer == "UDP":
-        total = F.when(total == 0, 0xFFFF).otherwise(total)
-    return F.when(ip.isNotNull() & at.isNotNull(), total)
+    """Checksum that TCP or UDP over IPv4 or IPv6, or ICMPv6, should carry; UDP's zero is sent as 0xFFFF."""
+    proto, field_at = _SUMMED[layer]
+    ip = F.coalesce(F.col("off_IP_2"), F.col("off_IP"))
+    return _transport_sum(F.col("data"), ip, F.col("off_IPv6"), F.col(f"off_{layer}"), F.col("end"), F.lit(proto), F.lit(field_at))
+
+
+@F.arrow_udf(LongType())
+def _plain_sum(data: pa.Array, at: pa.Array, end: pa.Array) -> pa.Array:
+    b, at, end = _Batch(data, np.zeros(len(data))), *(x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (at, end))
+    return pa.array(_complement(_word_sums(b, at, end) - b.be(np.where(at < 0, -1, at + 2), 2)), mask=at < 0)
+
+
+def icmp_checksum() -> Column:
+    """Checksum that ICMP should carry."""
+    return _plain_sum("data", "off_ICMP", "end")
 
 
 def recompute(df: DataFrame) -> DataFrame:
-    """df with the checksums of IPv4, TCP and UDP written into data."""
+    """df with the checksums of IPv4, TCP, UDP, ICMP and ICMPv6 written into data."""
     put = lambda data, at, value: F.concat(O.part(data, 0, at), O.octets(value, 2), O.part(data, at + 2, F.length(data)))
     out = dissect(df)
-    for name, at, value in (("TCP", 16, transport_checksum("TCP")), ("UDP", 6, transport_checksum("UDP")), ("IP", 10, ip_checksum())):
+    sums = [(name, at, transport_checksum(name)) for name, (_, at) in _SUMMED.items()] + [("ICMP", 2, icmp_checksum()), ("IP", 10, ip_checksum())]
+    for name, at, value in sums:
         here = F.col(f"off_{name}")
-        out = out.withColumn("data", F.when(value.isNotNull(), put(F.col("data"), here + at, value)).otherwise(F.col("data")))
+        out = out.withColumn("_sum", value).withColumn("data", F.when(F.col("_sum").isNotNull(), put(F.col("data"), here + at, F.col("_sum"))).otherwise(F.col("data"))).drop("_sum")
     return out
 
 
-_DIRECTIVE = re.compile(r"%%|%(?:(?P<fmt>[^%,.a-zA-Z]*)(?P<raw>r)?,)?(?P<spec>(?:[A-Za-z0-9]+\.)?[a-z_0-9]+|\.time)%|\{(?P<neg>!?)(?P<layer>[A-Za-z0-9]+):")
+_DIRECTIVE = re.compile(r"%%|%(?:(?P<fmt>[^%,.a-zA-Z]*)(?P<raw>r)?,)?(?P<spec>(?:[A-Za-z0-9_]+(?::\d)?\.)?[a-z_0-9]+|\.time)%|\{(?P<neg>!?)(?P<layer>[A-Za-z0-9]+):")
 
 
 def sprintf(template: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capquill.operators.dissect import dissect, layer_column
+from capquill.operators.layers import LAYERS
 
 
 def _text(spec: str) -> Column:
@@ -21,7 +22,7 @@ def session_key() -> Column:
     src, dst = F.coalesce(_text("IP.src"), _text("IPv6.src")), F.coalesce(_text("IP.dst"), _text("IPv6.dst"))
     both = F.concat(src, F.lit(" > "), dst)
     ports = lambda n: F.concat(F.lit(n + " "), src, F.lit(":"), _text(f"{n}.sport"), F.lit(" > "), dst, F.lit(":"), _text(f"{n}.dport"))
-    echo = F.concat(F.lit("ICMP "), both, F.lit(" type="), _text("ICMP.type"), F.lit(" code="), _text("ICMP.code"), F.lit(" id=0x"), F.coalesce(F.lower(F.hex(layer_column("ICMP.id"))), F.lit("0")))
+    echo = F.concat(F.lit("ICMP "), both, F.lit(" type="), _text("ICMP.type"), F.lit(" code="), _text("ICMP.code"), F.coalesce(F.concat(F.lit(" id=0x"), F.lower(F.hex(layer_column("ICMP.id")))), F.lit("")))
     return (
         F.when(has("TCP"), ports("TCP")).when(has("UDP"), ports("UDP"))
         .when(has("IPv6"), F.concat(F.lit("IPv6 "), both, F.lit(" nh="), _text("IPv6.nh")))
@@ -33,10 +34,16 @@ def session_key() -> Column:
     )
 
 
+def of_capture(df: DataFrame) -> list[str]:
+    """["capture"] if packets of several captures are told apart by such a column, else []."""
+    return ["capture"] if "capture" in df.columns else []
+
+
 def sessions(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """session, packets, octets, first_num, last_num of each flow; pre-aggregated, packets are never gathered."""
-    keyed = dissect(df).select((session_key() if key is None else key).alias("session"), "num", F.length("data").alias("size"))
-    return keyed.groupBy("session").agg(F.count("*").alias("packets"), F.sum("size").cast("bigint").alias("octets"), F.min("num").alias("first_num"), F.max("num").alias("last_num"))
+    """session, packets, octets, first_num, last_num of each flow, of each capture for itself; pre-aggregated, packets are never gathered."""
+    own = of_capture(df)
+    keyed = dissect(df).select(*own, (session_key() if key is None else key).alias("session"), "num", F.length("data").alias("size"))
+    return keyed.groupBy(*own, "session").agg(F.count("*").alias("packets"), F.sum("size").cast("bigint").alias("octets"), F.min("num").alias("first_num"), F.max("num").alias("last_num"))
 
 
 def session_windows(df: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -93,3 +100,55 @@ def relative_sequence(df: DataFrame, key: Sequence[str], seq: str = "seq") -> Da
     first = df.groupBy(*key).agg(F.min_by(seq, "num").alias("_isn"))
     delta = F.pmod(F.col(seq) - F.col("_isn") + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
     return df.join(first, list(key)).withColumn("rel", delta).drop("_isn")
+
+
+def ack_consistent(df: DataFrame) -> DataFrame:
+    """num, expected, consistent of TCP packets that acknowledge the one before in their stream's other direction.
+
+    expected is seq + payload + SYN + FIN of the last packet of the other direction, modulo 2**32; consistent is null
+    without the ACK flag or without such a packet. An advisory check of neighbours, not a reassembly.
+    """
+    own = of_capture(df)
+    d = dissect(df).where(F.col("off_TCP").isNotNull())
+    src, dst = (F.concat_ws(":", F.coalesce(_text(f"IP.{e}"), _text(f"IPv6.{e}")), _text(f"TCP.{p}")) for e, p in (("src", "sport"), ("dst", "dport")))
+    flags = layer_column("TCP.seq"), layer_column("TCP.ack"), LAYERS["TCP"].raw("flags")
+    sent = F.greatest(F.col("end") - F.col("_after"), F.lit(0)) + F.shiftright(flags[2], 1).bitwiseAND(1) + flags[2].bitwiseAND(1)
+    s = d.select(*own, "num", F.concat_ws(" - ", F.least(src, dst), F.greatest(src, dst)).alias("stream"), (src < dst).alias("up"), F.pmod(flags[0] + sent, F.lit(1 << 32)).alias("next"), flags[1].alias("ack"), (flags[2].bitwiseAND(16) != 0).alias("acks"))
+    before = Window.partitionBy(*own, "stream").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda up: F.last(F.when(F.col("up") == up, F.col("next")), ignorenulls=True).over(before)
+    s = s.withColumn("_a", last(True)).withColumn("_b", last(False)).withColumn("expected", F.when(F.col("up"), F.col("_b")).otherwise(F.col("_a")))
+    return s.select(*own, "num", "expected", F.when(F.col("acks"), F.col("ack") == F.col("expected")).alias("consistent"))
+
+
+def time_skew(df: DataFrame, stamp: Column) -> DataFrame:
+    """src, num, x, skew of a sender's clock against the capture's: stamp is its time in milliseconds, its first packet the origin."""
+    own = of_capture(df)
+    d = dissect(df).select(*own, F.coalesce(_text("IP.src"), _text("IPv6.src")).alias("src"), "num", "time", stamp.cast("double").alias("stamp")).where("src is not null and stamp is not null")
+    first = d.groupBy(*own, "src").agg(F.min_by(F.struct("time", "stamp"), "num").alias("first"))
+    d = d.join(first, [*own, "src"])
+    skew = (F.col("time") - F.col("first.time")) - (F.col("stamp") - F.col("first.stamp")) / 1000
+    return d.select(*own, "src", "num", (F.col("time") % 2000).alias("x"), skew.alias("skew"))
+
+
+def series(df: DataFrame, label: Column, value: Column) -> DataFrame:
+    """label, num, value in long form: a series of each label in the order of num, rows without a label or value left out."""
+    return dissect(df).select(label.alias("label"), "num", value.alias("value")).where("label is not null and value is not null")
+
+
+def top(df: DataFrame, key: Column, k: int) -> DataFrame:
+    """The k most frequent values of key with their packets; of equal counts the lesser key comes first."""
+    return dissect(df).select(key.alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("packets")).orderBy(F.desc("packets"), "key").limit(k)
+
+
+def take(df: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """The packets of these numbers, in the order given, once for each time that a number is given; `at` is the place in it."""
+    wanted = df.sparkSession.createDataFrame(list(enumerate(positions)), "at bigint, num bigint")
+    return df.join(F.broadcast(wanted), "num")
+
+
+def dot(edges: DataFrame, source: str, target: str, label: str) -> DataFrame:
+    """line: the lines of a DOT document of the edges, to be written with `write.text`."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    body = edges.select(F.lit(1).alias("k"), F.concat(F.lit("  "), quoted(source), F.lit(" -> "), quoted(target), F.lit(" [label="), quoted(label), F.lit("];")).alias("line"))
+    ends = edges.sparkSession.createDataFrame([(0, "digraph capture {"), (2, "}")], "k int, line string")
+    return body.unionByName(ends).orderBy("k", "line").select("line")

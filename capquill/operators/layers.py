@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +17,17 @@ class Field:
     bit: int
     width: int
     kind: str = "uint"
-    letters: str = ""
+    #: Names of the bits of a flags field, the least significant first, and what stands between them.
+    letters: tuple[str, ...] = ()
+    between: str = ""
     names: dict[int, str] = field(default_factory=dict, hash=False)
     #: Another field and the values of it for which this one exists; else it is null.
     when: tuple[str, tuple[int, ...]] | None = None
 
+    @property
+    def numeric(self) -> bool:
+        return self.kind in ("uint", "ipv4", "flags")
+
 
 @dataclass(frozen=True)
 class Layer:
@@ -29,14 +35,19 @@ class Layer:
     least: int
     fields: dict[str, Field] = field(hash=False)
 
+    #: Which occurrence of the layer in a frame, from 1.
+    nth: int = 1
+
     @property
     def anchor(self) -> str:
-        """Column with the offset of the first occurrence, null where the layer is absent."""
-        return f"off_{self.name}"
+        """Column with the offset of the occurrence, null where the layer is absent."""
+        return f"off_{self.name}" if self.nth == 1 else f"off_{self.name}_{self.nth}"
 
-    def raw(self, name: str) -> Column:
-        """The field as an integer or octets; null where the layer is absent or the field inactive."""
+    def raw(self, name: str, decoded: bool = False) -> Column:
+        """The field as an integer or octets; null where the layer is absent or the field inactive. decoded: from the column that `dissect` made."""
         f, at, data = self.fields[name], F.col(self.anchor), F.col("data")
+        if decoded and f.numeric:
+            return F.col(decoded_name(self, name))
         if f.kind in ("mac", "ipv6", "bytes"):
             value = O.part(data, at + f.bit // 8, f.width // 8)
         elif f.kind == "le":
@@ -48,9 +59,9 @@ class Layer:
             here = here & self.raw(f.when[0]).isin(*f.when[1])
         return F.when(here, value)
 
-    def value(self, name: str) -> Column:
+    def value(self, name: str, decoded: bool = False) -> Column:
         """The field as users see it: addresses and flags as text, integers as they are."""
-        f, raw = self.fields[name], self.raw(name)
+        f, raw = self.fields[name], self.raw(name, decoded)
         if f.kind == "ipv4":
             return F.when(raw.isNotNull(), O.ipv4_text(raw))
         if f.kind == "mac":
@@ -58,21 +69,31 @@ class Layer:
         if f.kind == "ipv6":
             return O.ipv6_text(raw)
         if f.kind == "flags":
-            return F.when(raw.isNotNull(), flag_letters(raw, f.letters))
+            return F.when(raw.isNotNull(), flag_letters(raw, f.letters, f.between))
         return raw
 
-    def rendered(self, name: str) -> Column:
+    def rendered(self, name: str, decoded: bool = False) -> Column:
         """Enumerated integers by their names, everything else as text."""
-        value = self.value(name)
+        value = self.value(name, decoded)
         out = value.cast("string") if self.fields[name].kind != "bytes" else F.lower(F.hex(value))
         for number, label in self.fields[name].names.items():
             out = F.when(value == number, label).otherwise(out)
         return out
 
 
-def flag_letters(value: Column, letters: str) -> Column:
-    """The letters of the set bits, the least significant first."""
-    return F.concat(*[F.when(value.bitwiseAND(1 << i) != 0, c).otherwise("") for i, c in enumerate(letters)])
+def decoded_name(layer: Layer, name: str) -> str:
+    return f"_field_{layer.name}_{layer.nth}_{name}"
+
+
+def flag_letters(value: Column, letters: tuple[str, ...], between: str = "") -> Column:
+    """The names of the set bits, the least significant first."""
+    return F.concat_ws(between, *[F.when(value.bitwiseAND(1 << i) != 0, c) for i, c in enumerate(letters)])
+
+
+def has_flag(spec: str, letter: str) -> Column:
+    """Whether a packet has the layer and the flag of the name is set in the field."""
+    layer, name = field(spec)
+    return F.coalesce(layer.raw(name).bitwiseAND(1 << layer.fields[name].letters.index(letter)) != 0, F.lit(False))
 
 
 def _row(spec: str, **more: dict) -> dict[str, Field]:
@@ -90,7 +111,11 @@ ETHER_TYPES = {0x0800: "IPv4", 0x0806: "ARP", 0x8100: "VLAN", 0x86DD: "IPv6"}
 PROTOCOLS = {1: "icmp", 2: "igmp", 4: "ipencap", 6: "tcp", 17: "udp", 41: "ipv6", 47: "gre", 50: "esp", 58: "ipv6_icmp", 89: "ospf", 132: "sctp"}
 ICMP_TYPES = {0: "echo-reply", 3: "dest-unreach", 4: "source-quench", 5: "redirect", 8: "echo-request", 11: "time-exceeded", 12: "parameter-problem"}
 ARP_OPERATIONS = {1: "who-has", 2: "is-at"}
-TCP_FLAGS, IP_FLAGS = "FSRPAUEC", ("M", "D", "E")
+TCP_FLAGS = ("F", "S", "R", "P", "A", "U", "E", "C", "N")
+IP_FLAGS = ("MF", "DF", "evil")
+ICMPV6_TYPES = {1: "dest-unreach", 2: "packet-too-big", 3: "time-exceeded", 4: "parameter-problem", 128: "echo-request", 129: "echo-reply", 133: "router-solicit", 134: "router-advert", 135: "neighbor-solicit", 136: "neighbor-advert"}
+IGMP_TYPES = {17: "query", 18: "report-v1", 22: "report-v2", 23: "leave", 34: "report-v3"}
+SERVICES = {20: "ftp-data", 21: "ftp", 22: "ssh", 23: "telnet", 25: "smtp", 53: "domain", 67: "bootps", 68: "bootpc", 80: "http", 110: "pop3", 123: "ntp", 143: "imap", 161: "snmp", 179: "bgp", 389: "ldap", 443: "https", 514: "syslog", 520: "router", 5060: "sip"}
 
 _ECHO = {"when": ("type", (0, 8, 13, 14, 15, 16, 17, 18))}
 LAYERS = {
@@ -99,18 +124,29 @@ LAYERS = {
         Layer("Ether", 14, _row("dst:48:mac src:48:mac type:16", type={"names": ETHER_TYPES})),
         Layer("Dot1Q", 4, _row("prio:3 dei:1 vlan:12 type:16", type={"names": ETHER_TYPES})),
         Layer("ARP", 28, _row("hwtype:16 ptype:16 hwlen:8 plen:8 op:16 hwsrc:48:mac psrc:32:ipv4 hwdst:48:mac pdst:32:ipv4", ptype={"names": ETHER_TYPES}, op={"names": ARP_OPERATIONS})),
-        Layer("IP", 20, _row("version:4 ihl:4 tos:8 len:16 id:16 flags:3:flags frag:13 ttl:8 proto:8 chksum:16 src:32:ipv4 dst:32:ipv4", flags={"letters": "EDM"[::-1]}, proto={"names": PROTOCOLS})),
+        Layer("IP", 20, _row("version:4 ihl:4 tos:8 len:16 id:16 flags:3:flags frag:13 ttl:8 proto:8 chksum:16 src:32:ipv4 dst:32:ipv4", flags={"letters": IP_FLAGS, "between": "+"}, proto={"names": PROTOCOLS})),
         Layer("IPv6", 40, _row("version:4 tc:8 fl:20 plen:16 nh:8 hlim:8 src:128:ipv6 dst:128:ipv6", nh={"names": PROTOCOLS})),
-        Layer("TCP", 20, _row("sport:16 dport:16 seq:32 ack:32 dataofs:4 reserved:4 flags:8:flags window:16 chksum:16 urgptr:16", flags={"letters": TCP_FLAGS})),
+        Layer("TCP", 20, _row("sport:16 dport:16 seq:32 ack:32 dataofs:4 reserved:3 flags:9:flags window:16 chksum:16 urgptr:16", flags={"letters": TCP_FLAGS})),
         Layer("UDP", 8, _row("sport:16 dport:16 len:16 chksum:16")),
         Layer("ICMP", 8, _row("type:8 code:8 chksum:16 id:16 seq:16", type={"names": ICMP_TYPES}, id=_ECHO, seq=_ECHO)),
-        Layer("ICMPv6", 4, _row("type:8 code:8 chksum:16")),
+        Layer("ICMPv6", 4, _row("type:8 code:8 chksum:16", type={"names": ICMPV6_TYPES})),
+        Layer("IGMP", 8, _row("type:8 mrcode:8 chksum:16 gaddr:32:ipv4", type={"names": IGMP_TYPES})),
+        Layer("OSPF", 24, _row("version:8 type:8 len:16 src:32:ipv4 area:32:ipv4 chksum:16 authtype:16")),
         Layer("GRE", 4, _row("chksum_present:1 routing_present:1 key_present:1 seqnum_present:1 strict:1 recursion:3 flags:5 version:3 proto:16", proto={"names": ETHER_TYPES})),
         Layer("VXLAN", 8, _row("flags:8 gpid:16 reserved1:8 vni:24 reserved2:8")),
         Layer("DNS", 12, _row("id:16 qr:1 opcode:4 aa:1 tc:1 rd:1 ra:1 z:1 ad:1 cd:1 rcode:4 qdcount:16 ancount:16 nscount:16 arcount:16")),
         Layer("NTP", 48, _row("leap:2 version:3 mode:3 stratum:8 poll:8 precision:8")),
         Layer("SCTP", 12, _row("sport:16 dport:16 tag:32 chksum:32")),
         Layer("RIP", 4, _row("cmd:8 version:8 null:16")),
+        Layer("BOOTP", 236, _row("op:8 htype:8 hlen:8 hops:8 xid:32 secs:16 flags:16 ciaddr:32:ipv4 yiaddr:32:ipv4 siaddr:32:ipv4 giaddr:32:ipv4 chaddr:48:mac")),
+        Layer("NetFlowV5", 24, _row("version:16 count:16 uptime:32 secs:32 nsecs:32 sequence:32 engine_type:8 engine_id:8 sampling:16")),
+        Layer("Geneve", 8, _row("version:2 optlen:6 oam:1 critical:1 reserved:6 proto:16 vni:24 reserved2:8", proto={"names": ETHER_TYPES})),
+        Layer("GTP_U", 8, _row("version:3 pt:1 reserved:1 e:1 s:1 pn:1 type:8 len:16 teid:32")),
+        Layer("TLS", 5, _row("type:8 version:16 len:16", type={"names": {20: "change_cipher_spec", 21: "alert", 22: "handshake", 23: "application_data"}})),
+        Layer("MPLS", 4, _row("label:20 cos:3 s:1 ttl:8")),
+        Layer("PPPoE", 6, _row("version:4 type:4 code:8 sessionid:16 len:16")),
+        Layer("LLC", 3, _row("dsap:8 ssap:8 ctrl:8")),
+        Layer("SNAP", 5, _row("oui:24 code:16", code={"names": ETHER_TYPES})),
     )
 }
 
@@ -124,14 +160,29 @@ def user_layer(name: str, fields: dict[str, Field]) -> Layer:
 
 
 def field(spec: str | tuple, layers: dict[str, Layer] | None = None) -> tuple[Layer, str]:
+    """"Layer.field", or "Layer:2.field" of the second occurrence (of IP only)."""
     layer, name = spec.split(".") if isinstance(spec, str) else spec[:2]
     known = layers or LAYERS
-    if layer not in known or name not in known[layer].fields:
+    layer, _, nth = layer.partition(":")
+    if layer not in known or name not in known[layer].fields or nth not in ("", "1", "2") or (nth == "2" and layer != "IP"):
         raise ValueError(f"no field {layer}.{name}")
-    return known[layer], name
+    return replace(known[layer], nth=int(nth or 1)), name
+
+
+def service(port: Column) -> Column:
+    """Name of a well-known port, else its number."""
+    out = port.cast("string")
+    for number, label in SERVICES.items():
+        out = F.when(port == number, label).otherwise(out)
+    return out
 
 
 def catalog(spark: SparkSession) -> DataFrame:
     """layer, field, bit, width, kind of all fields."""
-    rows = [(x.name, n, f.bit, f.width, f.kind) for x in LAYERS.values() for n, f in x.fields.items()]
-    return spark.createDataFrame(rows, "layer string, field string, bit int, width int, kind string")
+    rows = [(x.name, n, f.bit, f.width, f.kind, f.names or None, list(f.letters) or None) for x in LAYERS.values() for n, f in x.fields.items()]
+    return spark.createDataFrame(rows, "layer string, field string, bit int, width int, kind string, enum_names map<int,string>, flag_names array<string>")
+
+
+def known_layers(spark: SparkSession) -> DataFrame:
+    """layer, least (octets), fields (their number) of all layers."""
+    return spark.createDataFrame([(x.name, x.least, len(x.fields)) for x in LAYERS.values()], "layer string, least int, fields int")

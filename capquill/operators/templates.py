@@ -68,7 +68,7 @@ def icmp(kind: Column | int, code: int, ident: Column | int, seq: Column | int,
 
 
 def arp(op: Column | int, hwsrc: Column, psrc: Column, hwdst: Column, pdst: Column) -> Column:
-    return F.concat(F.unhex(F.lit("0001080006" + "04")), O.octets(O.as_column(op), 2), hwsrc, O.octets(psrc, 4), hwdst, O.octets(pdst, 4))
+    return F.concat(F.unhex(F.lit("000108000604")), O.octets(O.as_column(op), 2), hwsrc, O.octets(psrc, 4), hwdst, O.octets(pdst, 4))
 
 
 def concat_captures(parts: Sequence[DataFrame]) -> DataFrame:
