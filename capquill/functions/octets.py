@@ -117,3 +117,55 @@ def hexdump_line(data: Column) -> Column:
 def from_hexdump(text: Column) -> Column:
     """Octets of a textual dump of hex pairs, blanks ignored; null if it isn't one."""
     return F.unhex(F.regexp_replace(text, r"\s+", ""))
+
+
+def ipv6_octets(text: Column) -> Column:
+    """16 octets of an IPv6 address in hex groups, with or without `::`; null for other text."""
+    sides = F.split(text, "::")
+    groups = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.try_element_at(sides, F.lit(1))), groups(F.try_element_at(sides, F.lit(2)))
+    gap = F.lit(8) - F.size(left) - F.size(right)
+    cut = F.size(sides) == 2
+    zeros = F.when(cut & (gap > 0), F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>"))
+    whole = F.concat(left, zeros, right)
+    good = (F.size(sides) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & ~text.rlike("(^:[^:])|([^:]:$)|:::")
+    return F.when(good, F.unhex(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+
+
+def eui64(mac: Column) -> Column:
+    """Interface identifier of a MAC address of 6 octets."""
+    return F.concat(octets(number(part(mac, 0, 1)).bitwiseXOR(2), 1), part(mac, 1, 2), F.unhex(F.lit("fffe")), part(mac, 3, 3))
+
+
+def solicited_node(address: Column) -> Column:
+    """Solicited-node multicast address of 16 octets."""
+    return F.concat(F.unhex(F.lit("ff02" + "0" * 19 + "1ff")), part(address, 13, 3))
+
+
+def sixtofour(ipv4: Column) -> Column:
+    """6to4 prefix 2002:a.b.c.d::/48 of an IPv4 address as an integer, as 16 octets."""
+    return F.concat(F.unhex(F.lit("2002")), octets(ipv4, 4), F.unhex(F.lit("0" * 20)))
+
+
+def ipv6_kind(address: Column) -> Column:
+    """unspecified, loopback, multicast, link-local, site-local, unique-local, 6to4, teredo or global."""
+    h = F.lower(F.hex(address))
+    word = number(part(address, 0, 2))
+    return (
+        F.when(h == "0" * 32, "unspecified").when(h == "0" * 31 + "1", "loopback").when(h.startswith("ff"), "multicast")
+        .when(word.bitwiseAND(0xFFC0) == 0xFE80, "link-local").when(word.bitwiseAND(0xFFC0) == 0xFEC0, "site-local").when(word.bitwiseAND(0xFE00) == 0xFC00, "unique-local")
+        .when(word == 0x2002, "6to4").when(h.startswith("20010000"), "teredo").when(address.isNotNull(), "global")
+    )
+
+
+def human_size(n: Column) -> Column:
+    """Octets as K, M, G or T of 1024, one decimal."""
+    out = n.cast("string")
+    for k, unit in enumerate("KMGT", 1):
+        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.1f", n / float(1 << 10 * k)), F.lit(unit))).otherwise(out)
+    return out
+
+
+def binary_text(value: Column, width: int) -> Column:
+    """An integer in binary digits."""
+    return F.lpad(F.bin(value), width, "0")

@@ -405,3 +405,52 @@ def as_json(layers: Sequence[str]) -> Column:
         return F.when(F.col(layer.anchor).isNotNull(), F.struct(*cells)).alias(layer.name)
 
     return F.to_json(F.struct(*[shown(LAYERS[n]) for n in layers]))
+
+
+def rewrite(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """df with fields ("Layer.field": the new number, null for as it is) written into data; checksums are up to `recompute`."""
+    out = dissect(df)
+    for spec, value in values.items():
+        layer, name = field(spec)
+        f = layer.fields[name]
+        if not f.numeric:
+            raise ValueError(f"{spec} is no number")
+        first, last = f.bit // 8, (f.bit + f.width - 1) // 8
+        shift, n = 8 * (last + 1) - f.bit - f.width, last - first + 1
+        at, mask = F.col(layer.anchor) + first, ((1 << f.width) - 1) << shift
+        old = O.be(F.col("data"), at, n)
+        new = O.octets(old.bitwiseAND(~mask & ((1 << 8 * n) - 1)).bitwiseOR(F.shiftleft(value.cast("bigint").bitwiseAND((1 << f.width) - 1), shift)), n)
+        put = F.concat(O.part(F.col("data"), 0, at), new, O.part(F.col("data"), at + n, F.length("data")))
+        out = out.withColumn("data", F.when(layer.raw(name).isNotNull() & value.isNotNull(), put).otherwise(F.col("data")))
+    return out
+
+
+def show(layers: Sequence[str]) -> Column:
+    """A line for each layer that a packet has, of those named, and an indented one for each of its fields."""
+
+    def lines(layer: Layer) -> Column:
+        cells = [F.concat(F.lit(f"  {n:<12}= "), layer.rendered(n)) for n in layer.fields]
+        return F.when(F.col(layer.anchor).isNotNull(), F.concat_ws("\n", F.lit(f"###[ {layer.name} ]###"), *cells))
+
+    return F.concat_ws("\n", *[lines(LAYERS[n]) for n in layers])
+
+
+def host(address: str) -> Column:
+    """Packets from or to an IPv4 address."""
+    return predicate([("IP", "src", "==", address)]) | predicate([("IP", "dst", "==", address)])
+
+
+def net(cidr: str) -> Column:
+    """Packets from or to an IPv4 network."""
+    address, length = cidr.split("/")
+    number, shift = _literal(*field("IP.src"), address), 32 - int(length)
+    inside = lambda end: F.coalesce(F.shiftright(field(f"IP.{end}")[0].raw(end), shift) == number >> shift, F.lit(False))
+    return inside("src") | inside("dst")
+
+
+def port(number: int, layers: Sequence[str] = ("TCP", "UDP", "SCTP")) -> Column:
+    """Packets from or to a port of one of the layers."""
+    out = F.lit(False)
+    for layer in layers:
+        out = out | predicate([(layer, "sport", "==", number)]) | predicate([(layer, "dport", "==", number)])
+    return out

@@ -151,6 +151,11 @@ LAYERS = {
 }
 
 
+#: Elements that repeat after a header.
+RIP_ENTRY = Layer("RIPEntry", 20, _row("family:16 tag:16 addr:32:ipv4 mask:32:ipv4 nexthop:32:ipv4 metric:32"))
+NETFLOW_RECORD = Layer("NetFlowRecordV5", 48, _row("src:32:ipv4 dst:32:ipv4 nexthop:32:ipv4 input:16 output:16 packets:32 octets:32 first:32 last:32 sport:16 dport:16 pad1:8 tcp_flags:8 proto:8 tos:8 src_as:16 dst_as:16 src_mask:8 dst_mask:8 pad2:16"))
+
+
 def user_layer(name: str, fields: dict[str, Field]) -> Layer:
     """A declared layer; its widths must add up to whole octets. `dissect` places it with `bind`."""
     total = sum(f.width for f in fields.values())

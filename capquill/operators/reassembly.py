@@ -7,6 +7,7 @@ stream: a segment goes to each block that it touches, and within a block the fir
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators.dissect import dissect, layer_column, payload
+from capquill.operators.flows import of_capture
 
 BLOCK = 1 << 20
 #: Octets of an IPv4 datagram at most, and fragments of one that are held.
 OCTETS, FRAGMENTS = 65535, 8192
 #: Octets in which the head of an HTTP message has to end.
 HEAD = 64 << 10
+#: Octets of a TLS record at most.
+RECORD = (1 << 14) + 2048
 
 
 def fragment(df: DataFrame, size: int = 1480) -> DataFrame:
@@ -48,36 +52,46 @@ def fragment(df: DataFrame, size: int = 1480) -> DataFrame:
 
 
 def first_writer(pieces: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    """Disjoint (offset, octets) in order; of octets that several pieces hold, the first piece's stay."""
-    held: list[tuple[int, bytes]] = []
+    """Disjoint (offset, octets) in order; of octets that several pieces hold, the first piece's stay.
+
+    The held ranges are sorted lists; a piece looks only at those that it touches.
+    """
+    starts: list[int] = []
+    held: list[bytes] = []
     for at, octets in pieces:
-        new, end = [], at + len(octets)
-        for a, b in [*held, (end, b"")]:
-            if a >= end:
-                break
-            if a + len(b) <= at:
+        end, new = at + len(octets), []
+        k = max(0, bisect_right(starts, at) - 1)
+        low = at
+        while low < end:
+            while k < len(starts) and starts[k] + len(held[k]) <= low:
+                k += 1
+            if k < len(starts) and starts[k] <= low:
+                low = starts[k] + len(held[k])
                 continue
-            if a > at:
-                new.append((at, octets[len(octets) - (end - at) : len(octets) - (end - a)]))
-            at = max(at, a + len(b))
-        if at < end:
-            new.append((at, octets[len(octets) - (end - at) :]))
-        held = sorted([*held, *new])
-    return held
+            high = min(end, starts[k]) if k < len(starts) else end
+            new.append((low, octets[low - at : high - at]))
+            low = high
+        for a, b in new:
+            i = bisect_right(starts, a)
+            starts.insert(i, a)
+            held.insert(i, b)
+    return list(zip(starts, held, strict=True))
 
 
 class _Group:
     """The datagram that fragments under one key are adding up to; of octets that several hold, the first one's stay."""
 
-    def __init__(self) -> None:
+    def __init__(self, of: tuple = ()) -> None:
+        self.of = of
         self.rows: list[tuple[int, bytes]] = []
-        self.head, self.at, self.size = b"", -1, -1
+        self.head, self.at, self.size, self.six = b"", -1, -1, False
         self.octets, self.held = bytearray(), []
 
     def add(self, num: int, data: bytes, at: int, body: int, end: int, offset: int, more: int) -> None:
         self.rows.append((num, data))
         if offset == 0 and self.at < 0:
-            self.head, self.at = data[:body], at
+            self.six = at < 0
+            self.head, self.at = data[:body], -1 - at if self.six else at
         piece, stop, low = data[body:end], offset + end - body, offset
         if more == 0 and self.size < 0:
             self.size = stop
@@ -100,6 +114,9 @@ class _Group:
         if self.at < 0 or self.held != [(0, self.size)] or size > OCTETS:
             return None
         h = bytearray(self.head)
+        if self.six:  # the fragment header goes, the next header is what it named
+            h[self.at + 4 : self.at + 6], h[self.at + 6] = self.size.to_bytes(2, "big"), h[self.at + 40]
+            return bytes(h[: self.at + 40]) + bytes(self.octets)
         h[self.at + 2 : self.at + 4] = size.to_bytes(2, "big")
         h[self.at + 6 : self.at + 8] = bytes((h[self.at + 6] & 0xC0, 0))
         h[self.at + 10 : self.at + 12] = b"\0\0"
@@ -110,26 +127,27 @@ class _Group:
         return bytes(h) + bytes(self.octets)
 
 
-def _datagrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _datagrams(batches: Iterator[pd.DataFrame], own: list[str]) -> Iterator[pd.DataFrame]:
     """From the fragments by key and num: a datagram as soon as it is whole, the others' fragments as they are."""
     key, group = None, _Group()
-    left = lambda g: [(num, data, 1, "incomplete") for num, data in g.rows]
-    names = ["num", "data", "fragments", "kind"]
+    left = lambda g: [(*g.of, num, data, 1, "incomplete") for num, data in g.rows]
+    names = [*own, "num", "data", "fragments", "kind"]
     for b in batches:
         rows = []
-        of = zip(b["ends"], b["id"], b["proto"], strict=True)
+        captures = list(zip(*(b[c] for c in own), strict=True)) if own else [()] * len(b)
+        of = zip(b["ends"], b["id"], b["proto"], captures, strict=True)
         each = zip(b["num"], b["data"], b["at"], b["body"], b["end"], b["offset"], b["more"], strict=True)
         for k, (num, data, at, body, end, offset, more) in zip(of, each, strict=True):
             if k != key:
                 rows += left(group)
-                key, group = k, _Group()
+                key, group = k, _Group(k[-1])
             if offset + end - body > OCTETS or len(group.rows) >= FRAGMENTS:
-                rows.append((num, data, 1, "incomplete"))
+                rows.append((*k[-1], num, data, 1, "incomplete"))
                 continue
             group.add(num, data, at, body, end, offset, more)
             if (whole := group.whole()) is not None:
-                rows.append((group.rows[0][0], whole, len(group.rows), "complete"))
-                group = _Group()
+                rows.append((*k[-1], group.rows[0][0], whole, len(group.rows), "complete"))
+                group = _Group(k[-1])
         yield pd.DataFrame(rows, columns=names)
     yield pd.DataFrame(left(group), columns=names)
 
@@ -137,38 +155,51 @@ def _datagrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def defragment(df: DataFrame) -> DataFrame:
     """num (of the first fragment), data, fragments, kind of every frame.
 
-    complete is a datagram put together from IPv4 fragments; incomplete is a fragment that no datagram was made of, as it
+    complete is a datagram put together from IPv4 fragments, or IPv6 ones (a fragment header right after the fixed one); incomplete is a fragment that no datagram was made of, as it
     was; whole is any other frame, as it was. Under a key (addresses, id, protocol), which comes back in a long
     capture, fragments are taken by num, and after each datagram the next one begins. A task walks the
     sorted fragments and holds those of one unfinished datagram, `FRAGMENTS` at most; what is over is incomplete.
     """
     d = dissect(df)
-    at, data = F.col("off_IP"), F.col("data")
+    at, data, own = F.col("off_IP"), F.col("data"), of_capture(df)
     flags = O.be(data, at + 6, 2)
     body = at + O.bits(data, at, 4, 4) * 4
     piece = F.coalesce((flags.bitwiseAND(0x3FFF) != 0) & (body <= F.col("end")), F.lit(False))
-    alone = d.where(~piece).select("num", "data", F.lit(1).cast("bigint").alias("fragments"), F.lit("whole").alias("kind"))
+    six = F.coalesce(F.col("off_IPv6").isNotNull() & (O.be(data, F.col("off_IPv6") + 6, 1) == 44) & (F.col("end") - F.col("off_IPv6") >= 48), F.lit(False))
+    alone = d.where(~piece & ~six).select(*own, "num", "data", F.lit(1).cast("bigint").alias("fragments"), F.lit("whole").alias("kind"))
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in own], F.hex(O.part(data, at + 12, 8))).alias("ends")
     pieces = d.where(piece).select(
-        O.part(data, at + 12, 8).alias("ends"), O.be(data, at + 4, 2).alias("id"), O.be(data, at + 9, 1).alias("proto"), "num", "data", at.alias("at"), body.alias("body"), "end",
+        *own, key, O.be(data, at + 4, 2).alias("id"), O.be(data, at + 9, 1).alias("proto"), "num", "data", at.alias("at"), body.alias("body"), "end",
         (flags.bitwiseAND(0x1FFF) * 8).alias("offset"), F.shiftright(flags, 13).bitwiseAND(1).alias("more"),
     )
+    at6 = F.col("off_IPv6")
+    key6, word = F.concat_ws("/", *[F.col(c).cast("string") for c in own], F.hex(O.part(data, at6 + 8, 32))).alias("ends"), O.be(data, at6 + 42, 2)
+    # next header of a fragment counts as the protocol; at is negative for IPv6, less one
+    pieces6 = d.where(six).select(
+        *own, key6, O.be(data, at6 + 44, 4).alias("id"), F.lit(-1).cast("bigint").alias("proto"), "num", "data", (-1 - at6).alias("at"), (at6 + 48).alias("body"), "end",
+        word.bitwiseAND(0xFFF8).alias("offset"), word.bitwiseAND(1).alias("more"),
+    )
     keys = ["ends", "id", "proto"]
-    joined = pieces.repartition(*keys).sortWithinPartitions(*keys, "num", "offset").mapInPandas(_datagrams, "num bigint, data binary, fragments bigint, kind string")
-    return alone.unionByName(joined)
+    kind = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in own), "num bigint, data binary, fragments bigint, kind string"])
+    dealt = pieces.unionByName(pieces6).repartition(*keys).sortWithinPartitions(*keys, "num", "offset")
+    return alone.unionByName(dealt.mapInPandas(lambda it: _datagrams(it, own), kind))
 
 
 def tcp_segments(df: DataFrame) -> DataFrame:
-    """stream, direction, num, rel (octet offset in the direction), flags, body of each TCP segment over IP.
+    """stream, direction, num, rel (octet offset in the direction), flags, body of each TCP segment over IPv4 or IPv6.
 
     stream is direction-free. Direction 0 is who sent SYN without ACK, or else who sent first. Offsets count
-    from the SYN's number plus one, or else from the first segment, by serial arithmetic.
+    from the SYN's number plus one, or else from the first segment, by serial arithmetic. With a column `capture`, the
+    stream's name begins with it.
     """
     v = layer_column
-    d = dissect(df).where(F.col("off_TCP").isNotNull() & F.col("off_IP").isNotNull())
-    a = F.concat_ws(":", v("IP.src"), v("TCP.sport").cast("string"))
-    b = F.concat_ws(":", v("IP.dst"), v("TCP.dport").cast("string"))
+    d = dissect(df).where(F.col("off_TCP").isNotNull())
+    six = lambda of: F.concat(F.lit("["), v(f"IPv6.{of}"), F.lit("]"))
+    a = F.concat_ws(":", F.coalesce(v("IP.src"), six("src")), v("TCP.sport").cast("string"))
+    b = F.concat_ws(":", F.coalesce(v("IP.dst"), six("dst")), v("TCP.dport").cast("string"))
     number = F.shiftright(O.be(F.col("data"), F.col("off_TCP") + 12, 2), 0).bitwiseAND(255)
-    s = d.select(F.concat_ws(" - ", F.least(a, b), F.greatest(a, b)).alias("stream"), a.alias("sender"), "num", v("TCP.seq").alias("seq"), number.alias("flags"), payload().alias("body"))
+    own = [F.col(c).cast("string") for c in of_capture(df)]
+    s = d.select(F.concat_ws(" - ", *own, F.least(a, b), F.greatest(a, b)).alias("stream"), a.alias("sender"), "num", v("TCP.seq").alias("seq"), number.alias("flags"), payload().alias("body"))
     syn, ack = F.col("flags").bitwiseAND(2) != 0, F.col("flags").bitwiseAND(16) != 0
     opener = s.groupBy("stream").agg(F.min_by("sender", F.struct(F.when(syn & ~ack, 0).otherwise(1), "num")).alias("opener"))
     start = s.groupBy("stream", "sender").agg(F.min_by(F.when(syn, F.col("seq") + 1).otherwise(F.col("seq")), F.struct(F.when(syn, 0).otherwise(1), "num")).alias("start"))
@@ -288,3 +319,51 @@ def http_messages(df: DataFrame) -> DataFrame:
     """
     p = stream_pieces(df).repartition("stream", "direction").sortWithinPartitions("stream", "direction", "at")
     return p.select("stream", "direction", "at", "octets").mapInPandas(_framed, "stream string, direction int, at bigint, length bigint, start_line string, body binary")
+
+
+def _tls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """TLS records from the pieces by stream, direction and offset, before a direction's first gap or what is no record."""
+    key, upto, start, held, good = None, 0, 0, bytearray(), True
+    for b in batches:
+        rows = []
+        for stream, direction, at, octets in zip(b["stream"], b["direction"], b["at"], b["octets"], strict=True):
+            if (stream, direction) != key:
+                key, upto, start, held, good = (stream, direction), 0, 0, bytearray(), True
+            if at != upto or not good:
+                continue
+            held += octets
+            upto += len(octets)
+            done = 0
+            while good and len(held) - done >= 5:
+                kind, major, size = held[done], held[done + 1], int.from_bytes(held[done + 3 : done + 5], "big")
+                good = kind in (20, 21, 22, 23) and major == 3 and size <= RECORD
+                if not good or len(held) - done < 5 + size:
+                    break
+                rows.append((stream, direction, start + done, kind, int.from_bytes(held[done + 1 : done + 3], "big"), size, bytes(held[done + 5 : done + 5 + size])))
+                done += 5 + size
+            del held[:done]
+            start += done
+        yield pd.DataFrame(rows, columns=["stream", "direction", "at", "type", "version", "length", "body"])
+
+
+def tls_records(df: DataFrame) -> DataFrame:
+    """stream, direction, at, type, version, length, body of each complete TLS record before the first gap of its direction; a task holds one record."""
+    p = stream_pieces(df).repartition("stream", "direction").sortWithinPartitions("stream", "direction", "at")
+    return p.select("stream", "direction", "at", "octets").mapInPandas(_tls, "stream string, direction int, at bigint, type int, version int, length int, body binary")
+
+
+def spliced(df: DataFrame, messages: DataFrame) -> DataFrame:
+    """num, stream, direction, kind, octets: each complete message in place of the segments that carried it, everything else as it is.
+
+    messages: stream, direction, at, length, body, as of http_messages or tls_records. A segment that is wholly in messages goes; the
+    message takes the number of the last segment that it needs.
+    """
+    s = tcp_segments(df).withColumn("reach", F.col("rel") + F.length("body"))
+    m = messages.select("stream", "direction", "at", (F.col("at") + F.col("length")).alias("stop"), "body")
+    within = (F.col("s.rel") < F.col("m.stop")) & (F.col("s.reach") > F.col("m.at"))
+    met = s.where("reach > rel").alias("s").join(m.alias("m"), ["stream", "direction"]).where(within)
+    inside = met.groupBy("stream", "direction", "num").agg(F.sum(F.least("s.reach", "m.stop") - F.greatest("s.rel", "m.at")).alias("covered"))
+    last = met.groupBy("stream", "direction", "at").agg(F.max("num").alias("num"), F.first("m.body").alias("octets"))
+    rest = s.join(inside, ["stream", "direction", "num"], "left").where("covered is null or covered < reach - rel")
+    whole = last.select("num", "stream", "direction", F.lit("message").alias("kind"), "octets")
+    return whole.unionByName(rest.select("num", "stream", "direction", F.lit("segment").alias("kind"), F.col("body").alias("octets")))

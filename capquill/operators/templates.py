@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
+from capquill.operators.dissect import dissect
 
 
 def network(spark: SparkSession, cidr: str) -> DataFrame:
@@ -78,3 +79,60 @@ def concat_captures(parts: Sequence[DataFrame]) -> DataFrame:
         p = p.withColumn("part", F.lit(k))
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def random_number(seed: int, low: int, high: int, *by: str) -> Column:
+    """An integer of [low, high], drawn by the seed and the row's values of `by`: the same again in every run."""
+    return F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(high - low + 1))
+
+
+def random_ipv4(seed: int, cidr: str, *by: str) -> Column:
+    net = ip_network(cidr, strict=False)
+    return O.ipv4_text(random_number(seed, int(net.network_address), int(net.broadcast_address), *by))
+
+
+def random_mac(seed: int, *by: str) -> Column:
+    """A locally administered unicast address."""
+    return O.mac_text(O.octets(random_number(seed, 0, (1 << 40) - 1, *by).bitwiseOR(0x02 << 40), 6))
+
+
+def random_choice(seed: int, values: Sequence, *by: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), random_number(seed, 1, len(values), *by).cast("int"))
+
+
+def random_octets(seed: int, n: Column | int, *by: str) -> Column:
+    """n octets, a SHA-256 block at a time."""
+    blocks = F.ceil(O.as_column(n) / 32).cast("int")
+    draw = lambda i: F.sha2(F.concat_ws(",", F.lit(str(seed)), i.cast("string"), *[F.col(c).cast("string") for c in by]), 256)
+    return O.part(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(blocks, F.lit(1))), draw), "")), 0, n)
+
+
+def corrupt(data: Column, seed: int, *by: str, bits: int = 1) -> Column:
+    """Octets with `bits` bits flipped (fewer if one is drawn twice), the places drawn by the seed and the values of `by`; empty octets stay."""
+    out = data
+    for k in range(bits):
+        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *by), F.greatest(F.length(data) * 8, F.lit(1)))
+        octet = F.floor(at / 8).cast("int")
+        flipped = O.octets(O.number(O.part(out, octet, 1)).bitwiseXOR(F.pow(F.lit(2.0), at % 8).cast("bigint")), 1)
+        out = F.when(F.length(data) > 0, F.concat(O.part(out, 0, octet), flipped, O.part(out, octet + 1, F.length(data)))).otherwise(data)
+    return out
+
+
+def sized(data: Column, most: int = 65535) -> Column:
+    """The octets; a query over ones that no length field of up to `most` can hold fails."""
+    return F.when(F.length(data) > most, F.raise_error(F.concat(F.lit("no length field holds "), F.length(data).cast("string"), F.lit(" octets")))).otherwise(data)
+
+
+def ipv6_fragments(df: DataFrame, size: int = 1232) -> DataFrame:
+    """num, piece, data: IPv6 datagrams over Ethernet in fragments of at most `size` octets behind a fragment header, by num as ident; what fits stays."""
+    unit = size // 8 * 8
+    d = dissect(df).where(F.col("off_IPv6").isNotNull())
+    at, data = F.col("off_IPv6"), F.col("data")
+    length = F.col("end") - at - 40
+    d = d.select("num", "data", at.alias("at"), length.alias("length"), F.when(length <= size, 1).otherwise(F.ceil(length / unit)).cast("int").alias("pieces"))
+    d = d.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    body = O.part(data, F.col("at") + 40 + F.col("piece") * unit, F.least(F.lit(unit), F.col("length") - F.col("piece") * unit))
+    more = F.when(F.col("piece") < F.col("pieces") - 1, 1).otherwise(0)
+    head = F.concat(O.part(data, F.col("at") + 6, 1), F.lit(b"\0"), O.octets(F.col("piece") * unit + more, 2), O.octets(F.col("num").bitwiseAND((1 << 32) - 1), 4))
+    fixed = F.concat(O.part(data, 0, F.col("at") + 4), O.octets(F.length(body) + 8, 2), F.unhex(F.lit("2c")), O.part(data, F.col("at") + 7, 33))
+    return d.select("num", "piece", F.when(F.col("pieces") > 1, F.concat(fixed, head, body)).otherwise(data).alias("data"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capquill.functions import octets as O
 from capquill.operators import templates as T
 from capquill.operators.dissect import capture
+from capquill.operators.records import dns_encoded
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,14 +69,12 @@ WITH p0 AS (
 DATAGRAM, DATAGRAMS = 60000, 1 << 16
 
 
-def datagrams(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+def datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDP datagrams of each text of documents, as many as it needs: of num, the high bits are doc_id and the low 16 the place in the text.
 
-    The IP ident is the low 16 bits, the addresses hold 48 bits of doc_id, so no two datagrams share a fragment key. With
-    `most`, just of the texts of at most so many octets.
+    The IP ident is the low 16 bits, the addresses hold 48 bits of doc_id, so no two datagrams share a fragment key.
     """
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("body"))
-    d = d if most is None else d.where(F.length("body") <= most)
     d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("body") - 1, F.lit(0)) / DATAGRAM).cast("int"))))
     low, high = F.col("doc_id").bitwiseAND((1 << 24) - 1), F.shiftright("doc_id", 24).bitwiseAND((1 << 24) - 1)
     piece = F.substring("body", F.col("k") * DATAGRAM + 1, F.lit(DATAGRAM))
@@ -82,6 +82,54 @@ def datagrams(spark: SparkSession, sf_dir: str, most: int | None = None) -> Data
     return capture(d.select((F.col("doc_id") * DATAGRAMS + F.col("k")).alias("num"), frame.alias("data")))
 
 
+def datagrams_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A UDP datagram over IPv6 of the name and balance of each customer, repeated to a length of its key."""
+    c = table(spark, sf_dir, "customer")
+    end = lambda k: F.concat(F.unhex(F.lit("20010db8" + "0" * 6 + k)), O.octets(F.col("c_custkey"), 8))
+    body = F.encode(F.repeat("c_name", (F.col("c_custkey") % 400 + 1).cast("int")), "UTF-8")
+    return capture(c.select(F.col("c_custkey").alias("num"), T.ether(0x86DD, T.ipv6(end("01"), end("02"), 17, T.udp(9, 9, body))).alias("data")))
+
+
+def optioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SYN of each line item, with the options MSS, SAckOK, Timestamp, NOP and WScale, in a frame with IP flags."""
+    li = table(spark, sf_dir, "lineitem")
+    options = F.concat(F.unhex(F.lit("0204")), O.octets(F.col("l_quantity").cast("bigint") + 1000, 2), F.unhex(F.lit("0402080a")), O.octets(stamp_ms(F.col("l_linenumber"), F.col("l_orderkey")), 4), F.unhex(F.lit("0000000001030303")))
+    options = F.concat(O.part(options, 0, 19), O.octets(F.col("l_linenumber"), 1))
+    segment = F.concat(O.octets(F.col("l_orderkey") % 60000 + 1024, 2), O.octets(F.lit(443), 2), O.octets(F.col("l_partkey"), 4), F.unhex(F.lit("00000000a1022000" + "0" * 8)), options)
+    flags = F.when(F.col("l_returnflag") == "R", 0x4000).when(F.col("l_returnflag") == "A", 0x8000).otherwise(0)
+    datagram = T.ipv4(address(0, "l_suppkey"), address(1, "l_partkey"), 6, segment, ident=F.col("l_linenumber"))
+    datagram = F.concat(O.part(datagram, 0, 6), O.octets(flags, 2), O.part(datagram, 8, 1 << 16))
+    time = F.col("l_orderkey") + F.col("l_linenumber") / 8.0
+    return capture(li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("num"), time.alias("time"), T.ether(0x0800, datagram).alias("data")))
+
+
+def stamp_ms(line, order):
+    """A sender's clock in milliseconds."""
+    return order * 1000 + line * 130
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DNS answer of each order: its name, an A record by a pointer to the name, and a TXT record."""
+    o = table(spark, sf_dir, "orders")
+    word = lambda text: F.concat(O.octets(F.octet_length(text), 1), F.encode(text, "UTF-8"))
+    name = dns_encoded(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit("."), F.col("o_orderstatus"), F.lit(".example")))
+    pointer = F.unhex(F.lit("c00c"))
+    a = F.concat(pointer, F.unhex(F.lit("00010001")), O.octets(F.col("o_custkey"), 4), F.unhex(F.lit("0004")), O.octets(address(9, "o_custkey"), 4))
+    txt = F.concat(pointer, F.unhex(F.lit("0010000100000007")), O.octets(F.octet_length("o_orderpriority") + 1, 2), word(F.col("o_orderpriority")))
+    message = F.concat(O.octets(F.col("o_orderkey").bitwiseAND(65535), 2), F.unhex(F.lit("81800001000100000001")), name, F.unhex(F.lit("00010001")), a, txt)
+    frame = T.ether(0x0800, T.ipv4(F.lit(167772161), address(2, "o_orderkey"), 17, T.udp(53, 4000, message)))
+    return capture(o.select(F.col("o_orderkey").alias("num"), frame.alias("data")))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A RIP response of each line item with as many entries as its number; every third one claims more than it has."""
+    li = table(spark, sf_dir, "lineitem")
+    entry = lambda i: F.concat(F.unhex(F.lit("00020000")), O.octets(F.lit(10 << 24) + i * 65536, 4), F.unhex(F.lit("ffff000000000000")), O.octets(i + F.col("l_quantity").cast("bigint"), 4))
+    entries = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), entry), F.lit(b""), lambda a, x: F.concat(a, x))
+    frame = T.ether(0x0800, T.ipv4(address(0, "l_suppkey"), address(1, "l_partkey"), 17, T.udp(520, 520, F.concat(F.unhex(F.lit("02020000")), entries))))
+    return capture(li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("num"), frame.alias("data")))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A DNS-like request of each order and a reply of each returned line of it, with the ends swapped."""
     port = lambda key: (F.col(key) % 60000 + 1024).cast("bigint")
@@ -93,19 +141,28 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture(ask.unionByName(say))
 
 
-def chat(spark: SparkSession, sf_dir: str, size: int = 512) -> DataFrame:
-    """TCP segments of at most `size` octets of conversations: the user is the client; numbers run on per direction."""
+def chat(spark: SparkSession, sf_dir: str, size: int = 512, six: bool = False, record: bool = False) -> DataFrame:
+    """TCP segments of at most `size` octets of conversations: the user is the client, all other roles are the server; numbers run on per direction.
+
+    six: over IPv6; record: each turn is a TLS record.
+    """
     from pyspark.sql import Window
 
-    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", "role", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"))
-    before = Window.partitionBy("conv_id", "role").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    body = F.concat(F.unhex(F.lit("170303")), O.octets(F.length(body), 2), body) if record else body
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.col("role") == "user", F.lit(False)).alias("mine"), body.alias("body"))
+    before = Window.partitionBy("conv_id", "mine").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("seq", F.coalesce(F.sum(F.length("body")).over(before), F.lit(0)) + 1000)
     c = c.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("body") - 1, F.lit(0)) / size).cast("int"))))
-    piece = F.substring("body", F.col("k") * size + 1, F.lit(size))
-    client, server = address(5, "conv_id"), F.lit((10 << 24) + (6 << 16) + 1).cast("bigint")
+    piece, mine = F.substring("body", F.col("k") * size + 1, F.lit(size)), F.col("mine")
     port = (F.col("conv_id") % 60000 + 1024).cast("bigint")
-    mine = F.col("role") == "user"
-    frame = T.ether(0x0800, T.ipv4(F.when(mine, client).otherwise(server), F.when(mine, server).otherwise(client), 6, T.tcp(F.when(mine, port).otherwise(80), F.when(mine, F.lit(80)).otherwise(port), F.col("seq") + F.col("k") * size, F.lit(24), piece)))
+    segment = T.tcp(F.when(mine, port).otherwise(80), F.when(mine, F.lit(80)).otherwise(port), F.col("seq") + F.col("k") * size, F.lit(24), piece)
+    if six:
+        client, server = F.concat(F.unhex(F.lit("20010db8" + "0" * 8)), O.octets(F.col("conv_id"), 8)), F.unhex(F.lit("20010db9" + "0" * 23 + "1"))
+        frame = T.ether(0x86DD, T.ipv6(F.when(mine, client).otherwise(server), F.when(mine, server).otherwise(client), 6, segment))
+    else:
+        client, server = address(5, "conv_id"), F.lit((10 << 24) + (6 << 16) + 1).cast("bigint")
+        frame = T.ether(0x0800, T.ipv4(F.when(mine, client).otherwise(server), F.when(mine, server).otherwise(client), 6, segment))
     return capture(c.select((F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + F.col("k")).alias("num"), frame.alias("data")))
 
 

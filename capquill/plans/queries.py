@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators import dissect as D
-from capquill.operators import flows, layers, pairing, reassembly, templates
+from capquill.operators import flows, layers, pairing, reassembly, records, templates
 from capquill.plans import fixtures as X
 
 QUERIES: dict = {}
@@ -257,45 +257,69 @@ def route_lpm(spark, sf):
 
 
 # Reassembly
-_LONG = "SELECT doc_id, octet_length(encode(text)) + 8 AS n FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) <= 60000"
-#: What _LONG leaves out the queries leave out too; the fixture and the operators take texts of any length.
-_MOST = 60000
+_DATAGRAMS = f"""SELECT doc_id * 65536 + k AS num, least({X.DATAGRAM}, octets - k * {X.DATAGRAM}) + 8 AS n FROM (SELECT doc_id, octets, unnest(range(0, greatest(octets - 1, 0) // {X.DATAGRAM} + 1)) AS k
+  FROM (SELECT doc_id, octet_length(encode(text)) AS octets FROM documents WHERE text IS NOT NULL))"""
 
 
-@query(f"SELECT doc_id AS num, CAST(k AS BIGINT) AS piece, CASE WHEN n <= 1000 THEN n + 34 ELSE least(1000, n - k * 1000) + 34 END AS len FROM (SELECT *, unnest(range(0, CAST(ceil(n / 1000.0) AS BIGINT))) AS k FROM ({_LONG}))")
+@query(f"SELECT num, CAST(k AS BIGINT) AS piece, CASE WHEN n <= 1000 THEN n + 34 ELSE least(1000, n - k * 1000) + 34 END AS len FROM (SELECT *, unnest(range(0, CAST(ceil(n / 1000.0) AS BIGINT))) AS k FROM ({_DATAGRAMS}))")
 def fragment_v4(spark, sf):
-    return reassembly.fragment(X.datagrams(spark, sf, _MOST), 1000).select(F.floor(F.col("num") / X.DATAGRAMS).alias("num"), F.col("piece").cast("bigint").alias("piece"), F.length("data").cast("bigint").alias("len"))
+    return reassembly.fragment(X.datagrams(spark, sf), 1000).select("num", F.col("piece").cast("bigint").alias("piece"), F.length("data").cast("bigint").alias("len"))
 
 
-@query(f"SELECT doc_id AS num, md5(text) AS md5, CAST(ceil(octet_length(encode(text)) + 8) AS BIGINT) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_LONG}))")
+def _shuffled(pieces):
+    """Fragments numbered within their datagram, the odd ones from the end."""
+    return D.capture(pieces.select((F.col("num") * 100 + F.when(F.col("piece") % 2 == 0, F.col("piece")).otherwise(99 - F.col("piece"))).alias("num"), "data"))
+
+
+@query(f"SELECT doc_id AS num, md5(text) AS md5, octet_length(encode(text)) + 8 * (greatest(octet_length(encode(text)) - 1, 0) // {X.DATAGRAM} + 1) AS n FROM documents WHERE text IS NOT NULL")
 def defrag_roundtrip(spark, sf):
-    pieces = reassembly.fragment(X.datagrams(spark, sf, _MOST), 1000)
-    num = F.col("num") * 100 + F.when(F.col("piece") % 2 == 0, F.col("piece")).otherwise(99 - F.col("piece"))
-    whole = D.dissect(D.capture(reassembly.defragment(D.capture(pieces.select(num.alias("num"), "data")))))
-    return whole.select(F.floor(F.col("num") / (100 * X.DATAGRAMS)).alias("num"), F.md5(D.payload()).alias("md5"), D.layer_column("UDP.len").alias("n"))
+    whole = D.dissect(D.capture(reassembly.defragment(_shuffled(reassembly.fragment(X.datagrams(spark, sf), 1000)))), fields=["UDP.len"])
+    d = whole.select(F.floor(F.col("num") / 100).alias("num"), D.payload().alias("body"), D.layer_column("UDP.len", decoded=True).alias("n"))
+    d = d.groupBy(F.floor(F.col("num") / X.DATAGRAMS).alias("num")).agg(F.sort_array(F.collect_list(F.struct("num", "body"))).alias("parts"), F.sum("n").alias("n"))  # the datagrams of one text
+    return d.select("num", F.md5(F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["body"]))).alias("md5"), "n")
+
+
+@query("SELECT c_custkey AS num, md5(repeat(c_name, CAST(c_custkey % 400 + 1 AS INTEGER))) AS md5, strlen(c_name) * (c_custkey % 400 + 1) + 8 AS n FROM customer")
+def defrag_v6(spark, sf):
+    whole = D.dissect(D.capture(reassembly.defragment(_shuffled(templates.ipv6_fragments(X.datagrams_v6(spark, sf))))))
+    return whole.select(F.floor(F.col("num") / 100).alias("num"), F.md5(D.payload()).alias("md5"), D.layer_column("UDP.len").alias("n"))
 
 
-_CONV = "SELECT conv_id, role, string_agg(coalesce(text, ''), '' ORDER BY turn) AS said FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1, 2"
+@query("SELECT c_custkey AS num, 'complete' AS kind, md5(repeat(c_name, 90)) AS md5 FROM customer WHERE c_custkey % 7 > 0 UNION ALL SELECT c_custkey, 'incomplete', '' FROM customer WHERE c_custkey % 7 = 0")
+def defrag_id_reuse(spark, sf):
+    """All datagrams have the same ends, ident and protocol, ten thousand of them a key; every seventh lacks its second fragment."""
+    c = X.table(spark, sf, "customer")
+    frame = templates.ether(0x0800, templates.ipv4(F.lit(1) + F.floor(F.col("c_custkey") / 10000), F.lit(2), 17, templates.udp(9, 9, F.encode(F.repeat("c_name", 90), "UTF-8")), ident=7))
+    pieces = reassembly.fragment(D.capture(c.select(F.col("c_custkey").alias("num"), frame.alias("data"))), 1000).where("num % 7 > 0 or piece = 0")
+    # the lone first fragments come after all others of their key, else they would be taken for the next one's
+    late = F.when(F.col("num") % 7 == 0, 1 << 40).otherwise(0)
+    out = D.dissect(D.capture(reassembly.defragment(D.capture(pieces.select((F.col("num") * 10 + F.col("piece") + late).alias("num"), "data")))))
+    return out.select(F.floor(F.col("num").bitwiseAND((1 << 40) - 1) / 10).alias("num"), "kind", F.when(F.col("kind") == "complete", F.md5(D.payload())).otherwise("").alias("md5"))
 
 
-@query(f"SELECT '10.5.' || ((conv_id & 65535) >> 8) || '.' || (conv_id & 255) || ':' || (conv_id % 60000 + 1024) AS client, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS direction, md5(said) AS md5, CAST(strlen(said) AS BIGINT) AS n FROM ({_CONV})")
+#: Turns with their direction: 0 is who sent first.
+_SAID = "SELECT *, CASE WHEN coalesce(role = 'user', false) = arg_min(coalesce(role = 'user', false), turn) OVER (PARTITION BY conv_id) THEN 0 ELSE 1 END AS direction FROM conversations"
+_CONV = f"SELECT conv_id, direction, string_agg(coalesce(text, ''), '' ORDER BY turn) AS said FROM ({_SAID}) GROUP BY 1, 2"
+
+
+@query(f"SELECT '10.5.' || ((conv_id & 65535) >> 8) || '.' || (conv_id & 255) || ':' || (conv_id % 60000 + 1024) AS client, direction, md5(said) AS md5, CAST(strlen(said) AS BIGINT) AS n FROM ({_CONV}) WHERE said <> ''")
 def stream_bytes(spark, sf):
     p = reassembly.stream_pieces(X.chat(spark, sf), block=700)
     whole = p.groupBy("stream", "direction").agg(F.sort_array(F.collect_list(F.struct("at", "octets"))).alias("pieces"))
-    data = F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["octets"]))
+    data = F.unhex(F.array_join(F.transform("pieces", lambda x: F.hex(x["octets"])), ""))
     client = F.array_join(F.filter(F.split("stream", " - "), lambda e: e.startswith("10.5.")), "")
-    return whole.select(client.alias("client"), F.col("direction"), F.md5(data).alias("md5"), F.length(data).cast("bigint").alias("n"))
+    return whole.select(client.alias("client"), "direction", F.md5(data).alias("md5"), F.length(data).cast("bigint").alias("n"))
 
 
-@query(f"SELECT CASE WHEN role = 'user' THEN 0 ELSE 1 END AS direction, count(*) AS streams, CAST(sum(strlen(said)) AS BIGINT) AS octets, CAST(0 AS BIGINT) AS missing FROM ({_CONV}) GROUP BY 1")
+@query(f"SELECT direction, count(*) AS streams, CAST(sum(strlen(said)) AS BIGINT) AS octets, CAST(0 AS BIGINT) AS missing FROM ({_CONV}) GROUP BY 1")
 def stream_totals(spark, sf):
     s = reassembly.streams(X.chat(spark, sf))
     return s.groupBy("direction").agg(F.count("*").alias("streams"), F.sum("octets").alias("octets"), F.sum("missing").alias("missing"))
 
 
-@query("SELECT page_id, 'HTTP/1.1 200 OK' AS start_line, md5(coalesce(html, '')) AS md5 FROM pages WHERE strlen(html) < 60000")
+@query("SELECT page_id, 'HTTP/1.1 200 OK' AS start_line, md5(coalesce(html, '')) AS md5 FROM pages")
 def http_messages(spark, sf):
-    m = reassembly.http_messages(X.web(spark, sf)).where(F.length("body") < 60000)  # as in the SQL
+    m = reassembly.http_messages(X.web(spark, sf))
     end = lambda of: F.split(F.array_join(F.filter(F.split("stream", " - "), lambda e: e.startswith(of)), ""), "[.:]")
     part = lambda of, k, shift: F.shiftleft(end(of)[k].cast("bigint"), shift)
     page = part("10.7.", 2, 8) + part("10.7.", 3, 0) + part("11.", 1, 32) + part("11.", 2, 24) + part("11.", 3, 16) + F.shiftleft(end("11.")[4].cast("bigint") - 5000, 40)
@@ -338,6 +362,189 @@ def fletcher16(spark, sf):
     return X.table(spark, sf, "nation").select("n_nationkey", O.fletcher16(F.encode("n_name", "UTF-8")).alias("fletcher"))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', '{n}', {f.bit}, {f.width}, '{f.kind}')" for x in layers.LAYERS.values() for n, f in x.fields.items()) + ") v(layer, field, bit, width, kind)")
 def known_fields(spark, sf):
-    return layers.catalog(spark)
+    return layers.catalog(spark).select("layer", "field", "bit", "width", "kind")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', {x.least}, {len(x.fields)})" for x in layers.LAYERS.values()) + ") v(layer, least, fields)")
+def known_layers(spark, sf):
+    return layers.known_layers(spark)
+
+
+# Lists inside of frames
+_N = "l_orderkey * 8 + l_linenumber AS num"
+
+
+@query(f"SELECT {_N}, unnest(['MSS', 'SAckOK', 'Timestamp', 'NOP', 'WScale']) AS name, unnest([CAST(l_quantity AS BIGINT) + 1000, NULL, NULL, NULL, l_linenumber]) AS number, unnest([2, 4, 8, 1, 3]) AS code FROM lineitem")
+def tcp_options(spark, sf):
+    d = D.dissect(X.optioned(spark, sf)).select("num", F.explode(records.tcp_options()).alias("o"))
+    return d.select("num", "o.name", "o.number", F.col("o.code").cast("int").alias("code"))
+
+
+@query(f"SELECT {_N}, CASE l_returnflag WHEN 'R' THEN 'DF' WHEN 'A' THEN 'evil' ELSE '' END AS flags, 'SN' AS tcp, l_returnflag = 'R' AS df FROM lineitem")
+def ip_flags(spark, sf):
+    d = D.dissect(X.optioned(spark, sf))
+    return d.select("num", D.layer_column("IP.flags").alias("flags"), D.layer_column("TCP.flags").alias("tcp"), layers.has_flag("IP.flags", "DF").alias("df"))
+
+
+@query(f"""WITH v AS (SELECT {_N}, '10.0.' || ((l_suppkey & 65535) >> 8) || '.' || (l_suppkey & 255) AS src, l_orderkey + l_linenumber / 8.0 AS t, l_orderkey * 1000 + l_linenumber * 130 AS s FROM lineitem),
+f AS (SELECT src, arg_min(t, num) AS t0, arg_min(s, num) AS s0 FROM v GROUP BY 1)
+SELECT num, src, CAST(round((t - t0) - (s - s0) / 1000.0, 3) AS DOUBLE) AS skew FROM v JOIN f USING (src)""")
+def time_skew(spark, sf):
+    d = D.dissect(X.optioned(spark, sf))
+    return flows.time_skew(d, records.timestamp_value(records.tcp_options())).select("num", "src", F.round("skew", 3).alias("skew"))
+
+
+@query("""SELECT o_orderkey AS num, unnest(['qd', 'an', 'ar']) AS section, 'o' || o_orderkey || '.' || o_orderstatus || '.example.' AS name, unnest(['A', 'A', 'TXT']) AS type,
+       unnest([NULL, o_custkey, 7]) AS ttl, unnest([NULL, '10.9.' || ((o_custkey & 65535) >> 8) || '.' || (o_custkey & 255), o_orderpriority]) AS data FROM orders""")
+def dns_records(spark, sf):
+    d = D.dissect(X.names(spark, sf)).select("num", F.explode(records.dns_records()).alias("r"))
+    return d.select("num", "r.section", "r.name", "r.type", "r.ttl", "r.data")
+
+
+@query("SELECT num, '10.' || i || '.0.0' AS addr, i + quantity AS metric FROM (SELECT l_orderkey * 8 + l_linenumber AS num, CAST(l_quantity AS BIGINT) AS quantity, unnest(range(1, l_linenumber + 1)) AS i FROM lineitem)")
+def rip_entries(spark, sf):
+    """Each message claims one entry more than it has."""
+    at = F.col("off_RIP") + 4
+    entries = records.group(F.col("data"), at, F.floor((F.col("end") - at) / 20) + 1, layers.RIP_ENTRY, F.col("end"))
+    d = D.dissect(X.routes(spark, sf)).select("num", F.explode(entries).alias("e"))
+    return d.select("num", "e.addr", "e.metric")
+
+
+@query("SELECT n_nationkey, unnest([7, 300, 9]) AS code, unnest([0, 4 + strlen(n_name), 9 + strlen(n_name)]) AS at, unnest([n_name, chr(65 + n_regionkey), '']) AS value FROM nation")
+def tlv_walk(spark, sf):
+    """Types and lengths of two octets; a last item lies about its length and is left out."""
+    item = lambda code, value: F.concat(O.octets(F.lit(code), 2), O.octets(F.length(value), 2), value)
+    data = F.concat(item(7, F.encode("n_name", "UTF-8")), item(300, F.encode(F.char(F.col("n_regionkey") + 65), "UTF-8")), item(9, F.lit(b"")), F.unhex(F.lit("00010fff61")))
+    d = X.table(spark, sf, "nation").select("n_nationkey", F.explode(records.tlv(data, code=2, length=2)).alias("i"))
+    return d.select("n_nationkey", F.col("i.code").cast("int").alias("code"), F.col("i.at").cast("bigint").alias("at"), F.decode("i.value", "UTF-8").alias("value"))
+
+
+@query("""SELECT n_nationkey, unnest([0, 1, 1, 1, 2]) AS depth, unnest([48, 2, 6, 48, 4]) AS tag,
+       unnest([NULL, CAST(n_nationkey - 12 AS VARCHAR), '1.3.6.1.4.1.' || (n_nationkey * 1000 + 200), NULL, n_name]) AS text FROM nation""")
+def ber_walk(spark, sf):
+    value = lambda tag, v: F.concat(O.octets(F.lit(tag), 1), O.octets(F.length(v), 1), v)
+    n = F.col("n_nationkey").cast("bigint")
+    number = F.when(n >= 12, O.octets(n - 12, 1)).otherwise(O.octets(n + 244, 1))
+    arc = n * 1000 + 200
+    oid = F.concat(F.unhex(F.lit("2b06010401")), F.when(arc >= 16384, O.octets(F.shiftright(arc, 14).bitwiseOR(128), 1)).otherwise(F.lit(b"")), O.octets(F.shiftright(arc, 7).bitwiseAND(127).bitwiseOR(128), 1), O.octets(arc.bitwiseAND(127), 1))
+    data = value(0x30, F.concat(value(2, number), value(6, oid), value(0x30, value(4, F.encode("n_name", "UTF-8")))))
+    d = X.table(spark, sf, "nation").select("n_nationkey", F.explode(records.ber_values(data)).alias("v"))
+    return d.select("n_nationkey", "v.depth", F.col("v.tag").cast("int").alias("tag"), "v.text")
+
+
+@query("""SELECT s_suppkey, unnest(['', 'Host', 'X-Nation']) AS name, unnest(['GET /' || s_suppkey || ' HTTP/1.1', 'h' || s_nationkey || ':80', CAST(s_nationkey AS VARCHAR)]) AS value FROM supplier""")
+def header_lines(spark, sf):
+    s = X.table(spark, sf, "supplier")
+    text = F.concat(F.lit("GET /"), F.col("s_suppkey").cast("string"), F.lit(" HTTP/1.1\r\nHost: h"), F.col("s_nationkey").cast("string"), F.lit(":80\r\nX-Nation:  "), F.col("s_nationkey").cast("string"), F.lit(" \r\n\r\nA: body"))
+    return s.select("s_suppkey", F.explode(records.header_lines(F.encode(text, "UTF-8"))).alias("h")).select("s_suppkey", "h.name", "h.value")
+
+
+# Streams over IPv6, TLS records, splice
+@query(f"SELECT conv_id, direction, CAST(strlen(said) AS BIGINT) AS octets, CAST(0 AS BIGINT) AS missing FROM ({_CONV})")
+def streams_v6(spark, sf):
+    s = reassembly.streams(X.chat(spark, sf, six=True))
+    port = F.array_max(F.filter(F.transform(F.split("stream", " - "), lambda e: F.regexp_extract(e, r"\]:(\d+)$", 1).cast("bigint")), lambda p: p != 80))
+    return s.select((port - 1024).alias("conv_id"), "direction", "octets", "missing")
+
+
+@query(f"SELECT conv_id, direction, 23 AS type, CAST(strlen(coalesce(text, '')) AS INTEGER) AS length, md5(coalesce(text, '')) AS md5 FROM ({_SAID})")
+def tls_records(spark, sf):
+    r = reassembly.tls_records(X.chat(spark, sf, record=True))
+    return r.select(_conv(), "direction", "type", "length", F.md5("body").alias("md5"))
+
+
+def _conv():
+    """The number of a conversation below 60,000, by its client's port."""
+    return (F.array_max(F.filter(F.transform(F.split("stream", " - "), lambda e: F.split(e, ":")[1].cast("bigint")), lambda p: p != 80)) - 1024).alias("conv_id")
+
+
+@query(f"SELECT conv_id, direction, 'message' AS kind, md5(coalesce(text, '')) AS md5 FROM ({_SAID})")
+def stream_splice(spark, sf):
+    frames = X.chat(spark, sf, record=True)
+    out = reassembly.spliced(frames, reassembly.tls_records(frames).withColumn("length", F.col("length") + 5))
+    return out.select(_conv(), "direction", "kind", F.md5("octets").alias("md5"))
+
+
+# Filters, rewriting and series
+@query(P + "SELECT num FROM p WHERE (ip_src LIKE '10.0.0.%' AND kind = 'TCP') OR (kind <> 'ICMP' AND sport = 1030) OR ip_dst = '10.1.0.9'")
+def filter_primitives(spark, sf):
+    d = D.dissect(X.packets(spark, sf))
+    return d.where((D.net("10.0.0.0/24") & F.col("off_TCP").isNotNull()) | D.port(1030) | D.host("10.1.0.9")).select("num")
+
+
+@query(P + "SELECT num, CAST(CASE WHEN kind IN ('TCP', 'UDP', 'ICMP') THEN l_linenumber + 100 END AS BIGINT) AS ttl, CASE WHEN l_linenumber = 5 THEN vlan + 1 END AS vlan, CAST(CASE WHEN kind = 'TCP' THEN 2 + 256 END AS BIGINT) AS flags, CASE WHEN kind IN ('TCP', 'UDP', 'ICMP') THEN true END AS good FROM p")
+def field_rewrite(spark, sf):
+    values = {"IP.ttl": F.col("num").bitwiseAND(7) + 100, "Dot1Q.vlan": layers.LAYERS["Dot1Q"].raw("vlan") + 1, "TCP.flags": F.lit(258)}
+    out = D.recompute(D.rewrite(X.packets(spark, sf), values)).select("num", "time", "wirelen", "linktype", "data")
+    d = D.dissect(out)
+    good = D.layer_column("IP.chksum") == D.ip_checksum()
+    return d.select("num", D.layer_column("IP.ttl").alias("ttl"), D.layer_column("Dot1Q.vlan").alias("vlan"), layers.LAYERS["TCP"].raw("flags").alias("flags"), good.alias("good"))
+
+
+@query(P + """SELECT num, '###[ UDP ]###' || chr(10) || '  sport       = ' || sport || chr(10) || '  dport       = 80' || chr(10) || '  len         = 10' || chr(10) || '  chksum      = 0' AS shown FROM p WHERE kind IN ('UDP', 'UDP6')""")
+def show_layers(spark, sf):
+    return D.dissect(X.packets(spark, sf)).where("off_UDP is not null").select("num", D.show(["TCP", "UDP"]).alias("shown"))
+
+
+@query(P + "SELECT ip_src AS key, count(*) AS packets FROM p WHERE ip_src IS NOT NULL GROUP BY 1 ORDER BY packets DESC, key LIMIT 10")
+def top_talkers(spark, sf):
+    return flows.top(X.packets(spark, sf), D.layer_column("IP.src"), 10)
+
+
+@query(P + "SELECT l_returnflag AS label, num, CAST(len AS BIGINT) AS value FROM p WHERE kind IN ('UDP', 'UDP6')")
+def labelled_series(spark, sf):
+    label = F.substring(F.decode(D.payload(), "UTF-8"), 1, 1)
+    return flows.series(D.dissect(X.packets(spark, sf)).where("off_UDP is not null"), label, F.length("data").cast("bigint"))
+
+
+@query(P + "SELECT place, num, CAST(len AS BIGINT) AS len FROM p JOIN (VALUES (0, 15), (1, 11), (2, 15), (3, 5)) v(place, n) ON n = num")
+def take_positions(spark, sf):
+    return flows.take(X.packets(spark, sf), [15, 11, 15, 5]).select(F.col("at").cast("int").alias("place"), "num", F.length("data").cast("bigint").alias("len"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, coalesce(role = 'user', false) AS mine, strlen(coalesce(text, '')) AS n FROM conversations),
+p AS (SELECT conv_id, mine, conv_id * 1000000 + turn * 1000 + k AS num, least(512, n - k * 512) AS m FROM (SELECT *, unnest(range(0, greatest(n - 1, 0) // 512 + 1)) AS k FROM s)),
+q AS (SELECT *, 1000 + sum(m) OVER (PARTITION BY conv_id, mine ORDER BY num) AS after FROM p)
+SELECT num, CAST(CASE WHEN mine THEN max(CASE WHEN NOT mine THEN after END) OVER w ELSE max(CASE WHEN mine THEN after END) OVER w END AS BIGINT) AS expected FROM q
+WINDOW w AS (PARTITION BY conv_id ORDER BY num ROWS UNBOUNDED PRECEDING)""")
+def ack_expected(spark, sf):
+    return flows.ack_consistent(X.chat(spark, sf)).select("num", "expected")
+
+
+@query(P + """SELECT '  "' || src || '" -> "' || dst || '" [label="' || n || '"];' AS line FROM (SELECT coalesce(ip_src, ip6_src, arp_src) AS src, coalesce(ip_dst, ip6_dst, arp_dst) AS dst, count(*) AS n FROM p GROUP BY 1, 2)
+UNION ALL SELECT 'digraph capture {' UNION ALL SELECT '}'""")
+def conversation_dot(spark, sf):
+    return flows.dot(flows.conversations(X.packets(spark, sf)), "src", "dst", "packets")
+
+
+# Generators and address functions
+@query("SELECT i AS id, true AS inside, 32 AS n, 1 AS flips FROM range(1000) t(i)")
+def random_templates(spark, sf):
+    """Drawn values are within what was asked for; corruption flips one bit; the same seed draws the same again."""
+    d = spark.range(1000)
+    ip, mac = templates.random_ipv4(7, "10.20.0.0/16", "id"), templates.random_mac(7, "id")
+    body = templates.random_octets(7, 32, "id")
+    inside = ip.startswith("10.20.") & (ip == templates.random_ipv4(7, "10.20.0.0/16", "id")) & templates.random_number(3, 5, 9, "id").between(5, 9) & mac.rlike("^02(:[0-9a-f]{2}){5}$") & templates.random_choice(1, ["a", "b"], "id").isin("a", "b")
+    wrong = templates.corrupt(body, 5, "id")
+    octets = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.bit_count(O.number(O.part(body, i, 1)).bitwiseXOR(O.number(O.part(wrong, i, 1)))))
+    return d.select("id", inside.alias("inside"), F.length(templates.sized(body)).alias("n"), F.aggregate(octets, F.lit(0), lambda a, x: a + x).alias("flips"))
+
+
+@query("""SELECT s_suppkey, '2001:db8::' || h AS text, 'global' AS kind, 'ff02::1:ff00:' || lower(printf('%x', s_suppkey & 65535)) AS solicited, '0200:00ff:fe00:' || lower(printf('%04x', s_suppkey)) AS eui,
+       '2002:a00:' || CASE WHEN h = '' THEN ':' ELSE h || '::' END AS six FROM (SELECT s_suppkey, CASE WHEN s_suppkey = 0 THEN '' ELSE lower(printf('%x', s_suppkey)) END AS h FROM supplier WHERE s_suppkey < 65536)""")
+def ipv6_functions(spark, sf):
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("2001:DB8:0::"), F.lower(F.hex(k)))
+    octets = O.ipv6_octets(text)
+    mac = F.concat(F.unhex(F.lit("00000000")), O.octets(k, 2))
+    eui = F.regexp_replace(F.lower(F.hex(O.eui64(mac))), "(.{4})(.{4})(.{4})(.{4})", "$1:$2:$3:$4")
+    s = X.table(spark, sf, "supplier").where("s_suppkey < 65536")
+    return s.select("s_suppkey", O.ipv6_text(octets).alias("text"), O.ipv6_kind(octets).alias("kind"), O.ipv6_text(O.solicited_node(octets)).alias("solicited"), eui.alias("eui"), O.ipv6_text(O.sixtofour(k + (10 << 24))).alias("six"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN '0' ELSE printf('%.1fK', n_nationkey * 1.0) END AS size, lpad(bin(n_nationkey), 8, '0') AS bits, CASE n_nationkey WHEN 20 THEN 'ftp-data' WHEN 21 THEN 'ftp' WHEN 22 THEN 'ssh' WHEN 23 THEN 'telnet' ELSE CAST(n_nationkey AS VARCHAR) END AS service FROM nation")
+def readable_numbers(spark, sf):
+    n = F.col("n_nationkey").cast("bigint")
+    return X.table(spark, sf, "nation").select("n_nationkey", O.human_size(n * 1024).alias("size"), O.binary_text(n, 8).alias("bits"), layers.service(n).alias("service"))

@@ -1,4 +1,4 @@
-"""Capture files: pcap and pcapng (also gzipped) and ERF in, pcap out. One task walks one file."""
+"""Capture files: pcap, pcapng and ERF (also gzipped) in and out. One task walks one file."""
 
 from __future__ import annotations
 
@@ -74,8 +74,12 @@ def _erf(raw: bytes) -> Iterator[tuple]:
         part, sec, kind, _, size, _, wirelen = struct.unpack_from("<II", raw, at) + struct.unpack_from(">BBHHH", raw, at + 8)
         if size < 16 or at + size > len(raw):
             return
-        if kind & 127 == 2:
-            yield sec * 1_000_000_000 + (part * 1_000_000_000 >> 32), wirelen, 1, None, raw[at + 18 : at + 18 + min(wirelen, size - 18)]
+        head = at + 16
+        more = kind & 128
+        while more and head + 8 <= at + size:  # extension headers
+            more, head = raw[head] & 128, head + 8
+        if kind & 127 == 2 and head + 2 <= at + size:
+            yield sec * 1_000_000_000 + (part * 1_000_000_000 >> 32), wirelen, 1, None, raw[head + 2 : head + 2 + min(wirelen, at + size - head - 2)]
         at += size
 
 
@@ -109,27 +113,67 @@ def read(spark: SparkSession, path: str, pattern: str | None = None) -> DataFram
 
 
 def _little(value: Column, n: int) -> Column:
-    return F.reverse(F.hex(O.octets(value, n))) if n == 1 else F.concat(*[O.part(O.octets(value, n), n - 1 - i, 1) for i in range(n)])
+    """An integer as n little-endian octets."""
+    return F.concat(*[O.part(O.octets(value, n), n - 1 - i, 1) for i in range(n)])
+
+
+def _quotient(value: Column, by: int) -> Column:
+    """Integer division of non-negative numbers, without a double's rounding."""
+    return F.round((value - F.pmod(value, F.lit(by))) / F.lit(by)).cast("bigint")
+
+
+def _nanoseconds(df: DataFrame) -> Column:
+    return F.col("ts_ns") if "ts_ns" in df.columns else F.round(F.col("time") * 1_000_000_000).cast("bigint")
 
 
 def pcap_header(linktype: int = 1, nanoseconds: bool = False) -> bytes:
     return struct.pack("<IHHiIII", 0xA1B23C4D if nanoseconds else 0xA1B2C3D4, 2, 4, 0, 0, 262144, linktype)
 
 
-def pcap_record(nanoseconds: bool = False) -> Column:
-    """A packet as a record of a little-endian pcap file, by native expressions."""
-    sec = F.floor(F.col("time"))
-    part = F.round((F.col("time") - sec) * (1_000_000_000 if nanoseconds else 1_000_000)).cast("bigint")
+def _sizes() -> tuple[Column, Column]:
     size = F.length("data").cast("bigint")
-    return F.concat(_little(sec, 4), _little(part, 4), _little(size, 4), _little(F.greatest(F.coalesce("wirelen", size), size), 4), F.col("data"))
+    return size, F.greatest(F.coalesce("wirelen", size), size)
+
+
+def pcap_record(ts_ns: Column, nanoseconds: bool = False) -> Column:
+    """A packet as a record of a little-endian pcap file, by native expressions; time below the unit is cut off."""
+    size, wire = _sizes()
+    part = F.pmod(ts_ns, F.lit(1_000_000_000))
+    return F.concat(_little(_quotient(ts_ns, 1_000_000_000), 4), _little(part if nanoseconds else F.floor(part / 1000), 4), _little(size, 4), _little(wire, 4), F.col("data"))
+
+
+def pcapng_header(linktype: int = 1) -> bytes:
+    """A section and an interface whose times are in nanoseconds."""
+    section = struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28)
+    return section + struct.pack("<IIHHIHHB3xHHI", 1, 32, linktype, 0, 0, 9, 1, 9, 0, 0, 32)
+
+
+def pcapng_record(ts_ns: Column) -> Column:
+    """A packet as an enhanced packet block."""
+    size, wire = _sizes()
+    pad = F.pmod(-size, F.lit(4))
+    total = _little(32 + size + pad, 4)
+    high, low = F.shiftright(ts_ns, 32), ts_ns.bitwiseAND((1 << 32) - 1)
+    return F.concat(_little(F.lit(6), 4), total, F.lit(b"\0\0\0\0"), _little(high, 4), _little(low, 4), _little(size, 4), _little(wire, 4), F.col("data"), O.part(F.lit(b"\0\0\0"), 0, pad), total)
+
+
+def erf_record(ts_ns: Column) -> Column:
+    """A packet as an Ethernet record of ERF; its times have 32 bits below the second."""
+    size, wire = _sizes()
+    part = _quotient(F.pmod(ts_ns, F.lit(1_000_000_000)) * F.lit(1 << 32) + 999_999_999, 1_000_000_000)
+    return F.concat(_little(part, 4), _little(_quotient(ts_ns, 1_000_000_000), 4), F.unhex(F.lit("0204")), O.octets(size + 18, 2), F.lit(b"\0\0"), O.octets(wire, 2), F.lit(b"\0\0"), F.col("data"))
 
 
-def write(df: DataFrame, folder: str, linktype: int = 1) -> DataFrame:
-    """Write one pcap file for each partition into a folder that all executors share; (path, packets) of the files.
+def write(df: DataFrame, folder: str, linktype: int = 1, kind: str = "pcap") -> DataFrame:
+    """Write one file for each partition into a folder that all executors share; (path, packets) of the files.
 
-    A file gets its final name when it is whole, so that a task that is run again leaves no half file.
+    kind: pcap, pcap_ns (with nanoseconds), pcapng or erf. Times are those of ts_ns, else of time. A packet without data has
+    no octets. A file gets its final name when it is whole, so that a task that is run again leaves no half file.
     """
-    head = pcap_header(linktype)
+    ts = _nanoseconds(df)
+    heads = {"pcap": pcap_header(linktype), "pcap_ns": pcap_header(linktype, True), "pcapng": pcapng_header(linktype), "erf": b""}
+    records_of = {"pcap": lambda: pcap_record(ts), "pcap_ns": lambda: pcap_record(ts, True), "pcapng": lambda: pcapng_record(ts), "erf": lambda: erf_record(ts)}
+    head, suffix = heads[kind], kind.removesuffix("_ns")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -137,7 +181,7 @@ def write(df: DataFrame, folder: str, linktype: int = 1) -> DataFrame:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        path = PurePosixPath(folder) / f"part-{context.partitionId():05d}.pcap"
+        path = PurePosixPath(folder) / f"part-{context.partitionId():05d}.{suffix}"
         part = f"{path}.{context.taskAttemptId()}"
         n = 0
         os.makedirs(folder, exist_ok=True)
@@ -150,4 +194,5 @@ def write(df: DataFrame, folder: str, linktype: int = 1) -> DataFrame:
         os.replace(part, path)
         yield pd.DataFrame({"path": [str(path)], "packets": [n]})
 
-    return df.select(pcap_record().alias("record")).mapInPandas(run, "path string, packets bigint")
+    filled = df.withColumn("data", F.coalesce("data", F.lit(b"")))
+    return filled.select(records_of[kind]().alias("record")).mapInPandas(run, "path string, packets bigint")
