@@ -21,9 +21,9 @@ CAPTURES = ("packets", "datagrams", "requests", "chat")
 
 
 def stored(spark: SparkSession, folder: str, name: str, scratch: str) -> None:
-    """Write a capture once; from now on the queries read it as they would a user's."""
+    """Write a capture once, in a file for each core; from now on the queries read it as they would a user's."""
     path = f"{scratch}/{name}"
-    getattr(fixtures, name)(spark, folder).write.parquet(path)
+    getattr(fixtures, name)(spark, folder).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
     setattr(fixtures, name, lambda spark, sf, **_: spark.read.parquet(path))
 
 

@@ -11,25 +11,35 @@ from capquill.operators.dissect import dissect, layer_column
 from capquill.operators.layers import LAYERS
 
 
-def _text(spec: str) -> Column:
-    return layer_column(spec).cast("string")
+def _text(spec: str, decoded: bool = False) -> Column:
+    return layer_column(spec, decoded=decoded).cast("string")
 
 
-def session_key() -> Column:
-    """Directional flow key of a packet."""
+def decoded(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, bool]:
+    """The dissected capture, and whether it has these fields decoded: it has, unless it was dissected before."""
+    return (df, False) if "off_Ether" in df.columns else (dissect(df, fields=fields), True)
+
+
+#: Fields that session_key reads.
+KEY_FIELDS = ("IP.src", "IP.dst", "IP.proto", "IPv6.nh", "TCP.sport", "TCP.dport", "UDP.sport", "UDP.dport", "ICMP.type", "ICMP.code", "ICMP.id", "ARP.psrc", "ARP.pdst", "Ether.type")
+
+
+def session_key(decoded: bool = False) -> Column:
+    """Directional flow key of a packet; decoded: of a capture with KEY_FIELDS decoded."""
+    _text = lambda spec: layer_column(spec, decoded=decoded).cast("string")
     has = lambda n: F.col(f"off_{n}").isNotNull()
     hex4 = lambda v: F.lpad(F.lower(F.hex(v)), 4, "0")
     src, dst = F.coalesce(_text("IP.src"), _text("IPv6.src")), F.coalesce(_text("IP.dst"), _text("IPv6.dst"))
     both = F.concat(src, F.lit(" > "), dst)
     ports = lambda n: F.concat(F.lit(n + " "), src, F.lit(":"), _text(f"{n}.sport"), F.lit(" > "), dst, F.lit(":"), _text(f"{n}.dport"))
-    echo = F.concat(F.lit("ICMP "), both, F.lit(" type="), _text("ICMP.type"), F.lit(" code="), _text("ICMP.code"), F.coalesce(F.concat(F.lit(" id=0x"), F.lower(F.hex(layer_column("ICMP.id")))), F.lit("")))
+    echo = F.concat(F.lit("ICMP "), both, F.lit(" type="), _text("ICMP.type"), F.lit(" code="), _text("ICMP.code"), F.coalesce(F.concat(F.lit(" id=0x"), F.lower(F.hex(layer_column("ICMP.id", decoded=decoded)))), F.lit("")))
     return (
         F.when(has("TCP"), ports("TCP")).when(has("UDP"), ports("UDP"))
         .when(has("IPv6"), F.concat(F.lit("IPv6 "), both, F.lit(" nh="), _text("IPv6.nh")))
         .when(has("ICMP"), echo)
         .when(has("IP"), F.concat(F.lit("IP "), both, F.lit(" proto="), _text("IP.proto")))
         .when(has("ARP"), F.concat(F.lit("ARP "), _text("ARP.psrc"), F.lit(" > "), _text("ARP.pdst")))
-        .when(has("Ether"), F.concat(F.lit("Ethernet type="), hex4(layer_column("Ether.type"))))
+        .when(has("Ether"), F.concat(F.lit("Ethernet type="), hex4(layer_column("Ether.type", decoded=decoded))))
         .otherwise("Other")
     )
 
@@ -42,13 +52,15 @@ def of_capture(df: DataFrame) -> list[str]:
 def sessions(df: DataFrame, key: Column | None = None) -> DataFrame:
     """session, packets, octets, first_num, last_num of each flow, of each capture for itself; pre-aggregated, packets are never gathered."""
     own = of_capture(df)
-    keyed = dissect(df).select(*own, (session_key() if key is None else key).alias("session"), "num", F.length("data").alias("size"))
+    d, ready = decoded(df, KEY_FIELDS if key is None else ())
+    keyed = d.select(*own, (session_key(ready) if key is None else key).alias("session"), "num", F.length("data").alias("size"))
     return keyed.groupBy(*own, "session").agg(F.count("*").alias("packets"), F.sum("size").cast("bigint").alias("octets"), F.min("num").alias("first_num"), F.max("num").alias("last_num"))
 
 
 def session_windows(df: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Flows that end after a gap without packets."""
-    keyed = dissect(df).select(session_key().alias("session"), F.timestamp_micros((F.col("time") * 1_000_000).cast("bigint")).alias("ts"))
+    d, ready = decoded(df, KEY_FIELDS)
+    keyed = d.select(session_key(ready).alias("session"), F.timestamp_micros((F.col("time") * 1_000_000).cast("bigint")).alias("ts"))
     return keyed.groupBy("session", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("packets")).select("session", F.unix_micros("w.start").alias("start_us"), "packets")
 
 
@@ -66,8 +78,9 @@ def protocol_stats(df: DataFrame, layers: Sequence[str] = ("TCP", "UDP", "ICMP")
 
 def conversations(df: DataFrame) -> DataFrame:
     """src, dst, packets by IP, else IPv6, else ARP addresses; other packets have no conversation."""
-    src, dst = (F.coalesce(*[_text(s) for s in specs]) for specs in (("IP.src", "IPv6.src", "ARP.psrc"), ("IP.dst", "IPv6.dst", "ARP.pdst")))
-    return dissect(df).select(src.alias("src"), dst.alias("dst")).where("src is not null").groupBy("src", "dst").agg(F.count("*").alias("packets"))
+    d, ready = decoded(df, ("IP.src", "IP.dst", "ARP.psrc", "ARP.pdst"))
+    src, dst = (F.coalesce(*[_text(s, ready) for s in specs]) for specs in (("IP.src", "IPv6.src", "ARP.psrc"), ("IP.dst", "IPv6.dst", "ARP.pdst")))
+    return d.select(src.alias("src"), dst.alias("dst")).where("src is not null").groupBy("src", "dst").agg(F.count("*").alias("packets"))
 
 
 def afterglow(df: DataFrame, event: str = "TCP.dport") -> DataFrame:

@@ -7,28 +7,34 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators.dissect import dissect, layer_column
+from capquill.operators.flows import decoded, of_capture
 
 
-def reply_key(reverse: bool) -> Column:
-    """Key under which a packet meets its answers (reverse: of an answer, with its ends swapped); null if it has no rule."""
-    t = lambda s: layer_column(s).cast("string")
+#: Fields that reply_key reads.
+KEY_FIELDS = ("IP.src", "IP.dst", "TCP.sport", "TCP.dport", "UDP.sport", "UDP.dport", "ICMP.type", "ICMP.id", "ICMP.seq", "ARP.op", "ARP.psrc", "ARP.pdst")
+
+
+def reply_key(reverse: bool, decoded: bool = False) -> Column:
+    """Key under which a packet meets its answers (reverse: of an answer, with its ends swapped); null if it has no rule. decoded: of a capture with KEY_FIELDS decoded."""
+    t = lambda s: layer_column(s, decoded=decoded).cast("string")
     ends = (t("IP.dst"), t("IP.src")) if reverse else (t("IP.src"), t("IP.dst"))
     ports = lambda n: (t(f"{n}.dport"), t(f"{n}.sport")) if reverse else (t(f"{n}.sport"), t(f"{n}.dport"))
-    kind = layer_column("ICMP.type")
+    kind = layer_column("ICMP.type", decoded=decoded)
     asks = (kind == 0) if reverse else (kind == 8)
     arp = (F.lit("arp"), t("ARP.pdst"), t("ARP.psrc")) if reverse else (F.lit("arp"), t("ARP.psrc"), t("ARP.pdst"))
     key = F.when(F.col("off_TCP").isNotNull(), F.concat_ws("|", F.lit("tcp"), *ends, *ports("TCP")))
     key = key.when(F.col("off_UDP").isNotNull() & F.col("off_IP").isNotNull(), F.concat_ws("|", F.lit("udp"), *ends, *ports("UDP")))
     key = key.when(asks, F.concat_ws("|", F.lit("icmp"), *ends, t("ICMP.id"), t("ICMP.seq")))
-    return key.when(layer_column("ARP.op") == (2 if reverse else 1), F.concat_ws("|", *arp))
+    return key.when(layer_column("ARP.op", decoded=decoded) == (2 if reverse else 1), F.concat_ws("|", *arp))
 
 
 def answers(df: DataFrame) -> DataFrame:
     """num, answer: every later packet that answers num (a list may consume each several times)."""
-    d = dissect(df)
-    asked = d.select("num", reply_key(False).alias("key")).where("key is not null")
-    replied = d.select(F.col("num").alias("answer"), reply_key(True).alias("key")).where("key is not null")
-    return asked.join(replied, "key").where("answer > num").select("num", "answer")
+    d, ready = decoded(df, KEY_FIELDS)
+    own = of_capture(df)
+    asked = d.select(*own, "num", reply_key(False, ready).alias("key")).where("key is not null")
+    replied = d.select(*own, F.col("num").alias("answer"), reply_key(True, ready).alias("key")).where("key is not null")
+    return asked.join(replied, [*own, "key"]).where("answer > num").select(*own, "num", "answer")
 
 
 def pairs(df: DataFrame, request: Column | None = None) -> DataFrame:
@@ -37,10 +43,12 @@ def pairs(df: DataFrame, request: Column | None = None) -> DataFrame:
     Within a key the k-th request gets answer number k + max over i <= k of (answers before request i, minus i),
     so two window sums do what a loop over the list would. request: which packets ask (default: all with a rule).
     """
-    d = dissect(df)
+    d, ready = decoded(df, KEY_FIELDS)
+    own = [F.col(c).cast("string") for c in of_capture(df)]
+    key = lambda reverse: F.when((k := reply_key(reverse, ready)).isNotNull(), F.concat_ws("|", *own, k)).alias("key")
     asks = F.lit(True) if request is None else request
-    asked = d.where(asks).select(reply_key(False).alias("key"), "num", F.lit(0).alias("reply")).where("key is not null")
-    replied = d.where(~asks if request is not None else F.lit(True)).select(reply_key(True).alias("key"), "num", F.lit(1).alias("reply")).where("key is not null")
+    asked = d.where(asks).select(key(False), "num", F.lit(0).alias("reply")).where("key is not null")
+    replied = d.where(~asks if request is not None else F.lit(True)).select(key(True), "num", F.lit(1).alias("reply")).where("key is not null")
     w = Window.partitionBy("key").orderBy("num", "reply").rowsBetween(Window.unboundedPreceding, 0)
     both = asked.unionByName(replied).withColumn("replies", F.sum("reply").over(w)).withColumn("k", F.count("*").over(w) - F.col("replies"))
     lead = both.where("reply = 0").withColumn("place", F.col("k") + F.max(F.col("replies") - F.col("k") + 1).over(w))

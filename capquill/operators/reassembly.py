@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators.dissect import dissect, layer_column, payload
-from capquill.operators.flows import of_capture
+from capquill.operators.flows import decoded, of_capture
+from capquill.operators.layers import LAYERS
 
 BLOCK = 1 << 20
 #: Octets of an IPv4 datagram at most, and fragments of one that are held.
@@ -192,12 +193,13 @@ def tcp_segments(df: DataFrame) -> DataFrame:
     from the SYN's number plus one, or else from the first segment, by serial arithmetic. With a column `capture`, the
     stream's name begins with it.
     """
-    v = layer_column
-    d = dissect(df).where(F.col("off_TCP").isNotNull())
+    d, ready = decoded(df, ("IP.src", "IP.dst", "TCP.sport", "TCP.dport", "TCP.seq", "TCP.flags"))
+    v = lambda spec: layer_column(spec, decoded=ready)
+    d = d.where(F.col("off_TCP").isNotNull())
     six = lambda of: F.concat(F.lit("["), v(f"IPv6.{of}"), F.lit("]"))
     a = F.concat_ws(":", F.coalesce(v("IP.src"), six("src")), v("TCP.sport").cast("string"))
     b = F.concat_ws(":", F.coalesce(v("IP.dst"), six("dst")), v("TCP.dport").cast("string"))
-    number = F.shiftright(O.be(F.col("data"), F.col("off_TCP") + 12, 2), 0).bitwiseAND(255)
+    number = LAYERS["TCP"].raw("flags", ready).bitwiseAND(255)
     own = [F.col(c).cast("string") for c in of_capture(df)]
     s = d.select(F.concat_ws(" - ", *own, F.least(a, b), F.greatest(a, b)).alias("stream"), a.alias("sender"), "num", v("TCP.seq").alias("seq"), number.alias("flags"), payload().alias("body"))
     syn, ack = F.col("flags").bitwiseAND(2) != 0, F.col("flags").bitwiseAND(16) != 0
