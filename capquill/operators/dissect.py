@@ -4,8 +4,9 @@ A capture is a DataFrame (num, time, wirelen, linktype, data); more columns pass
 Arrow batches of frames with numpy, all frames of a batch at once, and adds one offset
 column per layer, of its first occurrence and null where it is absent, the end of the network packet
 (`end`), the offset of what no layer claims (`off_Raw`) and the names of the chain. Fields are read from these
-offsets by the specifications, so only those that a query names are decoded. Ethernet links only; one VLAN
-pair, one IP-in-IP level and three IPv6 extension headers are followed, what lies deeper is Raw.
+offsets by the specifications, so only those that a query names are decoded. Links are Ethernet, BSD loopback, Linux
+cooked capture (both versions) and bare IP; of other links all is Raw. One VLAN pair, one IP-in-IP level and three IPv6
+extension headers are followed, what lies deeper is Raw; `tunnels.inner` gives the frames within tunnels.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ def capture(frames: DataFrame) -> DataFrame:
 _NETWORK = {"ARP": 0x0806, "IP": 0x0800, "IPv6": 0x86DD}
 _TRANSPORT = {"TCP": 6, "UDP": 17, "ICMP": 1, "ICMPv6": 58, "GRE": 47, "SCTP": 132, "IGMP": 2, "OSPF": 89}
 _PORTS = {"DNS": (53,), "NTP": (123,), "VXLAN": (4789,), "RIP": (520,), "BOOTP": (67, 68), "NetFlowV5": (2055,), "Geneve": (6081,), "GTP_U": (2152,)}
+#: Link types of capture files, and address families of BSD loopback headers.
+_LOOPBACK, _COOKED, _COOKED_V2, _BARE_IP = (0, 108), 113, 276, (12, 14, 101, 228, 229)
+_FAMILIES = {0x0800: (2,), 0x86DD: (10, 24, 28, 30)}
 #: Layers over the link layer by EtherType, before the network layer or instead of it.
 _TAGGED = {"MPLS": 0x8847, "PPPoE": 0x8864}
 
@@ -78,8 +82,19 @@ def _offsets(b: _Batch, bind: Sequence[tuple[Layer, str, dict[str, int]]]) -> di
     vlan = at["Dot1Q"] = only((ether >= 0) & tag(after(ether, 12)) & (size >= 18), zero + 14)
     l3 = np.where((vlan >= 0) & tag(after(vlan, 2)) & (size >= 22), 22, np.where(vlan >= 0, 18, 14))
     kind = b.be(only(ether >= 0, l3 - 2), 2)
+    loop = at["Loopback"] = only(np.isin(b.linktype, _LOOPBACK) & (size >= 4), zero)
+    cooked = at["CookedLinux"] = only((b.linktype == _COOKED) & (size >= 16), zero)
+    cooked2 = at["CookedLinuxV2"] = only((b.linktype == _COOKED_V2) & (size >= 20), zero)
+    bare = np.isin(b.linktype, _BARE_IP) & (size > 0)
+    known = (ether >= 0) | (loop >= 0) | (cooked >= 0) | (cooked2 >= 0) | bare
+    l3 = np.where(ether >= 0, l3, np.where(loop >= 0, 4, np.where(cooked >= 0, 16, np.where(cooked2 >= 0, 20, 0))))
+    kind = np.where(cooked >= 0, b.be(after(cooked, 14), 2), np.where(cooked2 >= 0, b.be(cooked2, 2), kind))
+    # the family is in the order of the host that captured, and small: its octets are 0 but for the first or the last
+    family, version = b.be(loop, 1) | b.be(after(loop, 3), 1), b.be(only(bare, zero), 1) >> 4
+    for number, families in _FAMILIES.items():
+        kind = np.where((loop >= 0) & np.isin(family, families) | bare & (version == {0x0800: 4, 0x86DD: 6}[number]), number, kind)
     for name, number in _NETWORK.items():
-        at[name] = only((ether >= 0) & (kind == number) & (size - l3 >= LAYERS[name].least), l3)
+        at[name] = only(known & (kind == number) & (size - l3 >= LAYERS[name].least), l3)
     arp, ip, ip6 = at["ARP"], at["IP"], at["IPv6"]
     end = np.where(ip >= 0, ip + np.maximum(b.be(after(ip, 2), 2), ihl(ip)), np.where(ip6 >= 0, ip6 + 40 + b.be(after(ip6, 4), 2), np.where(arp >= 0, arp + 28, size)))
     end = np.minimum(end, size)
@@ -92,9 +107,9 @@ def _offsets(b: _Batch, bind: Sequence[tuple[Layer, str, dict[str, int]]]) -> di
         more = (ip6 >= 0) & np.isin(proto, _EXTENSIONS) & (end - top >= 8)
         here = only(more, top)
         proto, top = np.where(more, b.be(here, 1), proto), np.where(more, top + (b.be(after(here, 1), 1) + 1) * 8, top)
-    rest = np.where(arp >= 0, end, np.where(top >= 0, top, np.where(ether >= 0, l3, 0)))
+    rest = np.where(arp >= 0, end, np.where(top >= 0, top, np.where(known, l3, 0)))
     for name, number in _TAGGED.items():
-        at[name] = only((ether >= 0) & (kind == number) & (size - l3 >= LAYERS[name].least), l3)
+        at[name] = only(known & (kind == number) & (size - l3 >= LAYERS[name].least), l3)
         rest = np.where(at[name] >= 0, at[name] + LAYERS[name].least, rest)
     # a length instead of an EtherType: 802.3 with LLC, and SNAP in it
     llc = at["LLC"] = only((ether >= 0) & (kind <= 1500) & (size - l3 >= 3), l3)
@@ -139,7 +154,7 @@ def dissect(df: DataFrame, bind: Sequence[tuple[Layer, str, dict[str, int]]] = (
         if not all(decoded_name(*w) in df.columns for w in wanted):
             raise ValueError("the capture is dissected already, without these fields")
         return df
-    names = ["Ether", "Dot1Q", *_TAGGED, "LLC", "SNAP", *_NETWORK, "IP_2", *_TRANSPORT, *(layer.name for layer, _, _ in reversed(bind)), *_PORTS, "TLS", "Raw"]
+    names = ["Ether", "Loopback", "CookedLinux", "CookedLinuxV2", "Dot1Q", *_TAGGED, "LLC", "SNAP", *_NETWORK, "IP_2", *_TRANSPORT, *(layer.name for layer, _, _ in reversed(bind)), *_PORTS, "TLS", "Raw"]
     chain_of = [*names, "Padding"]
     shown = pa.array(["IP" if n == "IP_2" else n for n in chain_of])
     kind = ", ".join([*(f"off_{n}: int" for n in names), "_after: int", "end: int", "chain: array<string>", *(f"{decoded_name(*w)}: bigint" for w in wanted)])

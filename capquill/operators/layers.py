@@ -122,6 +122,9 @@ LAYERS = {
     layer.name: layer
     for layer in (
         Layer("Ether", 14, _row("dst:48:mac src:48:mac type:16", type={"names": ETHER_TYPES})),
+        Layer("Loopback", 4, _row("type:32:le")),
+        Layer("CookedLinux", 16, _row("pkttype:16 lladdrtype:16 lladdrlen:16 src:64:bytes proto:16", proto={"names": ETHER_TYPES})),
+        Layer("CookedLinuxV2", 20, _row("proto:16 reserved:16 ifindex:32 lladdrtype:16 pkttype:8 lladdrlen:8 src:64:bytes", proto={"names": ETHER_TYPES})),
         Layer("Dot1Q", 4, _row("prio:3 dei:1 vlan:12 type:16", type={"names": ETHER_TYPES})),
         Layer("ARP", 28, _row("hwtype:16 ptype:16 hwlen:8 plen:8 op:16 hwsrc:48:mac psrc:32:ipv4 hwdst:48:mac pdst:32:ipv4", ptype={"names": ETHER_TYPES}, op={"names": ARP_OPERATIONS})),
         Layer("IP", 20, _row("version:4 ihl:4 tos:8 len:16 id:16 flags:3:flags frag:13 ttl:8 proto:8 chksum:16 src:32:ipv4 dst:32:ipv4", flags={"letters": IP_FLAGS, "between": "+"}, proto={"names": PROTOCOLS})),

@@ -179,3 +179,31 @@ def web(spark: SparkSession, sf_dir: str, size: int = 1400) -> DataFrame:
     other, port = F.shiftright("page_id", 16).bitwiseAND((1 << 24) - 1) + (11 << 24), F.shiftright("page_id", 40) + 5000
     frame = T.ether(0x0800, T.ipv4(address(7, "page_id"), other, 6, T.tcp(F.lit(80), port, F.col("k") * size + 7, F.lit(24), F.substring("m", F.col("k") * size + 1, F.lit(size)))))
     return capture(p.select((F.col("page_id") * (1 << 20) + order).alias("num"), frame.alias("data")))
+
+
+def tunnelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each packet of `packets` in a tunnel by its line: VXLAN, GRE (with a key and without), Geneve with an option, GTP-U with an extension header, PPPoE."""
+    p = packets(spark, sf_dir)
+    data, line, key = F.col("data"), F.col("num").bitwiseAND(7), F.shiftright("num", 3).bitwiseAND((1 << 16) - 1)
+    over = lambda proto, body: T.ether(0x0800, T.ipv4(F.lit(1 << 24), F.lit(2 << 24), proto, body))
+    hexed = lambda text: F.unhex(F.lit(text))
+    bare = O.part(data, 14, 1 << 16)
+    vxlan = over(17, T.udp(40000, 4789, F.concat(hexed("08000000"), O.octets(key, 3), hexed("00"), data)))
+    gre = F.concat(F.when(line == 2, F.concat(hexed("20006558"), O.octets(key, 4))).otherwise(hexed("00006558")), data)
+    geneve = over(17, T.udp(40000, 6081, F.concat(hexed("02006558"), O.octets(key, 3), hexed("00" + "01020301" + "0a0b0c0d"), data)))
+    gtp = over(17, T.udp(40000, 2152, F.concat(hexed("34ff"), O.octets(F.length(bare) + 8, 2), O.octets(key, 4), hexed("00000085" + "01000000"), bare)))
+    pppoe = T.ether(0x8864, F.concat(hexed("1100"), O.octets(key, 2), O.octets(F.length(bare) + 2, 2), hexed("0021"), bare, hexed("00" * 9)))
+    outer = F.when(line.isin(2, 7), over(47, gre)).when(line == 3, geneve).when(line == 4, gtp).when(line == 6, pppoe).otherwise(vxlan)
+    return capture(p.select("num", "time", outer.alias("data")))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The untagged IP packets of `packets` on other links than Ethernet, by their line."""
+    p = packets(spark, sf_dir)
+    line, bare = F.col("num").bitwiseAND(7), O.part(F.col("data"), 14, 1 << 16)
+    hexed = lambda text: F.unhex(F.lit(text))
+    cooked = F.concat(hexed("000000010006" + "0200000000010000" + "0800"), bare)
+    cooked2 = F.concat(hexed("86dd" + "0000" + "00000003" + "0001" + "00" + "06" + "0200000000010000"), bare)
+    data = F.when(line == 1, F.concat(hexed("02000000"), bare)).when(line == 2, cooked).when(line == 4, cooked2).when(line == 6, F.concat(hexed("00000002"), bare)).otherwise(bare)
+    kind = F.when(line == 1, 0).when(line == 2, 113).when(line == 4, 276).when(line == 6, 108).otherwise(101)
+    return capture(p.where(~line.isin(5, 7)).select("num", "time", data.alias("data"), kind.cast("int").alias("linktype")))

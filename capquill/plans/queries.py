@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators import dissect as D
-from capquill.operators import flows, layers, pairing, reassembly, records, templates
+from capquill.operators import flows, layers, pairing, reassembly, records, templates, tunnels
 from capquill.plans import fixtures as X
 
 QUERIES: dict = {}
@@ -548,3 +548,31 @@ def ipv6_functions(spark, sf):
 def readable_numbers(spark, sf):
     n = F.col("n_nationkey").cast("bigint")
     return X.table(spark, sf, "nation").select("n_nationkey", O.human_size(n * 1024).alias("size"), O.binary_text(n, 8).alias("bits"), layers.service(n).alias("service"))
+
+
+# Tunnels and links
+@query(P + """SELECT num, CASE l_linenumber WHEN 2 THEN 'GRE' WHEN 7 THEN 'GRE' WHEN 3 THEN 'Geneve' WHEN 4 THEN 'GTP_U' WHEN 6 THEN 'PPPoE' ELSE 'VXLAN' END AS tunnel, CASE WHEN l_linenumber <> 7 THEN l_orderkey & 65535 END AS key,
+CASE WHEN l_linenumber IN (4, 6) THEN 101 ELSE 1 END AS linktype, CAST(len - CASE WHEN l_linenumber IN (4, 6) THEN 14 ELSE 0 END AS BIGINT) AS len, coalesce(ip_src, ip6_src, arp_src) AS src, sport FROM p""")
+def tunnel_inner(spark, sf):
+    """Addresses and ports inside of tunnels."""
+    d = D.dissect(tunnels.inner(X.tunnelled(spark, sf)))
+    c = D.layer_column
+    return d.select("num", "tunnel", F.col("tunnel_key").alias("key"), "linktype", F.col("wirelen").alias("len"), F.coalesce(c("IP.src"), c("IPv6.src"), c("ARP.psrc")).alias("src"), F.coalesce(c("TCP.sport"), c("UDP.sport")).alias("sport"))
+
+
+@query(P + """SELECT num, CASE l_linenumber WHEN 1 THEN 'Loopback / ' WHEN 2 THEN 'CookedLinux / ' WHEN 4 THEN 'CookedLinuxV2 / ' WHEN 6 THEN 'Loopback / ' ELSE '' END
+|| CASE kind WHEN 'ICMP' THEN 'IP / ICMP / Raw' WHEN 'UDP6' THEN 'IPv6 / UDP / Raw' WHEN 'UDP' THEN 'IP / UDP / Raw' ELSE 'IP / TCP' END AS chain, coalesce(ip_src, ip6_src) AS src, sport FROM p WHERE l_linenumber NOT IN (5, 7)""")
+def link_types(spark, sf):
+    """Packets on loopback, cooked and bare links; the fixture has no VLAN tags and no ARP."""
+    d, c = D.dissect(X.links(spark, sf)), D.layer_column
+    return d.select("num", F.array_join("chain", " / ").alias("chain"), F.coalesce(c("IP.src"), c("IPv6.src")).alias("src"), F.coalesce(c("TCP.sport"), c("UDP.sport")).alias("sport"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, coalesce(role = 'user', false) AS mine, strlen(coalesce(text, '')) AS n FROM conversations),
+p AS (SELECT conv_id, mine, conv_id * 1000000 + turn * 1000 + k AS num, least(512, n - k * 512) AS m FROM (SELECT *, unnest(range(0, greatest(n - 1, 0) // 512 + 1)) AS k FROM s))
+SELECT num, CAST(sum(m) OVER (PARTITION BY conv_id, mine ORDER BY num) - m AS BIGINT) AS rel FROM p""")
+def relative_numbers(spark, sf):
+    """Sequence numbers from the first of each direction on."""
+    c = D.layer_column
+    d = D.dissect(X.chat(spark, sf)).select("num", *[c(s).alias(s.replace(".", "_")) for s in ("IP.src", "IP.dst", "TCP.sport", "TCP.dport")], c("TCP.seq").alias("seq"))
+    return flows.relative_sequence(d, ["IP_src", "IP_dst", "TCP_sport", "TCP_dport"]).select("num", "rel")
