@@ -1,6 +1,19 @@
 """Registry of the training-data queries and of their SQL."""
 
-from capquill.llm import chat_format, decontamination, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, substring_dedup, suffix_dedup
+from capquill.llm import (
+    chat_format,
+    decontamination,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    whitening,
+)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,6 +26,8 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE = {
