@@ -7,6 +7,7 @@ from capquill.llm import (
     language_id,
     line_dedup,
     mixing,
+    prefix_trie,
     quality_rules,
     sharding,
     substring_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_token_counts": token_counts.op12_token_counts,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
@@ -34,4 +36,5 @@ ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op6_chat_format": chat_format.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
 }
