@@ -8,6 +8,8 @@ from capquill.functions import octets as O
 from capquill.operators import dissect as D
 from capquill.operators import flows, layers, pairing, reassembly, records, templates, tunnels
 from capquill.plans import fixtures as X
+from capquill.sources import captures, ranges
+from capquill.sources.files import scratch
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -576,3 +578,16 @@ def relative_numbers(spark, sf):
     c = D.layer_column
     d = D.dissect(X.chat(spark, sf)).select("num", *[c(s).alias(s.replace(".", "_")) for s in ("IP.src", "IP.dst", "TCP.sport", "TCP.dport")], c("TCP.seq").alias("seq"))
     return flows.relative_sequence(d, ["IP_src", "IP_dst", "TCP_sport", "TCP_dport"]).select("num", "rel")
+
+
+# Capture files
+@query(P + """SELECT CAST(len AS BIGINT) AS caplen, CAST(len AS BIGINT) AS wirelen, epoch_us(l_shipdate) * 1000 AS ts_ns, 1 AS linktype,
+coalesce(ip_src, ip6_src, arp_src) AS src, coalesce(ip_dst, ip6_dst, arp_dst) AS dst, sport FROM p""")
+def capture_file_ranges(spark, sf):
+    """The packets, written as capture files that many tasks then read in ranges of 64 KiB each."""
+    folder = scratch(spark, "written")
+    captures.write(X.packets(spark, sf).coalesce(2), folder, kind="pcap_ns").collect()
+    d, c = D.dissect(ranges.read(spark, folder, 1 << 16)), D.layer_column
+    src, dst = (F.coalesce(*[c(s) for s in specs]) for specs in (("IP.src", "IPv6.src", "ARP.psrc"), ("IP.dst", "IPv6.dst", "ARP.pdst")))
+    sport = F.coalesce(c("TCP.sport"), c("UDP.sport"))
+    return d.select("caplen", "wirelen", "ts_ns", "linktype", src.alias("src"), dst.alias("dst"), sport.alias("sport"))

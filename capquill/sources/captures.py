@@ -1,17 +1,17 @@
-"""Capture files: pcap, pcapng and ERF (also gzipped) in and out. One task walks one file."""
+"""Capture files: pcap, pcapng and ERF (also gzipped) in and out. Here one task reads one file; `ranges` splits files."""
 
 from __future__ import annotations
 
 import gzip
 import struct
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
+from capquill.sources.files import located
 
 SCHEMA = "capture string, num bigint, ts_ns bigint, time double, caplen bigint, wirelen bigint, linktype int, comment string, data binary"
 #: File magics (octets as they stand in the file) with byte order and nanoseconds per unit.
@@ -164,35 +164,33 @@ def erf_record(ts_ns: Column) -> Column:
     return F.concat(_little(part, 4), _little(_quotient(ts_ns, 1_000_000_000), 4), F.unhex(F.lit("0204")), O.octets(size + 18, 2), F.lit(b"\0\0"), O.octets(wire, 2), F.lit(b"\0\0"), F.col("data"))
 
 
-def write(df: DataFrame, folder: str, linktype: int = 1, kind: str = "pcap") -> DataFrame:
-    """Write one file for each partition into a folder that all executors share; (path, packets) of the files.
+def write(df: DataFrame, folder: str, linktype: int = 1, kind: str = "pcap", compressed: bool = False) -> DataFrame:
+    """Write one file for each partition into a folder (a path or URI that all executors reach); (path, packets) of the files.
 
-    kind: pcap, pcap_ns (with nanoseconds), pcapng or erf. Times are those of ts_ns, else of time. A packet without data has
-    no octets. A file gets its final name when it is whole, so that a task that is run again leaves no half file.
+    kind: pcap, pcap_ns (with nanoseconds), pcapng or erf; compressed: as gzip. Times are those of ts_ns, else of time. A packet without
+    data has no octets. A file gets its final name when it is whole, so that a task that is run again leaves no half file.
     """
     ts = _nanoseconds(df)
     heads = {"pcap": pcap_header(linktype), "pcap_ns": pcap_header(linktype, True), "pcapng": pcapng_header(linktype), "erf": b""}
     records_of = {"pcap": lambda: pcap_record(ts), "pcap_ns": lambda: pcap_record(ts, True), "pcapng": lambda: pcapng_record(ts), "erf": lambda: erf_record(ts)}
-    head, suffix = heads[kind], kind.removesuffix("_ns")
+    head, suffix = heads[kind], kind.removesuffix("_ns") + ".gz" * compressed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        path = PurePosixPath(folder) / f"part-{context.partitionId():05d}.{suffix}"
-        part = f"{path}.{context.taskAttemptId()}"
+        store, place = located(folder)
+        store.create_dir(place, recursive=True)
+        name = f"part-{context.partitionId():05d}.{suffix}"
+        part = f"{place}/.{name}.{context.taskAttemptId()}"
         n = 0
-        os.makedirs(folder, exist_ok=True)
-        with open(part, "wb") as f:
+        with store.open_output_stream(part, compression="gzip" if compressed else None) as f:
             f.write(head)
             for b in batches:
-                for r in b["record"]:
-                    f.write(r)
+                f.write(b"".join(b["record"]))
                 n += len(b)
-        os.replace(part, path)
-        yield pd.DataFrame({"path": [str(path)], "packets": [n]})
+        store.move(part, f"{place}/{name}")
+        yield pd.DataFrame({"path": [f"{folder.rstrip('/')}/{name}"], "packets": [n]})
 
     filled = df.withColumn("data", F.coalesce("data", F.lit(b"")))
     return filled.select(records_of[kind]().alias("record")).mapInPandas(run, "path string, packets bigint")

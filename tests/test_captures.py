@@ -19,6 +19,9 @@ def test_round_trip(spark, tmp_path, kind, unit):
     got = captures.read(spark, str(tmp_path)).orderBy("num").collect()
     assert [(r.num, r.ts_ns // unit, r.wirelen, bytes(r.data)) for r in got] == [(n, t // unit, w, d) for n, t, w, d in ROWS]
     (path,) = tmp_path.glob(f"*.{kind.removesuffix('_ns')}")
+    captures.write(df, f"file://{tmp_path}/zipped", kind=kind, compressed=True).collect()
+    (zipped,) = (tmp_path / "zipped").glob("*.gz")
+    assert gzip.decompress(zipped.read_bytes()) == path.read_bytes()
     raw = path.read_bytes()
     for cut in (0, 3, 10, 25, len(raw) // 2, len(raw) - 1):  # never fails, and gives the packets before the cut
         kept = list(captures.records(raw[:cut]))
