@@ -295,7 +295,9 @@ class CaptureReader(DataSourceReader):
         kept = [r for r in rows if r["packets"] and r["num"] <= self.last and r["num"] + r["packets"] > self.first]
         return [Range(r["path"], r["kind"], r["start"], r["stop"], r["num"], r["preamble"]) for r in kept]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # without any partition Spark asks once all the same
+            return
         wanted = pa.schema([(n, TYPES[n]) for n in self.names])
         with Reader(partition.path) as file:
             raw = file.part(partition.start, partition.stop - partition.start)

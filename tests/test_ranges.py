@@ -97,7 +97,8 @@ def test_wrong_guesses_are_mended(spark, folder, monkeypatch):
     assert {n: [r.caplen for r in sorted(got) if r.capture.endswith(n)] for n in want} == want
 
 
-def test_slices_by_num(spark, folder):
+def test_slices_by_num(spark, folder, tmp_path):
+    assert ranges.read(spark, str(tmp_path)).count() == 0  # no files
     index = ranges.index(spark, f"{folder}/plain.pcap", 5000)
     whole, few = ranges.read_index(spark, index, ["num"]), ranges.read_index(spark, index, ["num", "data"], 100, 129)
     assert sorted(r.num for r in few.collect()) == list(range(100, 130)) and few.columns == ["num", "data"]
