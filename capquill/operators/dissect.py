@@ -3,10 +3,9 @@
 A capture is a DataFrame (num, time, wirelen, linktype, data); more columns pass. `dissect` walks the headers of
 Arrow batches of frames with numpy, all frames of a batch at once, and adds one offset
 column per layer, of its first occurrence and null where it is absent, the end of the network packet
-(`end`), the offset of what no layer claims (`off_Raw`) and the names of the chain. Fields are read from these
-offsets by the specifications, so only those that a query names are decoded. Links are Ethernet, BSD loopback, Linux
-cooked capture (both versions) and bare IP; of other links all is Raw. One VLAN pair, one IP-in-IP level and three IPv6
-extension headers are followed, what lies deeper is Raw; `tunnels.inner` gives the frames within tunnels.
+(`end`, of the outermost one), the offset of what no layer claims (`off_Raw`), where the innermost payload begins and ends
+(`_after`, `_stop`) and the names of the chain. Fields are read from these offsets by the specifications, so only those that a
+query names are decoded. `stack` has the rules of the layers; `tunnels.inner` gives the frames within tunnels.
 """
 
 from __future__ import annotations
@@ -22,9 +21,9 @@ from pyspark.sql.types import LongType
 
 from capquill.functions import octets as O
 from capquill.operators.layers import LAYERS, Layer, decoded_name, field
+from capquill.operators.stack import Batch, Bind, Found, Names, binds_of, walk
 
 CAPTURE = "num bigint, time double, wirelen bigint, linktype int, data binary"
-_EXTENSIONS = (0, 43, 60)
 
 
 def capture(frames: DataFrame) -> DataFrame:
@@ -34,155 +33,76 @@ def capture(frames: DataFrame) -> DataFrame:
     return frames.withColumns({k: v for k, v in added.items() if k not in have})
 
 
-_NETWORK = {"ARP": 0x0806, "IP": 0x0800, "IPv6": 0x86DD}
-_TRANSPORT = {"TCP": 6, "UDP": 17, "ICMP": 1, "ICMPv6": 58, "GRE": 47, "SCTP": 132, "IGMP": 2, "OSPF": 89}
-_PORTS = {"DNS": (53,), "NTP": (123,), "VXLAN": (4789,), "RIP": (520,), "BOOTP": (67, 68), "NetFlowV5": (2055,), "Geneve": (6081,), "GTP_U": (2152,)}
-#: Link types of capture files, and address families of BSD loopback headers.
-_LOOPBACK, _COOKED, _COOKED_V2, _BARE_IP = (0, 108), 113, 276, (12, 14, 101, 228, 229)
-_FAMILIES = {0x0800: (2,), 0x86DD: (10, 24, 28, 30)}
-#: Layers over the link layer by EtherType, before the network layer or instead of it.
-_TAGGED = {"MPLS": 0x8847, "PPPoE": 0x8864}
-
-
-class _Batch:
-    """Frames of a batch as one array of octets; offsets are arrays with -1 where a layer is absent."""
-
-    def __init__(self, data: pa.Array, linktype: np.ndarray):
-        data = data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
-        data = data.cast(pa.large_binary()).fill_null(b"")
-        _, offsets, raw = data.buffers()
-        off = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1]
-        self.raw = np.append(np.frombuffer(raw, np.uint8) if raw else np.empty(0, np.uint8), np.zeros(1, np.uint8))
-        self.base, self.size, self.linktype = off[:-1], np.diff(off), linktype
-
-    def be(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Unsigned integers of n octets; 0 where they aren't wholly there."""
-        good = (at >= 0) & (at + n <= self.size)
-        where = np.where(good, self.base + at, len(self.raw) - n if len(self.raw) >= n else 0)
-        value = np.zeros(len(at), np.int64)
-        for i in range(n):
-            value = value << 8 | self.raw[np.minimum(where + i, len(self.raw) - 1)]
-        return np.where(good, value, 0)
-
-    def bits(self, at: np.ndarray, bit: int, width: int) -> np.ndarray:
-        low, high = bit // 8, (bit + width - 1) // 8
-        return self.be(np.where(at < 0, -1, at + low), high - low + 1) >> (8 * (high + 1) - bit - width) & (1 << width) - 1
-
-
-def _offsets(b: _Batch, bind: Sequence[tuple[Layer, str, dict[str, int]]]) -> dict[str, np.ndarray]:
-    size, at = b.size, {}
-    only = lambda here, where: np.where(here, where, -1)
-    after = lambda where, n: np.where(where < 0, -1, where + n)
-    tag = lambda where: np.isin(b.be(where, 2), (0x8100, 0x88A8))
-    ihl = lambda where: b.bits(where, 4, 4) * 4
-    whole = lambda where: (where >= 0) & (b.bits(where, 51, 13) == 0)
-    zero = np.zeros(len(size), np.int64)
-
-    ether = at["Ether"] = only((b.linktype == 1) & (size >= 14), zero)
-    vlan = at["Dot1Q"] = only((ether >= 0) & tag(after(ether, 12)) & (size >= 18), zero + 14)
-    l3 = np.where((vlan >= 0) & tag(after(vlan, 2)) & (size >= 22), 22, np.where(vlan >= 0, 18, 14))
-    kind = b.be(only(ether >= 0, l3 - 2), 2)
-    loop = at["Loopback"] = only(np.isin(b.linktype, _LOOPBACK) & (size >= 4), zero)
-    cooked = at["CookedLinux"] = only((b.linktype == _COOKED) & (size >= 16), zero)
-    cooked2 = at["CookedLinuxV2"] = only((b.linktype == _COOKED_V2) & (size >= 20), zero)
-    bare = np.isin(b.linktype, _BARE_IP) & (size > 0)
-    known = (ether >= 0) | (loop >= 0) | (cooked >= 0) | (cooked2 >= 0) | bare
-    l3 = np.where(ether >= 0, l3, np.where(loop >= 0, 4, np.where(cooked >= 0, 16, np.where(cooked2 >= 0, 20, 0))))
-    kind = np.where(cooked >= 0, b.be(after(cooked, 14), 2), np.where(cooked2 >= 0, b.be(cooked2, 2), kind))
-    # the family is in the order of the host that captured, and small: its octets are 0 but for the first or the last
-    family, version = b.be(loop, 1) | b.be(after(loop, 3), 1), b.be(only(bare, zero), 1) >> 4
-    for number, families in _FAMILIES.items():
-        kind = np.where((loop >= 0) & np.isin(family, families) | bare & (version == {0x0800: 4, 0x86DD: 6}[number]), number, kind)
-    for name, number in _NETWORK.items():
-        at[name] = only(known & (kind == number) & (size - l3 >= LAYERS[name].least), l3)
-    arp, ip, ip6 = at["ARP"], at["IP"], at["IPv6"]
-    end = np.where(ip >= 0, ip + np.maximum(b.be(after(ip, 2), 2), ihl(ip)), np.where(ip6 >= 0, ip6 + 40 + b.be(after(ip6, 4), 2), np.where(arp >= 0, arp + 28, size)))
-    end = np.minimum(end, size)
-    proto = np.where(whole(ip), b.be(after(ip, 9), 1), np.where(ip6 >= 0, b.be(after(ip6, 6), 1), -1))
-    top = np.where(ip >= 0, ip + ihl(ip), after(ip6, 40))
-    inner = at["_inner"] = only((proto == 4) & (end - top >= 20), top)
-    proto = np.where(inner >= 0, np.where(whole(inner), b.be(after(inner, 9), 1), -1), proto)
-    top = np.where(inner >= 0, inner + ihl(inner), top)
-    for _ in range(3):
-        more = (ip6 >= 0) & np.isin(proto, _EXTENSIONS) & (end - top >= 8)
-        here = only(more, top)
-        proto, top = np.where(more, b.be(here, 1), proto), np.where(more, top + (b.be(after(here, 1), 1) + 1) * 8, top)
-    rest = np.where(arp >= 0, end, np.where(top >= 0, top, np.where(known, l3, 0)))
-    for name, number in _TAGGED.items():
-        at[name] = only(known & (kind == number) & (size - l3 >= LAYERS[name].least), l3)
-        rest = np.where(at[name] >= 0, at[name] + LAYERS[name].least, rest)
-    # a length instead of an EtherType: 802.3 with LLC, and SNAP in it
-    llc = at["LLC"] = only((ether >= 0) & (kind <= 1500) & (size - l3 >= 3), l3)
-    end = np.where(llc >= 0, np.minimum(end, l3 + kind), end)
-    rest = np.where(llc >= 0, llc + 3, rest)
-    snap = at["SNAP"] = only((llc >= 0) & (b.be(llc, 3) == 0xAAAA03) & (end - rest >= 5), rest)
-    rest = np.where(snap >= 0, snap + 5, rest)
-    for name, number in _TRANSPORT.items():
-        at[name] = only((proto == number) & (end - top >= LAYERS[name].least), top)
-        rest = np.where(at[name] >= 0, at[name] + LAYERS[name].least, rest)
-    tcp, udp = at["TCP"], at["UDP"]
-    rest = np.where(tcp >= 0, tcp + np.maximum(b.bits(tcp, 96, 4) * 4, 20), rest)
-    told = b.be(after(udp, 4), 2)
-    end = np.where((udp >= 0) & (told >= 8), np.minimum(end, udp + told), end)
-    rest = np.minimum(rest, end)
-
-    claims = {n: (udp >= 0) & (np.isin(b.be(udp, 2), k) | np.isin(b.be(after(udp, 2), 2), k)) & (end - rest >= LAYERS[n].least) for n, k in _PORTS.items()}
-    claims["NetFlowV5"] &= b.be(rest, 2) == 5
-    # no port but the content says that it is TLS: a record type, version 3.x and a length that may be
-    claims["TLS"] = (tcp >= 0) & (end - rest >= 5) & np.isin(b.be(rest, 1), (20, 21, 22, 23)) & (b.be(after(rest, 1), 1) == 3) & (b.be(after(rest, 2), 1) <= 4) & (b.be(after(rest, 3), 2) <= 16384 + 2048)
-    for layer, parent, condition in bind:
-        holds = (at[parent] >= 0) & (end - rest >= layer.least)
-        for field_name, value in condition.items():
-            f = LAYERS[parent].fields[field_name]
-            holds &= b.bits(at[parent], f.bit, f.width) == value
-        claims = {layer.name: holds, **claims}
-    claimed = np.zeros(len(size), bool)
-    for name, holds in claims.items():
-        at[name] = only(holds & ~claimed, rest)
-        claimed |= holds
-    at["Raw"] = only(~claimed & (rest < end), rest)
-    return {**at, "_after": rest, "end": end, "Padding": only(end < size, end)}
-
-
-def dissect(df: DataFrame, bind: Sequence[tuple[Layer, str, dict[str, int]]] = (), fields: Sequence[str] = ()) -> DataFrame:
-    """df with offsets. bind: (layer, parent layer, {field of the parent: value}) places layers over payloads, before any port's claim.
-
-    fields: "Layer.field" names whose numbers are decoded in the same pass, into columns for `Layer.raw(decoded=True)`.
+def dissect(df: DataFrame, bind: Sequence[Bind | tuple] = (), fields: Sequence[str] = (), slim: Sequence[str] | None = None) -> DataFrame:
+    """df with offsets. bind: `Bind`s, or (layer, parent layer, {field of the parent: value}), which place layers over payloads before any other rule.
+
+    fields: "Layer.field" names ("Layer:3.field" of a third occurrence) whose numbers are decoded in the same pass, into columns for
+    `Layer.raw(decoded=True)`. slim: give out just these of the columns with offsets (and no chain), so that less is moved. Columns
+    of the input with names that dissection uses (off_<Layer>, end, chain, _after, _stop) are replaced, unless the capture is dissected already.
     """
     wanted = [(layer, name) for layer, name in dict.fromkeys(map(field, fields)) if layer.fields[name].numeric]
-    if "off_Ether" in df.columns:
+    if is_dissected(df):
         if not all(decoded_name(*w) in df.columns for w in wanted):
             raise ValueError("the capture is dissected already, without these fields")
         return df
-    names = ["Ether", "Loopback", "CookedLinux", "CookedLinuxV2", "Dot1Q", *_TAGGED, "LLC", "SNAP", *_NETWORK, "IP_2", *_TRANSPORT, *(layer.name for layer, _, _ in reversed(bind)), *_PORTS, "TLS", "Raw"]
-    chain_of = [*names, "Padding"]
-    shown = pa.array(["IP" if n == "IP_2" else n for n in chain_of])
-    kind = ", ".join([*(f"off_{n}: int" for n in names), "_after: int", "end: int", "chain: array<string>", *(f"{decoded_name(*w)}: bigint" for w in wanted)])
+    binds = binds_of(bind)
+    names = Names(binds)
+    further = list(dict.fromkeys([("IP", 2), *((layer.name, layer.nth) for layer, _ in map(field, fields) if layer.nth > 1)]))
+    anchors = {f"off_{n}": (n, 1) for n in [*names.names[1:], "Raw"]} | {f"off_{n}_{k}": (n, k) for n, k in further}
+    anchors = {a: of for a, of in anchors.items() if slim is None or a in slim}
+    shown = pa.array([*names.names, "Padding"])
+    ends = ("_after", "_stop", "end") if slim is None else ()
+    chained = slim is None
+    kind = ", ".join([*(f"{a}: int" for a in (*anchors, *ends)), *["chain: array<string>"] * chained, *(f"{decoded_name(*w)}: bigint" for w in wanted), "dissected: boolean"])
 
     @F.arrow_udf(f"struct<{kind}>")
     def offsets(data: pa.Array, linktype: pa.Array) -> pa.Array:
-        batch = _Batch(data, linktype.fill_null(-1).to_numpy(zero_copy_only=False))
-        at = _offsets(batch, bind)
-        at["IP_2"] = at["_inner"]
-        integer = lambda v: pa.array(v.astype(np.int32), pa.int32(), mask=v < 0)
-        here = np.stack([at[n] >= 0 for n in chain_of], axis=1)
-        first = np.concatenate(([0], np.cumsum(here.sum(axis=1)))).astype(np.int32)
-        chain = pa.ListArray.from_arrays(pa.array(first), shown.take(pa.array(np.nonzero(here)[1])))
+        batch = Batch(data, linktype.fill_null(-1).to_numpy(zero_copy_only=False))
+        found = walk(batch, names, binds, further)
+
+        def place(name: str, nth: int) -> np.ndarray:
+            return found.first[name] if nth == 1 else found.further[name, nth]
+
+        def integer(v: np.ndarray) -> pa.Array:
+            return pa.array(v.astype(np.int32), pa.int32(), mask=v < 0)
 
         def decoded(layer: Layer, name: str) -> pa.Array:
-            f, where = layer.fields[name], at[layer.anchor.removeprefix("off_")]
+            f, where = layer.fields[name], place(layer.name, layer.nth)
             gone = where < 0
             if f.when:
                 other = layer.fields[f.when[0]]
                 gone = gone | ~np.isin(batch.bits(where, other.bit, other.width), f.when[1])
             return pa.array(batch.bits(where, f.bit, f.width), pa.int64(), mask=gone)
 
-        parts = [*(integer(at[n]) for n in names), integer(at["_after"]), integer(at["end"]), chain, *(decoded(*w) for w in wanted)]
-        return pa.StructArray.from_arrays(parts, names=[*(f"off_{n}" for n in names), "_after", "end", "chain", *(decoded_name(*w) for w in wanted)])
+        parts = {a: integer(place(*of)) for a, of in anchors.items()}
+        if chained:
+            parts |= {"_after": integer(found.after), "_stop": integer(found.stop), "end": integer(found.end), "chain": _chains(found, batch, shown)}
+        parts |= {decoded_name(*w): decoded(*w) for w in wanted}
+        parts["dissected"] = pa.repeat(True, len(data))
+        return pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
 
     # as a nondeterministic function it is called once a row, and filters on offsets aren't merged into it
+    made = {*anchors, *ends, *["chain"] * chained, *(decoded_name(*w) for w in wanted)}
     out = df.withColumn("_at", offsets.asNondeterministic()("data", "linktype"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], "_at.*")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[F.col(f"_at.{c}") for c in made], *[F.col("_at.dissected").alias(DISSECTED)] * chained)
+
+
+#: Tells a dissected capture from one that has such columns by chance.
+DISSECTED = "_dissected"
+
+
+def is_dissected(df: DataFrame) -> bool:
+    return DISSECTED in df.columns
+
+
+def _chains(found: Found, b: Batch, shown: pa.Array) -> pa.Array:
+    """Names of the layers of each frame in order, Padding last."""
+    padded = np.flatnonzero(found.end < b.size)
+    rows = np.concatenate([found.chain_rows, padded])
+    layers = np.concatenate([found.chain_layers, np.full(len(padded), len(shown) - 1)])
+    order = np.argsort(rows, kind="stable")
+    first = np.searchsorted(rows[order], np.arange(len(b.size) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(first), shown.take(pa.array(layers[order])))
 
 
 def layer_column(spec: str | tuple, rendered: bool = False, decoded: bool = False) -> Column:
@@ -207,8 +127,13 @@ def columns(df: DataFrame, specs: Sequence[str | tuple], where: Sequence[tuple]
     names = [s if isinstance(s, str) else s[2] if len(s) > 2 else ".".join(s) for s in specs]
     if len(set(names)) < len(names):
         raise ValueError("duplicate output names")
-    ready = "off_Ether" in df.columns
-    kept = keep(df if ready else dissect(df, fields=_needed(specs, where)), where, layer, decoded=not ready)
+    ready = is_dissected(df)
+    if not ready:
+        asked = _needed(specs, where)
+        present = [s if isinstance(s, str) else ".".join(s[:2]) for s in specs] + [layer or "Ether"]
+        anchors = [field(n)[0].anchor for n in asked] + [f"off_{n}" for n in present if "." not in n]
+        df = dissect(df, fields=asked, slim=anchors)
+    kept = keep(df, where, layer, decoded=not ready, ready=True)
     return kept.select(*[layer_column(s, decoded=not ready).alias(n) for s, n in zip(specs, names, strict=True)])
 
 
@@ -258,9 +183,9 @@ def predicate(conditions: Sequence[tuple], decoded: bool = False) -> Column:
     return out
 
 
-def keep(df: DataFrame, where: Sequence[tuple] = (), layer: str | None = None, decoded: bool = False) -> DataFrame:
-    """The packets that have the layer and meet the conditions; decoded: as `dissect` was given their fields."""
-    df = dissect(df)
+def keep(df: DataFrame, where: Sequence[tuple] = (), layer: str | None = None, decoded: bool = False, ready: bool = False) -> DataFrame:
+    """The packets that have the layer and meet the conditions; decoded: as `dissect` was given their fields; ready: it was called."""
+    df = df if ready else dissect(df)
     if layer:
         df = df.where(F.col(f"off_{layer}").isNotNull())
     return df.where(predicate(where, decoded)) if where else df
@@ -268,7 +193,7 @@ def keep(df: DataFrame, where: Sequence[tuple] = (), layer: str | None = None, d
 
 def payload() -> Column:
     """Octets that no header of the transport or below holds."""
-    return O.part(F.col("data"), F.col("_after"), F.greatest(F.col("end") - F.col("_after"), F.lit(0)))
+    return O.part(F.col("data"), F.col("_after"), F.greatest(F.col("_stop") - F.col("_after"), F.lit(0)))
 
 
 def padding() -> Column:
@@ -282,7 +207,7 @@ def is_plain_padding() -> Column:
     return h == F.repeat(F.substring(h, 1, 2), (F.length(h) / 2).cast("int"))
 
 
-def _word_sums(b: _Batch, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def _word_sums(b: Batch, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Sum of the 16-bit words of start:stop of each frame, an odd last octet padded with zero; running sums over all octets, no loop over frames."""
     sums = np.zeros((2, len(b.raw) + 1), np.int64)
     even = np.arange(len(b.raw)) % 2 == 0
@@ -304,14 +229,14 @@ def _complement(total: np.ndarray) -> np.ndarray:
 
 @F.arrow_udf(LongType())
 def _ip_sum(data: pa.Array, ip: pa.Array) -> pa.Array:
-    b, at = _Batch(data, np.zeros(len(data))), ip.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    b, at = Batch(data, np.zeros(len(data))), ip.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     head = np.maximum(b.bits(at, 4, 4) * 4, 20)
     return pa.array(_complement(_word_sums(b, at, at + head) - b.be(np.where(at < 0, -1, at + 10), 2)), mask=at < 0)
 
 
 @F.arrow_udf(LongType())
 def _transport_sum(data: pa.Array, ip: pa.Array, ip6: pa.Array, at: pa.Array, end: pa.Array, proto: pa.Array, field_at: pa.Array) -> pa.Array:
-    b = _Batch(data, np.zeros(len(data)))
+    b = Batch(data, np.zeros(len(data)))
     ip, ip6, at, end, proto, field_at = (x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ip, ip6, at, end, proto, field_at))
     ends = np.where(ip >= 0, _word_sums(b, np.where(ip < 0, -1, ip + 12), ip + 20), _word_sums(b, np.where(ip6 < 0, -1, ip6 + 8), ip6 + 40))
     total = ends + proto + (end - at) + _word_sums(b, at, end) - b.be(np.where(at < 0, -1, at + field_at), 2)
@@ -338,7 +263,7 @@ def transport_checksum(layer: str) -> Column:
 
 @F.arrow_udf(LongType())
 def _plain_sum(data: pa.Array, at: pa.Array, end: pa.Array) -> pa.Array:
-    b, at, end = _Batch(data, np.zeros(len(data))), *(x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (at, end))
+    b, at, end = Batch(data, np.zeros(len(data))), *(x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (at, end))
     return pa.array(_complement(_word_sums(b, at, end) - b.be(np.where(at < 0, -1, at + 2), 2)), mask=at < 0)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capquill.operators.dissect import dissect, layer_column
+from capquill.operators.dissect import dissect, is_dissected, layer_column
 from capquill.operators.layers import LAYERS
 
 
@@ -17,7 +17,7 @@ def _text(spec: str, decoded: bool = False) -> Column:
 
 def decoded(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, bool]:
     """The dissected capture, and whether it has these fields decoded: it has, unless it was dissected before."""
-    return (df, False) if "off_Ether" in df.columns else (dissect(df, fields=fields), True)
+    return (df, False) if is_dissected(df) else (dissect(df, fields=fields), True)
 
 
 #: Fields that session_key reads.
@@ -125,7 +125,7 @@ def ack_consistent(df: DataFrame) -> DataFrame:
     d = dissect(df).where(F.col("off_TCP").isNotNull())
     src, dst = (F.concat_ws(":", F.coalesce(_text(f"IP.{e}"), _text(f"IPv6.{e}")), _text(f"TCP.{p}")) for e, p in (("src", "sport"), ("dst", "dport")))
     flags = layer_column("TCP.seq"), layer_column("TCP.ack"), LAYERS["TCP"].raw("flags")
-    sent = F.greatest(F.col("end") - F.col("_after"), F.lit(0)) + F.shiftright(flags[2], 1).bitwiseAND(1) + flags[2].bitwiseAND(1)
+    sent = F.greatest(F.col("_stop") - F.col("_after"), F.lit(0)) + F.shiftright(flags[2], 1).bitwiseAND(1) + flags[2].bitwiseAND(1)
     s = d.select(*own, "num", F.concat_ws(" - ", F.least(src, dst), F.greatest(src, dst)).alias("stream"), (src < dst).alias("up"), F.pmod(flags[0] + sent, F.lit(1 << 32)).alias("next"), flags[1].alias("ack"), (flags[2].bitwiseAND(16) != 0).alias("acks"))
     before = Window.partitionBy(*own, "stream").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda up: F.last(F.when(F.col("up") == up, F.col("next")), ignorenulls=True).over(before)

@@ -115,6 +115,9 @@ TCP_FLAGS = ("F", "S", "R", "P", "A", "U", "E", "C", "N")
 IP_FLAGS = ("MF", "DF", "evil")
 ICMPV6_TYPES = {1: "dest-unreach", 2: "packet-too-big", 3: "time-exceeded", 4: "parameter-problem", 128: "echo-request", 129: "echo-reply", 133: "router-solicit", 134: "router-advert", 135: "neighbor-solicit", 136: "neighbor-advert"}
 IGMP_TYPES = {17: "query", 18: "report-v1", 22: "report-v2", 23: "leave", 34: "report-v3"}
+PPP_CODES = {1: "Configure-Request", 2: "Configure-Ack", 3: "Configure-Nak", 4: "Configure-Reject", 5: "Terminate-Request", 6: "Terminate-Ack", 7: "Code-Reject", 8: "Protocol-Reject", 9: "Echo-Request", 10: "Echo-Reply", 11: "Discard-Request"}
+RADIUS_CODES = {1: "Access-Request", 2: "Access-Accept", 3: "Access-Reject", 4: "Accounting-Request", 5: "Accounting-Response", 11: "Access-Challenge"}
+DHCP6_TYPES = {1: "SOLICIT", 2: "ADVERTISE", 3: "REQUEST", 4: "CONFIRM", 5: "RENEW", 6: "REBIND", 7: "REPLY", 8: "RELEASE", 9: "DECLINE", 10: "RECONFIGURE", 11: "INFORMATION-REQUEST"}
 SERVICES = {20: "ftp-data", 21: "ftp", 22: "ssh", 23: "telnet", 25: "smtp", 53: "domain", 67: "bootps", 68: "bootpc", 80: "http", 110: "pop3", 123: "ntp", 143: "imap", 161: "snmp", 179: "bgp", 389: "ldap", 443: "https", 514: "syslog", 520: "router", 5060: "sip"}
 
 _ECHO = {"when": ("type", (0, 8, 13, 14, 15, 16, 17, 18))}
@@ -149,6 +152,30 @@ LAYERS = {
         Layer("MPLS", 4, _row("label:20 cos:3 s:1 ttl:8")),
         Layer("PPPoE", 6, _row("version:4 type:4 code:8 sessionid:16 len:16")),
         Layer("LLC", 3, _row("dsap:8 ssap:8 ctrl:8")),
+        Layer("IPv6ExtHdrHopByHop", 8, _row("nh:8 len:8", nh={"names": PROTOCOLS})),
+        Layer("IPv6ExtHdrRouting", 8, _row("nh:8 len:8 type:8 segleft:8", nh={"names": PROTOCOLS})),
+        Layer("IPv6ExtHdrFragment", 8, _row("nh:8 res1:8 offset:13 res2:2 m:1 id:32", nh={"names": PROTOCOLS})),
+        Layer("IPv6ExtHdrDestOpt", 8, _row("nh:8 len:8", nh={"names": PROTOCOLS})),
+        Layer("AH", 12, _row("nh:8 payloadlen:8 reserved:16 spi:32 seq:32", nh={"names": PROTOCOLS})),
+        Layer("ESP", 8, _row("spi:32 seq:32")),
+        Layer("VRRP", 8, _row("version:4 type:4 vrid:8 priority:8 ipcount:8 authtype:8 adv:8 chksum:16")),
+        Layer("ERSPAN_II", 8, _row("ver:4 vlan:12 cos:3 en:2 t:1 session_id:10 reserved:12 index:20")),
+        Layer("ERSPAN_III", 12, _row("ver:4 vlan:12 cos:3 bso:2 t:1 session_id:10 timestamp:32 sgt:16 p:1 ft:5 hwid:6 d:1 gra:2 o:1")),
+        Layer("PPP", 2, _row("proto:16")),
+        Layer("PPP_LCP", 4, _row("code:8 id:8 len:16", code={"names": PPP_CODES})),
+        Layer("PPP_IPCP", 4, _row("code:8 id:8 len:16", code={"names": PPP_CODES})),
+        Layer("PPP_PAP", 4, _row("code:8 id:8 len:16")),
+        Layer("PPP_CHAP", 4, _row("code:8 id:8 len:16")),
+        Layer("LLDPDU", 2, _row("type:7 len:9")),
+        Layer("EAPOL", 4, _row("version:8 type:8 len:16")),
+        Layer("STP", 35, _row("proto:16 version:8 bpdutype:8 bpduflags:8 rootid:16 rootmac:48:mac pathcost:32 bridgeid:16 bridgemac:48:mac portid:16 age:16 maxage:16 hellotime:16 fwddelay:16")),
+        Layer("Radius", 20, _row("code:8 id:8 len:16 authenticator:128:bytes", code={"names": RADIUS_CODES})),
+        Layer("DHCP6", 4, _row("msgtype:8 trid:24", msgtype={"names": DHCP6_TYPES})),
+        Layer("ISAKMP", 28, _row("init_cookie:64:bytes resp_cookie:64:bytes next_payload:8 version:8 exch_type:8 flags:8 id:32 length:32")),
+        Layer("TFTP", 2, _row("op:16", op={"names": {1: "RRQ", 2: "WRQ", 3: "DATA", 4: "ACK", 5: "ERROR", 6: "OACK"}})),
+        Layer("BFD", 24, _row("version:3 diag:5 sta:2 flags:6 detect_mult:8 len:8 my_discriminator:32 your_discriminator:32 min_tx_interval:32 min_rx_interval:32 echo_rx_interval:32")),
+        Layer("HSRP", 20, _row("version:8 opcode:8 state:8 hellotime:8 holdtime:8 priority:8 group:8 reserved:8 auth:64:bytes virtualIP:32:ipv4")),
+        Layer("BGPHeader", 19, _row("marker:128:bytes len:16 type:8", type={"names": {1: "OPEN", 2: "UPDATE", 3: "NOTIFICATION", 4: "KEEPALIVE"}})),
         Layer("SNAP", 5, _row("oui:24 code:16", code={"names": ETHER_TYPES})),
     )
 }
@@ -168,11 +195,11 @@ def user_layer(name: str, fields: dict[str, Field]) -> Layer:
 
 
 def field(spec: str | tuple, layers: dict[str, Layer] | None = None) -> tuple[Layer, str]:
-    """"Layer.field", or "Layer:2.field" of the second occurrence (of IP only)."""
+    """"Layer.field", or "Layer:3.field" of the third occurrence."""
     layer, name = spec.split(".") if isinstance(spec, str) else spec[:2]
     known = layers or LAYERS
     layer, _, nth = layer.partition(":")
-    if layer not in known or name not in known[layer].fields or nth not in ("", "1", "2") or (nth == "2" and layer != "IP"):
+    if layer not in known or name not in known[layer].fields or not (nth == "" or nth.isdigit() and 1 <= int(nth) <= 32):
         raise ValueError(f"no field {layer}.{name}")
     return replace(known[layer], nth=int(nth or 1)), name
 

@@ -54,10 +54,10 @@ def inner(df: DataFrame) -> DataFrame:
         ("GTP_U", raw("GTP_U", "teid"), _gtp_start(), F.when(raw("GTP_U", "type") == USER_DATA, BARE_IP)),
         ("PPPoE", raw("PPPoE", "sessionid"), off("PPPoE") + 8, F.when((raw("PPPoE", "code") == 0) & ppp.isin(*PPP_IP), BARE_IP)),
     ]
-    parts = [F.when(at.isNotNull() & kind.isNotNull(), F.struct(F.lit(name).alias("name"), key.cast("bigint").alias("key"), at.cast("int").alias("at"), kind.cast("int").alias("link"))) for name, key, at, kind in found]
+    parts = [F.when(at.isNotNull() & kind.isNotNull(), F.struct(off(name).alias("header"), F.lit(name).alias("name"), key.cast("bigint").alias("key"), at.cast("int").alias("at"), kind.cast("int").alias("link"))) for name, key, at, kind in found]
     # PPPoE tells its own length; what follows is padding
-    d = dissect(df).withColumn("_t", F.coalesce(*parts))
-    told = F.when(F.col("_t.name") == "PPPoE", F.least(F.col("end"), off("PPPoE") + 6 + raw("PPPoE", "len"))).otherwise(F.col("end"))
+    d = dissect(df).withColumn("_t", F.least(*parts))  # the outermost one
+    told = F.when(F.col("_t.name") == "PPPoE", F.least(F.length("data"), off("PPPoE") + 6 + raw("PPPoE", "len"))).otherwise(F.col("end"))
     d = d.withColumn("_stop", told.cast("int")).where(F.col("_t").isNotNull() & (F.col("_stop") > F.col("_t.at")))
     body = O.part(data, F.col("_t.at"), F.col("_stop") - F.col("_t.at"))
     new = {"data": body, "wirelen": F.length(body).cast("bigint"), "linktype": F.col("_t.link"), "tunnel": F.col("_t.name"), "tunnel_key": F.col("_t.key")}

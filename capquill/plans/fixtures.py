@@ -207,3 +207,25 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.when(line == 1, F.concat(hexed("02000000"), bare)).when(line == 2, cooked).when(line == 4, cooked2).when(line == 6, F.concat(hexed("00000002"), bare)).otherwise(bare)
     kind = F.when(line == 1, 0).when(line == 2, 113).when(line == 4, 276).when(line == 6, 108).otherwise(101)
     return capture(p.where(~line.isin(5, 7)).select("num", "time", data.alias("data"), kind.cast("int").alias("linktype")))
+
+
+def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of `packets` with more layers below, by their line: three VLAN tags, two MPLS labels, two more IP headers, IPv6 extension headers, an authentication header, VXLAN."""
+    p = packets(spark, sf_dir)
+    data, line = F.col("data"), F.col("num").bitwiseAND(7)
+    hexed = lambda text: F.unhex(F.lit(text))
+    macs, bare = hexed("ffffffffffff020000000001"), O.part(data, 14, 1 << 16)
+    tags = F.concat(macs, hexed("88a80064" + "8100" + "00c8" + "8100" + "012c" + "0800"), bare)
+    labels = F.concat(macs, hexed("8847" + "00064040" + "000c8140"), bare)
+    over = lambda second, body: T.ipv4(F.lit((second << 24) + 1), F.lit((second << 24) + 2), 4, body)
+    nested = T.ether(0x0800, over(1, over(2, bare)))
+    six = O.part(data, 14, 40)
+    longer = F.concat(O.part(six, 0, 4), O.octets(F.length(bare) - 40 + 24, 2), hexed("00"), O.part(six, 7, 33))
+    extended = F.concat(macs, hexed("86dd"), longer, hexed("3c00" + "0" * 12 + "2c00" + "0" * 12 + "1100" + "0000" + "00000007"), O.part(bare, 40, 1 << 16))
+    inner = O.part(data, 18, 1 << 16)
+    header, length = O.part(inner, 0, 20), F.length(inner) + 24
+    behind = F.concat(O.part(inner, 9, 1), hexed("04" + "0000" + "00000009" + "00000001" + "0" * 24), O.part(inner, 20, 1 << 16))
+    signed = F.concat(macs, hexed("0800"), O.part(header, 0, 2), O.octets(length, 2), O.part(header, 4, 5), hexed("33"), O.part(header, 10, 10), behind)
+    vxlan = T.ether(0x0800, T.ipv4(F.lit(1 << 24), F.lit(2 << 24), 17, T.udp(40000, 4789, F.concat(hexed("0800000000000500"), data))))
+    frame = F.when(line == 1, tags).when(line == 2, labels).when(line == 3, nested).when(line == 4, extended).when(line == 5, signed).when(line == 6, vxlan).otherwise(data)
+    return capture(p.select("num", "time", frame.alias("data")))

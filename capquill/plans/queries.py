@@ -591,3 +591,20 @@ def capture_file_ranges(spark, sf):
     src, dst = (F.coalesce(*[c(s) for s in specs]) for specs in (("IP.src", "IPv6.src", "ARP.psrc"), ("IP.dst", "IPv6.dst", "ARP.pdst")))
     sport = F.coalesce(c("TCP.sport"), c("UDP.sport"))
     return d.select("caplen", "wirelen", "ts_ns", "linktype", src.alias("src"), dst.alias("dst"), sport.alias("sport"))
+
+
+# Stacks of any depth
+_UPPER = "CASE kind WHEN 'ICMP' THEN 'ICMP / Raw' WHEN 'TCP' THEN 'TCP' ELSE 'UDP / Raw' END"
+
+
+@query(P + f"""SELECT num, CASE l_linenumber WHEN 1 THEN 'Ether / Dot1Q / Dot1Q / Dot1Q / IP / ' || {_UPPER} WHEN 2 THEN 'Ether / MPLS / MPLS / IP / ' || {_UPPER} WHEN 3 THEN 'Ether / IP / IP / IP / ' || {_UPPER}
+WHEN 4 THEN 'Ether / IPv6 / IPv6ExtHdrHopByHop / IPv6ExtHdrDestOpt / IPv6ExtHdrFragment / UDP / Raw' WHEN 5 THEN 'Ether / IP / AH / ' || {_UPPER} WHEN 6 THEN 'Ether / IP / UDP / VXLAN / Ether / IP / ICMP / Raw' ELSE 'Ether / ARP / Padding' END AS chain,
+CASE l_linenumber WHEN 1 THEN 300 END AS tag, CASE l_linenumber WHEN 2 THEN 200 END AS label, CASE l_linenumber WHEN 3 THEN '2.0.0.1' WHEN 6 THEN ip_src END AS second, CASE l_linenumber WHEN 3 THEN ip_src END AS third,
+CASE l_linenumber WHEN 6 THEN 40000 ELSE sport END AS sport, CASE WHEN kind IN ('UDP', 'UDP6', 'ICMP') THEN lower(hex(encode(l_returnflag || l_linestatus))) ELSE '' END AS payload, CASE l_linenumber WHEN 5 THEN 9 END AS spi FROM p""")
+def deep_stacks(spark, sf):
+    """Chains, later occurrences of a layer, and the innermost payload."""
+    d = D.dissect(X.stacked(spark, sf), fields=["Dot1Q:3.vlan", "MPLS:2.label", "IP:2.src", "IP:3.src", "TCP.sport", "UDP.sport", "AH.spi"])
+    c = lambda spec: D.layer_column(spec, decoded=True)
+    named = {"tag": "Dot1Q:3.vlan", "label": "MPLS:2.label", "second": "IP:2.src", "third": "IP:3.src", "spi": "AH.spi"}
+    sport, octets = F.coalesce(c("TCP.sport"), c("UDP.sport")), F.lower(F.hex(D.payload()))
+    return d.select("num", F.array_join("chain", " / ").alias("chain"), *[c(spec).alias(n) for n, spec in named.items()], sport.alias("sport"), octets.alias("payload"))
