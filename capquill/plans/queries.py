@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators import dissect as D
-from capquill.operators import flows, layers, pairing, reassembly, records, templates, tunnels
+from capquill.operators import filters, flows, layers, pairing, reassembly, records, templates, tunnels
 from capquill.plans import fixtures as X
 from capquill.sources import captures, ranges
 from capquill.sources.files import scratch
@@ -608,3 +608,40 @@ def deep_stacks(spark, sf):
     named = {"tag": "Dot1Q:3.vlan", "label": "MPLS:2.label", "second": "IP:2.src", "third": "IP:3.src", "spi": "AH.spi"}
     sport, octets = F.coalesce(c("TCP.sport"), c("UDP.sport")), F.lower(F.hex(D.payload()))
     return d.select("num", F.array_join("chain", " / ").alias("chain"), *[c(spec).alias(n) for n, spec in named.items()], sport.alias("sport"), octets.alias("payload"))
+
+
+# Filter expressions, and what they mean for the columns of the packets
+_PLAIN = "vlan IS NULL"
+FILTERS = {
+    "tcp port 80": f"kind = 'TCP' AND {_PLAIN}",
+    "udp and src portrange 2000-3000": f"kind IN ('UDP', 'UDP6') AND {_PLAIN} AND sport BETWEEN 2000 AND 3000",
+    "vlan and tcp": "kind = 'TCP' AND vlan IS NOT NULL",
+    "vlan 17 && ip": "vlan = 17",
+    "host 10.0.0.7": f"'10.0.0.7' IN (coalesce(ip_src, arp_src), coalesce(ip_dst, arp_dst)) AND {_PLAIN}",
+    "src net 10.0.0.0/29 and not icmp": f"coalesce(ip_src, arp_src) IN ('10.0.0.0', '10.0.0.1', '10.0.0.2', '10.0.0.3', '10.0.0.4', '10.0.0.5', '10.0.0.6', '10.0.0.7') AND kind <> 'ICMP' AND {_PLAIN}",
+    "arp or icmp[icmptype] = icmp-echo": "kind = 'ARP' OR kind = 'ICMP' AND l_returnflag <> 'R'",
+    "ip[8] > 62 and ip6 or ip[6:2] & 0x1fff = 0 and udp": f"kind = 'UDP' AND {_PLAIN}",
+    "tcp[tcpflags] & (tcp-syn|tcp-ack) == tcp-syn": f"tcp_flags = 'S' AND {_PLAIN}",
+    "dst port 443 or http and not src or dst port domain": f"kind IN ('TCP', 'UDP', 'UDP6') AND {_PLAIN}",
+    "ip6 net 2001:db8::/32 and dst host 2001:db8::7": "ip6_dst = '2001:db8::7'",
+    "ether src 02:00:00:00:00:01 and greater 60": "len >= 60",
+    "ether proto 0x0806 or ip proto 1": "kind IN ('ARP', 'ICMP')",
+    "not (tcp or udp)": f"kind IN ('ARP', 'ICMP') OR NOT ({_PLAIN})",
+    "len - 10 * 2 >= 0x20": "len >= 52",
+    "ip[2:2] - ((ip[0] & 0xf) << 2) % 64 = 24 and tcp[12] >> 4 = 5": f"false AND {_PLAIN}",
+}
+
+
+@query(P + "SELECT num, " + ", ".join(f"coalesce({sql}, false) AS f{k:02d}" for k, sql in enumerate(FILTERS.values())) + " FROM p")
+def filter_text(spark, sf):
+    """Which packets each of some filter expressions lets pass."""
+    made = [filters.compiled(text) for text in FILTERS]
+    d = D.dissect(X.packets(spark, sf), fields=[s for f in made for s in f.fields])
+    return d.select("num", *[f.column.alias(f"f{k:02d}") for k, f in enumerate(made)])
+
+
+@query(P + f"SELECT num, CAST(len AS BIGINT) AS len FROM p WHERE kind IN ('TCP', 'UDP') AND {_PLAIN} AND sport < 3000 AND NOT ip_src = '10.0.0.7'")
+def filter_matching(spark, sf):
+    """The packets themselves."""
+    text = "(tcp or (ip and udp)) and (tcp[0:2] < 3000 or udp[0:2] < 3000) and not src host 10.0.0.7"
+    return filters.matching(X.packets(spark, sf), text).select("num", F.length("data").cast("bigint").alias("len"))
