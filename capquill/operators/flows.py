@@ -108,11 +108,45 @@ def lagged(df: DataFrame, value: Column, delay: int = 1, by: str = "capture") ->
     return d.select("num", (F.lead("v", delay).over(w) - F.col("v")).alias("diff")).where("diff is not null")
 
 
-def relative_sequence(df: DataFrame, key: Sequence[str], seq: str = "seq") -> DataFrame:
-    """df with rel: 32-bit sequence numbers unwrapped around the first one of each key, by serial arithmetic."""
-    first = df.groupBy(*key).agg(F.min_by(seq, "num").alias("_isn"))
-    delta = F.pmod(F.col(seq) - F.col("_isn") + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
-    return df.join(first, list(key)).withColumn("rel", delta).drop("_isn")
+#: Numbers of packets in one block of a sequence line.
+NUMBERS = 1 << 20
+
+
+def serial(later: Column, sooner: Column) -> Column:
+    """The difference of two 32-bit sequence numbers as the nearer one of the two that it may be."""
+    return F.pmod(later - sooner + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+
+
+def sequence_line(df: DataFrame, key: Sequence[str], seq: str = "seq", block: int = NUMBERS) -> DataFrame:
+    """df with _block and _in: 32-bit numbers unwrapped within blocks of packets, from 0 at a block's first one.
+
+    A number lies as far from the one before it (by num) as their serial difference says, so neighbours may differ by less than
+    2**31, but a line may be of any length. `carried` puts the blocks one behind the other.
+    """
+    order = Window.partitionBy(*key, "_block").orderBy("num")
+    cut = df.withColumn("_block", F.floor(F.col("num") / block))
+    step = F.coalesce(serial(F.col(seq), F.lag(seq).over(order)), F.lit(0))
+    return cut.withColumn("_step", step).withColumn("_in", F.sum("_step").over(order)).drop("_step")
+
+
+def carried(line: DataFrame, key: Sequence[str], seq: str = "seq", *more: Column) -> DataFrame:
+    """key, _block, _carry (what is added to a block's _in) and more aggregates of each block of a sequence line."""
+    ends = (F.min_by(seq, "num").alias("_first"), F.max_by(seq, "num").alias("_last"), F.max_by("_in", "num").alias("_run"))
+    blocks = line.groupBy(*key, "_block").agg(*ends, *more)
+    order = Window.partitionBy(*key).orderBy("_block")
+    jump = F.lag("_run").over(order) + serial(F.col("_first"), F.lag("_last").over(order))
+    blocks = blocks.withColumn("_jump", F.coalesce(jump, F.lit(0))).withColumn("_carry", F.sum("_jump").over(order))
+    return blocks.drop("_first", "_last", "_run", "_jump")
+
+
+def relative_sequence(df: DataFrame, key: Sequence[str], seq: str = "seq", block: int = NUMBERS) -> DataFrame:
+    """df with rel: 32-bit sequence numbers of each key as distances from its first one, of 64 bits.
+
+    No task holds a whole key: rows are summed up in blocks of their numbers, and a row for each block carries the sums on.
+    """
+    line = sequence_line(df, key, seq, block)
+    out = line.join(carried(line, key, seq), [*key, "_block"])
+    return out.withColumn("rel", F.col("_in") + F.col("_carry")).select(*df.columns, "rel")
 
 
 def ack_consistent(df: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,51 +15,126 @@ from capquill.operators.flows import decoded, of_capture
 
 
 #: Fields that reply_key reads.
-KEY_FIELDS = ("IP.src", "IP.dst", "TCP.sport", "TCP.dport", "UDP.sport", "UDP.dport", "ICMP.type", "ICMP.id", "ICMP.seq", "ARP.op", "ARP.psrc", "ARP.pdst")
+KEY_FIELDS = (
+    "IP.src", "IP.dst", "TCP.sport", "TCP.dport", "UDP.sport", "UDP.dport", "ICMP.type", "ICMP.id", "ICMP.seq", "ICMPv6.type", "DNS.id", "DNS.qr",
+    "ARP.op", "ARP.psrc", "ARP.pdst",
+)
+#: ICMP and ICMPv6 types of requests, with those of their replies.
+ICMP_REPLIES, ICMP6_REPLIES, NEIGHBOUR = {8: 0, 13: 14, 15: 16, 17: 18}, {128: 129}, (135, 136)
 
 
 def reply_key(reverse: bool, decoded: bool = False) -> Column:
-    """Key under which a packet meets its answers (reverse: of an answer, with its ends swapped); null if it has no rule. decoded: of a capture with KEY_FIELDS decoded."""
-    t = lambda s: layer_column(s, decoded=decoded).cast("string")
-    ends = (t("IP.dst"), t("IP.src")) if reverse else (t("IP.src"), t("IP.dst"))
-    ports = lambda n: (t(f"{n}.dport"), t(f"{n}.sport")) if reverse else (t(f"{n}.sport"), t(f"{n}.dport"))
-    kind = layer_column("ICMP.type", decoded=decoded)
-    asks = (kind == 0) if reverse else (kind == 8)
-    arp = (F.lit("arp"), t("ARP.pdst"), t("ARP.psrc")) if reverse else (F.lit("arp"), t("ARP.psrc"), t("ARP.pdst"))
-    key = F.when(F.col("off_TCP").isNotNull(), F.concat_ws("|", F.lit("tcp"), *ends, *ports("TCP")))
-    key = key.when(F.col("off_UDP").isNotNull() & F.col("off_IP").isNotNull(), F.concat_ws("|", F.lit("udp"), *ends, *ports("UDP")))
-    key = key.when(asks, F.concat_ws("|", F.lit("icmp"), *ends, t("ICMP.id"), t("ICMP.seq")))
-    return key.when(layer_column("ARP.op", decoded=decoded) == (2 if reverse else 1), F.concat_ws("|", *arp))
-
-
-def answers(df: DataFrame) -> DataFrame:
-    """num, answer: every later packet that answers num (a list may consume each several times)."""
+    """Key under which a packet meets its answers (reverse: of an answer, with its ends swapped); null if it has no rule.
+
+    TCP and UDP go by addresses and ports, DNS by its id as well (and a message that says it is a response never asks), echo and the
+    other queries of ICMP by id and sequence number, ICMPv6 echo likewise, neighbour discovery by the target, ARP by its
+    addresses. A key lacks no part: a packet without one of them has no key. decoded: of a capture with KEY_FIELDS decoded.
+    """
+    v = lambda s: layer_column(s, decoded=decoded)
+    t = lambda s: v(s).cast("string")
+    has = lambda n: F.col(f"off_{n}").isNotNull()
+    joined = lambda kind, *parts: F.concat(F.lit(kind), *[x for p in parts for x in (F.lit("|"), p)])  # noqa: E731, null if a part is
+    swap = (lambda a, b: (b, a)) if reverse else (lambda a, b: (a, b))
+    ends = swap(F.coalesce(t("IP.src"), t("IPv6.src")), F.coalesce(t("IP.dst"), t("IPv6.dst")))
+    ports = lambda n: swap(t(f"{n}.sport"), t(f"{n}.dport"))
+
+    def by_type(kind: Column, replies: dict[int, int]) -> Column:
+        """The request's type, of a request or (reverse) of a reply."""
+        asked = F.lit(None).cast("string")
+        for ask, reply in replies.items():
+            asked = F.when(kind == (reply if reverse else ask), str(ask)).otherwise(asked)
+        return asked
+
+    data, at6 = F.col("data"), F.col("off_ICMPv6")
+    pair6 = lambda i: O.be(data, at6 + i, 2).cast("string")
+    wanted = v("ICMPv6.type") == NEIGHBOUR[1 if reverse else 0]
+    target = F.when(wanted & (F.col("_stop") - at6 >= 24), F.hex(O.part(data, at6 + 8, 16)))
+    dns = F.when(v("DNS.qr") == (1 if reverse else 0), t("DNS.id"))
+    arp = F.when(v("ARP.op") == (2 if reverse else 1), joined("arp", *swap(t("ARP.psrc"), t("ARP.pdst"))))
+    return (
+        F.when(has("TCP"), joined("tcp", *ends, *ports("TCP")))
+        .when(has("UDP") & has("DNS"), joined("dns", *ends, *ports("UDP"), dns))
+        .when(has("UDP"), joined("udp", *ends, *ports("UDP")))
+        .when(has("ICMP"), joined("icmp", by_type(v("ICMP.type"), ICMP_REPLIES), *ends, t("ICMP.id"), t("ICMP.seq")))
+        .when(has("ICMPv6"), F.coalesce(joined("icmp6", by_type(v("ICMPv6.type"), ICMP6_REPLIES), *ends, pair6(4), pair6(6)), joined("nd", target)))
+        .when(has("ARP"), arp)
+    )
+
+
+def answers(df: DataFrame, lookahead: int | None = None) -> DataFrame:
+    """num, answer: every later packet that answers num (a list may consume each several times).
+
+    lookahead: only answers of the next so many numbers; a packet then meets just the answers in its own block of numbers and in the next one,
+    and not all of a long conversation.
+    """
     d, ready = decoded(df, KEY_FIELDS)
     own = of_capture(df)
     asked = d.select(*own, "num", reply_key(False, ready).alias("key")).where("key is not null")
     replied = d.select(*own, F.col("num").alias("answer"), reply_key(True, ready).alias("key")).where("key is not null")
-    return asked.join(replied, [*own, "key"]).where("answer > num").select(*own, "num", "answer")
+    if lookahead is None:
+        return asked.join(replied, [*own, "key"]).where("answer > num").select(*own, "num", "answer")
+    block = F.floor(F.col("num") / lookahead)
+    asked = asked.withColumn("block", F.explode(F.array(block, block + 1)))
+    replied = replied.withColumn("block", F.floor(F.col("answer") / lookahead))
+    met = asked.join(replied, [*own, "key", "block"])
+    return met.where((F.col("answer") > F.col("num")) & (F.col("answer") <= F.col("num") + lookahead)).select(*own, "num", "answer")
+
+
+def _keyed(df: DataFrame) -> tuple[DataFrame, bool, Callable[[bool], Column]]:
+    d, ready = decoded(df, KEY_FIELDS)
+    own = [F.col(c).cast("string") for c in of_capture(df)]
+    return d, ready, lambda reverse: F.when((k := reply_key(reverse, ready)).isNotNull(), F.concat_ws("|", *own, k))
 
 
 def pairs(df: DataFrame, request: Column | None = None) -> DataFrame:
     """num, answer of the greedy pairing: each request takes the first later answer that none before it took.
 
-    Within a key the k-th request gets answer number k + max over i <= k of (answers before request i, minus i),
-    so two window sums do what a loop over the list would. request: which packets ask (default: all with a rule).
+    request: which packets ask; the others answer. Within a key the k-th request gets answer number k + max over i <= k of
+    (answers before request i, minus i), so two window sums do what a loop over the list would. Without `request` every packet
+    may ask and answer, and one that was taken as an answer asks no more: see `paired_once`.
     """
-    d, ready = decoded(df, KEY_FIELDS)
-    own = [F.col(c).cast("string") for c in of_capture(df)]
-    key = lambda reverse: F.when((k := reply_key(reverse, ready)).isNotNull(), F.concat_ws("|", *own, k)).alias("key")
-    asks = F.lit(True) if request is None else request
-    asked = d.where(asks).select(key(False), "num", F.lit(0).alias("reply")).where("key is not null")
-    replied = d.where(~asks if request is not None else F.lit(True)).select(key(True), "num", F.lit(1).alias("reply")).where("key is not null")
+    if request is None:
+        return paired_once(df)
+    d, _, key = _keyed(df)
+    both = d.select("num", request.alias("asks"), key(False).alias("ask"), key(True).alias("say"))
+    both = both.select("num", F.when(F.col("asks"), F.col("ask")).otherwise(F.col("say")).alias("key"), F.when(F.col("asks"), 0).otherwise(1).alias("reply"))
     w = Window.partitionBy("key").orderBy("num", "reply").rowsBetween(Window.unboundedPreceding, 0)
-    both = asked.unionByName(replied).withColumn("replies", F.sum("reply").over(w)).withColumn("k", F.count("*").over(w) - F.col("replies"))
+    both = both.where("key is not null").withColumn("replies", F.sum("reply").over(w)).withColumn("k", F.count("*").over(w) - F.col("replies"))
     lead = both.where("reply = 0").withColumn("place", F.col("k") + F.max(F.col("replies") - F.col("k") + 1).over(w))
     taken = both.where("reply = 1").select("key", F.col("replies").alias("place"), F.col("num").alias("answer"))
     return lead.select("key", "num", "place").join(taken, ["key", "place"]).select("num", "answer")
 
 
+def _once(batches: Iterator[pd.DataFrame], lookahead: int | None) -> Iterator[pd.DataFrame]:
+    """From packets by conversation and num: pairs, each packet in one at most, the first to ask served first."""
+    talk, asking = None, {}
+    for b in batches:
+        rows = []
+        for t, num, ask, say in zip(b["talk"], b["num"], b["ask"], b["say"], strict=True):
+            if t != talk:
+                talk, asking = t, {}
+            waiting = asking.get(say) if say is not None else None
+            while waiting and lookahead is not None and num - waiting[0] > lookahead:
+                waiting.popleft()
+            if waiting:
+                rows.append((waiting.popleft(), num))
+            elif ask is not None:
+                asking.setdefault(ask, deque()).append(num)
+        yield pd.DataFrame(rows, columns=["num", "answer"])
+
+
+def paired_once(df: DataFrame, lookahead: int | None = None) -> DataFrame:
+    """num, answer where any packet may ask or answer: each takes the first later answer that is free, and both are used up.
+
+    A packet that comes answers the one that has waited longest for it (for `lookahead` numbers at most), else it waits itself. Packets meet by their unordered pair of keys, and a
+    task walks them in the order of num and holds the numbers of those that wait.
+    """
+    d, _, key = _keyed(df)
+    k = d.select("num", key(False).alias("ask"), key(True).alias("say")).where("ask is not null or say is not null")
+    k = k.withColumn("talk", F.least("ask", "say")).repartition("talk").sortWithinPartitions("talk", "num")
+    return k.mapInPandas(lambda batches: _once(batches, lookahead), "num bigint, answer bigint")
+
+
 def unanswered(df: DataFrame, request: Column) -> DataFrame:
     """num of the requests without an answer."""
     return dissect(df).where(request).select("num").join(pairs(df, request), "num", "left_anti")

@@ -11,12 +11,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators.dissect import dissect, layer_column, payload
-from capquill.operators.flows import decoded, of_capture
+from capquill.operators.flows import NUMBERS, carried, decoded, of_capture, sequence_line
 from capquill.operators.layers import LAYERS
 
 BLOCK = 1 << 20
@@ -186,12 +186,13 @@ def defragment(df: DataFrame) -> DataFrame:
     return alone.unionByName(dealt.mapInPandas(lambda it: _datagrams(it, own), kind))
 
 
-def tcp_segments(df: DataFrame) -> DataFrame:
+def tcp_segments(df: DataFrame, block: int = NUMBERS) -> DataFrame:
     """stream, direction, num, rel (octet offset in the direction), flags, body of each TCP segment over IPv4 or IPv6.
 
     stream is direction-free. Direction 0 is who sent SYN without ACK, or else who sent first. Offsets count
-    from the SYN's number plus one, or else from the first segment, by serial arithmetic. With a column `capture`, the
-    stream's name begins with it.
+    from the SYN's number plus one, or else from the first segment, and are of 64 bits: a number lies where its distance from
+    the one before it in its direction says. With a column `capture`, the stream's name begins with it. Segments travel
+    once, by stream, sender and block of numbers; what is known of a whole stream comes to them by a row for each block.
     """
     d, ready = decoded(df, ("IP.src", "IP.dst", "TCP.sport", "TCP.dport", "TCP.seq", "TCP.flags"))
     v = lambda spec: layer_column(spec, decoded=ready)
@@ -201,14 +202,20 @@ def tcp_segments(df: DataFrame) -> DataFrame:
     b = F.concat_ws(":", F.coalesce(v("IP.dst"), six("dst")), v("TCP.dport").cast("string"))
     number = LAYERS["TCP"].raw("flags", ready).bitwiseAND(255)
     own = [F.col(c).cast("string") for c in of_capture(df)]
-    s = d.select(F.concat_ws(" - ", *own, F.least(a, b), F.greatest(a, b)).alias("stream"), a.alias("sender"), "num", v("TCP.seq").alias("seq"), number.alias("flags"), payload().alias("body"))
-    syn, ack = F.col("flags").bitwiseAND(2) != 0, F.col("flags").bitwiseAND(16) != 0
-    opener = s.groupBy("stream").agg(F.min_by("sender", F.struct(F.when(syn & ~ack, 0).otherwise(1), "num")).alias("opener"))
-    start = s.groupBy("stream", "sender").agg(F.min_by(F.when(syn, F.col("seq") + 1).otherwise(F.col("seq")), F.struct(F.when(syn, 0).otherwise(1), "num")).alias("start"))
-    half = F.lit(1 << 31)
-    rel = F.pmod(F.col("seq") + F.when(syn, 1).otherwise(0) - F.col("start") + half, F.lit(1 << 32)) - half
-    s = s.join(opener, "stream").join(start, ["stream", "sender"])
-    return s.select("stream", F.when(F.col("sender") == F.col("opener"), 0).otherwise(1).alias("direction"), "num", rel.alias("rel"), "flags", "body")
+    stream = F.concat_ws(" - ", *own, F.least(a, b), F.greatest(a, b)).alias("stream")
+    s = d.select(stream, a.alias("sender"), "num", v("TCP.seq").alias("seq"), number.alias("flags"), payload().alias("body"))
+    key, syn, ack = ["stream", "sender"], F.col("flags").bitwiseAND(2) != 0, F.col("flags").bitwiseAND(16) != 0
+    line = sequence_line(s, key, "seq", block)
+    one = F.when(syn, 1).otherwise(0)  # a SYN takes a number of its own
+    opening = F.min(F.struct(F.when(syn & ~ack, 0).otherwise(1).alias("k"), "num")).alias("opening")
+    begin = F.min(F.struct(F.when(syn, 0).otherwise(1).alias("k"), "num", (F.col("_in") + one).alias("at"))).alias("begin")
+    blocks = carried(line, key, "seq", opening, begin)
+    best = F.min(F.struct("begin.k", "begin.num", (F.col("begin.at") + F.col("_carry")).alias("at"))).over(Window.partitionBy(*key))
+    opener = F.min(F.struct("opening", "sender")).over(Window.partitionBy("stream"))
+    direction = F.when(opener["sender"] == F.col("sender"), 0).otherwise(1).alias("direction")
+    blocks = blocks.select(*key, "_block", (F.col("_carry") - best["at"]).alias("_shift"), direction)
+    rel = (F.col("_in") + F.col("_shift") + one).alias("rel")
+    return line.join(blocks, [*key, "_block"]).select("stream", "direction", "num", rel, "flags", "body")
 
 
 def _block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -220,10 +227,10 @@ def _block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def stream_pieces(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """stream, direction, block, at, octets: what was received, each octet once; gaps are what is missing between."""
-    s = tcp_segments(df).where((F.length("body") > 0) & (F.col("rel") >= 0))
-    first, last = F.floor(F.col("rel") / block), F.floor((F.col("rel") + F.length("body") - 1) / block)
+    s = tcp_segments(df).where((F.length("body") > 0) & (F.col("rel") + F.length("body") > 0))
+    first, last = F.floor(F.greatest(F.col("rel"), F.lit(0)) / block), F.floor((F.col("rel") + F.length("body") - 1) / block)
     s = s.withColumn("block", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("rel"), F.col("block") * block)
+    low = F.greatest(F.col("rel"), F.col("block") * block)  # what is from before the start is cut off
     high = F.least(F.col("rel") + F.length("body"), (F.col("block") + 1) * block)
     s = s.select("stream", "direction", "block", "num", low.alias("at"), O.part(F.col("body"), low - F.col("rel"), high - low).alias("piece"))
     # exact retransmissions are dropped before the shuffle's groups are made
@@ -232,13 +239,33 @@ def stream_pieces(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def streams(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """stream, direction, octets, missing (gap octets), syn, fin, rst of each direction that sent anything."""
-    seen = tcp_segments(df).groupBy("stream", "direction").agg(F.bit_or("flags").alias("flags"), F.count("*").alias("segments"))
-    got = stream_pieces(df, block).groupBy("stream", "direction").agg(F.sum(F.length("octets")).alias("octets"), F.max(F.col("at") + F.length("octets")).alias("reach"))
-    out = seen.join(got, ["stream", "direction"], "left")
-    n = F.coalesce("octets", F.lit(0)).cast("bigint")
+    """stream, direction, segments, octets, missing (gap octets), dropped, syn, fin, rst of each direction that sent anything.
+
+    dropped are octets of segments, or of their parts, from before the direction's start; octets that came twice count once. Only
+    where segments begin and end travels, in blocks of `block` octets.
+    """
+    s = tcp_segments(df).select("stream", "direction", "num", "rel", "flags", (F.col("rel") + F.length("body")).alias("stop"))
+    early = F.least(F.col("stop"), F.lit(0)) - F.least(F.col("rel"), F.lit(0))
+    at, stop = F.greatest(F.col("rel"), F.lit(0)), F.greatest(F.col("stop"), F.lit(0))
+    s = s.select("stream", "direction", "flags", early.alias("early"), at.alias("at"), stop.alias("stop"))
+    s = s.groupBy("stream", "direction", "at", "stop").agg(F.bit_or("flags").alias("flags"), F.count("*").alias("n"), F.sum("early").alias("early"))
+    first, last = F.floor(F.col("at") / block), F.floor((F.greatest(F.col("stop") - 1, F.col("at"))) / block)
+    s = s.withColumn("block", F.explode(F.sequence(first, last)))
+    begins, low, high = first == F.col("block"), F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("stop"), (F.col("block") + 1) * block)
+    counted = [F.when(begins, F.col(c)).otherwise(0).alias(c) for c in ("n", "early")]
+    s = s.select("stream", "direction", "block", "flags", *counted, low.alias("low"), high.alias("high"))
+    before = Window.partitionBy("stream", "direction", "block").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("high") - F.greatest(F.col("low"), F.coalesce(F.max("high").over(before), F.col("low"))))
+    totals = s.withColumn("new", new).groupBy("stream", "direction").agg(
+        F.bit_or("flags").alias("flags"),
+        F.sum("n").alias("segments"),
+        F.sum("new").alias("octets"),
+        F.max(F.when(F.col("high") > F.col("low"), F.col("high"))).alias("reach"),
+        F.sum("early").alias("dropped"),
+    )
     bit = lambda k: F.col("flags").bitwiseAND(k) != 0
-    return out.select("stream", "direction", "segments", n.alias("octets"), (F.coalesce("reach", F.lit(0)) - n).alias("missing"), bit(2).alias("syn"), bit(1).alias("fin"), bit(4).alias("rst"))
+    missing = F.coalesce("reach", F.lit(0)) - F.col("octets")
+    return totals.select("stream", "direction", "segments", "octets", missing.alias("missing"), "dropped", bit(2).alias("syn"), bit(1).alias("fin"), bit(4).alias("rst"))
 
 
 class _Framer:

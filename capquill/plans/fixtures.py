@@ -229,3 +229,31 @@ def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     vxlan = T.ether(0x0800, T.ipv4(F.lit(1 << 24), F.lit(2 << 24), 17, T.udp(40000, 4789, F.concat(hexed("0800000000000500"), data))))
     frame = F.when(line == 1, tags).when(line == 2, labels).when(line == 3, nested).when(line == 4, extended).when(line == 5, signed).when(line == 6, vxlan).otherwise(data)
     return capture(p.select("num", "time", frame.alias("data")))
+
+
+#: Octets from one segment of a long stream to the next.
+STRIDE = 1_500_000_000
+
+
+def long_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A direction of each supplier whose line items are segments of five octets, STRIDE octets apart, every fourth sent again later."""
+    from pyspark.sql import Window
+
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("num")).distinct()
+    li = li.withColumn("k", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("num")) - 1)
+    k = F.col("k").cast("bigint")
+    seq = F.pmod(k * STRIDE + 4_000_000_000, F.lit(1 << 32))
+    again = F.when(k % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    s = li.select("l_suppkey", "num", seq.alias("seq"), F.explode(again).alias("copy"))
+    frame = T.ether(0x0800, T.ipv4(address(0, "l_suppkey"), F.lit(9 << 24), 6, T.tcp(F.lit(1000), F.lit(80), F.col("seq"), F.lit(16), F.lit(b"abcde"))))
+    return capture(s.select((F.col("num") * 2 + F.col("copy")).alias("num"), frame.alias("data")))
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TCP segment over IPv6 of each line item between two hosts of its order, to and fro by the return flag; all orders use the same ports."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_partkey").alias("l_partkey"))
+    host = lambda k: F.concat(F.unhex(F.lit("20010db8" + "0" * 6 + k)), O.octets(F.col("l_orderkey"), 8))
+    back = F.col("l_returnflag") == "R"
+    a, b = F.when(back, host("02")).otherwise(host("01")), F.when(back, host("01")).otherwise(host("02"))
+    segment = T.tcp(F.when(back, 80).otherwise(1000), F.when(back, 1000).otherwise(80), F.col("l_partkey"), F.lit(24), F.lit(b"."))
+    return capture(li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("num"), T.ether(0x86DD, T.ipv6(a, b, 6, segment)).alias("data")))

@@ -645,3 +645,38 @@ def filter_matching(spark, sf):
     """The packets themselves."""
     text = "(tcp or (ip and udp)) and (tcp[0:2] < 3000 or udp[0:2] < 3000) and not src host 10.0.0.7"
     return filters.matching(X.packets(spark, sf), text).select("num", F.length("data").cast("bigint").alias("len"))
+
+
+# Long streams
+_LONG = f"""WITH s AS (SELECT l_suppkey, (l_orderkey * 8 + l_linenumber) * 2 AS num, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 8 + l_linenumber) - 1 AS k FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber FROM lineitem)) """
+
+
+@query(_LONG + f"SELECT num + c AS num, CAST(k * {X.STRIDE} AS BIGINT) AS rel FROM s, range(2) t(c) WHERE c = 0 OR k % 4 = 0")
+def long_stream_numbers(spark, sf):
+    """Offsets of far over 8 GiB, by the way of blocks of numbers that are small enough to be carried on many times."""
+    s = reassembly.tcp_segments(X.long_streams(spark, sf), block=1 << 14)
+    return s.select("num", "rel")
+
+
+@query(_LONG + f"""SELECT '10.0.' || ((l_suppkey & 65535) >> 8) || '.' || (l_suppkey & 255) || ':1000 - 9.0.0.0:80' AS stream, CAST(count(*) + count(*) FILTER (k % 4 = 0) AS BIGINT) AS segments,
+CAST(5 * count(*) AS BIGINT) AS octets, CAST((count(*) - 1) * {X.STRIDE} + 5 - 5 * count(*) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS dropped FROM s GROUP BY l_suppkey""")
+def long_stream_totals(spark, sf):
+    return reassembly.streams(X.long_streams(spark, sf)).select("stream", "segments", "octets", "missing", "dropped")
+
+
+# Packets that all may ask and answer
+_TALKS = "WITH t AS (SELECT l_orderkey AS o, l_orderkey * 8 + l_linenumber AS num, CASE WHEN min(l_returnflag) = 'R' THEN -1 ELSE 1 END AS x FROM lineitem GROUP BY l_orderkey, l_linenumber) "
+
+
+@query(_TALKS + """, s AS (SELECT *, sum(x) OVER w AS after, sum(x) OVER w - x AS before FROM t WINDOW w AS (PARTITION BY o ORDER BY num)),
+g AS (SELECT *, abs(after) > abs(before) AS waits, count(*) FILTER (before = 0) OVER (PARTITION BY o ORDER BY num) AS turn FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY o, turn, waits ORDER BY num) AS k FROM g)
+SELECT a.num, b.num AS answer FROM n a JOIN n b ON a.o = b.o AND a.turn = b.turn AND a.k = b.k AND a.waits AND NOT b.waits""")
+def sr_default(spark, sf):
+    """Pairs of packets over IPv6 that are used up: at any time the packets of one direction wait, and the others answer them in turn."""
+    return pairing.pairs(X.talks(spark, sf))
+
+
+@query(_TALKS + "SELECT a.num, b.num AS answer FROM t a JOIN t b ON a.o = b.o AND b.num > a.num AND b.num <= a.num + 3 AND b.x = -a.x")
+def sr_lookahead(spark, sf):
+    return pairing.answers(X.talks(spark, sf), lookahead=3)
