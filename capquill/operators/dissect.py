@@ -287,7 +287,7 @@ _DIRECTIVE = re.compile(r"%%|%(?:(?P<fmt>[^%,.a-zA-Z]*)(?P<raw>r)?,)?(?P<spec>(?
 
 
 def sprintf(template: str) -> Column:
-    """Text of a packet: %Layer.field%, %r,Layer.field% (raw), %.time%, %%, {Layer:shown if present}, {!Layer:if absent}."""
+    """Text of a packet: %Layer.field%, %r,Layer.field% (raw), %.time%, %%, {Layer:shown if present}, {!Layer:if absent}. A directive of an unknown field stays as it is."""
 
     def walk(at: int, depth: int) -> tuple[Column, int]:
         pieces, plain = [], ""
@@ -315,7 +315,11 @@ def sprintf(template: str) -> Column:
             if m["spec"] == ".time":
                 pieces.append(F.date_format(F.timestamp_micros((F.col("time") * 1_000_000).cast("bigint")), "HH:mm:ss.SSSSSS"))
                 continue
-            value = layer_column(m["spec"], rendered=not m["raw"]).cast("string")
+            try:
+                value = layer_column(m["spec"], rendered=not m["raw"]).cast("string")
+            except ValueError:  # no such field: the directive is text
+                plain += m[0]
+                continue
             value = F.coalesce(value, F.lit("??"))
             if m["fmt"]:
                 value = F.format_string(f"%{m['fmt']}s", value)

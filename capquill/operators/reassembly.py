@@ -11,8 +11,10 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from capquill.functions import octets as O
 from capquill.operators.dissect import dissect, layer_column, payload
@@ -24,28 +26,53 @@ BLOCK = 1 << 20
 OCTETS, FRAGMENTS = 65535, 8192
 #: Octets in which the head of an HTTP message has to end.
 HEAD = 64 << 10
+#: An empty line, whatever ends it.
+HEAD_END = re.compile(rb"\r?\n\r?\n")
 #: Octets of a TLS record at most.
 RECORD = (1 << 14) + 2048
 
 
+@F.arrow_udf(BinaryType())
+def _copied_options(data: pa.Array, at: pa.Array, body: pa.Array) -> pa.Array:
+    """The options of an IPv4 header that have the copy bit, padded to units of four octets."""
+    out = []
+    for frame, start, stop in zip(data.to_pylist(), at.to_pylist(), body.to_pylist(), strict=True):
+        options, kept, i = frame[start + 20 : stop], b"", 0
+        while i < len(options) and options[i] != 0:
+            size = 1 if options[i] == 1 else options[i + 1] if i + 1 < len(options) else 0
+            if size < 1 or options[i] != 1 and size < 2 or i + size > len(options):
+                break  # what follows can't be told apart
+            if options[i] & 0x80:
+                kept += options[i : i + size]
+            i += size
+        out.append(kept + bytes(-len(kept) % 4))
+    return pa.array(out, pa.binary())
+
+
 def fragment(df: DataFrame, size: int = 1480) -> DataFrame:
     """num, piece, data: IPv4 datagrams in fragments with payloads of at most `size` octets, header checksums renewed.
 
-    Datagrams with DF, or that fit, stay as they are; options are kept in the first fragment only if they are short.
+    Datagrams with DF, or that fit, stay as they are. The first fragment has all options, the others those that are to be copied (RFC 791).
     """
     unit = size // 8 * 8
     d = dissect(df).where(F.col("off_IP").isNotNull())
     at, data = F.col("off_IP"), F.col("data")
     head = O.bits(data, at, 4, 4) * 4
-    d = d.select("num", "data", "time", at.cast("int").alias("at"), (at + head).cast("int").alias("body"), "end", O.be(data, at + 6, 2).alias("flags"))
+    end = F.least(F.length(data), at + F.greatest(O.be(data, at + 2, 2), head)).cast("int").alias("end")
+    d = d.select("num", "data", at.cast("int").alias("at"), (at + head).cast("int").alias("body"), end, O.be(data, at + 6, 2).alias("flags"))
     whole = (F.col("end") - F.col("body") <= size) | (F.col("flags").bitwiseAND(0x4000) != 0)
     count = F.when(whole, 1).otherwise(F.ceil((F.col("end") - F.col("body")) / unit)).cast("int")
-    d = d.withColumn("pieces", count).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    d = d.withColumn("pieces", count).withColumn("options", O.part(data, F.col("at") + 20, F.col("body") - F.col("at") - 20))
+    with_options = (F.col("pieces") > 1) & (F.length("options") > 0)
+    d = d.withColumn("copied", F.when(with_options, _copied_options("data", "at", "body")).otherwise(F.lit(b"")))
+    d = d.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    d = d.withColumn("own", F.when(F.col("piece") == 0, F.col("options")).otherwise(F.col("copied")))
     body = O.part(data, F.col("body") + F.col("piece") * unit, F.least(F.lit(unit), F.col("end") - F.col("body") - F.col("piece") * unit))
     flags = (F.col("flags") + F.col("piece") * (unit // 8)).bitwiseOR(F.when(F.col("piece") < F.col("pieces") - 1, 0x2000).otherwise(0))
+    length = 20 + F.length("own")
     head = F.concat(
-        O.part(data, F.col("at"), 2), O.octets(F.col("body") - F.col("at") + F.length(body), 2), O.part(data, F.col("at") + 4, 2), O.octets(flags, 2),
-        O.part(data, F.col("at") + 8, 2), F.lit(b"\0\0"), O.part(data, F.col("at") + 12, F.col("body") - F.col("at") - 12),
+        O.octets((length / 4).cast("int") + 0x40, 1), O.part(data, F.col("at") + 1, 1), O.octets(length + F.length(body), 2), O.part(data, F.col("at") + 4, 2), O.octets(flags, 2),
+        O.part(data, F.col("at") + 8, 2), F.lit(b"\0\0"), O.part(data, F.col("at") + 12, 8), F.col("own"),
     )
     d = d.withColumn("head", F.when(F.col("pieces") > 1, head)).withColumn("body_part", body)
     summed = F.concat(O.part(F.col("head"), 0, 10), O.octets(O.internet_checksum(F.col("head")), 2), O.part(F.col("head"), 12, 48))
@@ -82,8 +109,8 @@ def first_writer(pieces: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
 class _Group:
     """The datagram that fragments under one key are adding up to; of octets that several hold, the first one's stay."""
 
-    def __init__(self, of: tuple = ()) -> None:
-        self.of = of
+    def __init__(self, of: tuple = (), began: float | None = None) -> None:
+        self.of, self.began = of, began
         self.rows: list[tuple[int, bytes]] = []
         self.head, self.at, self.size, self.six = b"", -1, -1, False
         self.octets, self.held = bytearray(), []
@@ -128,7 +155,7 @@ class _Group:
         return bytes(h) + bytes(self.octets)
 
 
-def _datagrams(batches: Iterator[pd.DataFrame], own: list[str]) -> Iterator[pd.DataFrame]:
+def _datagrams(batches: Iterator[pd.DataFrame], own: list[str], age: float | None) -> Iterator[pd.DataFrame]:
     """From the fragments by key and num: a datagram as soon as it is whole, the others' fragments as they are."""
     key, group = None, _Group()
     left = lambda g: [(*g.of, num, data, 1, "incomplete") for num, data in g.rows]
@@ -137,11 +164,15 @@ def _datagrams(batches: Iterator[pd.DataFrame], own: list[str]) -> Iterator[pd.D
         rows = []
         captures = list(zip(*(b[c] for c in own), strict=True)) if own else [()] * len(b)
         of = zip(b["ends"], b["id"], b["proto"], captures, strict=True)
-        each = zip(b["num"], b["data"], b["at"], b["body"], b["end"], b["offset"], b["more"], strict=True)
-        for k, (num, data, at, body, end, offset, more) in zip(of, each, strict=True):
+        each = zip(b["time"], b["num"], b["data"], b["at"], b["body"], b["end"], b["offset"], b["more"], strict=True)
+        for k, (time, num, data, at, body, end, offset, more) in zip(of, each, strict=True):
             if k != key:
                 rows += left(group)
                 key, group = k, _Group(k[-1])
+            if group.rows and age is not None and time - group.began > age:  # the rest of it never came
+                rows += left(group)
+                group = _Group(k[-1])
+            group.began = group.began if group.rows else time
             if offset + end - body > OCTETS or len(group.rows) >= FRAGMENTS:
                 rows.append((*k[-1], num, data, 1, "incomplete"))
                 continue
@@ -153,37 +184,39 @@ def _datagrams(batches: Iterator[pd.DataFrame], own: list[str]) -> Iterator[pd.D
     yield pd.DataFrame(left(group), columns=names)
 
 
-def defragment(df: DataFrame) -> DataFrame:
+def defragment(df: DataFrame, age: float | None = 60.0) -> DataFrame:
     """num (of the first fragment), data, fragments, kind of every frame.
 
     complete is a datagram put together from IPv4 fragments, or IPv6 ones (a fragment header right after the fixed one); incomplete is a fragment that no datagram was made of, as it
     was; whole is any other frame, as it was. Under a key (addresses, id, protocol), which comes back in a long
-    capture, fragments are taken by num, and after each datagram the next one begins. A task walks the
+    capture, fragments are taken by num, and after each datagram the next one begins; so it does where a fragment comes more than `age`
+    seconds (by `time`; None: however late) after the first one of what is not whole yet, which then is incomplete. A task walks the
     sorted fragments and holds those of one unfinished datagram, `FRAGMENTS` at most; what is over is incomplete.
     """
     d = dissect(df)
     at, data, own = F.col("off_IP"), F.col("data"), of_capture(df)
     flags = O.be(data, at + 6, 2)
     body = at + O.bits(data, at, 4, 4) * 4
-    piece = F.coalesce((flags.bitwiseAND(0x3FFF) != 0) & (body <= F.col("end")), F.lit(False))
+    end = F.least(F.length(data), at + F.greatest(O.be(data, at + 2, 2), body - at)).cast("int")  # of the datagram, whatever is in it
+    piece = F.coalesce((flags.bitwiseAND(0x3FFF) != 0) & (body <= end), F.lit(False))
     six = F.coalesce(F.col("off_IPv6").isNotNull() & (O.be(data, F.col("off_IPv6") + 6, 1) == 44) & (F.col("end") - F.col("off_IPv6") >= 48), F.lit(False))
     alone = d.where(~piece & ~six).select(*own, "num", "data", F.lit(1).cast("bigint").alias("fragments"), F.lit("whole").alias("kind"))
     key = F.concat_ws("/", *[F.col(c).cast("string") for c in own], F.hex(O.part(data, at + 12, 8))).alias("ends")
     pieces = d.where(piece).select(
-        *own, key, O.be(data, at + 4, 2).alias("id"), O.be(data, at + 9, 1).alias("proto"), "num", "data", at.alias("at"), body.alias("body"), "end",
+        *own, key, O.be(data, at + 4, 2).alias("id"), O.be(data, at + 9, 1).alias("proto"), "time", "num", "data", at.alias("at"), body.alias("body"), end.alias("end"),
         (flags.bitwiseAND(0x1FFF) * 8).alias("offset"), F.shiftright(flags, 13).bitwiseAND(1).alias("more"),
     )
     at6 = F.col("off_IPv6")
     key6, word = F.concat_ws("/", *[F.col(c).cast("string") for c in own], F.hex(O.part(data, at6 + 8, 32))).alias("ends"), O.be(data, at6 + 42, 2)
     # next header of a fragment counts as the protocol; at is negative for IPv6, less one
     pieces6 = d.where(six).select(
-        *own, key6, O.be(data, at6 + 44, 4).alias("id"), F.lit(-1).cast("bigint").alias("proto"), "num", "data", (-1 - at6).alias("at"), (at6 + 48).alias("body"), "end",
+        *own, key6, O.be(data, at6 + 44, 4).alias("id"), F.lit(-1).cast("bigint").alias("proto"), "time", "num", "data", (-1 - at6).alias("at"), (at6 + 48).alias("body"), "end",
         word.bitwiseAND(0xFFF8).alias("offset"), word.bitwiseAND(1).alias("more"),
     )
     keys = ["ends", "id", "proto"]
     kind = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in own), "num bigint, data binary, fragments bigint, kind string"])
     dealt = pieces.unionByName(pieces6).repartition(*keys).sortWithinPartitions(*keys, "num", "offset")
-    return alone.unionByName(dealt.mapInPandas(lambda it: _datagrams(it, own), kind))
+    return alone.unionByName(dealt.mapInPandas(lambda it: _datagrams(it, own, age), kind))
 
 
 def tcp_segments(df: DataFrame, block: int = NUMBERS) -> DataFrame:
@@ -286,14 +319,17 @@ class _Framer:
             self.at, self.seen, self.head = self.at + end, 0, None
 
     def _head(self) -> bool:
-        stop = self.data.find(b"\r\n\r\n", max(0, self.seen - 3), HEAD)
-        if stop < 0:
+        found = HEAD_END.search(self.data, max(0, self.seen - 3), HEAD)
+        if not found:
             self.seen, self.open = len(self.data), len(self.data) < HEAD
             return False
-        lines = bytes(self.data[:stop]).split(b"\r\n")
+        # a line that begins with a blank goes on with the one before it
+        lines = re.split(rb"\r?\n", re.sub(rb"\r?\n[ \t]+", b" ", bytes(self.data[: found.start()])))
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
-        body, end = stop + 4, None
-        if b"chunked" in headers.get(b"transfer-encoding", b"").lower():
+        body, end = found.end(), None
+        if re.match(rb"HTTP/\d\.\d (1\d\d|204|304)\b", lines[0]):
+            end = body  # these never have a body, whatever their headers say
+        elif b"chunked" in headers.get(b"transfer-encoding", b"").lower():
             pass
         elif b"content-length" in headers:
             digits = re.match(rb"\d{1,19}", headers[b"content-length"])
@@ -344,7 +380,8 @@ def http_messages(df: DataFrame) -> DataFrame:
     """stream, direction, at, length, start_line, body of each complete message before the first gap of its direction.
 
     A task walks the sorted pieces of a direction and holds what isn't framed yet, so one message. Framing ends at a head of
-    over `HEAD` octets, at a length that is none, and at a response without a length, as nothing tells where the next begins.
+    over `HEAD` octets, at a length that is none, and at a response without a length, as nothing tells where the next begins (1xx, 204 and
+    304 never have a body). Heads may have bare line feeds and folded lines.
     """
     p = stream_pieces(df).repartition("stream", "direction").sortWithinPartitions("stream", "direction", "at")
     return p.select("stream", "direction", "at", "octets").mapInPandas(_framed, "stream string, direction int, at bigint, length bigint, start_line string, body binary")
@@ -381,18 +418,34 @@ def tls_records(df: DataFrame) -> DataFrame:
     return p.select("stream", "direction", "at", "octets").mapInPandas(_tls, "stream string, direction int, at bigint, type int, version int, length int, body binary")
 
 
-def spliced(df: DataFrame, messages: DataFrame) -> DataFrame:
-    """num, stream, direction, kind, octets: each complete message in place of the segments that carried it, everything else as it is.
+def spliced(df: DataFrame, messages: DataFrame, block: int = BLOCK) -> DataFrame:
+    """num, stream, direction, at, kind, octets: each complete message in place of the octets that carried it, everything else as it is.
 
-    messages: stream, direction, at, length, body, as of http_messages or tls_records. A segment that is wholly in messages goes; the
-    message takes the number of the last segment that it needs.
+    messages: stream, direction, at, length, body, as of http_messages or tls_records. Of a segment stays what no message covers: nothing, or
+    a row for each part. The message takes the number of the last segment that it needs. Segments and messages meet by blocks of their direction.
     """
+    own = ["stream", "direction"]
     s = tcp_segments(df).withColumn("reach", F.col("rel") + F.length("body"))
-    m = messages.select("stream", "direction", "at", (F.col("at") + F.col("length")).alias("stop"), "body")
-    within = (F.col("s.rel") < F.col("m.stop")) & (F.col("s.reach") > F.col("m.at"))
-    met = s.where("reach > rel").alias("s").join(m.alias("m"), ["stream", "direction"]).where(within)
-    inside = met.groupBy("stream", "direction", "num").agg(F.sum(F.least("s.reach", "m.stop") - F.greatest("s.rel", "m.at")).alias("covered"))
-    last = met.groupBy("stream", "direction", "at").agg(F.max("num").alias("num"), F.first("m.body").alias("octets"))
-    rest = s.join(inside, ["stream", "direction", "num"], "left").where("covered is null or covered < reach - rel")
-    whole = last.select("num", "stream", "direction", F.lit("message").alias("kind"), "octets")
-    return whole.unionByName(rest.select("num", "stream", "direction", F.lit("segment").alias("kind"), F.col("body").alias("octets")))
+    blocks = lambda low, high: F.explode(F.sequence(F.floor(low / block), F.floor((high - 1) / block)))
+    held = s.where("reach > rel").select(*own, "num", "rel", "reach").withColumn("block", blocks(F.col("rel"), F.col("reach")))
+    m = messages.where("length > 0").select(*own, "at", (F.col("at") + F.col("length")).alias("stop"))
+    m = m.withColumn("block", blocks(F.col("at"), F.col("stop")))
+    low, high = F.greatest("rel", "at"), F.least("reach", "stop")
+    met = held.join(m, [*own, "block"]).where((low < high) & (F.floor(low / block) == F.col("block")))  # each pair once
+    last = met.groupBy(*own, "at").agg(F.max("num").alias("num"))
+    whole = messages.select(*own, "at", F.col("body").alias("octets")).join(last, [*own, "at"])
+    covered = met.groupBy(*own, "num", "rel", "reach").agg(F.sort_array(F.collect_list(F.struct(low.alias("low"), high.alias("high")))).alias("covered"))
+    n = F.size("covered")
+    edges = F.transform(
+        F.sequence(F.lit(0), n),
+        lambda k: F.struct(
+            F.when(k == 0, F.col("rel")).otherwise(F.try_element_at("covered", F.greatest(k, F.lit(1)))["high"]).alias("low"),
+            F.when(k == n, F.col("reach")).otherwise(F.try_element_at("covered", k + 1)["low"]).alias("high"),
+        ),
+    )
+    left = covered.select(*own, "num", "rel", "reach", F.filter(edges, lambda e: e["high"] > e["low"]).alias("left"))
+    s = s.join(left, [*own, "num", "rel", "reach"], "left")
+    parts = F.coalesce("left", F.array(F.struct(F.col("rel").alias("low"), F.col("reach").alias("high"))))
+    rest = s.withColumn("part", F.explode(parts))
+    rest = rest.select("num", *own, F.col("part.low").alias("at"), F.lit("segment").alias("kind"), O.part(F.col("body"), F.col("part.low") - F.col("rel"), F.col("part.high") - F.col("part.low")).alias("octets"))
+    return whole.select("num", *own, "at", F.lit("message").alias("kind"), "octets").unionByName(rest)

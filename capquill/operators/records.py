@@ -1,7 +1,7 @@
 """Lists inside of frames: TLV items, TCP options, DNS records, BER values, repeating groups and header lines.
 
-Each function makes a column of an array of structs from octets; `explode` gives a row for each item. Walks are
-bounded and stop, never fail, where a list is truncated or its lengths lie: what was read before stays. Null octets
+Each function makes a column of an array of structs from octets; `explode` gives a row for each item. Lists are given whole:
+an item takes an octet at least, so a walk ends with its octets. Walks stop, never fail, where a list is truncated or its lengths lie: what was read before stays. Null octets
 give null.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from capquill.functions import octets as O
 from capquill.operators.layers import Layer
 
-#: Items of a list at most, and jumps in a DNS name.
-ITEMS, JUMPS = 512, 64
+#: Jumps in a DNS name at most.
+JUMPS = 64
 
 
 def _lists(kind: T.StructType, walk: Callable[[bytes], Iterator[tuple]]):
@@ -29,7 +29,7 @@ def _lists(kind: T.StructType, walk: Callable[[bytes], Iterator[tuple]]):
     def run(data: pa.Array) -> pa.Array:
         out = []
         for value in data.to_pylist():
-            out.append(None if value is None else [dict(zip(names, item, strict=True)) for item, _ in zip(walk(value), range(ITEMS))])
+            out.append(None if value is None else [dict(zip(names, item, strict=True)) for item in walk(value)])
         return pa.array(out, arrow)
 
     kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
@@ -244,9 +244,9 @@ def ber_values(data: Column) -> Column:
 
 
 def group(data: Column, start: Column, count: Column, element: Layer, end: Column | None = None) -> Column:
-    """array<struct> of the fields of `element`, repeated from `start`: as many as `count` says and as are there, `ITEMS` at most. Native."""
+    """array<struct> of the fields of `element`, repeated from `start`: as many as `count` says and as are there. Native."""
     there = F.floor(((F.length(data) if end is None else end) - start) / element.least)
-    n = F.least(F.greatest(F.least(count.cast("bigint"), there.cast("bigint")), F.lit(0)), F.lit(ITEMS)).cast("int")
+    n = F.greatest(F.least(count.cast("bigint"), there.cast("bigint")), F.lit(0)).cast("int")
 
     def one(i: Column) -> Column:
         at = start + i * element.least
@@ -269,8 +269,8 @@ def _group_type(element: Layer) -> str:
 
 
 def header_lines(block: Column) -> Column:
-    """array<struct<name, value>> of the header lines (256 at most) of a CRLF text protocol's block; the start line has the name ''."""
-    lines = F.slice(F.split(F.split_part(F.decode(block, "ISO-8859-1"), F.lit("\r\n\r\n"), F.lit(1)), "\r\n"), 1, 256)
+    """array<struct<name, value>> of the header lines of a CRLF text protocol's block; the start line has the name ''."""
+    lines = F.split(F.split_part(F.decode(block, "ISO-8859-1"), F.lit("\r\n\r\n"), F.lit(1)), "\r\n")
 
     def one(x: Column, i: Column) -> Column:
         at = F.instr(x, ":")

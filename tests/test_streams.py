@@ -110,3 +110,84 @@ def test_relative_sequence_in_blocks(spark):
     df = spark.createDataFrame(rows, "num bigint, k int, seq bigint, want bigint")
     for block in (7, 1 << 20):
         assert flows.relative_sequence(df, ["k"], block=block).where("rel <> want").count() == 0
+
+
+def tcp_frames(pieces, start=100):
+    return [MACS + b"\x08\x00" + ip(6, segment(80, 9, start + at, 16, body)) for at, body in pieces]
+
+
+def test_a_splice_repeats_no_octet(spark):
+    one, two = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nvwxyz"
+    stream = one + two + b"HTTP/1.1 200"
+    cuts = [0, len(one) + 7, len(one) + len(two) - 2, len(stream)]
+    df = capture(spark, tcp_frames([(a, stream[a:b]) for a, b in zip(cuts, cuts[1:])]))
+    for block in (16, 1 << 20):
+        got = sorted((r.num, r.at, r.kind, bytes(r.octets)) for r in reassembly.spliced(df, reassembly.http_messages(df), block).collect())
+        assert got == [(0, 0, "message", b"abc"), (2, len(one), "message", b"vwxyz"), (2, len(one + two), "segment", b"HTTP/1.1 200")]
+    inner = b"--" + one  # no message: all stays
+    df = capture(spark, tcp_frames([(0, inner[:9]), (9, inner[9:])]))
+    none = reassembly.http_messages(df).where("false")
+    assert sorted(bytes(r.octets) for r in reassembly.spliced(df, none).collect()) == sorted([inner[:9], inner[9:]])
+    message = none.sparkSession.createDataFrame([(df_stream(df), 0, 2, 3, b"M")], "stream string, direction int, at bigint, length bigint, body binary")
+    got = sorted((r.num, r.at, bytes(r.octets)) for r in reassembly.spliced(df, message).collect())
+    assert got == [(0, 0, inner[:2]), (0, 2, b"M"), (0, 5, inner[5:9]), (1, 9, inner[9:])]
+
+
+def df_stream(df):
+    return reassembly.tcp_segments(df).first().stream
+
+
+def test_heads_of_any_line_end_and_answers_without_a_body(spark):
+    parts = [
+        b"HTTP/1.1 304 Not Modified\r\nContent-Length: 500\r\n\r\n", b"HTTP/1.1 100 Continue\r\n\r\n", b"HTTP/1.1 204 No Content\n\n", b"HTTP/1.1 200 OK\nContent-Length:\n  4\n\nbody",
+        b"HTTP/1.1 200 OK\r\nX: a\r\n\tb\r\nContent-Length: 2\r\n\r\nhi",
+    ]
+    raw = b"".join(parts)
+    for size in (1, 7, 1000):
+        df = capture(spark, tcp_frames([(i, raw[i : i + size]) for i in range(0, len(raw), size)]))
+        got = sorted((r.at, r.length, bytes(r.body)) for r in reassembly.http_messages(df).collect())
+        starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+        assert got == [(a, len(p), b) for a, p, b in zip(starts, parts, (b"", b"", b"", b"body", b"hi"))]
+
+
+def test_options_that_are_copied(spark):
+    options = bytes([7, 7, 4, 0, 0, 0, 0, 1, 0x83, 7, 4, 9, 9, 9, 9, 0])  # record route, NOP, loose source route
+    body = bytes(range(256)) * 8
+    head = bytes([0x40 | 9, 0]) + (36 + len(body)).to_bytes(2) + bytes([0, 5, 0, 0, 64, 17, 0, 0]) + bytes([10, 0, 0, 1, 10, 0, 0, 2]) + options
+    df = capture(spark, [MACS + b"\x08\x00" + head + body])
+    rows = sorted(reassembly.fragment(df, 800).collect())
+    pieces = [bytes(r.data)[14:] for r in rows]
+    assert [p[0] & 15 for p in pieces] == [9, 7, 7] and pieces[0][20:36] == options
+    assert all(p[20:28] == options[8:15] + b"\0" for p in pieces[1:]) and all(len(p) == int.from_bytes(p[2:4], "big") for p in pieces)
+    assert b"".join(p[4 * (p[0] & 15) :] for p in pieces) == body
+    parts = D.capture(spark.createDataFrame([(i, bytes(r.data)) for i, r in enumerate(rows)], "num bigint, data binary"))
+    (whole,) = reassembly.defragment(parts).collect()
+    assert whole.kind == "complete" and bytes(whole.data)[50:] == body and bytes(whole.data)[34:50] == options
+
+
+def test_an_old_head_meets_no_new_tail(spark):
+    def piece(at, more, body):
+        return MACS + b"\x08\x00" + b"\x45\x00" + (20 + len(body)).to_bytes(2) + b"\x00\x07" + (at // 8 | more << 13).to_bytes(2) + bytes([64, 17, 0, 0]) + bytes([10, 0, 0, 1, 10, 0, 0, 2]) + body
+
+    rows = [(0, 0.0, piece(0, 1, b"o" * 8)), (1, 100.0, piece(8, 0, b"n" * 8)), (2, 101.0, piece(0, 1, b"n" * 8)), (3, 300.0, piece(0, 1, b"x" * 8))]
+    df = D.capture(spark.createDataFrame(rows, "num bigint, time double, data binary"))
+    got = sorted((r.num, r.kind, bytes(r.data)[34:]) for r in reassembly.defragment(df).collect())
+    assert got == [(0, "incomplete", b"o" * 8), (1, "complete", b"n" * 16), (3, "incomplete", b"x" * 8)]
+    assert {r.kind for r in reassembly.defragment(df, age=None).where("num < 2").collect()} == {"complete"}
+
+
+def test_lists_are_whole(spark):
+    from capquill.operators import records
+
+    n = 600
+    message = bytes.fromhex("000181800000") + n.to_bytes(2) + bytes(4) + b"".join(b"\x01a\x00" + bytes.fromhex("00010001000000010004") + i.to_bytes(4) for i in range(n))
+    text = "GET / HTTP/1.1\r\n" + "".join(f"H{i}: {i}\r\n" for i in range(700)) + "\r\nbody"
+    (r,) = spark.createDataFrame([(message, bytes([2, 1, 5]) * 900, text.encode())], "m binary, b binary, h binary").select(
+        F.size(records.dns_records(F.col("m"))).alias("dns"), F.size(records.ber_values(F.col("b"))).alias("ber"), F.size(records.header_lines(F.col("h"))).alias("lines"), F.size(records.tlv(F.col("b"))).alias("tlv")
+    ).collect()
+    assert (r.dns, r.ber, r.lines, r.tlv) == (600, 900, 701, 900)
+
+
+def test_unknown_directives_are_text(spark):
+    d = D.dissect(capture(spark, [MACS + b"\x08\x00" + ip(6, segment(1, 2))]))
+    assert d.select(D.sprintf("%IP.nothing% %Nope.x% %IP.ttl%").alias("x")).first().x == "%IP.nothing% %Nope.x% 64"
