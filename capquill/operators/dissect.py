@@ -37,7 +37,7 @@ def dissect(df: DataFrame, bind: Sequence[Bind | tuple] = (), fields: Sequence[s
     """df with offsets. bind: `Bind`s, or (layer, parent layer, {field of the parent: value}), which place layers over payloads before any other rule.
 
     fields: "Layer.field" names ("Layer:3.field" of a third occurrence) whose numbers are decoded in the same pass, into columns for
-    `Layer.raw(decoded=True)`. slim: give out just these of the columns with offsets (and no chain), so that less is moved. Columns
+    `Layer.raw(decoded=True)`. slim: give out just these of the columns with offsets, ends and the chain, so that less is moved. Columns
     of the input with names that dissection uses (off_<Layer>, end, chain, _after, _stop) are replaced, unless the capture is dissected already.
     """
     wanted = [(layer, name) for layer, name in dict.fromkeys(map(field, fields)) if layer.fields[name].numeric]
@@ -51,8 +51,8 @@ def dissect(df: DataFrame, bind: Sequence[Bind | tuple] = (), fields: Sequence[s
     anchors = {f"off_{n}": (n, 1) for n in [*names.names[1:], "Raw"]} | {f"off_{n}_{k}": (n, k) for n, k in further}
     anchors = {a: of for a, of in anchors.items() if slim is None or a in slim}
     shown = pa.array([*names.names, "Padding"])
-    ends = ("_after", "_stop", "end") if slim is None else ()
-    chained = slim is None
+    ends = [c for c in ("_after", "_stop", "end") if slim is None or c in slim]
+    chained = slim is None or "chain" in slim
     kind = ", ".join([*(f"{a}: int" for a in (*anchors, *ends)), *["chain: array<string>"] * chained, *(f"{decoded_name(*w)}: bigint" for w in wanted), "dissected: boolean"])
 
     @F.arrow_udf(f"struct<{kind}>")
@@ -75,8 +75,9 @@ def dissect(df: DataFrame, bind: Sequence[Bind | tuple] = (), fields: Sequence[s
             return pa.array(batch.bits(where, f.bit, f.width), pa.int64(), mask=gone)
 
         parts = {a: integer(place(*of)) for a, of in anchors.items()}
+        parts |= {c: integer({"_after": found.after, "_stop": found.stop, "end": found.end}[c]) for c in ends}
         if chained:
-            parts |= {"_after": integer(found.after), "_stop": integer(found.stop), "end": integer(found.end), "chain": _chains(found, batch, shown)}
+            parts["chain"] = _chains(found, batch, shown)
         parts |= {decoded_name(*w): decoded(*w) for w in wanted}
         parts["dissected"] = pa.repeat(True, len(data))
         return pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
@@ -84,7 +85,7 @@ def dissect(df: DataFrame, bind: Sequence[Bind | tuple] = (), fields: Sequence[s
     # as a nondeterministic function it is called once a row, and filters on offsets aren't merged into it
     made = {*anchors, *ends, *["chain"] * chained, *(decoded_name(*w) for w in wanted)}
     out = df.withColumn("_at", offsets.asNondeterministic()("data", "linktype"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[F.col(f"_at.{c}") for c in made], *[F.col("_at.dissected").alias(DISSECTED)] * chained)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[F.col(f"_at.{c}") for c in made], *[F.col("_at.dissected").alias(DISSECTED)] * (slim is None))
 
 
 #: Tells a dissected capture from one that has such columns by chance.

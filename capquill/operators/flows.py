@@ -15,13 +15,15 @@ def _text(spec: str, decoded: bool = False) -> Column:
     return layer_column(spec, decoded=decoded).cast("string")
 
 
-def decoded(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, bool]:
-    """The dissected capture, and whether it has these fields decoded: it has, unless it was dissected before."""
-    return (df, False) if is_dissected(df) else (dissect(df, fields=fields), True)
+def decoded(df: DataFrame, fields: Sequence[str], slim: Sequence[str] | None = None) -> tuple[DataFrame, bool]:
+    """The dissected capture, and whether it has these fields decoded: it has, unless it was dissected before. slim: as of `dissect`."""
+    return (df, False) if is_dissected(df) else (dissect(df, fields=fields, slim=slim), True)
 
 
 #: Fields that session_key reads.
 KEY_FIELDS = ("IP.src", "IP.dst", "IP.proto", "IPv6.nh", "TCP.sport", "TCP.dport", "UDP.sport", "UDP.dport", "ICMP.type", "ICMP.code", "ICMP.id", "ARP.psrc", "ARP.pdst", "Ether.type")
+#: Columns that session_key reads besides.
+KEY_ANCHORS = [f"off_{n}" for n in ("TCP", "UDP", "IPv6", "ICMP", "IP", "ARP", "Ether")]
 
 
 def session_key(decoded: bool = False) -> Column:
@@ -52,33 +54,33 @@ def of_capture(df: DataFrame) -> list[str]:
 def sessions(df: DataFrame, key: Column | None = None) -> DataFrame:
     """session, packets, octets, first_num, last_num of each flow, of each capture for itself; pre-aggregated, packets are never gathered."""
     own = of_capture(df)
-    d, ready = decoded(df, KEY_FIELDS if key is None else ())
+    d, ready = decoded(df, KEY_FIELDS, KEY_ANCHORS) if key is None else decoded(df, ())
     keyed = d.select(*own, (session_key(ready) if key is None else key).alias("session"), "num", F.length("data").alias("size"))
     return keyed.groupBy(*own, "session").agg(F.count("*").alias("packets"), F.sum("size").cast("bigint").alias("octets"), F.min("num").alias("first_num"), F.max("num").alias("last_num"))
 
 
 def session_windows(df: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Flows that end after a gap without packets."""
-    d, ready = decoded(df, KEY_FIELDS)
+    d, ready = decoded(df, KEY_FIELDS, KEY_ANCHORS)
     keyed = d.select(session_key(ready).alias("session"), F.timestamp_micros((F.col("time") * 1_000_000).cast("bigint")).alias("ts"))
     return keyed.groupBy("session", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("packets")).select("session", F.unix_micros("w.start").alias("start_us"), "packets")
 
 
 def count_layers(df: DataFrame, layers: Sequence[str]) -> DataFrame:
     """layer, packets."""
-    counts = dissect(df).agg(*[F.count(f"off_{n}").alias(n) for n in layers])
+    counts = decoded(df, (), [f"off_{n}" for n in layers])[0].agg(*[F.count(f"off_{n}").alias(n) for n in layers])
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, layers)), F.array(*[F.col(n) for n in layers]))).alias("layer", "packets"))
 
 
 def protocol_stats(df: DataFrame, layers: Sequence[str] = ("TCP", "UDP", "ICMP")) -> DataFrame:
     """bucket, packets: each packet counts once, at the first of the names that it has; else as Other."""
     bucket = F.coalesce(*[F.when(F.array_contains("chain", n), F.lit(n)) for n in layers], F.lit("Other"))
-    return dissect(df).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("packets"))
+    return decoded(df, (), ["chain"])[0].groupBy(bucket.alias("bucket")).agg(F.count("*").alias("packets"))
 
 
 def conversations(df: DataFrame) -> DataFrame:
     """src, dst, packets by IP, else IPv6, else ARP addresses; other packets have no conversation."""
-    d, ready = decoded(df, ("IP.src", "IP.dst", "ARP.psrc", "ARP.pdst"))
+    d, ready = decoded(df, ("IP.src", "IP.dst", "ARP.psrc", "ARP.pdst"), ["off_IPv6"])
     src, dst = (F.coalesce(*[_text(s, ready) for s in specs]) for specs in (("IP.src", "IPv6.src", "ARP.psrc"), ("IP.dst", "IPv6.dst", "ARP.pdst")))
     return d.select(src.alias("src"), dst.alias("dst")).where("src is not null").groupBy("src", "dst").agg(F.count("*").alias("packets"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from capquill.functions import octets as O
 from capquill.operators.dissect import dissect, layer_column
 from capquill.operators.flows import decoded, of_capture
+from capquill.operators.layers import LAYERS
 
 
 #: Fields that reply_key reads.
@@ -19,6 +20,8 @@ KEY_FIELDS = (
     "IP.src", "IP.dst", "TCP.sport", "TCP.dport", "UDP.sport", "UDP.dport", "ICMP.type", "ICMP.id", "ICMP.seq", "ICMPv6.type", "DNS.id", "DNS.qr",
     "ARP.op", "ARP.psrc", "ARP.pdst",
 )
+#: Columns that reply_key reads besides.
+KEY_ANCHORS = [*(f"off_{n}" for n in ("TCP", "UDP", "DNS", "ICMP", "ICMPv6", "ARP", "IPv6")), "_stop"]
 #: ICMP and ICMPv6 types of requests, with those of their replies.
 ICMP_REPLIES, ICMP6_REPLIES, NEIGHBOUR = {8: 0, 13: 14, 15: 16, 17: 18}, {128: 129}, (135, 136)
 
@@ -35,7 +38,8 @@ def reply_key(reverse: bool, decoded: bool = False) -> Column:
     has = lambda n: F.col(f"off_{n}").isNotNull()
     joined = lambda kind, *parts: F.concat(F.lit(kind), *[x for p in parts for x in (F.lit("|"), p)])  # noqa: E731, null if a part is
     swap = (lambda a, b: (b, a)) if reverse else (lambda a, b: (a, b))
-    ends = swap(F.coalesce(t("IP.src"), t("IPv6.src")), F.coalesce(t("IP.dst"), t("IPv6.dst")))
+    end = lambda of: F.coalesce(LAYERS["IP"].raw(of, decoded).cast("string"), F.hex(LAYERS["IPv6"].raw(of)))
+    ends = swap(end("src"), end("dst"))
     ports = lambda n: swap(t(f"{n}.sport"), t(f"{n}.dport"))
 
     def by_type(kind: Column, replies: dict[int, int]) -> Column:
@@ -67,7 +71,7 @@ def answers(df: DataFrame, lookahead: int | None = None) -> DataFrame:
     lookahead: only answers of the next so many numbers; a packet then meets just the answers in its own block of numbers and in the next one,
     and not all of a long conversation.
     """
-    d, ready = decoded(df, KEY_FIELDS)
+    d, ready = decoded(df, KEY_FIELDS, KEY_ANCHORS)
     own = of_capture(df)
     asked = d.select(*own, "num", reply_key(False, ready).alias("key")).where("key is not null")
     replied = d.select(*own, F.col("num").alias("answer"), reply_key(True, ready).alias("key")).where("key is not null")
@@ -80,8 +84,8 @@ def answers(df: DataFrame, lookahead: int | None = None) -> DataFrame:
     return met.where((F.col("answer") > F.col("num")) & (F.col("answer") <= F.col("num") + lookahead)).select(*own, "num", "answer")
 
 
-def _keyed(df: DataFrame) -> tuple[DataFrame, bool, Callable[[bool], Column]]:
-    d, ready = decoded(df, KEY_FIELDS)
+def _keyed(df: DataFrame, slim: bool) -> tuple[DataFrame, bool, Callable[[bool], Column]]:
+    d, ready = decoded(df, KEY_FIELDS, KEY_ANCHORS if slim else None)
     own = [F.col(c).cast("string") for c in of_capture(df)]
     return d, ready, lambda reverse: F.when((k := reply_key(reverse, ready)).isNotNull(), F.concat_ws("|", *own, k))
 
@@ -95,7 +99,7 @@ def pairs(df: DataFrame, request: Column | None = None) -> DataFrame:
     """
     if request is None:
         return paired_once(df)
-    d, _, key = _keyed(df)
+    d, _, key = _keyed(df, slim=False)  # what `request` reads isn't known
     both = d.select("num", request.alias("asks"), key(False).alias("ask"), key(True).alias("say"))
     both = both.select("num", F.when(F.col("asks"), F.col("ask")).otherwise(F.col("say")).alias("key"), F.when(F.col("asks"), 0).otherwise(1).alias("reply"))
     w = Window.partitionBy("key").orderBy("num", "reply").rowsBetween(Window.unboundedPreceding, 0)
@@ -129,7 +133,7 @@ def paired_once(df: DataFrame, lookahead: int | None = None) -> DataFrame:
     A packet that comes answers the one that has waited longest for it (for `lookahead` numbers at most), else it waits itself. Packets meet by their unordered pair of keys, and a
     task walks them in the order of num and holds the numbers of those that wait.
     """
-    d, _, key = _keyed(df)
+    d, _, key = _keyed(df, slim=True)
     k = d.select("num", key(False).alias("ask"), key(True).alias("say")).where("ask is not null or say is not null")
     k = k.withColumn("talk", F.least("ask", "say")).repartition("talk").sortWithinPartitions("talk", "num")
     return k.mapInPandas(lambda batches: _once(batches, lookahead), "num bigint, answer bigint")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from capquill.functions import octets as O
-from capquill.operators.dissect import dissect, layer_column, payload
+from capquill.operators.dissect import layer_column, payload
 from capquill.operators.flows import NUMBERS, carried, decoded, of_capture, sequence_line
 from capquill.operators.layers import LAYERS
 
@@ -55,7 +55,7 @@ def fragment(df: DataFrame, size: int = 1480) -> DataFrame:
     Datagrams with DF, or that fit, stay as they are. The first fragment has all options, the others those that are to be copied (RFC 791).
     """
     unit = size // 8 * 8
-    d = dissect(df).where(F.col("off_IP").isNotNull())
+    d = decoded(df, (), ["off_IP"])[0].where(F.col("off_IP").isNotNull())
     at, data = F.col("off_IP"), F.col("data")
     head = O.bits(data, at, 4, 4) * 4
     end = F.least(F.length(data), at + F.greatest(O.be(data, at + 2, 2), head)).cast("int").alias("end")
@@ -193,29 +193,27 @@ def defragment(df: DataFrame, age: float | None = 60.0) -> DataFrame:
     seconds (by `time`; None: however late) after the first one of what is not whole yet, which then is incomplete. A task walks the
     sorted fragments and holds those of one unfinished datagram, `FRAGMENTS` at most; what is over is incomplete.
     """
-    d = dissect(df)
-    at, data, own = F.col("off_IP"), F.col("data"), of_capture(df)
+    d, own = decoded(df, (), ["off_IP", "off_IPv6"])[0], of_capture(df)
+    at, at6, data = F.col("off_IP"), F.col("off_IPv6"), F.col("data")
     flags = O.be(data, at + 6, 2)
     body = at + O.bits(data, at, 4, 4) * 4
     end = F.least(F.length(data), at + F.greatest(O.be(data, at + 2, 2), body - at)).cast("int")  # of the datagram, whatever is in it
+    end6 = F.least(F.length(data), at6 + 40 + O.be(data, at6 + 4, 2)).cast("int")
     piece = F.coalesce((flags.bitwiseAND(0x3FFF) != 0) & (body <= end), F.lit(False))
-    six = F.coalesce(F.col("off_IPv6").isNotNull() & (O.be(data, F.col("off_IPv6") + 6, 1) == 44) & (F.col("end") - F.col("off_IPv6") >= 48), F.lit(False))
+    six = F.coalesce((O.be(data, at6 + 6, 1) == 44) & (end6 - at6 >= 48), F.lit(False))
     alone = d.where(~piece & ~six).select(*own, "num", "data", F.lit(1).cast("bigint").alias("fragments"), F.lit("whole").alias("kind"))
-    key = F.concat_ws("/", *[F.col(c).cast("string") for c in own], F.hex(O.part(data, at + 12, 8))).alias("ends")
-    pieces = d.where(piece).select(
-        *own, key, O.be(data, at + 4, 2).alias("id"), O.be(data, at + 9, 1).alias("proto"), "time", "num", "data", at.alias("at"), body.alias("body"), end.alias("end"),
-        (flags.bitwiseAND(0x1FFF) * 8).alias("offset"), F.shiftright(flags, 13).bitwiseAND(1).alias("more"),
-    )
-    at6 = F.col("off_IPv6")
-    key6, word = F.concat_ws("/", *[F.col(c).cast("string") for c in own], F.hex(O.part(data, at6 + 8, 32))).alias("ends"), O.be(data, at6 + 42, 2)
-    # next header of a fragment counts as the protocol; at is negative for IPv6, less one
-    pieces6 = d.where(six).select(
-        *own, key6, O.be(data, at6 + 44, 4).alias("id"), F.lit(-1).cast("bigint").alias("proto"), "time", "num", "data", (-1 - at6).alias("at"), (at6 + 48).alias("body"), "end",
-        word.bitwiseAND(0xFFF8).alias("offset"), word.bitwiseAND(1).alias("more"),
+    word = O.be(data, at6 + 42, 2)
+    by = lambda four, other: F.when(piece, four).otherwise(other)
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in own], by(F.hex(O.part(data, at + 12, 8)), F.hex(O.part(data, at6 + 8, 32))))
+    # of IPv6 the protocol, which the first fragment tells, is no part of the key; and at is negative, less one
+    pieces = d.where(piece | six).select(
+        *own, key.alias("ends"), by(O.be(data, at + 4, 2), O.be(data, at6 + 44, 4)).alias("id"), by(O.be(data, at + 9, 1), F.lit(-1).cast("bigint")).alias("proto"),
+        "time", "num", "data", by(at, -1 - at6).alias("at"), by(body, (at6 + 48).cast("bigint")).alias("body"), by(end, end6).alias("end"),
+        by(flags.bitwiseAND(0x1FFF) * 8, word.bitwiseAND(0xFFF8)).alias("offset"), by(F.shiftright(flags, 13).bitwiseAND(1), word.bitwiseAND(1)).alias("more"),
     )
     keys = ["ends", "id", "proto"]
     kind = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in own), "num bigint, data binary, fragments bigint, kind string"])
-    dealt = pieces.unionByName(pieces6).repartition(*keys).sortWithinPartitions(*keys, "num", "offset")
+    dealt = pieces.repartition(*keys).sortWithinPartitions(*keys, "num", "offset")
     return alone.unionByName(dealt.mapInPandas(lambda it: _datagrams(it, own, age), kind))
 
 
@@ -227,7 +225,7 @@ def tcp_segments(df: DataFrame, block: int = NUMBERS) -> DataFrame:
     the one before it in its direction says. With a column `capture`, the stream's name begins with it. Segments travel
     once, by stream, sender and block of numbers; what is known of a whole stream comes to them by a row for each block.
     """
-    d, ready = decoded(df, ("IP.src", "IP.dst", "TCP.sport", "TCP.dport", "TCP.seq", "TCP.flags"))
+    d, ready = decoded(df, ("IP.src", "IP.dst", "TCP.sport", "TCP.dport", "TCP.seq", "TCP.flags"), ["off_TCP", "off_IPv6", "_after", "_stop"])
     v = lambda spec: layer_column(spec, decoded=ready)
     d = d.where(F.col("off_TCP").isNotNull())
     six = lambda of: F.concat(F.lit("["), v(f"IPv6.{of}"), F.lit("]"))
