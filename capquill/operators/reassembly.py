@@ -184,16 +184,14 @@ def _datagrams(batches: Iterator[pd.DataFrame], own: list[str], age: float | Non
     yield pd.DataFrame(left(group), columns=names)
 
 
-def defragment(df: DataFrame, age: float | None = 60.0) -> DataFrame:
-    """num (of the first fragment), data, fragments, kind of every frame.
+#: Columns of a fragment, after those that tell captures apart.
+FRAGMENT = "ends string, id bigint, proto bigint, time double, num bigint, data binary, at bigint, body bigint, end bigint, offset bigint, more bigint"
 
-    complete is a datagram put together from IPv4 fragments, or IPv6 ones (a fragment header right after the fixed one); incomplete is a fragment that no datagram was made of, as it
-    was; whole is any other frame, as it was. Under a key (addresses, id, protocol), which comes back in a long
-    capture, fragments are taken by num, and after each datagram the next one begins; so it does where a fragment comes more than `age`
-    seconds (by `time`; None: however late) after the first one of what is not whole yet, which then is incomplete. A task walks the
-    sorted fragments and holds those of one unfinished datagram, `FRAGMENTS` at most; what is over is incomplete.
-    """
+
+def fragments_apart(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames that are no fragments, as `defragment` gives them out, and the fragments: FRAGMENT, with other columns of the capture that tell it apart or are of its time."""
     d, own = decoded(df, (), ["off_IP", "off_IPv6"])[0], of_capture(df)
+    extra = ["ts"] if "ts" in df.columns else []
     at, at6, data = F.col("off_IP"), F.col("off_IPv6"), F.col("data")
     flags = O.be(data, at + 6, 2)
     body = at + O.bits(data, at, 4, 4) * 4
@@ -201,16 +199,31 @@ def defragment(df: DataFrame, age: float | None = 60.0) -> DataFrame:
     end6 = F.least(F.length(data), at6 + 40 + O.be(data, at6 + 4, 2)).cast("int")
     piece = F.coalesce((flags.bitwiseAND(0x3FFF) != 0) & (body <= end), F.lit(False))
     six = F.coalesce((O.be(data, at6 + 6, 1) == 44) & (end6 - at6 >= 48), F.lit(False))
-    alone = d.where(~piece & ~six).select(*own, "num", "data", F.lit(1).cast("bigint").alias("fragments"), F.lit("whole").alias("kind"))
+    alone = d.where(~piece & ~six).select(*own, *extra, "num", "data", F.lit(1).cast("bigint").alias("fragments"), F.lit("whole").alias("kind"))
     word = O.be(data, at6 + 42, 2)
     by = lambda four, other: F.when(piece, four).otherwise(other)
     key = F.concat_ws("/", *[F.col(c).cast("string") for c in own], by(F.hex(O.part(data, at + 12, 8)), F.hex(O.part(data, at6 + 8, 32))))
     # of IPv6 the protocol, which the first fragment tells, is no part of the key; and at is negative, less one
     pieces = d.where(piece | six).select(
-        *own, key.alias("ends"), by(O.be(data, at + 4, 2), O.be(data, at6 + 44, 4)).alias("id"), by(O.be(data, at + 9, 1), F.lit(-1).cast("bigint")).alias("proto"),
+        *own, *extra, key.alias("ends"), by(O.be(data, at + 4, 2), O.be(data, at6 + 44, 4)).alias("id"), by(O.be(data, at + 9, 1), F.lit(-1).cast("bigint")).alias("proto"),
         "time", "num", "data", by(at, -1 - at6).alias("at"), by(body, (at6 + 48).cast("bigint")).alias("body"), by(end, end6).alias("end"),
         by(flags.bitwiseAND(0x1FFF) * 8, word.bitwiseAND(0xFFF8)).alias("offset"), by(F.shiftright(flags, 13).bitwiseAND(1), word.bitwiseAND(1)).alias("more"),
     )
+    kinds = [c.split(" ") for c in FRAGMENT.split(", ")]
+    return alone, pieces.select(*own, *extra, *[F.col(c).cast(t).alias(c) for c, t in kinds])
+
+
+def defragment(df: DataFrame, age: float | None = 60.0) -> DataFrame:
+    """num (of the first fragment), data, fragments, kind of every frame.
+
+    complete is a datagram put together from IPv4 fragments, or IPv6 ones (a fragment header right after the fixed one); incomplete is a fragment that no datagram was made of, as it
+    was; whole is any other frame, as it was. Under a key (addresses, id, protocol), which comes back in a long
+    capture, fragments are taken by num, and after each datagram the next one begins; so it does where a fragment comes more than `age`
+    seconds (by `time`; None: however late) after the first one of what is not whole yet, which then is incomplete. A task walks the
+    sorted fragments and holds those of one unfinished datagram, `FRAGMENTS` at most; what is over is incomplete.
+    """
+    own = of_capture(df)
+    alone, pieces = fragments_apart(df.drop("ts"))
     keys = ["ends", "id", "proto"]
     kind = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in own), "num bigint, data binary, fragments bigint, kind string"])
     dealt = pieces.repartition(*keys).sortWithinPartitions(*keys, "num", "offset")
