@@ -96,6 +96,12 @@ def is_dissected(df: DataFrame) -> bool:
     return DISSECTED in df.columns
 
 
+def undissected(df: DataFrame) -> DataFrame:
+    """A dissected capture without what dissection added."""
+    made = re.compile(r"off_\w+|_field_\w+|_after|_stop|end|chain|" + DISSECTED)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not made.fullmatch(c)]) if is_dissected(df) else df
+
+
 def _chains(found: Found, b: Batch, shown: pa.Array) -> pa.Array:
     """Names of the layers of each frame in order, Padding last."""
     padded = np.flatnonzero(found.end < b.size)
@@ -352,24 +358,6 @@ def as_json(layers: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[shown(LAYERS[n]) for n in layers]))
 
 
-def rewrite(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """df with fields ("Layer.field": the new number, null for as it is) written into data; checksums are up to `recompute`."""
-    out = dissect(df)
-    for spec, value in values.items():
-        layer, name = field(spec)
-        f = layer.fields[name]
-        if not f.numeric:
-            raise ValueError(f"{spec} is no number")
-        first, last = f.bit // 8, (f.bit + f.width - 1) // 8
-        shift, n = 8 * (last + 1) - f.bit - f.width, last - first + 1
-        at, mask = F.col(layer.anchor) + first, ((1 << f.width) - 1) << shift
-        old = O.be(F.col("data"), at, n)
-        new = O.octets(old.bitwiseAND(~mask & ((1 << 8 * n) - 1)).bitwiseOR(F.shiftleft(value.cast("bigint").bitwiseAND((1 << f.width) - 1), shift)), n)
-        put = F.concat(O.part(F.col("data"), 0, at), new, O.part(F.col("data"), at + n, F.length("data")))
-        out = out.withColumn("data", F.when(layer.raw(name).isNotNull() & value.isNotNull(), put).otherwise(F.col("data")))
-    return out
-
-
 def show(layers: Sequence[str]) -> Column:
     """A line for each layer that a packet has, of those named, and an indented one for each of its fields."""
 

@@ -125,6 +125,8 @@ class Found:
     after: np.ndarray
     stop: np.ndarray
     end: np.ndarray
+    #: Rows, layers and offsets of each step.
+    places: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 class _Walk:
@@ -190,7 +192,7 @@ def walk(b: Batch, names: Names, binds: Sequence[Bind] = (), further: Sequence[t
     rows, at, layer = np.arange(count), np.zeros(count, np.int64), w.start()
     after, outer = np.zeros(count, np.int64), np.full(count, NONE, np.int64)
     networked, within = np.zeros(count, bool), np.zeros(count, bool)
-    chain_rows, chain_layers = [], []
+    places = []
     for step in range(STEPS):
         room = w.end[rows] - at
         layer = np.where(room < names.least[layer], 0, layer)
@@ -209,8 +211,7 @@ def walk(b: Batch, names: Names, binds: Sequence[Bind] = (), further: Sequence[t
             hit = (kind == names.number[name]) & (k == nth - 1)
             place[held[hit]] = where[hit]
         seen[kind, held] += 1
-        chain_rows.append(held)
-        chain_layers.append(kind)
+        places.append((held, kind, where))
         below = ~within[rows]
         after[rows[below]] = at[below]
         within[rows] |= names.application[layer] & (layer > 0)
@@ -223,11 +224,11 @@ def walk(b: Batch, names: Names, binds: Sequence[Bind] = (), further: Sequence[t
             m = np.flatnonzero(layer == kind)
             then[m], place[m] = w.follow(int(kind), rows[m], at[m])
         layer, at = then, place
-    all_rows = np.concatenate(chain_rows)
+    all_rows = np.concatenate([p[0] for p in places])
     order = np.argsort(all_rows, kind="stable")
     end = np.where(outer == NONE, w.end, outer)
     by_name = {n: first[i] for i, n in enumerate(names.names)}
-    return Found(by_name, more, all_rows[order], np.concatenate(chain_layers)[order], after, w.end, end)
+    return Found(by_name, more, all_rows[order], np.concatenate([p[1] for p in places])[order], after, w.end, end, places)
 
 
 # Rules: for the rows of one layer at their offsets, the layer that follows and where

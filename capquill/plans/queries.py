@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators import dissect as D
-from capquill.operators import filters, flows, layers, pairing, reassembly, records, templates, tunnels
+from capquill.operators import filters, flows, layers, pairing, reassembly, rebuild, records, templates, tunnels
 from capquill.plans import fixtures as X
 from capquill.sources import captures, ranges
 from capquill.sources.files import scratch
@@ -479,8 +479,7 @@ def filter_primitives(spark, sf):
 @query(P + "SELECT num, CAST(CASE WHEN kind IN ('TCP', 'UDP', 'ICMP') THEN l_linenumber + 100 END AS BIGINT) AS ttl, CASE WHEN l_linenumber = 5 THEN vlan + 1 END AS vlan, CAST(CASE WHEN kind = 'TCP' THEN 2 + 256 END AS BIGINT) AS flags, CASE WHEN kind IN ('TCP', 'UDP', 'ICMP') THEN true END AS good FROM p")
 def field_rewrite(spark, sf):
     values = {"IP.ttl": F.col("num").bitwiseAND(7) + 100, "Dot1Q.vlan": layers.LAYERS["Dot1Q"].raw("vlan") + 1, "TCP.flags": F.lit(258)}
-    out = D.recompute(D.rewrite(X.packets(spark, sf), values)).select("num", "time", "wirelen", "linktype", "data")
-    d = D.dissect(out)
+    d = D.dissect(rebuild.rebuild(D.dissect(X.packets(spark, sf)), values))
     good = D.layer_column("IP.chksum") == D.ip_checksum()
     return d.select("num", D.layer_column("IP.ttl").alias("ttl"), D.layer_column("Dot1Q.vlan").alias("vlan"), layers.LAYERS["TCP"].raw("flags").alias("flags"), good.alias("good"))
 
@@ -680,3 +679,24 @@ def sr_default(spark, sf):
 @query(_TALKS + "SELECT a.num, b.num AS answer FROM t a JOIN t b ON a.o = b.o AND b.num > a.num AND b.num <= a.num + 3 AND b.x = -a.x")
 def sr_lookahead(spark, sf):
     return pairing.answers(X.talks(spark, sf), lookahead=3)
+
+
+# Payloads of another size
+_SIZE = "((l_orderkey * 8 + l_linenumber) & 31)"
+_SIZES = f"CASE kind WHEN 'ARP' THEN 18 ELSE {_SIZE} END"
+
+
+@query(P + f"""SELECT num, CAST(CASE kind WHEN 'ARP' THEN 60 WHEN 'TCP' THEN 54 WHEN 'UDP6' THEN 62 ELSE 42 END + CASE WHEN kind = 'ARP' THEN 0 ELSE {_SIZE} END + CASE WHEN vlan IS NULL THEN 0 ELSE 4 END AS BIGINT) AS len,
+CAST(CASE kind WHEN 'TCP' THEN 40 + {_SIZE} WHEN 'UDP' THEN 28 + {_SIZE} WHEN 'ICMP' THEN 28 + {_SIZE} END AS BIGINT) AS ip_len, CAST(CASE kind WHEN 'UDP6' THEN 8 + {_SIZE} END AS BIGINT) AS plen,
+CAST(CASE WHEN kind IN ('UDP', 'UDP6') THEN 8 + {_SIZE} END AS BIGINT) AS udp_len, true AS sound, CASE WHEN kind = 'ARP' THEN '' ELSE repeat('Ab', {_SIZE} // 2) || CASE WHEN {_SIZE} % 2 = 1 THEN 'A' ELSE '' END END AS payload FROM p""")
+def payload_replaced(spark, sf):
+    """Payloads of 0 to 31 octets: lengths and checksums of all layers around them are right again."""
+    n = F.col("num").bitwiseAND(31)
+    body = F.encode(F.substring(F.repeat(F.lit("Ab"), 16), F.lit(1), n.cast("int")), "UTF-8")
+    d = D.dissect(rebuild.rebuild(D.dissect(X.packets(spark, sf)), payload=F.when(F.col("off_ARP").isNull(), body)))
+    c = D.layer_column
+    equal = [c("IP.chksum") == D.ip_checksum(), c("TCP.chksum") == D.transport_checksum("TCP"), c("UDP.chksum") == D.transport_checksum("UDP"), c("ICMP.chksum") == D.icmp_checksum()]
+    sound = F.lit(True)
+    for same in equal:
+        sound = sound & F.coalesce(same, F.lit(True))
+    return d.select("num", F.length("data").cast("bigint").alias("len"), c("IP.len").alias("ip_len"), c("IPv6.plen").alias("plen"), c("UDP.len").alias("udp_len"), sound.alias("sound"), F.decode(D.payload(), "UTF-8").alias("payload"))
