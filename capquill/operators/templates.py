@@ -38,6 +38,29 @@ def product(spark: SparkSession, fields: dict[str, object]) -> DataFrame:
     return out
 
 
+def product_of(df: DataFrame, fields: dict[str, object]) -> DataFrame:
+    """df with index and one column per field: the template's product for each row, by arithmetic on the index."""
+    values = {name: choices(v) for name, v in fields.items()}
+    total, step = 1, {}
+    for name, v in values.items():
+        step[name], total = total, total * len(v)
+    out = df.withColumn("index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))))
+
+    def value(name: str) -> Column:
+        v = values[name]
+        at = F.floor(F.col("index") / step[name]) % len(v)
+        return (at * v.step + v.start).cast("bigint") if isinstance(v, range) else F.array(*map(F.lit, v))[at.cast("int")]
+
+    return out.select("*", *[value(n).alias(n) for n in values])
+
+
+def addresses(network: Column, length: Column | int) -> Column:
+    """array<bigint> of all addresses of an IPv4 network given as a number, its host bits ignored."""
+    size = F.pow(F.lit(2.0), F.lit(32) - length).cast("bigint")
+    base = network - F.pmod(network, size)
+    return F.sequence(base, base + size - 1)
+
+
 def ether(kind: int, body: Column, dst: str = "ffffffffffff", src: str = "020000000001", vlan: Column | None = None) -> Column:
     tag = F.lit(b"") if vlan is None else F.when(vlan.isNotNull(), F.concat(F.unhex(F.lit("8100")), O.octets(vlan, 2))).otherwise(F.lit(b""))
     return F.concat(F.unhex(F.lit(dst + src)), tag, O.octets(F.lit(kind), 2), body)

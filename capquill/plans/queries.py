@@ -329,15 +329,21 @@ def http_messages(spark, sf):
 
 
 # Generators and scalar functions
-@query("SELECT CAST(a + 4 * b + 8 * c AS BIGINT) AS index, CAST(80 + a AS BIGINT) AS dport, CASE b WHEN 0 THEN 'S' ELSE 'A' END AS flags, CAST(10 * (c + 1) AS BIGINT) AS ttl FROM range(4) x(a), range(2) y(b), range(3) z(c)")
+@query("""SELECT s_suppkey, CAST(a + 4 * b + 8 * c AS BIGINT) AS index, CAST(80 + a AS BIGINT) AS dport, CASE b WHEN 0 THEN 'S' ELSE 'A' END AS flags, CAST(10 * (c + 1) AS BIGINT) AS ttl
+FROM supplier, range(4) x(a), range(2) y(b), range(3) z(c)""")
 def template_product(spark, sf):
-    p = templates.product(spark, {"dport": (80, 83), "flags": ["S", "A"], "ttl": [10, 20, 30]})
-    return p.select("index", "dport", "flags", F.col("ttl").cast("bigint").alias("ttl"))
+    """A template of 24 packets for each supplier."""
+    p = templates.product_of(X.table(spark, sf, "supplier").select("s_suppkey"), {"dport": (80, 83), "flags": ["S", "A"], "ttl": [10, 20, 30]})
+    return p.select("s_suppkey", "index", "dport", "flags", F.col("ttl").cast("bigint").alias("ttl"))
 
 
-@query("SELECT '192.168.' || (4 + i // 256) || '.' || (i % 256) AS address FROM range(1024) t(i)")
+@query("SELECT s_suppkey, '10.' || ((s_suppkey >> 8) & 255) || '.' || (s_suppkey & 255) || '.' || (((s_suppkey % 9) << 4) + i) AS address FROM supplier, range(16) t(i)")
 def net_cidr_expand(spark, sf):
-    return templates.network(spark, "192.168.4.0/22")
+    """The addresses of a /28 network of each supplier."""
+    k = F.col("s_suppkey")
+    inside = F.lit(10 << 24) + k.bitwiseAND(65535) * 256 + (k % 9) * 16 + k % 16
+    s = X.table(spark, sf, "supplier").select("s_suppkey", F.explode(templates.addresses(inside, 28)).alias("n"))
+    return s.select("s_suppkey", O.ipv4_text(F.col("n")).alias("address"))
 
 
 @query("SELECT s_suppkey, '10.' || (s_suppkey % 256) || '.0.1' AS text, 167772161 + (s_suppkey % 256) * 65536 AS number, s_suppkey % 256 = 3 AS inside FROM supplier")
@@ -347,9 +353,10 @@ def ipv4_functions(spark, sf):
     return s.select("s_suppkey", O.ipv4_text(n).alias("text"), n.alias("number"), O.in_network(n, (10 << 24) + (3 << 16), 16).alias("inside"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS length, CAST(4294967296 - pow(2, 32 - n) AS BIGINT) AS mask FROM range(33) t(n)")
+@query("SELECT p_partkey, CAST(p_size % 33 AS BIGINT) AS length, CAST(4294967296 - pow(2, 32 - p_size % 33) AS BIGINT) AS mask FROM part")
 def prefix_masks(spark, sf):
-    return spark.range(33).select(F.col("id").alias("length"), O.prefix_mask(F.col("id")).alias("mask"))
+    length = (F.col("p_size") % 33).cast("bigint")
+    return X.table(spark, sf, "part").select("p_partkey", length.alias("length"), O.prefix_mask(length).alias("mask"))
 
 
 @query("SELECT n_nationkey, rtrim(lower(regexp_replace(hex(encode(n_name)), '(..)', '\\1 ', 'g'))) AS dump, n_name AS back FROM nation")
@@ -364,14 +371,31 @@ def fletcher16(spark, sf):
     return X.table(spark, sf, "nation").select("n_nationkey", O.fletcher16(F.encode("n_name", "UTF-8")).alias("fletcher"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', '{n}', {f.bit}, {f.width}, '{f.kind}')" for x in layers.LAYERS.values() for n, f in x.fields.items()) + ") v(layer, field, bit, width, kind)")
+#: Layers that the packets hold, with how many packets have each.
+_HELD = """SELECT layer, count(*) AS packets FROM (SELECT unnest(CASE kind WHEN 'ARP' THEN ['Ether', 'ARP'] WHEN 'UDP6' THEN ['Ether', 'IPv6', 'UDP'] ELSE ['Ether', 'IP', kind] END || CASE WHEN vlan IS NULL THEN [] ELSE ['Dot1Q'] END) AS layer FROM p) GROUP BY layer"""
+
+
+def _held(spark, sf):
+    chain = D.dissect(X.packets(spark, sf), slim=["chain"]).select(F.explode(F.array_distinct("chain")).alias("layer"))
+    return F.broadcast(chain.groupBy("layer").agg(F.count("*").alias("packets")))  # a row for each kind of layer
+
+
+_FIELDS = ", ".join(f"('{x.name}', '{n}', {f.bit}, {f.width}, '{f.kind}')" for x in layers.LAYERS.values() for n, f in x.fields.items())
+
+
+@query(P + f"SELECT v.*, packets FROM (VALUES {_FIELDS}) v(layer, field, bit, width, kind) JOIN ({_HELD}) h ON v.layer = h.layer")
 def known_fields(spark, sf):
-    return layers.catalog(spark).select("layer", "field", "bit", "width", "kind")
+    """The fields of the layers that a capture holds."""
+    return layers.catalog(spark).join(_held(spark, sf), "layer").select("layer", "field", "bit", "width", "kind", "packets")
+
+
+_LAYERS = ", ".join(f"('{x.name}', {x.least}, {len(x.fields)})" for x in layers.LAYERS.values())
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', {x.least}, {len(x.fields)})" for x in layers.LAYERS.values()) + ") v(layer, least, fields)")
+@query(P + f"SELECT v.*, coalesce(packets, 0) AS packets FROM (VALUES {_LAYERS}) v(layer, least, fields) LEFT JOIN ({_HELD}) h ON v.layer = h.layer")
 def known_layers(spark, sf):
-    return layers.known_layers(spark)
+    """All layers, and in how many packets of a capture they are."""
+    return layers.known_layers(spark).join(_held(spark, sf), "layer", "left").select("layer", "least", "fields", F.coalesce("packets", F.lit(0)).alias("packets"))
 
 
 # Lists inside of frames
@@ -521,10 +545,10 @@ def conversation_dot(spark, sf):
 
 
 # Generators and address functions
-@query("SELECT i AS id, true AS inside, 32 AS n, 1 AS flips FROM range(1000) t(i)")
+@query("SELECT o_orderkey AS id, true AS inside, 32 AS n, 1 AS flips FROM orders")
 def random_templates(spark, sf):
     """Drawn values are within what was asked for; corruption flips one bit; the same seed draws the same again."""
-    d = spark.range(1000)
+    d = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     ip, mac = templates.random_ipv4(7, "10.20.0.0/16", "id"), templates.random_mac(7, "id")
     body = templates.random_octets(7, 32, "id")
     inside = ip.startswith("10.20.") & (ip == templates.random_ipv4(7, "10.20.0.0/16", "id")) & templates.random_number(3, 5, 9, "id").between(5, 9) & mac.rlike("^02(:[0-9a-f]{2}){5}$") & templates.random_choice(1, ["a", "b"], "id").isin("a", "b")
