@@ -429,6 +429,38 @@ def tls_records(df: DataFrame) -> DataFrame:
     return p.select("stream", "direction", "at", "octets").mapInPandas(_tls, "stream string, direction int, at bigint, type int, version int, length int, body binary")
 
 
+def _prefixed(batches: Iterator[pd.DataFrame], size: int, most: int) -> Iterator[pd.DataFrame]:
+    """Messages that a length stands before, from the pieces by stream, direction and offset, before a direction's first gap."""
+    key, upto, start, held, good = None, 0, 0, bytearray(), True
+    for b in batches:
+        rows = []
+        for stream, direction, at, octets in zip(b["stream"], b["direction"], b["at"], b["octets"], strict=True):
+            if (stream, direction) != key:
+                key, upto, start, held, good = (stream, direction), 0, 0, bytearray(), True
+            if at != upto or not good:
+                continue
+            held += octets
+            upto += len(octets)
+            done = 0
+            while good and len(held) - done >= size:
+                n = int.from_bytes(held[done : done + size], "big")
+                good = n <= most
+                if not good or len(held) - done < size + n:
+                    break
+                rows.append((stream, direction, start + done, size + n, bytes(held[done + size : done + size + n])))
+                done += size + n
+            del held[:done]
+            start += done
+        yield pd.DataFrame(rows, columns=["stream", "direction", "at", "length", "body"])
+
+
+def prefixed_messages(df: DataFrame, size: int = 2, most: int = 1 << 24) -> DataFrame:
+    """stream, direction, at, length, body of each message with its length (of `size` octets) before it, as DNS over TCP; a length of over `most` ends a direction."""
+    p = stream_pieces(df).repartition("stream", "direction").sortWithinPartitions("stream", "direction", "at")
+    kind = "stream string, direction int, at bigint, length bigint, body binary"
+    return p.select("stream", "direction", "at", "octets").mapInPandas(lambda batches: _prefixed(batches, size, most), kind)
+
+
 def spliced(df: DataFrame, messages: DataFrame, block: int = BLOCK) -> DataFrame:
     """num, stream, direction, at, kind, octets: each complete message in place of the octets that carried it, everything else as it is.
 

@@ -7,7 +7,10 @@ give null.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import ipaddress
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -137,7 +140,8 @@ def dns_name(message: bytes, at: int) -> tuple[str, int] | None:
 
 
 #: Record types and sections.
-DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 41: "OPT", 257: "CAA"}
+DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 41: "OPT", 43: "DS", 46: "RRSIG", 47: "NSEC", 48: "DNSKEY", 50: "NSEC3", 51: "NSEC3PARAM", 257: "CAA"}
+_DNS_CODES = {name: code for code, name in DNS_TYPES.items()}
 _SECTIONS = ("qd", "an", "ns", "ar")
 
 
@@ -161,11 +165,53 @@ def _rdata(message: bytes, kind: int, at: int, end: int) -> str:
         return "".join(parts)
     if kind == 6 and (first := dns_name(message, at)) and (second := dns_name(message, first[1])) and second[1] + 20 <= end:
         return " ".join([first[0], second[0], *(str(int.from_bytes(message[i : i + 4], "big")) for i in range(second[1], second[1] + 20, 4))])
+    if (text := _secured(message, kind, at, end)) is not None:
+        return text
     if kind == 257 and len(data) > 2:
         return f"{data[0]} {data[2 : 2 + data[1]].decode('latin-1')} {data[2 + data[1] :].decode('latin-1')}"
     return data.hex()
 
 
+def _bitmap(data: bytes) -> str:
+    """Names of the types of a bitmap of NSEC or NSEC3."""
+    out, i = [], 0
+    while i + 2 <= len(data):
+        window, size = data[i], data[i + 1]
+        for k, octet in enumerate(data[i + 2 : i + 2 + size]):
+            out += [window * 256 + k * 8 + bit for bit in range(8) if octet & 0x80 >> bit]
+        i += 2 + size
+    return " ".join(DNS_TYPES.get(x, f"TYPE{x}") for x in out)
+
+
+def _secured(message: bytes, kind: int, at: int, end: int) -> str | None:
+    """The data of DNSSEC's records as text; None if it isn't such a record, or is cut off."""
+    data = message[at:end]
+    number = lambda i, n: int.from_bytes(data[i : i + n], "big")
+    coded = lambda i: binascii.b2a_base64(data[i:], newline=False).decode()
+    if kind == 43 and len(data) > 4:
+        return f"{number(0, 2)} {data[2]} {data[3]} {data[4:].hex().upper()}"
+    if kind == 48 and len(data) > 4:
+        return f"{number(0, 2)} {data[2]} {data[3]} {coded(4)}"
+    if kind == 46 and len(data) > 18 and (signer := dns_name(message, at + 18)):
+        covered = DNS_TYPES.get(number(0, 2), f"TYPE{number(0, 2)}")
+        return f"{covered} {data[2]} {data[3]} {number(4, 4)} {number(8, 4)} {number(12, 4)} {number(16, 2)} {signer[0]} {coded(signer[1] - at)}"
+    if kind == 47 and (follower := dns_name(message, at)):
+        return f"{follower[0]} {_bitmap(data[follower[1] - at :])}".rstrip()
+    if kind in (50, 51) and len(data) >= 5 and len(data) >= 5 + data[4]:
+        head = f"{data[0]} {data[1]} {number(2, 2)} {data[5 : 5 + data[4]].hex().upper() or '-'}"
+        rest = data[5 + data[4] :]
+        if kind == 51:
+            return head
+        if rest and len(rest) > rest[0]:
+            return f"{head} {_base32(rest[1 : 1 + rest[0]])} {_bitmap(rest[1 + rest[0] :])}".rstrip()
+    return None
+
+
+def _base32(data: bytes) -> str:
+    """Octets in the base-32 alphabet of NSEC3, without padding."""
+    return base64.b32hexencode(data).decode().rstrip("=")
+
+
 def _dns(message: bytes) -> Iterator[tuple]:
     if len(message) < 12:
         return
@@ -198,6 +244,110 @@ def dns_records(message: Column | None = None) -> Column:
     return _lists(kind, _dns)(message)
 
 
+class _Writer:
+    """A DNS message that is being written; names point to where their endings stand already."""
+
+    def __init__(self, number: int, flags: int, counts: list[int]):
+        self.out = bytearray(b"".join(x.to_bytes(2, "big") for x in (number, flags, *counts)))
+        self.places: dict[tuple[bytes, ...], int] = {}
+
+    def name(self, text: str, compressed: bool = True) -> None:
+        labels = [re.sub(r"\\(.)", r"\1", x).encode("latin-1", "replace")[:63] for x in re.findall(r"(?:\\.|[^.\\])+", text)]
+        for i in range(len(labels)):
+            ending = tuple(labels[i:])
+            if compressed and ending in self.places:
+                self.out += (0xC000 | self.places[ending]).to_bytes(2, "big")
+                return
+            if len(self.out) < 0x4000:
+                self.places.setdefault(ending, len(self.out))
+            self.out += bytes([len(labels[i])]) + labels[i]
+        self.out.append(0)
+
+    def numbers(self, size: int, *texts: str) -> None:
+        for text in texts:
+            self.out += int(text).to_bytes(size, "big")
+
+    def data(self, kind: int, text: str) -> None:
+        """Record data from the text that dns_records gives; of other kinds it is hexadecimal."""
+        part = text.split(" ")
+        if kind in (1, 28):
+            self.out += ipaddress.ip_address(text).packed
+        elif kind in (2, 5, 12):
+            self.name(text)
+        elif kind == 15:
+            self.numbers(2, part[0])
+            self.name(part[1])
+        elif kind == 33:
+            self.numbers(2, *part[:3])
+            self.name(part[3], compressed=False)
+        elif kind == 16:
+            raw = text.encode("latin-1", "replace")
+            for i in range(0, max(1, len(raw)), 255):
+                self.out += bytes([len(raw[i : i + 255])]) + raw[i : i + 255]
+        elif kind == 6:
+            self.name(part[0])
+            self.name(part[1])
+            self.numbers(4, *part[2:])
+        elif kind == 43:
+            self.numbers(2, part[0])
+            self.numbers(1, *part[1:3])
+            self.out += bytes.fromhex(part[3])
+        elif kind == 47:
+            self.name(part[0], compressed=False)
+            self.types(part[1:])
+        elif kind == 48:
+            self.numbers(2, part[0])
+            self.numbers(1, *part[1:3])
+            self.out += binascii.a2b_base64(part[3])
+        elif kind == 257:
+            tag, value = part[1].encode("latin-1"), " ".join(part[2:]).encode("latin-1", "replace")
+            self.out += bytes([int(part[0]), len(tag)]) + tag + value
+        else:
+            self.out += bytes.fromhex(text)
+
+    def types(self, names: list[str]) -> None:
+        """A bitmap of types, a window for each 256 of them."""
+        codes = sorted(_DNS_CODES[n] if n in _DNS_CODES else int(n.removeprefix("TYPE")) for n in names if n)
+        for window in sorted({c >> 8 for c in codes}):
+            own = [c & 255 for c in codes if c >> 8 == window]
+            bits = bytearray(own[-1] // 8 + 1)
+            for c in own:
+                bits[c // 8] |= 0x80 >> c % 8
+            self.out += bytes([window, len(bits)]) + bits
+
+
+def _written(rows: list[dict], number: int, flags: int) -> bytes:
+    ordered = [r for section in _SECTIONS for r in rows if r["section"] == section]
+    w = _Writer(number & 0xFFFF, flags & 0xFFFF, [sum(r["section"] == s for r in ordered) for s in _SECTIONS])
+    for r in ordered:
+        kind = _DNS_CODES[r["type"]] if r["type"] in _DNS_CODES else int(r["type"].removeprefix("TYPE"))
+        w.name(r["name"])
+        w.numbers(2, kind, 1 if r["class"] is None else r["class"])
+        if r["section"] == "qd":
+            continue
+        w.numbers(4, r["ttl"] or 0)
+        at = len(w.out)
+        w.out += b"\0\0"
+        w.data(kind, r["data"] or "")
+        w.out[at : at + 2] = (len(w.out) - at - 2).to_bytes(2, "big")
+    return bytes(w.out)
+
+
+@F.arrow_udf(T.BinaryType())
+def _dns_message(rows: pa.Array, number: pa.Array, flags: pa.Array) -> pa.Array:
+    each = zip(rows.to_pylist(), number.to_pylist(), flags.to_pylist(), strict=True)
+    return pa.array([None if r is None else _written(r, n or 0, f or 0) for r, n, f in each], pa.binary())
+
+
+def dns_message(rows: Column, number: Column | int = 0, flags: Column | int = 0x8180) -> Column:
+    """Octets of a DNS message from records as `dns_records` gives them, of sections in their order; names are compressed.
+
+    Types are written from their texts: A, AAAA, NS, CNAME, PTR, MX, SRV, TXT, SOA, DS, NSEC, DNSKEY and CAA, others (also as TYPE123) from hexadecimal
+    data. Names in SRV and NSEC aren't compressed (RFC 3597).
+    """
+    return _dns_message(rows, O.as_column(number).cast("bigint"), O.as_column(flags).cast("bigint"))
+
+
 def dns_encoded(name: Column) -> Column:
     """Octets of a name, with or without a final dot, uncompressed; labels are cut at 63 octets."""
     labels = F.filter(F.split(name, r"\."), lambda x: x != "")

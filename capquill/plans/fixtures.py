@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from capquill.functions import octets as O
 from capquill.operators import templates as T
 from capquill.operators.dissect import capture
-from capquill.operators.records import dns_encoded
+from capquill.operators.records import dns_encoded, dns_message
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -257,3 +257,37 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.when(back, host("02")).otherwise(host("01")), F.when(back, host("01")).otherwise(host("02"))
     segment = T.tcp(F.when(back, 80).otherwise(1000), F.when(back, 1000).otherwise(80), F.col("l_partkey"), F.lit(24), F.lit(b"."))
     return capture(li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("num"), T.ether(0x86DD, T.ipv6(a, b, 6, segment)).alias("data")))
+
+
+def zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """num, message: a DNS answer of each customer with compressed names: a question, an address, a mail server, a signed delegation and a list of types."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    name = F.concat(F.lit("c"), key, F.lit(".n"), F.col("c_nationkey").cast("string"), F.lit(".example."))
+    record = lambda section, kind, data, of=name: F.struct(
+        F.lit(section).alias("section"), of.alias("name"), F.lit(kind).alias("type"), F.lit(1).cast("bigint").alias("class"),
+        F.lit(None if section == "qd" else 300).cast("bigint").alias("ttl"), data.cast("string").alias("data"),
+    )
+    rows = F.array(
+        record("qd", "A", F.lit(None)),
+        record("an", "A", O.ipv4_text(address(8, "c_custkey"))),
+        record("an", "MX", F.concat(F.lit("10 mail."), name)),
+        record("ns", "NSEC", F.concat(F.lit("next."), name, F.lit(" A MX RRSIG TYPE1234"))),
+        record("ar", "TXT", F.concat(F.lit("segment "), F.col("c_mktsegment")), F.concat(F.lit("txt."), name)),
+    )
+    return c.select(F.col("c_custkey").alias("num"), dns_message(rows, F.col("c_custkey").bitwiseAND(65535)).alias("message"))
+
+
+def zone_over_tcp(spark: SparkSession, sf_dir: str, size: int = 100) -> DataFrame:
+    """The messages of `zone` over a TCP stream of each nation, with their lengths, in segments of at most `size` octets."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("num"), "c_nationkey")
+    m = zone(spark, sf_dir).join(c, "num").select("c_nationkey", "num", F.concat(O.octets(F.length("message"), 2), F.col("message")).alias("m"))
+    before = Window.partitionBy("c_nationkey").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("at", F.coalesce(F.sum(F.length("m")).over(before), F.lit(0)))
+    m = m.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("m") - 1) / size).cast("int"))))
+    piece = F.substring("m", F.col("k") * size + 1, F.lit(size))
+    segment = T.tcp(F.lit(53), F.lit(4000), F.col("at") + F.col("k") * size + 1, F.lit(24), piece)
+    frame = T.ether(0x0800, T.ipv4(address(9, "c_nationkey"), F.lit(1 << 24), 6, segment))
+    return capture(m.select((F.col("num") * 1000 + F.col("k")).alias("num"), frame.alias("data")))

@@ -724,3 +724,25 @@ def payload_replaced(spark, sf):
     for same in equal:
         sound = sound & F.coalesce(same, F.lit(True))
     return d.select("num", F.length("data").cast("bigint").alias("len"), c("IP.len").alias("ip_len"), c("IPv6.plen").alias("plen"), c("UDP.len").alias("udp_len"), sound.alias("sound"), F.decode(D.payload(), "UTF-8").alias("payload"))
+
+
+# DNS messages written and read again
+_ZONE = """WITH z AS (SELECT c_custkey, 'c' || c_custkey || '.n' || c_nationkey || '.example.' AS name, c_mktsegment AS segment, '10.8.' || ((c_custkey & 65535) >> 8) || '.' || (c_custkey & 255) AS address FROM customer)
+SELECT c_custkey AS num, unnest(['qd', 'an', 'an', 'ns', 'ar']) AS section, unnest([name, name, name, name, 'txt.' || name]) AS name, unnest(['A', 'A', 'MX', 'NSEC', 'TXT']) AS type, unnest([NULL, 300, 300, 300, 300]) AS ttl,
+unnest([NULL, address, '10 mail.' || name, 'next.' || name || ' A MX RRSIG TYPE1234', 'segment ' || segment]) AS data"""
+
+
+@query(_ZONE + ", CAST(134 + 2 * strlen(name) + strlen(segment) AS BIGINT) AS octets FROM z")
+def dns_written(spark, sf):
+    """Records of compressed messages: every name but the first ends in a pointer, within NSEC it is whole."""
+    z = X.zone(spark, sf).select("num", F.length("message").cast("bigint").alias("octets"), F.explode(records.dns_records(F.col("message"))).alias("r"))
+    return z.select("num", "r.section", "r.name", "r.type", "r.ttl", "r.data", "octets")
+
+
+@query(_ZONE + " FROM z")
+def dns_over_tcp(spark, sf):
+    """The same records from the messages that TCP streams carry."""
+    m = reassembly.prefixed_messages(X.zone_over_tcp(spark, sf))
+    r = m.select("body", F.explode(records.dns_records(F.col("body"))).alias("r"))
+    number = F.regexp_extract("r.name", r"c(\d+)\.", 1).cast("bigint")
+    return r.select(number.alias("num"), "r.section", "r.name", "r.type", "r.ttl", "r.data")
