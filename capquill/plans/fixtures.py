@@ -291,3 +291,21 @@ def zone_over_tcp(spark: SparkSession, sf_dir: str, size: int = 100) -> DataFram
     segment = T.tcp(F.lit(53), F.lit(4000), F.col("at") + F.col("k") * size + 1, F.lit(24), piece)
     frame = T.ether(0x0800, T.ipv4(address(9, "c_nationkey"), F.lit(1 << 24), 6, segment))
     return capture(m.select((F.col("num") * 1000 + F.col("k")).alias("num"), frame.alias("data")))
+
+
+def managed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An SNMP response of each supplier over UDP: its name, its key as a counter, and its nation as an integer."""
+    s = table(spark, sf_dir, "supplier")
+    hexed = lambda t: F.unhex(F.lit(t))
+    of = lambda tag, *parts: F.concat(hexed(tag), O.octets(F.length(F.concat(*parts)), 1), *parts)
+    column = lambda k: hexed("06092b060102010202010" + k)  # noqa: E731, 1.3.6.1.2.1.2.2.1.k
+    bindings = of(
+        "30",
+        of("30", column("2"), of("04", F.encode("s_name", "UTF-8"))),
+        of("30", column("5"), of("41", O.octets(F.col("s_suppkey"), 4))),
+        of("30", column("8"), of("02", O.octets(F.col("s_nationkey"), 1))),
+    )
+    pdu = of("a2", of("02", O.octets(F.col("s_suppkey"), 4)), hexed("020100" + "020100"), bindings)
+    message = of("30", hexed("020101"), of("04", F.lit(b"public")), pdu)
+    frame = T.ether(0x0800, T.ipv4(address(0, "s_suppkey"), F.lit(1 << 24), 17, T.udp(161, 4000, message)))
+    return capture(s.select(F.col("s_suppkey").alias("num"), frame.alias("data")))

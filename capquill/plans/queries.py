@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators import dissect as D
-from capquill.operators import filters, flows, layers, pairing, reassembly, rebuild, records, templates, tunnels
+from capquill.operators import asn1, filters, flows, layers, pairing, reassembly, rebuild, records, templates, tunnels
 from capquill.plans import fixtures as X
 from capquill.sources import captures, ranges
 from capquill.sources.files import scratch
@@ -746,3 +746,13 @@ def dns_over_tcp(spark, sf):
     r = m.select("body", F.explode(records.dns_records(F.col("body"))).alias("r"))
     number = F.regexp_extract("r.name", r"c(\d+)\.", 1).cast("bigint")
     return r.select(number.alias("num"), "r.section", "r.name", "r.type", "r.ttl", "r.data")
+
+
+# Values by a schema
+@query("""SELECT s_suppkey AS num, 1 AS version, 'public' AS community, 'response' AS kind, s_suppkey AS id, unnest(['ifEntry', 'ifSpeed', 'ifEntry']) AS name, unnest(['2', '', '8']) AS rest,
+unnest([s_name, CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR)]) AS value FROM supplier""")
+def snmp_values(spark, sf):
+    """The bindings of SNMP messages, with the names of their identifiers."""
+    rows = asn1.snmp_bindings(D.dissect(X.managed(spark, sf)).select("num", D.payload().alias("m")), F.col("m"))
+    names = spark.createDataFrame([("1.3.6.1.2.1.2.2.1", "ifEntry"), ("1.3.6.1.2.1.2.2.1.5", "ifSpeed"), ("1.3.6.1", "internet")], "oid string, name string")
+    return asn1.tree(rows, names).select("num", "version", "community", "kind", "id", "name", "rest", "value")
