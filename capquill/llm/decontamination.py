@@ -1,13 +1,15 @@
 """Benchmark decontamination (operator 7): prefix-filtered set join, in DataFrame operations only.
 
 An item is the set of its windows of 13 words (a shorter item is one window). Windows and documents are
-shingled; a window needs all its shingles, so its prefix is one of them, and the rarest in the documents is
-chosen. Document shingles are joined with the benchmark's once; from those hits come the rarities, then the
-candidates (document, start, window) of the prefix shingles, bounded by position and length. Candidates meet
-their text again, and the words of the window are compared with those of the document, one for one.
+shingled. A first pass counts how often each of the benchmark's shingles occurs in the documents; that orders
+them by rarity. A window needs all its shingles, so its prefix is the rarest one, and a window with a shingle
+that never occurs is out. The second pass joins the documents' shingles with these prefixes alone; where the
+window would begin and its length bound the candidates, each of which has its words cut from the document on
+the spot. A hash of these words and then the words themselves are compared with the window. Texts are never
+shuffled; documents go through both passes in blocks of `BLOCK` words that overlap by a window.
 
-Only the benchmark's shingle hashes are broadcast, if there are at most `MOST_BROADCAST` of them (8 bytes
-each); with more, Spark joins by its own choice.
+Shingle hashes (8 bytes each) and prefixes (five numbers each) are broadcast if there are at most
+`MOST_BROADCAST` of them; with more, Spark joins by its own choice, and a shingle carries the words around it.
 
 Nulls and ties: a null text has no words; so have texts of punctuation only. An item with a null item_id is
 looked for but never listed; items with equal windows are all listed; repeated items count once. A null
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from capquill.llm.common import KEEP, columns_or_null, same, table
 
-WIDTH, SHINGLE = 13, 5
+WIDTH, SHINGLE, BLOCK = 13, 5, 1024
 MOST_BROADCAST = 4_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,9 +37,37 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
-def _shingles(w: Column, size: int) -> Column:
-    """Hashes of the runs of `size` words, in order."""
-    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def _shingle(w: Column, at: Column, size: int) -> Column:
+    """Hash of the `size` words from the 1-based place on; null if there are fewer."""
+    return F.when(at + size - 1 <= F.size(w), F.xxhash64(F.lit(size), F.slice(w, at, size)))
+
+
+def _shingled(docs: DataFrame, sizes: list[int], width: int) -> DataFrame:
+    """doc_id, rid, n, first, w, at, token: the documents' shingles of all sizes, out of blocks of words.
+
+    w: the words of a block and `width` - 1 more on each side, first: the place of its first one in the document
+    (from 0), at: the shingle's place in w (from 1), n: words of the document.
+    """
+    w = docs.select("doc_id", "rid", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    begin = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
+    margin = lambda b: F.least(b, F.lit(width - 1))
+    blocks = F.transform(begin, lambda b: F.struct((b - margin(b)).alias("first"), margin(b).alias("margin"), F.slice(F.col("w"), b - margin(b) + 1, margin(b) + (BLOCK + width - 1)).alias("w")))
+    d = w.select("doc_id", "rid", F.size("w").alias("n"), F.explode(blocks).alias("b")).select("doc_id", "rid", "n", "b.*")
+    places = F.sequence(F.col("margin") + 1, F.least(F.col("margin") + BLOCK, F.size("w")))
+    d = d.withColumn("tokens", F.transform(places, lambda i: F.array(*[_shingle(F.col("w"), i, g) for g in sizes])))
+    # The outer forms, so that no condition on the arrays' sizes is added, for which they would be made twice.
+    d = d.select("doc_id", "rid", "n", "first", "margin", "w", F.posexplode_outer("tokens").alias("k", "of"))
+    return d.select("doc_id", "rid", "n", "first", "w", (F.col("margin") + F.col("k") + 1).alias("at"), F.explode_outer("of").alias("token"))
+
+
+def _window_shingles(size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.col("length") - size + 1), lambda i: _shingle(F.col("window"), i, size))
+
+
+def _prefixes(windows: DataFrame, tokens: DataFrame, often: DataFrame) -> DataFrame:
+    """token, offset, wid, length: each window's rarest shingle (of equally rare ones the least hash), if all of them occur."""
+    rare = tokens.join(often, "token", "left").groupBy("wid", "window").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "token", "offset")).alias("rare"))
+    return rare.where("rare.times > 0").select("rare.token", "rare.offset", "wid", F.size("window").alias("length"))
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -55,45 +85,37 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle
     windows = named.select("wid", "window", "length").distinct()
     sizes = [r[0] for r in windows.select(F.least("length", F.lit(shingle)).alias("size")).distinct().orderBy("size").collect()]
 
-    w = docs.select("doc_id", "rid", words(F.col("text")).alias("w"))
-    counted = w.select("doc_id", "rid", F.size("w").cast("bigint").alias("n_words"))
-    tokens = [windows.where(F.least("length", F.lit(shingle)) == g).select("wid", "length", F.lit(g).alias("size"), F.posexplode(_shingles(F.col("window"), g)).alias("offset", "token")) for g in sizes]
-    if not tokens:
+    counted = docs.select("doc_id", "rid", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    if not sizes:
         return _result(counted, None)
-    tokens = _union(tokens).persist(KEEP)
-    wanted = tokens.select("token", "size").distinct().persist(KEEP)
-    small = wanted.count() <= MOST_BROADCAST
-    hits = []
-    for g in sizes:
-        one = wanted.where(F.col("size") == g)
-        found = w.select("doc_id", "rid", F.posexplode(_shingles(F.col("w"), g)).alias("at", "token"))
-        hits.append(found.join(F.broadcast(one) if small else one, "token"))
-    hits = _union(hits).persist(KEEP)
-
-    rarity = hits.groupBy("token", "size").agg(F.count("*").alias("times"))
-    prefix = tokens.join(rarity, ["token", "size"]).groupBy("wid", "length").agg(F.min(F.struct("times", "token", "size", "offset")).alias("rare"))
-    prefix = prefix.select("wid", "length", "rare.token", "rare.size", "rare.offset")
-    candidates = hits.join(prefix, ["token", "size"]).select("doc_id", "rid", (F.col("at") - F.col("offset")).alias("start"), "wid", "length").where("start >= 0")
-    listed = candidates.join(windows.select("wid", "window"), "wid").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "wid", "length", "window")).alias("candidates"))
-    listed = listed.select(F.col("doc_id").alias("of"), F.col("rid").alias("of_rid"), "candidates")
-    met = docs.join(listed, same(F.col("doc_id"), F.col("of")) & (F.col("rid") == F.col("of_rid"))).dropDuplicates(["of", "of_rid"]).select("doc_id", "rid", words(F.col("text")).alias("w"), "candidates")
-    true = F.filter("candidates", lambda c: (c["start"] + c["length"] <= F.size("w")) & (F.slice("w", c["start"] + 1, c["length"]) == c["window"]))
-    verified = met.select("doc_id", "rid", F.explode(true).alias("c")).select("doc_id", "rid", "c.start", "c.length", "c.wid").persist(KEEP)
+    least = F.least("length", F.lit(shingle))
+    hashes = F.coalesce(*[F.when(least == g, _window_shingles(g)) for g in sizes])
+    tokens = windows.select("wid", "window", F.posexplode(hashes).alias("offset", "token")).persist(KEEP)
+    wanted = tokens.select("token").distinct().persist(KEEP)
+    small = max(wanted.count(), windows.count()) <= MOST_BROADCAST
+
+    shingled = _shingled(docs, sizes, width)
+    often = shingled.select("token").join(F.broadcast(wanted) if small else wanted, "token").groupBy("token").agg(F.count("*").alias("times"))
+    prefix = _prefixes(windows, tokens, often)
+    if small:
+        met = shingled.join(F.broadcast(prefix), "token")
+    else:  # a shuffled shingle takes along just the words around it
+        around = F.greatest(F.col("at") - (width - 1), F.lit(1))
+        near = shingled.select("doc_id", "rid", "n", (F.col("first") + around - 1).alias("first"), F.slice("w", around, 2 * width).alias("w"), (F.col("at") - around + 1).alias("at"), "token")
+        met = near.join(prefix, "token")
+    begin = F.col("at") - F.col("offset")  # in w; before 1 it is before the document
+    candidates = met.where((begin >= 1) & (F.col("first") + begin - 1 + F.col("length") <= F.col("n")))
+    candidates = candidates.select("doc_id", "rid", (F.col("first") + begin - 1).alias("start"), "wid", "length", F.slice("w", F.greatest(begin, F.lit(1)), F.col("length")).alias("found"))
+    candidates = candidates.where(F.xxhash64("found") == F.col("wid"))
+    verified = candidates.join(windows.select("wid", "window"), "wid").where("found = window").select("doc_id", "rid", "start", "length", "wid", "window").persist(KEEP)
 
     covered = verified.select("doc_id", "rid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("doc_id", "rid").agg(F.count("*").alias("n_hit"))
-    ids = verified.select("doc_id", "rid", "wid").distinct().join(named.select("wid", "item_id").where("item_id is not null"), "wid").select("doc_id", "rid", F.col("item_id").cast("string").alias("item")).distinct()
+    ids = verified.select("doc_id", "rid", "wid", "window").distinct().join(named.select("wid", "window", "item_id").where("item_id is not null"), ["wid", "window"]).select("doc_id", "rid", F.col("item_id").cast("string").alias("item")).distinct()
     ids = ids.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = covered.join(ids.withColumnsRenamed({"doc_id": "d", "rid": "r"}), same(F.col("doc_id"), F.col("d")) & (F.col("rid") == F.col("r")), "left").select(F.col("doc_id").alias("of"), F.col("rid").alias("of_rid"), "n_hit", "items")
     return _result(counted, both)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _result(counted: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         out = counted.withColumns({"n_hit": F.lit(0), "items": F.lit(None).cast("array<string>")})

@@ -121,3 +121,17 @@ def test_a_long_dialogue_stays_whole(spark):
     out = {r.perspective: r for r in chat_format.rotate(df).collect()}
     assert set(out) == {"Ann", "Bob"} and all(r.n_turns == 2001 and r.n_trained == 1000 and r.text.count("<|im_start|>system") == 1 for r in out.values())
     assert [out["Ann"].text[m.start : m.end] for m in out["Ann"].mask] == [f"t{i}<|im_end|>" for i in range(1, 2000, 2)]
+
+
+@pytest.mark.parametrize("most", [decontamination.MOST_BROADCAST, 0])
+def test_decontamination_across_blocks(spark, monkeypatch, most):
+    """Windows over the seams of blocks, at both ends of a long text, of frequent words, and with shingles that never occur."""
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+    long = [f"w{i % 997}x{i // 997}" for i in range(5000)]
+    texts = [" ".join(long), "a b " * 3000, " ".join(long[1020:1033]), " ".join(long[:12]), " ".join(long[:13]), "a", None, " ".join(long[3000:3013] + ["y"] + long[3001:3014])]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (0, texts[1]), (None, texts[2])], "doc_id bigint, text string")
+    cuts = [(0, 20), (1010, 1050), (1023, 1024), (2040, 2049), (2048, 2061), (3070, 3074), (4987, 5000), (4999, 5000)]
+    items = [(i, " ".join(long[a:b])) for i, (a, b) in enumerate(cuts)] + [(20, "a b " * 8), (21, "b a b"), (22, "a"), (23, " ".join(long[100:112]) + " never"), (24, " ".join(long[100:106]) + " " + " ".join(long[200:207]))]
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontamination.contamination(docs, items).select(COLUMNS).collect()
+    assert Counter(map(tuple, got)) == brute(docs.collect(), items.collect())
