@@ -38,26 +38,26 @@ def words(text: Column) -> Column:
 
 
 def _shingle(w: Column, at: Column, size: int) -> Column:
-    """Hash of the `size` words from the 1-based place on; null if there are fewer."""
-    return F.when(at + size - 1 <= F.size(w), F.xxhash64(F.lit(size), F.slice(w, at, size)))
+    """Hash of `size` words from the 1-based place on, or of as many as there are (no shingle of a window has such a hash)."""
+    return F.xxhash64(F.lit(size), *[F.get(w, at + (j - 1)) for j in range(size)])
 
 
 def _shingled(docs: DataFrame, sizes: list[int], width: int) -> DataFrame:
     """doc_id, rid, n, first, w, at, token: the documents' shingles of all sizes, out of blocks of words.
 
     w: the words of a block and `width` - 1 more on each side, first: the place of its first one in the document
-    (from 0), at: the shingle's place in w (from 1), n: words of the document.
+    (from 0), at: the shingle's place in w (from 1), n: words of the document. Places are exploded and not hashes, so
+    that hashing is compiled; the outer forms have no condition on an array's size, for which it would be made twice.
     """
-    w = docs.select("doc_id", "rid", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    begin = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
+    w = docs.select("doc_id", "rid", words(F.col("text")).alias("w"))
+    begin = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK))
     margin = lambda b: F.least(b, F.lit(width - 1))
     blocks = F.transform(begin, lambda b: F.struct((b - margin(b)).alias("first"), margin(b).alias("margin"), F.slice(F.col("w"), b - margin(b) + 1, margin(b) + (BLOCK + width - 1)).alias("w")))
-    d = w.select("doc_id", "rid", F.size("w").alias("n"), F.explode(blocks).alias("b")).select("doc_id", "rid", "n", "b.*")
-    places = F.sequence(F.col("margin") + 1, F.least(F.col("margin") + BLOCK, F.size("w")))
-    d = d.withColumn("tokens", F.transform(places, lambda i: F.array(*[_shingle(F.col("w"), i, g) for g in sizes])))
-    # The outer forms, so that no condition on the arrays' sizes is added, for which they would be made twice.
-    d = d.select("doc_id", "rid", "n", "first", "margin", "w", F.posexplode_outer("tokens").alias("k", "of"))
-    return d.select("doc_id", "rid", "n", "first", "w", (F.col("margin") + F.col("k") + 1).alias("at"), F.explode_outer("of").alias("token"))
+    d = w.select("doc_id", "rid", F.size("w").alias("n"), F.explode_outer(blocks).alias("b")).select("doc_id", "rid", "n", "b.*")
+    places = F.sequence(F.col("margin") + 1, F.greatest(F.least(F.col("margin") + BLOCK, F.size("w")), F.lit(1)))
+    d = d.select("doc_id", "rid", "n", "first", "w", F.explode_outer(places).alias("at"))
+    tokens = [_shingle(F.col("w"), F.col("at"), g) for g in sizes]
+    return d.select("*", (F.explode_outer(F.array(*tokens)) if len(tokens) > 1 else tokens[0]).alias("token"))
 
 
 def _window_shingles(size: int) -> Column:
