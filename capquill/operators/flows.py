@@ -103,17 +103,30 @@ def pivot(df: DataFrame, column: Column, row: Column, cell: Column, values: Sequ
     return long.groupBy("row").pivot("col", list(values)).agg(F.first(F.col("cell").cast("string"))).na.fill("-")
 
 
-def lagged(df: DataFrame, value: Column, delay: int = 1, by: str = "capture") -> DataFrame:
-    """num, diff: value of the packet `delay` later in the same capture, less its own."""
-    w = Window.partitionBy(by).orderBy("num")
-    d = df.select(by, "num", value.alias("v"))
-    return d.select("num", (F.lead("v", delay).over(w) - F.col("v")).alias("diff")).where("diff is not null")
-
-
 #: Numbers of packets in one block of a sequence line.
 NUMBERS = 1 << 20
 
 
+def lagged(df: DataFrame, value: Column, delay: int = 1, by: str = "capture", block: int = NUMBERS) -> DataFrame:
+    """num, diff: value of the packet `delay` later in the same capture, less its own; null values give no row.
+
+    No task holds a whole capture: packets are counted off in blocks of their numbers, which a row for each block carries
+    on, and then each packet is sent to its own place and, as the later one, to the place `delay` before it.
+    """
+    d = df.select(F.col(by).alias("_by"), "num", value.alias("v"), F.floor(F.col("num") / block).alias("_block"))
+    order = Window.partitionBy("_of").orderBy("_of_block")
+    sizes = d.groupBy(F.col("_by").alias("_of"), F.col("_block").alias("_of_block")).agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_of", "_of_block", (F.sum("_n").over(order) - F.col("_n")).alias("_carry"))
+    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_by", "_block").orderBy("num")))
+    d = d.join(sizes, F.col("_by").eqNullSafe(F.col("_of")) & F.col("_block").eqNullSafe(F.col("_of_block")))
+    at = F.col("_carry") + F.col("_nth")
+    own = F.struct(at.alias("at"), F.col("num"), F.col("v"), F.lit(None).alias("later"))
+    later = F.struct((at - delay).alias("at"), F.lit(None).alias("num"), F.lit(None).alias("v"), F.col("v").alias("later"))
+    placed = d.select("_by", F.explode(F.array(own, later)).alias("p")).select("_by", "p.*")
+    met = placed.groupBy("_by", "at").agg(F.max("num").alias("num"), (F.max("later") - F.max("v")).alias("diff"))
+    return met.select("num", "diff").where("diff is not null")
+
+
 def serial(later: Column, sooner: Column) -> Column:
     """The difference of two 32-bit sequence numbers as the nearer one of the two that it may be."""
     return F.pmod(later - sooner + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)

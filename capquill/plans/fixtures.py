@@ -309,3 +309,22 @@ def managed(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = of("30", hexed("020101"), of("04", F.lit(b"public")), pdu)
     frame = T.ether(0x0800, T.ipv4(address(0, "s_suppkey"), F.lit(1 << 24), 17, T.udp(161, 4000, message)))
     return capture(s.select(F.col("s_suppkey").alias("num"), frame.alias("data")))
+
+
+def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message of each customer over UDP: a counted list of orders, each a counted list of lines of different lengths."""
+    line = F.concat(
+        O.octets(F.col("l_linenumber"), 1),
+        O.octets(F.col("l_linenumber") % 4, 1),
+        F.encode(F.expr("repeat(l_linestatus, l_linenumber % 4)"), "UTF-8"),
+        O.octets(F.ascii("l_returnflag"), 1),
+        F.when(F.col("l_returnflag") == "R", O.octets(F.col("l_suppkey"), 4)).otherwise(F.lit(b"")),
+    )
+    together = lambda c: F.unhex(F.array_join(F.collect_list(F.hex(c)), ""))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), together(line).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    order = F.concat(O.octets(F.col("o_orderkey"), 4), O.octets(F.col("n"), 2), "lines")
+    c = orders.groupBy("o_custkey").agg(F.count("*").alias("n"), together(order).alias("orders"))
+    message = F.concat(F.lit(b"\x53"), O.octets(F.col("o_custkey"), 4), O.octets(F.col("n"), 2), "orders")
+    frame = T.ether(0x0800, T.ipv4(address(0, "o_custkey"), F.lit(1 << 24), 17, T.udp(4000, 4001, message)))
+    return capture(c.select(F.col("o_custkey").alias("num"), F.lit(0.0).alias("time"), frame.alias("data")))

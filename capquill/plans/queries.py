@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from capquill.functions import octets as O
 from capquill.operators import dissect as D
-from capquill.operators import asn1, filters, flows, layers, pairing, reassembly, rebuild, records, templates, tunnels
+from capquill.operators import asn1, filters, flows, layers, layouts, pairing, reassembly, rebuild, records, templates, tunnels
 from capquill.plans import fixtures as X
 from capquill.sources import captures, ranges
 from capquill.sources.files import scratch
@@ -756,3 +756,35 @@ def snmp_values(spark, sf):
     rows = asn1.snmp_bindings(D.dissect(X.managed(spark, sf)).select("num", D.payload().alias("m")), F.col("m"))
     names = spark.createDataFrame([("1.3.6.1.2.1.2.2.1", "ifEntry"), ("1.3.6.1.2.1.2.2.1.5", "ifSpeed"), ("1.3.6.1", "internet")], "oid string, name string")
     return asn1.tree(rows, names).select("num", "version", "community", "kind", "id", "name", "rest", "value")
+
+
+# Layouts of variable size
+_LINE = layouts.Layout(
+    {
+        "number": layouts.Number(1),
+        "size": layouts.Number(1),
+        "status": layouts.Octets(layouts.Of("size"), text=True),
+        "kind": layouts.Number(1),
+        "supplier": layouts.Only(layouts.Number(4), "kind", (ord("R"),)),
+    }
+)
+_ORDER = layouts.Layout({"key": layouts.Number(4), "n": layouts.Number(2), "lines": layouts.Repeated(_LINE, count=layouts.Of("n"))})
+_BASKET = layouts.Layout(
+    {
+        "head": layouts.Bits({"version": 4, "kind": 4}),
+        "customer": layouts.Number(4),
+        "n": layouts.Number(2),
+        "orders": layouts.Repeated(_ORDER, count=layouts.Of("n")),
+        "rest": layouts.Octets(),
+    }
+)
+
+
+@query("""SELECT CAST(5 AS BIGINT) AS version, CAST(3 AS BIGINT) AS kind, o_custkey AS customer, o_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line, repeat(l_linestatus, l_linenumber % 4) AS status,
+CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS supplier, CAST(0 AS BIGINT) AS behind FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def declared_layout(spark, sf):
+    """Counted lists within a counted list, with lengths and conditions."""
+    m = D.dissect(X.baskets(spark, sf)).select(layouts.decoded(D.payload(), _BASKET).alias("m"))
+    o = m.select("m.head", "m.customer", F.length("m.rest").cast("bigint").alias("behind"), F.explode("m.orders").alias("o"))
+    li = o.select("head", "customer", "behind", F.col("o.key").alias("order_key"), F.explode("o.lines").alias("l"))
+    return li.select("head.version", "head.kind", "customer", "order_key", F.col("l.number").alias("line"), "l.status", "l.supplier", "behind")

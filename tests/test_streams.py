@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from capquill.operators import dissect as D
@@ -191,3 +192,18 @@ def test_lists_are_whole(spark):
 def test_unknown_directives_are_text(spark):
     d = D.dissect(capture(spark, [MACS + b"\x08\x00" + ip(6, segment(1, 2))]))
     assert d.select(D.sprintf("%IP.nothing% %Nope.x% %IP.ttl%").alias("x")).first().x == "%IP.nothing% %Nope.x% 64"
+
+
+@pytest.mark.parametrize("delay", [1, 3, 40])
+def test_lags_over_blocks(spark, delay):
+    """Differences over the seams of blocks, with blocks of fewer packets than the delay, and null values."""
+    rng = random.Random(delay)
+    rows = [(c, n, None if rng.random() < 0.1 else rng.randrange(100)) for c in ("a", "b", None) for n in sorted(rng.sample(range(1000), 90))]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "capture string, num bigint, x bigint")
+    want = []
+    for c in ("a", "b", None):
+        one = [r for r in rows if r[0] == c]
+        want += [(a[1], b[2] - a[2]) for a, b in zip(one, one[delay:]) if a[2] is not None and b[2] is not None]
+    got = flows.lagged(df, F.col("x"), delay, block=16).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
+    assert flows.lagged(df.limit(0), F.col("x"), delay).count() == 0
