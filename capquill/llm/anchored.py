@@ -172,15 +172,17 @@ def _occurrences(rows: pa.Table, of: Windows, key: bytes) -> pa.Table:
 _MARK = "at bigint, low bigint, times bigint, asked boolean, salt bigint"
 
 
-def _marks(batches: Iterator[pa.RecordBatch], hot: int, all_firsts: bool) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch], hot: int, stays: bool) -> Iterator[pa.RecordBatch]:
     """From occurrences in the order of (seed, content, document, low): places whose anchor repeats.
 
-    The first place of each content is `asked` for what it holds, with the times of the content in all; if not
-    `all_firsts`, only where its anchor has other contents as well. `salt` counts the contents of an anchor
-    by `hot`. The first place of the last content is carried from batch to batch.
+    Where an anchor has several contents, the first place of each is `asked` for what it holds, with the times of the
+    content in all. Windows of one run differ, so an only content has nothing to be compared with: its first place
+    `stays` as a whole (a salt of -1) or goes like the others; it gets no row if that is what finish() takes for granted.
+    `salt` counts the contents of an anchor by `hot`. The first place of the last content is carried from batch to batch.
     """
     names = ("seed", "content", "at", "low", "times", "many")
     held: dict[str, np.ndarray] | None = None
+    only = -1 if stays else 0
     again, rank = False, 0  # of the held content: whether its anchor has come before it, and how many contents
 
     def rows(c: dict[str, np.ndarray], asked: np.ndarray, salt: np.ndarray) -> pa.RecordBatch:
@@ -212,24 +214,24 @@ def _marks(batches: Iterator[pa.RecordBatch], hot: int, all_firsts: bool) -> Ite
             yield rows({k: v[other] for k, v in c.items()}, np.zeros(other.sum(), bool), np.zeros(other.sum(), np.int64))
         total = np.add.reduceat(c["times"], at)
         firsts = {k: v[at] for k, v in c.items()} | {"times": total}
-        asked = np.full(len(at), True) if all_firsts else contents[run] > 1
-        out = repeated[run] & (asked | ~firsts["many"])
+        asked = contents[run] > 1
+        out = repeated[run] & (asked | (firsts["many"] == stays))
         out[-1] = False
         if out.any():
-            yield rows({k: v[out] for k, v in firsts.items()}, asked[out], ranks[out] // hot)
+            yield rows({k: v[out] for k, v in firsts.items()}, asked[out], np.where(asked, ranks // hot, only)[out])
         held = {k: v[-1:] for k, v in firsts.items()}
         again, rank = bool(repeated[-1]), int(ranks[-1])
     if held is not None and again:
-        asked = np.array([all_firsts or rank > 0])
-        if asked[0] or not held["many"][0]:
-            yield rows(held, asked, np.array([rank // hot]))
+        asked = np.array([rank > 0])
+        if asked[0] or held["many"][0] == stays:
+            yield rows(held, asked, np.array([rank // hot if asked[0] else only]))
 
 
-def marks(texts: DataFrame, of: Windows, *, hot: int = 1 << 62, all_firsts: bool) -> DataFrame:
+def marks(texts: DataFrame, of: Windows, *, hot: int = 1 << 62, stays: bool) -> DataFrame:
     key = os.urandom(16)  # whoever writes a text can't know it, so not make contents that collide
     found = texts.groupBy("chunk").applyInArrow(lambda t: _occurrences(t, of, key), _OCCURRENCE)
     order = ["seed", "content", F.asc_nulls_first("doc_id"), "twin", "low"]
-    return found.repartition("seed").sortWithinPartitions(*order).mapInArrow(lambda it: _marks(it, hot, all_firsts), _MARK).persist(KEEP)
+    return found.repartition("seed").sortWithinPartitions(*order).mapInArrow(lambda it: _marks(it, hot, stays), _MARK).persist(KEEP)
 
 
 def _at_chunks(rows: DataFrame) -> DataFrame:
@@ -258,7 +260,7 @@ def asked(texts: DataFrame, marked: DataFrame, of: Windows, give: Callable, sche
 def finish(texts: DataFrame, marked: DataFrame, kept: DataFrame, of: Windows, digest: Callable) -> DataFrame:
     """One row per row of the input: doc_id, n, n_removed, n_spans, sha.
 
-    kept: at, low, high of window starts that stay though their anchor repeats; digest(runs, flags of the units that
+    kept: at, low, high of window starts that stay though their anchor repeats, as do whole runs that are marked so; digest(runs, flags of the units that
     go) returns the digest of what is left of each document.
     """
 
@@ -270,11 +272,13 @@ def finish(texts: DataFrame, marked: DataFrame, kept: DataFrame, of: Windows, di
         values, count = np.unique(runs.seed, return_counts=True)
         goes = count[np.searchsorted(values, runs.seed)] > 1
         low = info["low"].to_numpy() + runs.first[info["at"].to_numpy() & 0xFFFFFFFF]
-        high = info["high"].fill_null(-1).to_numpy()
+        high = info["high"].fill_null(-1).to_numpy().copy()
         goes[np.searchsorted(runs.low, low[high < 0])] = True
         n = int(runs.first[-1])
         gone = covered(n, runs.low[goes], runs.high[goes] + 1)
-        stay = high >= 0
+        whole = high == 0
+        high[whole] = (runs.high - runs.low + 1)[np.searchsorted(runs.low, low[whole])]
+        stay = high > 0
         gone[spread(low[stay], low[stay] + high[stay])] = False
         at = np.flatnonzero(gone)
         removed = covered(n, at, at + of.width)
@@ -284,7 +288,7 @@ def finish(texts: DataFrame, marked: DataFrame, kept: DataFrame, of: Windows, di
             "n_spans": spans(removed, runs.first)[row], "sha": pa.array(digest(runs, removed), pa.string()).take(row),
         })
 
-    places = marked.select("at", "low", F.lit(None).cast("bigint").alias("high"))
+    places = marked.select("at", "low", F.when(F.col("salt") < 0, 0).cast("bigint").alias("high"))
     info = places.unionByName(kept.select("at", "low", (F.col("high") - F.col("low")).alias("high")))
     return texts.groupBy("chunk").cogroup(_at_chunks(info)).applyInArrow(run, "doc_id bigint, n bigint, n_removed bigint, n_spans bigint, sha string")
 

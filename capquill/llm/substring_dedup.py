@@ -65,7 +65,7 @@ def _windows(chunk: A.Chunk, documents: np.ndarray, runs: A.Runs, at: np.ndarray
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n (words), n_removed, n_spans, sha (of the kept words) of each document."""
     of, texts = A.Windows(_units, width, GRAM, merged=False), A.dealt(docs)
-    marked = A.marks(texts, of, all_firsts=False)
+    marked = A.marks(texts, of, stays=False)
     windows = A.asked(texts, marked, of, lambda *x: _windows(*x, width), "seed int, window bigint, times bigint, at bigint, low bigint")
     counted = windows.groupBy("seed", "window").agg(F.sum("times").alias("times"), F.max("at").alias("at"), F.max("low").alias("low"))
     kept = counted.where("times = 1").select("at", "low", (F.col("low") + 1).alias("high"))

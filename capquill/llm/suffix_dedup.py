@@ -1,7 +1,8 @@
 """Suffix-array dedup (operator 1): bytes covered by a 100-byte string that also starts earlier.
 
-Candidate windows are those under repeated anchors (anchored.py). The text around each anchor run travels
-once per distinct content, with its least position; shards of whole anchors are concatenated in the order of
+Candidate windows are those under repeated anchors (anchored.py). Where an anchor has several contents, the text around
+each run travels once per distinct content, with its least position (copies of an only content but the first go as they
+are); shards of whole anchors are concatenated in the order of
 position and sorted by recursive induced sorting (suffix_array.py), and the permuted common prefixes split the suffixes
 into classes that share 100 bytes. The first member of each class stays, everything else under repeated
 anchors is removed. An anchor with more than `HOT` contents is dealt over several shards; the first members of
@@ -120,7 +121,7 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], width: int, shard: int, hot:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, *, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, n (bytes), n_removed, n_spans, sha (of the remaining bytes) of each document."""
     of, texts = A.Windows(_units, width, GRAM, merged=True), A.dealt(docs)
-    marked = A.marks(texts, of, hot=hot, all_firsts=True)
+    marked = A.marks(texts, of, hot=hot, stays=True)
     contexts = A.asked(texts, marked, of, lambda *x: _contexts(*x, width), _CONTEXT)
     dealt = contexts.repartition("seed", "salt").sortWithinPartitions("seed", "salt")
     firsts = dealt.mapInArrow(lambda it: _sort_shards(it, width, shard, hot), _FIRST).persist(KEEP)

@@ -4,8 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from capquill.llm import substring_dedup, suffix_dedup
-from tests.llm.cases import SF, awkward, documents
+from capquill.llm import anchored, substring_dedup, suffix_dedup
+from tests.llm.cases import SF, awkward, documents, prose
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -74,3 +74,25 @@ def test_empty_tables(spark):
 def test_queries(spark):
     assert set(suffix_dedup.op1_suffix_dedup(spark, SF).columns) == {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}
     assert {"doc_id", "n_words", "n_removed", "kept_sha256"} <= set(substring_dedup.op2_substring_dedup(spark, SF).columns)
+
+
+def alike(spark):
+    """Copies of a text with nothing but copies of it, within documents and across them, and one text with a copy that differs."""
+    a, b, c, d = (prose(150, k) for k in range(40, 44))
+    texts = [(9, a), (3, a), (4, a), (None, b), (5, b), (5, b), (6, c + "\n" + d + "\n" + c + "\n" + d + "\n" + c), (7, "z" * 300), (8, "z" * 300)]
+    return spark.createDataFrame([(i, t) for i, t in texts], "doc_id bigint, text string")
+
+
+def test_only_contents_are_not_sorted(spark):
+    """What has nothing but copies is not sent to be compared, and its first place stays as a whole."""
+    copies = spark.createDataFrame([(i, prose(150, 40)) for i in range(6)] + [(7, "z" * 300)], "doc_id bigint, text string")
+    of = anchored.Windows(suffix_dedup._units, 100, suffix_dedup.GRAM, merged=True)
+    marked = anchored.marks(anchored.dealt(copies), of, stays=True)
+    assert marked.where("asked").count() == 0 and marked.count() > 0
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_copies_within_and_across_documents(spark, hot):
+    df = alike(spark)
+    got = suffix_dedup.remove_repeats(df, hot=hot, shard=1000).select(COLUMNS).collect()
+    assert Counter(map(tuple, got)) == brute_bytes(df.collect(), 100)
