@@ -31,6 +31,8 @@ from capquill.llm.common import KEEP, columns_or_null, partitions
 
 #: Bytes of text in a chunk, about; there are so many chunks for each partition at least.
 CHUNK, PER_PARTITION = 1 << 20, 4
+#: Units whose anchors are looked for together, about.
+PIECE = 1 << 16
 SEED_BITS = np.uint64((1 << 48) - 1)
 
 
@@ -74,7 +76,7 @@ def dealt(docs: DataFrame) -> DataFrame:
 class Windows:
     """What is looked for: windows of `width` units, with anchors of `gram` units at most."""
 
-    #: units(data, off) returns (values, first unit of each document, the units as they are, more).
+    #: units(data, off) returns (values or bytes that stand for K.BYTE_VALUES, first unit of each document, the units as they are, more).
     units: Callable
     width: int
     gram: int
@@ -106,9 +108,17 @@ class Runs:
 
 
 def find_runs(data: np.ndarray, off: np.ndarray, of: Windows) -> Runs:
+    """Anchors need some 100 bytes a unit meanwhile, so whole documents are looked at a piece at a time, however many share a chunk."""
     values, first, raw, more = of.units(data, off)
-    found = K.anchors(values, first, of.width, min(of.gram, of.width))
-    return Runs(data, off, first, found.seed & SEED_BITS, found.low, found.high, np.searchsorted(first, found.low, "right") - 1, np.ascontiguousarray(raw), more)
+    found, a, n = [], 0, len(first) - 1
+    while a < n or not found:
+        b = min(n, max(a + 1, int(np.searchsorted(first, first[a] + PIECE, "right")) - 1))
+        piece = values[first[a] : first[b]]
+        x = K.anchors(K.BYTE_VALUES[piece] if piece.dtype == np.uint8 else piece, first[a : b + 1] - first[a], of.width, min(of.gram, of.width))
+        found.append((x.seed & SEED_BITS, x.low + first[a], x.high + first[a]))
+        a = b
+    seed, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+    return Runs(data, off, first, seed, low, high, np.searchsorted(first, low, "right") - 1, np.ascontiguousarray(raw), more)
 
 
 class Chunk:

@@ -37,7 +37,7 @@ FENCE = 0xFF
 
 
 def _units(data: np.ndarray, off: np.ndarray):
-    return K.BYTE_VALUES[data], off, data, None
+    return data, off, data, None
 
 
 def _contexts(chunk: A.Chunk, documents: np.ndarray, runs: A.Runs, at: np.ndarray, wanted: pa.Table, width: int) -> pa.Table:

@@ -1,10 +1,12 @@
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from capquill.llm import anchored, substring_dedup, suffix_dedup
+from capquill.llm import anchored, kernels, substring_dedup, suffix_dedup
 from tests.llm.cases import SF, awkward, documents, prose
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -96,3 +98,18 @@ def test_copies_within_and_across_documents(spark, hot):
     df = alike(spark)
     got = suffix_dedup.remove_repeats(df, hot=hot, shard=1000).select(COLUMNS).collect()
     assert Counter(map(tuple, got)) == brute_bytes(df.collect(), 100)
+
+
+def test_runs_take_little_memory_besides_their_chunk():
+    """A chunk of many documents is looked at in pieces, with the runs that the whole would have."""
+    texts = [prose(3000, k, 5000).encode() for k in range(150)] + [b"", b"z" * 1000, b"y " * 200]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    of = anchored.Windows(suffix_dedup._units, 100, suffix_dedup.GRAM, merged=True)
+    anchored.find_runs(data[: off[1]], off[:2], of)  # powers are kept
+    tracemalloc.start()
+    got = anchored.find_runs(data, off, of)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = kernels.anchors(kernels.BYTE_VALUES[data], off, 100, suffix_dedup.GRAM)
+    assert (got.seed == want.seed & anchored.SEED_BITS).all() and (got.low == want.low).all() and (got.high == want.high).all()
+    assert peak < 20 * len(data)
