@@ -31,8 +31,8 @@ from capquill.llm.common import KEEP, columns_or_null, partitions
 
 #: Bytes of text in a chunk, about; there are so many chunks for each partition at least.
 CHUNK, PER_PARTITION = 1 << 20, 4
-#: Units whose anchors are looked for together, about.
-PIECE = 1 << 16
+#: Units whose anchors are looked for together, about, and texts that are packed together.
+PIECE, ROWS = 1 << 16, 500
 SEED_BITS = np.uint64((1 << 48) - 1)
 
 
@@ -57,9 +57,9 @@ def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([squeeze(t.as_py() or b"") for t in texts], pa.binary())], names=["chunk", "doc_id", "rid", "packed"])
+    for rows in (batch.slice(a, ROWS) for batch in batches for a in range(0, len(batch), ROWS)):
+        texts = rows.column("text").cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([squeeze(t.as_py() or b"") for t in texts], pa.binary())], names=["chunk", "doc_id", "rid", "packed"])
 
 
 def dealt(docs: DataFrame) -> DataFrame:
