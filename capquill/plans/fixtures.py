@@ -141,10 +141,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture(ask.unionByName(say))
 
 
+#: Address of the server that conversations 0 to 65,535 talk to.
+SERVERS = 11 << 24
+
+
 def chat(spark: SparkSession, sf_dir: str, size: int = 512, six: bool = False, record: bool = False) -> DataFrame:
     """TCP segments of at most `size` octets of conversations: the user is the client, all other roles are the server; numbers run on per direction.
 
-    six: over IPv6; record: each turn is a TLS record.
+    six: over IPv6; record: each turn is a TLS record. The low 16 bits of conv_id are in the client's address and the rest in the server's, so no two conversations share a stream.
     """
     from pyspark.sql import Window
 
@@ -161,7 +165,7 @@ def chat(spark: SparkSession, sf_dir: str, size: int = 512, six: bool = False, r
         client, server = F.concat(F.unhex(F.lit("20010db8" + "0" * 8)), O.octets(F.col("conv_id"), 8)), F.unhex(F.lit("20010db9" + "0" * 23 + "1"))
         frame = T.ether(0x86DD, T.ipv6(F.when(mine, client).otherwise(server), F.when(mine, server).otherwise(client), 6, segment))
     else:
-        client, server = address(5, "conv_id"), F.lit((10 << 24) + (6 << 16) + 1).cast("bigint")
+        client, server = address(5, "conv_id"), F.shiftright("conv_id", 16) + SERVERS
         frame = T.ether(0x0800, T.ipv4(F.when(mine, client).otherwise(server), F.when(mine, server).otherwise(client), 6, segment))
     return capture(c.select((F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + F.col("k")).alias("num"), frame.alias("data")))
 
