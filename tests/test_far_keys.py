@@ -1,6 +1,14 @@
 """Keys beyond what one field of a frame holds: conversations, users and clocks that larger tables have."""
 
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from capquill.operators import dissect as D
+from capquill.operators import flows
 from capquill.plans.queries import QUERIES
+from tests.test_stack import MACS, ip
+from tests.test_streams import segment
 
 FAR = (3, 60_003, 65_539, (1 << 24) + 3, (1 << 40) + 3)
 
@@ -14,3 +22,8 @@ def conversations(spark, tmp_path):
 def test_spliced_conversations_far_apart(spark, tmp_path):
     got = QUERIES["stream_splice"](spark, conversations(spark, tmp_path)).collect()
     assert sorted((r.conv_id, r.direction, r.kind) for r in got) == sorted((c, d, "message") for c in FAR for d in (0, 0, 1))
+
+
+def test_records_of_conversations_far_apart(spark, tmp_path):
+    got = QUERIES["tls_records"](spark, conversations(spark, tmp_path)).collect()
+    assert sorted((r.conv_id, r.direction, r.length) for r in got) == sorted((c, d, len(f"{role} {c} {t}")) for c in FAR for t, (d, role) in enumerate(((0, "user"), (1, "assistant"), (0, "user"))))
