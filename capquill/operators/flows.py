@@ -60,10 +60,12 @@ def sessions(df: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def session_windows(df: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Flows that end after a gap without packets."""
+    """Flows that end after a gap without packets, of each capture for itself."""
+    own = of_capture(df)
     d, ready = decoded(df, KEY_FIELDS, KEY_ANCHORS)
-    keyed = d.select(session_key(ready).alias("session"), F.timestamp_micros((F.col("time") * 1_000_000).cast("bigint")).alias("ts"))
-    return keyed.groupBy("session", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("packets")).select("session", F.unix_micros("w.start").alias("start_us"), "packets")
+    keyed = d.select(*own, session_key(ready).alias("session"), F.timestamp_micros(F.floor(F.col("time") * 1_000_000 + 0.5)).alias("ts"))
+    met = keyed.groupBy(*own, "session", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("packets"))
+    return met.select(*own, "session", F.unix_micros("w.start").alias("start_us"), "packets")
 
 
 def count_layers(df: DataFrame, layers: Sequence[str]) -> DataFrame:

@@ -32,3 +32,11 @@ def test_records_of_conversations_far_apart(spark, tmp_path):
 def test_streams_over_ipv6_far_apart(spark, tmp_path):
     got = QUERIES["streams_v6"](spark, conversations(spark, tmp_path)).collect()
     assert sorted((r.conv_id, r.direction) for r in got) == sorted((c, d) for c in FAR for d in (0, 1))
+
+
+def test_users_far_apart_share_no_window(spark, tmp_path):
+    rows = [(n, datetime(2024, 1, 1, 12, n, 7, 172425), u, "{}") for n, u in enumerate((5, 65_541, 5, (1 << 20) + 5))]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["session_window_flows"](spark, str(tmp_path)).collect()
+    assert {r.session for r in got} == {"UDP 10.8.0.5:5000 > 10.0.0.1:5001"}
+    assert sorted((r.start_us % 3_600_000_000, r.packets) for r in got) == [(7_172_425, 2), (67_172_425, 1), (187_172_425, 1)]
