@@ -185,12 +185,17 @@ def ack_consistent(df: DataFrame) -> DataFrame:
 
 
 def time_skew(df: DataFrame, stamp: Column) -> DataFrame:
-    """src, num, x, skew of a sender's clock against the capture's: stamp is its time in milliseconds, its first packet the origin."""
+    """src, num, x, skew of a sender's clock against the capture's: stamp is its time in milliseconds, its first packet the origin.
+
+    A stamp has 32 bits and begins anew after 49.7 days, so of the times that it may stand for the one nearest to the capture's counts.
+    """
     own = of_capture(df)
     d = dissect(df).select(*own, F.coalesce(_text("IP.src"), _text("IPv6.src")).alias("src"), "num", "time", stamp.cast("double").alias("stamp")).where("src is not null and stamp is not null")
     first = d.groupBy(*own, "src").agg(F.min_by(F.struct("time", "stamp"), "num").alias("first"))
     d = d.join(first, [*own, "src"])
-    skew = (F.col("time") - F.col("first.time")) - (F.col("stamp") - F.col("first.stamp")) / 1000
+    elapsed, told = F.col("time") - F.col("first.time"), F.col("stamp") - F.col("first.stamp")
+    turns = F.floor((elapsed * 1000 - told) / (1 << 32) + 0.5)
+    skew = elapsed - (told + turns * F.lit(1 << 32)) / 1000
     return d.select(*own, "src", "num", (F.col("time") % 2000).alias("x"), skew.alias("skew"))
 
 

@@ -104,8 +104,8 @@ def optioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stamp_ms(line, order):
-    """A sender's clock in milliseconds."""
-    return order * 1000 + line * 130
+    """A sender's clock in milliseconds, of 32 bits."""
+    return (order * 1000 + line * 130).bitwiseAND((1 << 32) - 1)
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,14 @@ def test_users_far_apart_share_no_window(spark, tmp_path):
     got = QUERIES["session_window_flows"](spark, str(tmp_path)).collect()
     assert {r.session for r in got} == {"UDP 10.8.0.5:5000 > 10.0.0.1:5001"}
     assert sorted((r.start_us % 3_600_000_000, r.packets) for r in got) == [(7_172_425, 2), (67_172_425, 1), (187_172_425, 1)]
+
+
+def test_a_clock_that_begins_anew(spark):
+    """Stamps of 32 bits over several turns, of a clock that runs up to a week fast or slow, out of order too."""
+    days, off = (0, 30, 100, 70, 49.7), (0.0, 1.5, -604_800.0, 604_800.0, 0.25)
+    stamps = [int((d * 86_400 + o) * 1000 + 4_000_000_000) % 2**32 for d, o in zip(days, off)]
+    frame = MACS + b"\x08\x00" + ip(6, segment(1, 2))
+    rows = [(n, d * 86_400.0, s, frame) for n, (d, s) in enumerate(zip(days, stamps))]
+    df = D.capture(spark.createDataFrame(rows, "num bigint, time double, stamp bigint, data binary"))
+    got = {r.num: round(r.skew, 3) for r in flows.time_skew(D.dissect(df), F.col("stamp")).collect()}
+    assert got == {n: -o for n, o in enumerate(off)}
