@@ -75,12 +75,13 @@ def answers(df: DataFrame, lookahead: int | None = None) -> DataFrame:
     own = of_capture(df)
     asked = d.select(*own, "num", reply_key(False, ready).alias("key")).where("key is not null")
     replied = d.select(*own, F.col("num").alias("answer"), reply_key(True, ready).alias("key")).where("key is not null")
+    # frames are larger than the files that they are made of let Spark expect, so it would send a whole side by way of the driver to every task
     if lookahead is None:
-        return asked.join(replied, [*own, "key"]).where("answer > num").select(*own, "num", "answer")
+        return asked.join(replied.hint("merge"), [*own, "key"]).where("answer > num").select(*own, "num", "answer")
     block = F.floor(F.col("num") / lookahead)
     asked = asked.withColumn("block", F.explode(F.array(block, block + 1)))
     replied = replied.withColumn("block", F.floor(F.col("answer") / lookahead))
-    met = asked.join(replied, [*own, "key", "block"])
+    met = asked.join(replied.hint("merge"), [*own, "key", "block"])
     return met.where((F.col("answer") > F.col("num")) & (F.col("answer") <= F.col("num") + lookahead)).select(*own, "num", "answer")
 
 

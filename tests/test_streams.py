@@ -31,6 +31,14 @@ def test_strangers_do_not_answer(spark):
     assert pairs(pairing.answers(df)) == pairs(pairing.pairs(df)) == pairs(pairing.pairs(df, F.col("num").isin(0, 3))) == [(0, 2), (3, 4)]
 
 
+def test_no_side_of_answers_is_broadcast(spark, tmp_path):
+    capture(spark, [six(1, 2, 6, segment(1, 2)), six(2, 1, 6, segment(2, 1))]).write.parquet(f"{tmp_path}/frames")
+    df = spark.read.parquet(f"{tmp_path}/frames")
+    for lookahead in (None, 3):
+        met = pairing.answers(df, lookahead)
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and pairs(met) == [(0, 1)]
+
+
 def test_a_used_packet_asks_no_more(spark):
     there, back = six(1, 2, 6, segment(1, 2)), six(2, 1, 6, segment(2, 1))
     assert pairs(pairing.pairs(capture(spark, [there, back, there, back]))) == [(0, 1), (2, 3)]
