@@ -8,7 +8,8 @@ walked again from where they must begin, all of them at once, until the chain of
 decides how often that happens, never what is read. The index is a small table (a row for each range), with the number of
 each range's first packet, and what a section says about its interfaces before the range.
 
-`CaptureSource` is the data source `capture` over an index: a partition for each range. Of a slice by `num` only the ranges
+`CaptureSource` is the data source `capture` over an index: a partition for each range, or for several short ones, which its task
+reads one after the other. Of a slice by `num` only the ranges
 that hold some of it are read, `columns` leaves out what isn't asked for (such as the octets of packets), and
 `count` needs the index only. gzip files are one range each, inflated as a whole.
 """
@@ -35,6 +36,8 @@ from capquill.sources import captures as C
 from capquill.sources.files import Reader, located, scratch, sizes
 
 SPLIT = 64 << 20
+#: Where ranges are short, tasks for each core that walk them, and about how many tasks read them.
+TURNS, TASKS = 4, 1024
 #: Records in a row that make a guess, octets that are searched at a time, and the most octets of a packet that a guess allows.
 LIKELY, SEARCH, LARGEST = 6, 1 << 16, 1 << 18
 #: Octets that a range reads over its end for headers that begin in it.
@@ -209,8 +212,7 @@ def _walk(path: str, part: int, lo: int, hi: int, size: int, start: int, byte_or
 def _walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split(" ")[0] for c in WALKS.split(", ")]
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            yield pd.DataFrame([_walk(*row)], columns=names)
+        yield pd.DataFrame([_walk(*row) for row in batch.itertuples(index=False)], columns=names)
 
 
 def _interfaces(preamble: bytes) -> int:
@@ -250,15 +252,20 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(again or closed, columns=[c.split(" ")[0] for c in INDEX.split(", ")])
 
 
-def _spread(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(max(1, min(n, 10_000)), "path", "part")
+def _tasks(spark: SparkSession, n: int, octets: int) -> int:
+    """Tasks for n ranges: `TURNS` for each core, more if each would have over `SPLIT` octets, and none without a range."""
+    return max(1, min(n, 10_000, max(TURNS * spark.sparkContext.defaultParallelism, -(-octets // SPLIT))))
+
+
+def _spread(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(tasks, "path", "part")
 
 
 def index(spark: SparkSession, path: str, split: int = SPLIT, pattern: str | None = None, folder: str | None = None) -> str:
     """Index the capture files under a path; the folder of the index, a Parquet table, which may be kept for later reads."""
     folder = folder or scratch(spark, "captures")
     rows = [(p, k, k * split, min(size, (k + 1) * split), size, -1, "") for p, size in sizes(path, pattern) for k in range(-(-size // split))]
-    _spread(spark.createDataFrame(rows, RANGES), len(rows)).mapInPandas(_walks, WALKS).write.parquet(f"{folder}/walks/turn=0")
+    _spread(spark.createDataFrame(rows, RANGES), _tasks(spark, len(rows), sum(r[3] - r[2] for r in rows))).mapInPandas(_walks, WALKS).write.parquet(f"{folder}/walks/turn=0")
     turn = 0
     while True:
         walks = spark.read.schema(WALKS).parquet(*[f"{folder}/walks/turn={k}" for k in range(turn + 1)])
@@ -271,11 +278,11 @@ def index(spark: SparkSession, path: str, split: int = SPLIT, pattern: str | Non
         turn += 1
         places = walks.where("guess").select("path", "part", "lo", "hi", "size")
         wanted = again.join(places, ["path", "part"]).select("path", "part", "lo", "hi", "size", F.col("begins").alias("start"), F.col("order_then").alias("byte_order"))
-        _spread(wanted, count).mapInPandas(_walks, WALKS).write.parquet(f"{folder}/walks/turn={turn}")
+        _spread(wanted, _tasks(spark, count, count * split)).mapInPandas(_walks, WALKS).write.parquet(f"{folder}/walks/turn={turn}")
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     kind: str
     start: int
@@ -284,20 +291,38 @@ class Range(InputPartition):
     preamble: bytes
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: list[Range]
+
+
 class CaptureReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.index, self.names = options["path"], schema.names
         self.first, self.last = int(options.get("first", 0)), int(options.get("last", 1 << 62))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         store, place = located(self.index)
         rows = pq.read_table(place, filesystem=store).to_pylist()
         kept = [r for r in rows if r["packets"] and r["num"] <= self.last and r["num"] + r["packets"] > self.first]
-        return [Range(r["path"], r["kind"], r["start"], r["stop"], r["num"], r["preamble"]) for r in kept]
-
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # without any partition Spark asks once all the same
-            return
+        share, held = min(SPLIT, sum(r["stop"] - r["start"] for r in kept) / TASKS), SPLIT
+        out: list[Ranges] = []
+        for r in kept:
+            size = r["stop"] - r["start"]
+            if held + size > share:
+                out.append(Ranges([]))
+                held = 0
+            out[-1].ranges.append(Range(r["path"], r["kind"], r["start"], r["stop"], r["num"], r["preamble"]))
+            held += size
+        return out
+
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges if partition else ():  # without any partition Spark asks once all the same
+            yield from self.range(one)
+
+    def range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         wanted = pa.schema([(n, TYPES[n]) for n in self.names])
         with Reader(partition.path) as file:
             raw = file.part(partition.start, partition.stop - partition.start)
@@ -350,7 +375,10 @@ def read(spark: SparkSession, path: str, split: int = SPLIT, columns: Sequence[s
 
 
 def read_index(spark: SparkSession, folder: str, columns: Sequence[str] = (), first: int = 0, last: int | None = None) -> DataFrame:
-    """The packets, of the numbers first to last, of captures that were indexed before; columns: just these, of those of captures.SCHEMA."""
+    """The packets, of the numbers first to last, of captures that were indexed before; columns: just these, of those of captures.SCHEMA.
+
+    A task reads a range, or as many as make up `SPLIT` octets or its share of the octets as one of `TASKS`.
+    """
     spark.dataSource.register(CaptureSource)
     source = spark.read.format("capture").option("first", first)
     source = source.option("columns", ",".join(columns)) if columns else source

@@ -104,3 +104,12 @@ def test_slices_by_num(spark, folder, tmp_path):
     assert sorted(r.num for r in few.collect()) == list(range(100, 130)) and few.columns == ["num", "data"]
     assert 0 < few.rdd.getNumPartitions() < whole.rdd.getNumPartitions() / 3
     assert whole.count() == 400 and ranges.read_index(spark, index, first=1000).count() == 0
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    """Each packet in a range of its own: a task reads several of them, with every packet and its number."""
+    packets = [R.randbytes(100) for _ in range(4000)]
+    (tmp_path / "a.pcap").write_bytes(pcap(packets))
+    df = ranges.read(spark, str(tmp_path), 116)
+    assert df.rdd.getNumPartitions() < 2000
+    assert [(r.num, bytes(r.data)) for r in df.orderBy("num").collect()] == list(enumerate(packets))
