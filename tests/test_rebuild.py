@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from capquill.operators import dissect as D
-from capquill.operators import rebuild
+from capquill.operators import rebuild, templates
+from capquill.plans.queries import QUERIES
 from tests.test_stack import FRAMES, MACS, ip, tcp, udp
 from tests.test_streams import capture, six
 
@@ -65,3 +66,11 @@ def test_every_prefix_of_every_stack(spark):
     got = made(capture(spark, cut), {"IP.id": F.lit(3), "MPLS:2.ttl": F.lit(1)}, payload=F.when(F.col("num") % 2 == 0, F.lit(b"zz")))
     assert len(got) == len(cut) and all(d.endswith(b"zz") for n, (d, _) in got.items() if n % 2 == 0)
     assert all(len(d) == len(cut[n]) for n, (d, _) in got.items() if n % 2)
+
+
+def test_drawn_octets_are_compiled(spark):
+    """Draws of up to a block and their flips need no lambda, which Spark interprets for each octet; the octets are those of longer draws."""
+    plan = QUERIES["random_templates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan
+    d = spark.range(50).select(*[templates.random_octets(7, n, "id").alias(f"n{n}") for n in (0, 5, 32, 70)])
+    assert all(r.n70[:32] == r.n32 and r.n32[:5] == r.n5 and r.n0 == b"" for r in d.collect())
